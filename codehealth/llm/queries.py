@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import archives, langid, mixing, quality, secret_ledger
+from codehealth.llm import archives, blocks, langid, mixing, quality, secret_ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +41,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan)}
+def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = blocks.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors)}
 SQL: dict[str, str] = {}
