@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import archives, blocks, langid, mixing, quality, secret_ledger
+from codehealth.llm import archives, blocks, langid, mixing, quality, secret_ledger, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,5 +46,11 @@ def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors)}
+def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.without_earlier(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors, op10_suffix_index)}
 SQL: dict[str, str] = {}
