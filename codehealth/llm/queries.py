@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import archives, blocks, langid, mixing, quality, secret_ledger, suffixes
+from codehealth.llm import archives, blocks, langid, mixing, near_dups, quality, secret_ledger, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
@@ -52,5 +56,5 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors, op10_suffix_index)}
+QUERIES = {f.__name__: f for f in (op1_near_dups, op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors, op10_suffix_index)}
 SQL: dict[str, str] = {}
