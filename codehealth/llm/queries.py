@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import archives, blocks, langid, mixing, near_dups, quality, secret_ledger, suffixes
+from codehealth.llm import archives, blocks, langid, line_templates, mixing, near_dups, quality, secret_ledger, suffixes, tiling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_templates.without_recurring_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -45,6 +50,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = blocks.without_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,5 +65,19 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dups, op2_source_mix, op4_warc, op5_language_id, op6_quality_rules, op7_secret_scan, op9_block_anchors, op10_suffix_index)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dups,
+        op2_source_mix,
+        op3_line_templates,
+        op4_warc,
+        op5_language_id,
+        op6_quality_rules,
+        op7_secret_scan,
+        op8_string_tiling,
+        op9_block_anchors,
+        op10_suffix_index,
+    )
+}
 SQL: dict[str, str] = {}
