@@ -1,22 +1,51 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents: known languages, no boilerplate, no copies, no test items, mixed by source."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codehealth.llm import langid
+from codehealth.llm import langid, line_templates, mixing, near_dups, tiling
+from codehealth.llm.shared import saved
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or of a language that the classifier is not sure of, go."""
     return langid.in_known_language(docs)
 
 
-STAGES = [("language ID", known_language)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates leave the texts; every document stays."""
+    return line_templates.without_recurring_lines(docs).drop("n_lines", "n_dropped")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dups.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return tiling.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of words, mixed to the target weights of the sources."""
+    return mixing.Mix(docs).blocks()
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mix),
+]
+#: A classifier, hashed signatures and random draws: SQL has none of them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
