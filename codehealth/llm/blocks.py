@@ -18,7 +18,6 @@ repeats the other. Null ids are allowed. Empty table: no rows. Other columns are
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.shared import pieces_for
+from codehealth.llm.shared import pieces_for, saved
 from codehealth.llm.words import in_one_row, small_batches, text_bytes, window_hashes, word_hashes, words_of
 
 WINDOW = 35
 #: Bytes of text that a group or a shard stands for, and that a task hashes before it sends.
-GROUP_BYTES, PIECE_BYTES = 24 << 20, 24 << 20
+GROUP_BYTES, PIECE_BYTES = 8 << 20, 8 << 20
 #: Bits of the bitmap that keeps texts without anchors from moving: 8 MB, whatever the input.
 BITMAP_BITS = 1 << 26
 
@@ -48,7 +47,7 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFra
         text.alias("text"),
         id_.alias("id"),
         F.xxhash64(text).alias("tie"),
-        F.pmod(F.xxhash64(id_), F.lit(groups)).cast("int").alias("grp"),
+        F.pmod(id_, F.lit(groups)).cast("int").alias("grp"),
         F.pmod(F.xxhash64(id_, F.lit(1)), F.lit(BITMAP_BITS)).cast("int").alias("bit"),
     )
 
@@ -128,7 +127,7 @@ def by_group(grp: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa
     return pa.table([pa.array(found, pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["grp", *names])
 
 
-def anchors(groups_of: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def anchors(groups: int) -> Callable[[pa.Table], pa.Table]:
     """The blocks of a shard whose hash starts twice or more, by group."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -138,16 +137,16 @@ def anchors(groups_of: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table
         at = np.minimum(np.searchsorted(twice, blocks), max(len(twice) - 1, 0))
         hit = joined(table["own"], bool) | (len(twice) > 0 and twice[at] == blocks)
         ids, ties, places = joined(table["ids"], np.int64)[hit], joined(table["ties"], np.int64)[hit], joined(table["places"], np.uint32)[hit]
-        return by_group(groups_of(ids), [ids, ties, places], ["ids", "ties", "places"])
+        return by_group((ids % groups).astype(np.int32), [ids, ties, places], ["ids", "ties", "places"])
 
     return work
 
 
-def group_number(groups: int) -> Callable[[np.ndarray], np.ndarray]:
-    """The group of an id, in numpy: any spread over groups does."""
-    from codehealth.llm.words import mix
-
-    return lambda ids: (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int32)
+def group_count(n: int) -> int:
+    """The least prime from n on: ids modulo a prime are spread evenly, whatever their step."""
+    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 def ordered(texts: pa.Table) -> pa.Table:
@@ -257,6 +256,16 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def ids_in(table: DataFrame) -> DataFrame:
+    """The `bit` of each id in the packed column ids."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(joined(pa.chunked_array([batch.column(0)]), np.int64)))], names=["id"])
+
+    return table.select("ids").mapInArrow(work, "id long").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(BITMAP_BITS)).cast("int").alias("bit"))
+
+
 def marked(rows: DataFrame, bits: np.ndarray, wanted: bool) -> DataFrame:
     """The rows whose `bit` is set (or is not)."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
@@ -276,28 +285,15 @@ def text_size(docs: DataFrame, text_col: str) -> int:
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, piece_bytes: int = PIECE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every document."""
-    from codehealth.llm.shared import saved
-
     spark, block = docs.sparkSession, (window + 1) // 2
     parts = pieces_for(spark, text_size(docs, text_col), group_bytes)
-    shards = groups = 2 * parts
+    shards = groups = group_count(2 * parts)
     rows = rows_of(docs, id_col, text_col, groups)
-    spread = group_number(groups)
     probes = rows.select("text", "id", "tie").mapInArrow(probe(block, shards, piece_bytes), PROBES)
-    hits = saved(probes.groupBy("shard").applyInArrow(anchors(spread), HITS), "anchors")
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("grp")
-            own = pa.array(spread(batch.column(batch.schema.get_field_index("id")).to_numpy()), pa.int32())
-            yield batch.set_column(at, batch.schema.field(at), own)
-
-    def id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(joined(pa.chunked_array([batch.column(0)]), np.int64)))], names=["id"])
+    hits = saved(probes.groupBy("shard").applyInArrow(anchors(groups), HITS), "anchors")
 
-    bits = bitmap(hits.select("ids").mapInArrow(id_rows, "id long").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(BITMAP_BITS)).cast("int").alias("bit")))
-    near = marked(rows, bits, True).mapInArrow(numbered, rows.schema)
+    bits = bitmap(ids_in(hits))
+    near = marked(rows, bits, True)
     sent = near.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend(window, block, shards), "shard int, grp int, hashes binary, places binary")
     found = sent.groupBy("shard").applyInArrow(repeated, "grp int, places binary")
     cut = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(finished(window), RESULT)

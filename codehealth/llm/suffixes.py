@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.blocks import BITMAP_BITS, bitmap, by_group, group_number, joined, marked, ordered, rows_of, text_size
+from codehealth.llm.blocks import bitmap, by_group, group_count, ids_in, joined, marked, ordered, rows_of, text_size
 from codehealth.llm.shared import pieces_for, saved
 from codehealth.llm.words import mix, small_batches, text_bytes
 
 LENGTH, STEM = 100, 24
-PIECE_BYTES, GROUP_BYTES = 24 << 20, 24 << 20
+PIECE_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 
 _A, _ONE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(1)
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
@@ -223,7 +223,7 @@ def packed(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
-def matches(spread: Callable[[np.ndarray], np.ndarray], length: int) -> Callable[[pa.Table], pa.Table]:
+def matches(groups: int, length: int) -> Callable[[pa.Table], pa.Table]:
     """Of a shard: repeats and entries to settle, by group. Each piece's entries are a batch of the shard's family."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -239,7 +239,7 @@ def matches(spread: Callable[[np.ndarray], np.ndarray], length: int) -> Callable
         ties, starts = np.concatenate([ties, span[1] & 0xFFFF]), np.concatenate([starts, span[2]])
         counts = np.concatenate([counts, span[3] - span[2] - length + 1])
         is_open = np.concatenate([is_open, np.zeros(len(span[0]), bool)])
-        return by_group(spread(ids), [ids, ties.astype(np.uint16), starts, counts.astype(np.int32), is_open], ["ids", "ties", "starts", "counts", "open"])
+        return by_group((ids % groups).astype(np.int32), [ids, ties.astype(np.uint16), starts, counts.astype(np.int32), is_open], ["ids", "ties", "starts", "counts", "open"])
 
     return work
 
@@ -358,23 +358,13 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not stem < length <= stem + 255:
         raise ValueError("an entry has at most 255 windows")
     spark = docs.sparkSession
-    shards = groups = 2 * pieces_for(spark, text_size(docs, text_col), group_bytes)
-    rows, spread = rows_of(docs, id_col, text_col, groups), group_number(groups)
+    shards = groups = group_count(2 * pieces_for(spark, text_size(docs, text_col), group_bytes))
+    rows = rows_of(docs, id_col, text_col, groups)
     sent = rows.select("text", "id", "tie").mapInArrow(index(length, stem, shards, piece_bytes), ENTRIES)
-    found = saved(sent.groupBy("shard").applyInArrow(matches(spread, length), VERDICTS), "matches")
+    found = saved(sent.groupBy("shard").applyInArrow(matches(groups, length), VERDICTS), "matches")
 
-    def id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(joined(pa.chunked_array([batch.column(0)]), np.int64)))], names=["id"])
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array(spread(batch.column(batch.schema.get_field_index("id")).to_numpy()), pa.int32())
-            at = batch.schema.get_field_index("grp")
-            yield batch.set_column(at, batch.schema.field(at), own)
-
-    bits = bitmap(found.select("ids").mapInArrow(id_rows, "id long").select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(BITMAP_BITS)).cast("int").alias("bit")))
-    near = marked(rows, bits, True).mapInArrow(numbered, rows.schema)
+    bits = bitmap(ids_in(found))
+    near = marked(rows, bits, True)
     each = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(windows(length, shards), "shard int, grp int, hashes binary, ids binary, positions binary")
     settled = each.groupBy("shard").applyInArrow(later, "grp int, positions binary")
     verdicts = found.withColumn("positions", F.lit(None).cast("binary")).unionByName(
