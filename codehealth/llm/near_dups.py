@@ -87,7 +87,23 @@ def signatures(row: np.ndarray, h: np.ndarray, n_rows: int, bins: int, table: np
     return out
 
 
-SIGNED = "doc_id long, n long, set_a long, set_b long, bands array<long>"
+SIGNED = "doc_id long, n long, set_a long, set_b long, bands array<long>, bits array<long>"
+
+
+#: Bits of an odd sketch.
+SKETCH = 1024
+
+
+def odd_sketch(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+    """Per row, SKETCH bits as 64-bit integers: a bit is set if an odd number of shingles falls on it. The bits in which two
+    sketches differ are those of the shingles that only one row has, so their number never exceeds that of these shingles."""
+    bit = (mix(h + np.uint64(0x5851F42D4C957F2D)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(row * SKETCH + bit, minlength=n_rows * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_rows, SKETCH), axis=1, bitorder="little").view(np.int64)
+
+
+def unlike(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def signed(bands: int, rows: int, size: int) -> Callable:
@@ -103,12 +119,15 @@ def signed(bands: int, rows: int, size: int) -> Callable:
                 total = np.zeros(m, np.uint64)
                 np.add.at(total, row, mix(h + np.uint64(salt)))
                 sums.append(total.view(np.int64))
-            sig = signatures(row, h, m, bands * rows, table).reshape(m, bands, rows)
+            sig = signatures(row, h, m, bands * rows, table)
+            bits = odd_sketch(row, h, m)
+            sig = sig.reshape(m, bands, rows)
             key = np.tile(np.arange(bands, dtype=np.uint64), (m, 1))
             for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
             keys = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(pa.array, sums), keys], names=["doc_id", "n", "set_a", "set_b", "bands"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(pa.array, sums), keys, bits], names=["doc_id", "n", "set_a", "set_b", "bands", "bits"])
 
     return work
 
@@ -171,45 +190,46 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def alike(percent: int):
-    """Whether the set sizes n and m allow the overlap."""
-    return F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
+#: Rounds of stars at most, before what is left is compared pair by pair.
+STARS = 2
 
 
 def links(docs: DataFrame, reps: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
     """a, b of confirmed links that make the same components as all links between documents that share a bucket.
 
-    Round by round, each bucket with members in several components takes one of them as hub, another one each time,
-    and compares it with the members of other components. Rounds end when every bucket is one component or each of its
-    members has been hub; a bucket of m members that all differ needs m rounds, so after STARS rounds what is left (small
-    buckets of documents that only look alike) is compared pair by pair, across components."""
+    In each round every bucket with members in several components takes one of them as hub, another one each time, and
+    compares it with the members of other components. When a round finds no link, or after STARS rounds, the buckets that
+    still lie in several components are finished exactly: members outside a bucket's largest component are compared with
+    all of its members in other components. Sizes or sketches that rule a link out end a pair inside the join."""
     members = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    members = saved(members.join(sizes, "bucket").select("bucket", "doc_id", "n"), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+    members = saved(members.join(shared, "bucket").select("bucket", "doc_id"), "members")
+    about = saved(reps.select("doc_id", "n", "bits").join(members.select("doc_id").distinct(), "doc_id"), "about")
+    # both follow from 100 * shared >= percent * all; neither rules out a link
+    sizes_fit = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
+    likely = sizes_fit & (unlike("bits", "hub_bits") * F.lit(100 + percent) <= F.lit(100 - percent) * (F.col("n") + F.col("m")))
     done, comps = None, None
     for turn in range(STARS):
         now = members.withColumn("comp", F.col("doc_id")) if comps is None else unresolved(members, comps)
-        order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), "doc_id", "n", "comp")
-        hubs = now.groupBy("bucket").agg(F.min(order).alias("h"))
-        hubs = hubs.select("bucket", F.col("h.doc_id").alias("b"), F.col("h.n").alias("m"), F.col("h.comp").alias("hub_comp"))
-        pairs = now.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & alike(percent))
-        pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-        done, comps, new = settled(docs, pairs, done, parts, percent, size)
-        if not new:
+        order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), "doc_id", "comp")
+        hubs = now.groupBy("bucket").agg(F.min(order).alias("h")).select("bucket", F.col("h.doc_id").alias("b"), F.col("h.comp").alias("hub_comp"))
+        pairs = now.join(hubs, "bucket").filter(F.col("comp") != F.col("hub_comp")).select(F.col("doc_id").alias("a"), "b").distinct()
+        hub_side = about.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"))
+        pairs = pairs.join(about.withColumnRenamed("doc_id", "a"), "a").join(hub_side, "b").filter(likely).select("a", "b")
+        done, comps, good = settled(docs, pairs, done, parts, percent, size)
+        if not good:
             break
     now = unresolved(members, comps)
     sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     most = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    now = now.join(most, "bucket")
-    outer = now.filter("comp <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("own"))
-    pairs = outer.join(now.select("bucket", F.col("doc_id").alias("b"), "n", "comp", "main"), "bucket")
-    pairs = pairs.filter(alike(percent) & (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    now = now.join(most, "bucket").join(about, "doc_id")
+    outer = now.filter("comp <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"), F.col("comp").alias("own"))
+    inner = now.select(F.col("bucket").alias("of"), F.col("doc_id").alias("b"), "n", "bits", "comp", "main")
+    apart = (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))
+    pairs = outer.join(inner, (F.col("bucket") == F.col("of")) & apart & likely).select("a", "b").distinct()
     return settled(docs, pairs, done, parts, percent, size)[0].filter("good").select("a", "b")
 
 
-STARS = 4
-
-
 def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The members, with their component, of buckets that lie in several."""
     now = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
@@ -218,14 +238,14 @@ def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def settled(docs, pairs, done, parts, percent, size) -> tuple[DataFrame, DataFrame, int]:
-    """All verdicts so far (a, b, good), the components of the good ones, and the number of new pairs."""
+    """All verdicts so far (a, b, good), the components of the good ones, and the number of new good ones."""
     if done is not None:
         seen = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
         pairs = pairs.join(seen, ["a", "b"], "left_anti")
     fresh = saved(confirm(docs, pairs, parts, percent, size), "verdicts")
-    new = fresh.count()
+    good = fresh.filter("good").count()
     done = fresh if done is None else done.unionByName(fresh)
-    return done, components(done.filter("good")), new
+    return done, components(done.filter("good")), good
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
