@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.llm.shared import unused
 from codehealth.llm.words import mix
 
 ORDERS = (2, 3)
@@ -120,8 +121,9 @@ def scored(texts: list[str | None], names: list[str], prior: np.ndarray, logs: n
 def predict(docs: DataFrame, model: tuple, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns of `keep` (name: column; else all of docs) with lang_pred and score of each row."""
     columns = [c.alias(name) for name, c in keep.items()] if keep is not None else [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(*columns, docs[text].cast("string").alias("__text"))
-    kept = rows.drop("__text").schema
+    whole = unused(docs, "whole_text")
+    rows = docs.select(*columns, docs[text].cast("string").alias(whole))
+    kept = rows.drop(whole).schema
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.llm.shared import unused
 from codehealth.llm.words import mix, small_batches, text_bytes, word_hashes, words_of
 
 DEPTH, PARTS, MIN_TOKENS, LONG_LINE, MIN_DOCS = 3, 4, 3, 11, 10
@@ -130,11 +131,11 @@ def once_each(depth: int, parts: int, min_tokens: int, long_line: int) -> Callab
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the lines of recurring templates taken out of their texts (all columns), n_lines before and n_dropped."""
     id_, tie = keyed(docs, id_col, text_col)
-    gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), F.col("lines").alias("__lines"))
-    named = docs.drop("n_lines", "n_dropped").withColumn("__key", id_).withColumn("__text_key", tie)
-    joined = named.join(gone, (F.col("__key") == F.col("__id")) & (F.col("__text_key") == F.col("__tie")), "left")
-    kept = F.array_join(F.filter(F.split(joined[text_col].cast("string"), "\n", -1), lambda x, i: ~F.array_contains("__lines", i)), "\n")
-    text = F.when(F.col("__lines").isNull(), joined[text_col]).otherwise(kept)
-    out = [text.alias(c) if c == text_col else joined[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    n_lines = F.coalesce(F.size(F.split(joined[text_col].cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines")
-    return joined.select(*out, n_lines, F.when(F.col("__lines").isNull(), F.lit(0)).otherwise(F.size("__lines")).cast("long").alias("n_dropped"))
+    key, text_key, lines = unused(docs, "line_key"), unused(docs, "line_text_key"), unused(docs, "lines_gone")
+    gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias(key), F.col("tie").alias(text_key), F.col("lines").alias(lines))
+    joined = docs.select("*", id_.alias(key), tie.alias(text_key)).join(gone, [key, text_key], "left")
+    kept = F.array_join(F.filter(F.split(docs[text_col].cast("string"), "\n", -1), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    text = F.when(F.col(lines).isNull(), docs[text_col]).otherwise(kept)
+    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    n_lines = F.coalesce(F.size(F.split(docs[text_col].cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines")
+    return joined.select(*out, n_lines, F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_dropped"))

@@ -58,7 +58,7 @@ def shard_counts(quotas: list[int], shards: int, seed: int) -> np.ndarray:
             drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
             own, left, want = own + drawn, left - drawn, want - int(drawn.sum())
         out.append(own)
-    return np.array(out, np.int64).reshape(-1, len(quotas))
+    return np.array(out, np.int64).reshape(len(out), len(quotas))
 
 
 def coprime(rng: np.random.Generator, n: int) -> int:

@@ -45,3 +45,11 @@ def text_or_empty(df: DataFrame, name: str = "text"):
 def pieces_for(spark: SparkSession, n_bytes: int, piece: int) -> int:
     """Number of parts so that each holds about `piece` bytes, at least what the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // piece))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
