@@ -1,0 +1 @@
+"""operators of the engine: functions from DataFrames to DataFrames."""

@@ -1,0 +1 @@
+"""sources of the engine: functions from DataFrames to DataFrames."""

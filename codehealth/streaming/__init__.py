@@ -1,0 +1 @@
+"""streaming of the engine: functions from DataFrames to DataFrames."""
