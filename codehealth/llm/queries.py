@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.llm import archives, blocks, langid, line_templates, mixing, near_dups, quality, secret_ledger, suffixes, tiling
+from codehealth.llm.sql import SQL  # noqa: F401  read with QUERIES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +81,3 @@ QUERIES = {
         op10_suffix_index,
     )
 }
-SQL: dict[str, str] = {}
