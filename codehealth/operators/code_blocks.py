@@ -38,12 +38,13 @@ def first_from(flags: Column, start: Column) -> Column:
     return F.when(at > 0, start + at - 1)
 
 
-def block_ends(files: DataFrame, starts: str, open_: str = "[{]", close: str = "[}]") -> DataFrame:
+def block_ends(files: DataFrame, starts: str, open_: str = "[{]", close: str = "[}]", at_line_end: bool = False) -> DataFrame:
     """path, start, end (lines from 0): a block starts on a line that matches and ends on the first later line where depth is
-    back at or below that before the start, else on the last line."""
+    back at or below that before the start, else on the last line. at_line_end: the block opens with the last brace of
+    its first line, which may close another block first."""
     sums = with_lines(files).withColumn("depth", running(depth_changes(F.col("lines"), open_, close)))
     rows = sums.select("path", "lines", "depth", F.posexplode("lines").alias("start", "text")).filter(F.col("text").rlike(starts))
-    before = F.coalesce(F.get("depth", F.col("start") - 1), F.lit(0))
+    before = F.get("depth", F.col("start")) - 1 if at_line_end else F.coalesce(F.get("depth", F.col("start") - 1), F.lit(0))
     end = first_from(F.transform("depth", lambda d: d <= before), F.col("start") + 1)
     return rows.select("path", "start", F.coalesce(end, F.size("lines") - 1).cast("int").alias("end"))
 
@@ -100,7 +101,7 @@ def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace:
 
 def empty_catches(files: DataFrame, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]") -> DataFrame:
     """path, line of catch blocks that hold nothing but blanks and comments."""
-    rows = block_ends(files, head, open_, close).join(with_lines(files), "path")
+    rows = block_ends(files, head, open_, close, True).join(with_lines(files), "path")
     inside = F.slice("lines", F.col("start") + 2, F.greatest(F.col("end") - F.col("start") - 1, F.lit(0)))
     blocks = rows.filter(F.forall(inside, lambda x: F.trim(x).rlike(nothing))).select("path", (F.col("start") + 1).alias("line"))
     one = with_lines(files).select("path", F.posexplode("lines").alias("at", "text")).filter(F.col("text").rlike(r"catch\s*\([^)]*\)\s*\{[\s/]*\}"))
