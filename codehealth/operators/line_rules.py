@@ -25,6 +25,8 @@ class LineRule(NamedTuple):
     #: A match ends the line: no later rule is tried.
     last: bool = False
     message: str = ""
+    #: Texts of which a matching line holds at least one; looked for before the pattern, as that is much cheaper.
+    needs: tuple[str, ...] = ()
 
 
 EDGE, END = "(^|[^A-Za-z0-9_])", "([^A-Za-z0-9_]|$)"
@@ -49,10 +51,10 @@ DANGEROUS = (
     (EDGE + r"(Math|random)\.random[ \t]*\(|" + EDGE + r"Random\(\).*next", "weak random"),
 )
 SECURITY = (
-    LineRule("SECRET-HARDCODED", "SECURITY", "VULNERABILITY", "CRITICAL", SECRET, last=True),
-    LineRule("DANGEROUS-CALL", "SECURITY", "VULNERABILITY", "MAJOR", ""),
-    LineRule("SQL-INJECTION", "SECURITY", "VULNERABILITY", "CRITICAL", SQL_WORD, SQL_JOIN),
-    LineRule("PLAINTEXT-PASSWORD-COMPARE", "SECURITY", "VULNERABILITY", "CRITICAL", PASSWORD_COMPARE),
+    LineRule("SECRET-HARDCODED", "SECURITY", "VULNERABILITY", "CRITICAL", SECRET, last=True, needs=("'", '"')),
+    LineRule("DANGEROUS-CALL", "SECURITY", "VULNERABILITY", "MAJOR", "", needs=("(", "rm")),
+    LineRule("SQL-INJECTION", "SECURITY", "VULNERABILITY", "CRITICAL", SQL_WORD, SQL_JOIN, needs=("'", '"', "(")),
+    LineRule("PLAINTEXT-PASSWORD-COMPARE", "SECURITY", "VULNERABILITY", "CRITICAL", PASSWORD_COMPARE, needs=("=", "(")),
 )
 SAFE_NUMBERS = ("100", "1000", "1024", "2048", "4096", "8192", "16384", "3600", "86400", "60", "24", "365", "7", "30", "31", "12", "128", "256", "512", "65535", "8080", "443", "80")
 STRING = "[\"'][^\"']{0,200}[\"']"
@@ -75,13 +77,18 @@ def scan_lines(lines: DataFrame, rules: tuple[LineRule, ...] = SECURITY, dangero
     """All findings of all rules in one pass. A rule without a pattern stands for the list `dangerous`."""
     text, hits, ended = F.col("text"), [], F.lit(False)
     for rule in rules:
-        label = first_label(text, dangerous) if not rule.pattern else F.when(text.rlike(rule.pattern), F.lit(rule.message))
+        near = F.lit(True)
+        if rule.needs:
+            near = text.contains(rule.needs[0])
+            for x in rule.needs[1:]:
+                near = near | text.contains(x)
+        label = F.when(near, first_label(text, dangerous) if not rule.pattern else F.when(text.rlike(rule.pattern), F.lit(rule.message)))
         match = label.isNotNull() & ~ended
         if rule.also:
             match = match & text.rlike(rule.also)
         hits.append(F.when(match, F.struct(F.lit(rule.rule_key).alias("rule_key"), F.lit(rule.source).alias("source"), F.lit(rule.kind).alias("kind"), F.lit(rule.severity).alias("severity"), label.alias("message"))))
         if rule.last:
-            ended = ended | text.rlike(rule.pattern)
+            ended = ended | label.isNotNull()
     return lines.select(*[c for c in lines.columns if c != "text"], F.explode(F.array_compact(F.array(*hits))).alias("f")).select("*", "f.*").drop("f")
 
 

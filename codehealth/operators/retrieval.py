@@ -67,11 +67,31 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, blocks: int = 1)
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
+RUN = f"[a-z]{{3,}}|{CJK_RUN}"
+
+
+def grams(word: Column) -> Column:
+    """What an index of substrings holds of a word: its runs of three letters, or of two CJK characters."""
+    n = F.when(word.rlike("^[a-z]"), 3).otherwise(2)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(word) - n + 1), lambda i: F.substring(word, i, n)))
+
+
 def keyword_hits(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
-    """query_id, file, chunk_index, score 0.5: chunks of the project whose path or content holds any keyword of the query."""
-    match = F.exists("keywords", lambda w: F.contains(F.lower("content"), w) | F.contains(F.lower("file"), w))
-    rows = chunks.join(queries.select("query_id", "project_id", "keywords"), "project_id").filter(match)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "file"))
+    """query_id, file, chunk_index, score 0.5: the first k chunks of the project whose path or content holds any keyword.
+
+    A keyword is a run of letters (or CJK), so it lies within one run of the text: keywords meet the distinct runs of the
+    project through their first gram and a check, and the runs lead to chunks. A run keeps its first k chunks only, as no
+    query shows more; so neither texts nor hot words multiply with queries."""
+    order = ["chunk_index", "file"]
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "content", "file")), F.lit(RUN), F.lit(0)))
+    index = chunks.select("project_id", *order, F.explode(runs).alias("run"))
+    index = index.withColumn("rank", F.row_number().over(Window.partitionBy("project_id", "run").orderBy(*order))).filter(F.col("rank") <= k).drop("rank")
+    words = index.select("project_id", "run").distinct().select("project_id", "run", F.explode(grams(F.col("run"))).alias("gram"))
+    asked = queries.select("query_id", "project_id", F.explode("keywords").alias("keyword"))
+    wanted = asked.select("project_id", "keyword", F.substring("keyword", 1, F.when(F.col("keyword").rlike("^[a-z]"), 3).otherwise(2)).alias("gram")).distinct()
+    pairs = wanted.join(words, ["project_id", "gram"]).filter(F.contains("run", "keyword")).select("project_id", "keyword", "run")
+    rows = asked.join(pairs, ["project_id", "keyword"]).join(index, ["project_id", "run"]).select("query_id", *order).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "file", "chunk_index", F.lit(0.5).alias("score"))
 
 

@@ -11,7 +11,7 @@ from codehealth.operators import retrieval as K
 from codehealth.operators import scoring as C
 from codehealth.plans import graph, history, source_code
 from codehealth.plans.portfolio import RUNS, runs
-from codehealth.plans.registry import query, table
+from codehealth.plans.registry import query, spread, table
 
 # --- scores ----------------------------------------------------------------------------------------------------------
 
@@ -273,7 +273,7 @@ TOKENS = "(select doc_id, t, cast(coalesce(sum((length(t) + 3) // 4) over (parti
       select x.*, g.w from {TOKENS} x, (select unnest(generate_series(0, 4000)) w) g where total > 800 and g.w * 350 <= greatest(total - 51, 0) and x.pos >= g.w * 350 and x.pos < g.w * 350 + 400 and g.w between (x.pos - 399) // 350 - 1 and x.pos // 350 + 1) group by 1, 2"""
 )
 def k1_token_windows(spark, sf_dir):
-    return K.token_windows(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "chunk_index", "n_tokens", F.md5("content").alias("digest"))
+    return K.token_windows(spread(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "chunk_index", "n_tokens", F.md5("content").alias("digest"))
 
 
 def vector_hits(spark, sf_dir, k=5) -> DataFrame:
@@ -306,7 +306,7 @@ def word_queries(spark, sf_dir) -> DataFrame:
 
 
 def chunks(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.lit("p").alias("project_id"), F.col("source").alias("file"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codehealth.functions import text as T
 from codehealth.operators import code_blocks as B
 from codehealth.operators import line_rules as R
-from codehealth.plans.registry import query, table
+from codehealth.plans.registry import query, spread, table
 from codehealth.sources import inventory as I
 
 
@@ -17,7 +17,7 @@ def q(pattern: str) -> str:
 
 
 def files(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("text").alias("content"), "doc_id")
 
 
@@ -30,7 +30,7 @@ def doc_lines(spark, sf_dir) -> DataFrame:
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"), "page_id")
+    return spread(table(spark, sf_dir, "pages")).select(F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"), "page_id")
 
 
 PAGES = "(select regexp_replace(url, '^https?://', '') path, html as content, page_id from pages)"
