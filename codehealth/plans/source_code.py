@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codehealth.functions import text as T
 from codehealth.operators import code_blocks as B
 from codehealth.operators import line_rules as R
+from codehealth.operators import scanners
 from codehealth.plans.registry import query, spread, table
 from codehealth.sources import inventory as I
 
@@ -328,3 +329,9 @@ def x_version_and_clip(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     version = F.concat(F.lit("v"), F.substring(F.regexp_extract("p_brand", "([0-9]+)", 1), 1, 1), F.lit(".2"))
     return p.select("p_partkey", T.version_major(version).alias("major"), T.clipped(F.col("p_type"), 9).alias("short"))
+
+
+@query(f"select 'long' as scanner, path, line, 'LONG-LINE' as rule_key from {LINES} where length(text) > 400")
+def x_user_scanner(spark, sf_dir):
+    scanners.register_scanner("long", scanners.long_lines(400))
+    return scanners.scanned(files(spark, sf_dir), ["long"])
