@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.llm.shared import saved
+
 
 class Rule(NamedTuple):
     kind: str
@@ -130,7 +132,9 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
 def secret_report(files: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """path, found (sorted by start, then rule order) of every version; `ledger` holds earlier runs' ledger_rows."""
     versions = versions_of(files, path_col, text_col)
-    scanned = scan(files, unseen(versions, rules, ledger), rules, path_col, text_col).filter(F.size("found") > 0).select("blob", "found")
+    # as a table, so that its rules are data: were they literals, Spark would scan every copy of a blob below the join
+    pending = saved(unseen(versions, rules, ledger), "pending")
+    scanned = scan(files, pending, rules, path_col, text_col).filter(F.size("found") > 0).select("blob", "found")
     if ledger is not None:
         current = [f"{r.kind}/{r.version}" for r in rules]
         scanned = scanned.unionByName(ledger.filter(F.concat_ws("/", "kind", "version").isin(current) & (F.size("found") > 0)).select("blob", "found"))
