@@ -198,7 +198,10 @@ def s13_backfilled(spark, sf_dir):
     return S.backfilled(e, e.filter("analysis_id % 3 = 0").select("analysis_id"))
 
 
-@query()
+@query(
+    """select o_custkey as project_id, concat_ws(chr(10), '# Health ' || arg_max(cast(floor(o_totalprice) as bigint) % 101, o_orderkey), '| dimension | score |', '| --- | --- |', '| quality | ' || max(o_orderkey) % 100 || ' |',
+    '## Risks', arg_max(case when o_orderstatus = 'F' then '!! ' else '- ' end || o_orderpriority, o_orderkey), '## Next', '1. go on') as markdown from orders group by 1"""
+)
 def s14_markdown(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     reports = o.select(

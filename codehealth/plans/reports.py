@@ -319,23 +319,33 @@ def k4_keyword_hits(spark, sf_dir):
     return K.keyword_hits(word_queries(spark, sf_dir), chunks(spark, sf_dir))
 
 
-def both_hits(spark, sf_dir) -> DataFrame:
+def both_hits(spark, sf_dir, k=6) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
     near = vector_hits(spark, sf_dir).join(d, "id").select(F.col("query_id"), "file", F.col("id").alias("chunk_index"), "score")
     words = K.keyword_hits(word_queries(spark, sf_dir), chunks(spark, sf_dir)).withColumn("query_id", F.floor(F.col("query_id") / 20).cast("long"))
-    return K.merged(near, words, 6)
+    return K.merged(near, words, k)
 
 
-@query(
-    f"""with m as (select v.query_id, d.source file, v.id chunk_index, v.score from {VECTOR} v join documents d on d.doc_id = v.id union all select query_id // 20, file, chunk_index, score from {HITS}),
+def merged_sql(k: int) -> str:
+    return f"""(with m as (select v.query_id, d.source file, v.id chunk_index, v.score from {VECTOR} v join documents d on d.doc_id = v.id union all select query_id // 20, file, chunk_index, score from {HITS}),
     g as (select query_id, file, chunk_index, round(max(score), 4) score from m group by 1, 2, 3)
-    select query_id, file, chunk_index, score from (select *, row_number() over (partition by query_id order by score desc, file, chunk_index) r from g) where r <= 6"""
-)
+    select query_id, file, chunk_index, score from (select *, row_number() over (partition by query_id order by score desc, file, chunk_index) r from g) where r <= {k})"""
+
+
+@query(f"select * from {merged_sql(6)}")
 def e4_hybrid_hits(spark, sf_dir):
     return both_hits(spark, sf_dir)
 
 
-@query()
+@query(f"select * from {merged_sql(8)}")
+def k5_final_hits(spark, sf_dir):
+    return both_hits(spark, sf_dir, 8)
+
+
+@query(
+    f"""select h.query_id, string_agg('[' || h.file || ':' || h.chunk_index || ']' || chr(10) || left(d.text, 600), chr(10) || chr(10) order by h.score desc, h.chunk_index) as context
+    from {merged_sql(6)} h join documents d on d.doc_id = h.chunk_index and d.source = h.file group by 1"""
+)
 def k6_context(spark, sf_dir):
     c = chunks(spark, sf_dir).select("file", "chunk_index", "content")
     hits = both_hits(spark, sf_dir).join(c, ["file", "chunk_index"])

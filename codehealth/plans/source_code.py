@@ -275,7 +275,12 @@ def b4_complex_functions(spark, sf_dir):
     return B.complex_functions(files(spark, sf_dir), 2, 5, brace="^[A-Z]", branch="(the|of|and) ")
 
 
-@query()
+@query(
+    f"""with s as (select * from {DEPTH}),
+    b as (select path, line, coalesce((select min(e.line) from s e where e.path = h.path and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, '<(ul|body|div)'))
+    select path, cast(line as int) as line from b where not exists (select 1 from s x where x.path = b.path and x.line > b.line and x.line < b.last and not regexp_matches(trim(x.text), '^($|<!--|<(li|p|/))'))
+    union all select path, cast(line as int) from s where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{[\\s/]*\\}}')"""
+)
 def r8_empty_catches(spark, sf_dir):
     return B.empty_catches(pages(spark, sf_dir), "<(ul|body|div)", r"^($|<!--|<(li|p|/))", "<[a-z]", "</")
 
