@@ -119,7 +119,10 @@ def s3_tag_blocks(spark, sf_dir):
     return M.tag_blocks(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content")), "p", "page_id")
 
 
-@query()
+@query(
+    """select o_custkey as project_id, 'maven' as ecosystem, 'g:a' || o_orderkey % 9 as name, case when bool_or(o_orderkey % 2 = 1) then '9.0' else '1.' || min(o_orderkey % 5) end as version
+    from orders group by o_custkey, o_orderkey % 9"""
+)
 def s3_maven(spark, sf_dir):
     """Each customer's orders as a pom."""
     o = table(spark, sf_dir, "orders")

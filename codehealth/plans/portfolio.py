@@ -225,7 +225,12 @@ def a12_architecture_doc(spark, sf_dir):
     return P.architecture_doc(nodes, edges.drop("p_size"), edges.filter("p_size > 45").drop("p_size"), 5, 7, 3)
 
 
-@query()
+@query(
+    """with f as (select o_custkey p, 'f' || o_orderkey path, row_number() over (partition by o_custkey order by 'f' || o_orderkey) r from orders),
+    l as (select p, string_agg(path, chr(10) order by path) files from f where r <= 30 group by 1)
+    select c_custkey as project_id, concat_ws(chr(10), c_mktsegment || ' 60.0%, OTHER 40.0%', c_mktsegment || ', x',
+    coalesce(cast(case when c_custkey % 7 <> 0 then cast(floor(c_acctbal) as bigint) end as varchar), 'null') || ' lines', files) as doc from customer left join l on p = c_custkey"""
+)
 def a13_profile_doc(spark, sf_dir):
     files = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.concat(F.lit("f"), "o_orderkey").alias("path"))
     return P.profile_doc(projects(spark, sf_dir), files)
