@@ -6,6 +6,10 @@ and to templates in which one of PARTS stretches of those tokens is variable as
 the constant rest to mean something). A template that stands in `min_docs` documents or more is recurring; its lines
 are dropped everywhere but in the document with the smallest id, so that no content goes altogether.
 
+With `exact_docs`, a line whose tokens recur word for word, nothing masked, is recurring from that many documents on. A
+line without digits is its own whole template, so only lines with digits have an entry more. The lowest bit of a template
+tells the two kinds apart.
+
 Nodes are hashes of the path down to them, so the tree is a table of (template, documents, first document): a task counts
 each template once per document, Spark sums up by template in partial sums, and no leaf is ever gathered. A hot
 template meets in a join that Spark can split.
@@ -28,6 +32,8 @@ from codehealth.llm.shared import unused
 from codehealth.llm.words import mix, small_batches, text_bytes, word_hashes, words_of
 
 DEPTH, PARTS, MIN_TOKENS, LONG_LINE, MIN_DOCS = 3, 4, 3, 11, 10
+#: Documents from which on a line that recurs word for word goes.
+EXACT_DOCS = 2
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -42,8 +48,9 @@ def run_hash(h: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray
     return mix(sums[end] - sums[start])
 
 
-def line_templates(data: np.ndarray, offsets: np.ndarray, depth: int, parts: int, min_tokens: int, long_line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, number of the line in the row, and template; one line has one or 1 + parts of them."""
+def line_templates(data: np.ndarray, offsets: np.ndarray, depth: int, parts: int, min_tokens: int, long_line: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, number of the line in the row, and template; one line has one or 1 + parts of them, and one more if `exact` and
+    it has digits. With `exact`, templates of word for word lines are odd and all others even."""
     starts, ends, _ = words_of(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -59,6 +66,7 @@ def line_templates(data: np.ndarray, offsets: np.ndarray, depth: int, parts: int
 
     digits = np.r_[0, np.cumsum(_DIGIT[data])]
     h = word_hashes(data, starts, ends)
+    words = h.copy() if exact else h
     h[digits[ends] > digits[starts]] = _WILD
     place = (np.arange(len(h)) - first[line]).astype(np.uint64)
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(h + place * _STEP))]
@@ -67,24 +75,34 @@ def line_templates(data: np.ndarray, offsets: np.ndarray, depth: int, parts: int
     a, n = first[good], n_tokens[good]
     node = mix(run_hash(h, sums, a, a + np.minimum(n, depth)) + n.astype(np.uint64) * _STEP)  # token count, then leading tokens
     whole = mix(node * _STEP + run_hash(h, sums, a + np.minimum(n, depth), a + n))
-    rows, lines, found = [row_of[good]], [number[good]], [whole]
+    even, odd = ~np.uint64(1) if exact else ~np.uint64(0), np.uint64(1)
+    rows, lines, found = [row_of[good]], [number[good]], [whole & even]
+    if exact:
+        masked = np.r_[0, np.cumsum(digits[ends] > digits[starts])]
+        varies = masked[a + n] > masked[a]
+        found[0] = np.where(varies, found[0], whole | odd)
+        raw = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(words + place * _STEP))]
+        x, y = a[varies], n[varies]
+        rows.append(row_of[good][varies])
+        lines.append(number[good][varies])
+        found.append(mix(run_hash(words, raw, x, x + y) + y.astype(np.uint64) * _STEP) | odd)
     long_ = n >= long_line
     a, n, node = a[long_], n[long_], node[long_]
     rest = n - depth
     for k in range(parts):
         x, y = a + depth + rest * k // parts, a + depth + rest * (k + 1) // parts
         constant = sums[x] - sums[a + depth] + (sums[a + n] - sums[y])
-        found.append(mix(node * _STEP + mix(constant + np.uint64(k + 1)) + _WILD))
+        found.append(mix(node * _STEP + mix(constant + np.uint64(k + 1)) + _WILD) & even)
         rows.append(row_of[good][long_])
         lines.append(number[good][long_])
     return np.concatenate(rows), np.concatenate(lines), np.concatenate(found)
 
 
-def split(depth: int, parts: int, min_tokens: int, long_line: int) -> Callable:
+def split(depth: int, parts: int, min_tokens: int, long_line: int, exact: bool) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             data, offsets = text_bytes(batch.column(0))
-            row, line, template = line_templates(data, offsets, depth, parts, min_tokens, long_line)
+            row, line, template = line_templates(data, offsets, depth, parts, min_tokens, long_line, exact)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(at), batch.column(2).take(at), pa.array(line.astype(np.int32)), pa.array(template.view(np.int64))], names=["id", "tie", "line", "template"]
@@ -99,26 +117,28 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple:
     return F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)).cast("long")), F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, parts: int = PARTS, min_tokens: int = MIN_TOKENS, long_line: int = LONG_LINE) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, depth: int = DEPTH, parts: int = PARTS, min_tokens: int = MIN_TOKENS, long_line: int = LONG_LINE, exact_docs: int | None = None) -> DataFrame:
     """id, tie, lines (numbers from 0) of every document that loses lines."""
     id_, tie = keyed(docs, id_col, text_col)
+    exact = exact_docs is not None
+    least = F.when(F.col("template").bitwiseAND(1) == 1, exact_docs).otherwise(min_docs) if exact else min_docs
     rows = docs.select(docs[text_col].cast("string").alias("text"), id_.alias("id"), tie.alias("tie"))
-    lines = rows.mapInArrow(split(depth, parts, min_tokens, long_line), TEMPLATES)
-    once = rows.mapInArrow(once_each(depth, parts, min_tokens, long_line), "id long, tie long, template long")
+    lines = rows.mapInArrow(split(depth, parts, min_tokens, long_line, exact), TEMPLATES)
+    once = rows.mapInArrow(once_each(depth, parts, min_tokens, long_line, exact), "id long, tie long, template long")
     first = F.min(F.struct("id", "tie"))
-    tree = once.groupBy("template").agg(F.count("*").alias("n"), first.alias("first")).filter(F.col("n") >= min_docs)
+    tree = once.groupBy("template").agg(F.count("*").alias("n"), first.alias("first")).filter(F.col("n") >= least)
     tree = tree.select("template", F.col("first.id").alias("first_id"), F.col("first.tie").alias("first_tie"))
     gone = lines.join(tree, "template").filter("id <> first_id or tie <> first_tie")
     return gone.groupBy("id", "tie").agg(F.collect_set("line").alias("lines"))
 
 
-def once_each(depth: int, parts: int, min_tokens: int, long_line: int) -> Callable:
+def once_each(depth: int, parts: int, min_tokens: int, long_line: int, exact: bool) -> Callable:
     """Each template once per document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             data, offsets = text_bytes(batch.column(0))
-            row, _, template = line_templates(data, offsets, depth, parts, min_tokens, long_line)
+            row, _, template = line_templates(data, offsets, depth, parts, min_tokens, long_line, exact)
             order = np.lexsort((template, row))
             row, template = row[order], template[order]
             new = np.r_[True, (row[1:] != row[:-1]) | (template[1:] != template[:-1])][: len(row)]

@@ -26,6 +26,12 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates, and lines that recur word for word."""
+    cut = line_templates.without_recurring_lines(table(spark, sf_dir, "documents"), exact_docs=line_templates.EXACT_DOCS)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -72,6 +78,7 @@ QUERIES = {
         op1_near_dups,
         op2_source_mix,
         op3_line_templates,
+        op3_recurring_lines,
         op4_warc,
         op5_language_id,
         op6_quality_rules,

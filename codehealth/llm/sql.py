@@ -33,6 +33,16 @@ h as (select p, min(doc_id) f from (select distinct p, doc_id from p) group by p
 g as (select distinct doc_id, i from p join h using (p) where doc_id <> f)
 select l.doc_id, count(*) as n_lines, count(g.i) as n_dropped, sha256(coalesce(string_agg(case when g.i is null then line end, chr(10) order by l.i), '')) as kept_sha256 from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id"""
 
+# The same templates, and -1 for all tokens as they are, which recur from 2 documents on.
+OP3_EXACT = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
+w as (select doc_id, i, regexp_extract_all(line, '{WORD}') w from l),
+t as (select doc_id, i, w, list_transform(w, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) t from w),
+k as (select doc_id, i, w, t, len(t) n, unnest(case when len(t) >= 11 then [-1, 0, 1, 2, 3, 4] else [-1, 0] end) k from t where len(t) >= 3),
+p as (select doc_id, i, k, case when k < 0 then array_to_string(w, chr(2)) else {_TEMPLATE} end p from k),
+h as (select k, p, min(doc_id) f from (select distinct k, p, doc_id from p) group by all having count(*) >= case when k < 0 then 2 else 10 end),
+g as (select distinct doc_id, i from p join h using (k, p) where doc_id <> f)
+select l.doc_id, count(*) as n_lines, count(g.i) as n_dropped, sha256(coalesce(string_agg(case when g.i is null then line end, chr(10) order by l.i), '')) as kept_sha256 from l left join g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id"""
+
 _HEX = "sha1(encode(coalesce(html, '')))"
 _BASE32 = f"list_reduce(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(((('0x' || substr({_HEX}, cast(i // 4 * 5 + 1 as int), 5))::bigint) >> (15 - (i % 4) * 5)) & 31 as int) + 1, 1)), lambda a, b: a || b)"
 OP4 = f"""with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, {_BASE32} payload_digest, max(page_id) over (partition by coalesce(html, '')) top from pages)
@@ -79,6 +89,7 @@ select b.doc_id, length(x) // 2 as n_bytes, coalesce(cast(n_removed as bigint),
 SQL = {
     "op1_near_dups": OP1,
     "op3_line_templates": OP3,
+    "op3_recurring_lines": OP3_EXACT,
     "op4_warc": OP4,
     "op7_secret_scan": OP7,
     "op9_block_anchors": OP9,

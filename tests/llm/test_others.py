@@ -130,6 +130,15 @@ def test_columns_of_documents_stay(spark):
     assert line_templates.without_recurring_lines(cases.empty(spark)).count() == 0
 
 
+def test_lines_of_two_documents_and_templates_of_ten_go(spark):
+    long_, digits = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)), "call 7 at noon"
+    rows = [(i, f"{'abcdefghijkl'[i] * 4} only here\nten {i} times so\n" + (f"nine {i} times so" if i < 9 else "x y"), "en", "s", 0) for i in range(10)]
+    rows += [(20, f"{long_}\n{digits}\ntwo words", "en", "s", 0), (21, f"own\n{long_}\n{digits}\ntwo words", "en", "s", 0), (22, "call 8 at noon", "en", "s", 0)]
+    got = dict(line_templates.without_recurring_lines(cases.docs(spark, rows), exact_docs=line_templates.EXACT_DOCS).select("doc_id", "text").collect())
+    assert got[20] == rows[10][1] and got[21] == "own\ntwo words" and got[22] == "call 8 at noon"
+    assert all(("ten" in got[i]) == (i == 0) and ("nine" in got[i]) == (i < 9) and "only here" in got[i] for i in range(10))
+
+
 # --- archives -------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/x y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://b/é", None), (4, "http://c", ""), (5, "http://d", "é\r\n\r\nWARC/1.1\r\n"), (None, "http://e", "<p>one</p>"), (7, "http://f", "x" * 300_000), (8, "http://g", "only")]
