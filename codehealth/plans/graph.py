@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.operators import graph as G
-from codehealth.plans.registry import query, table
+from codehealth.plans.registry import query, spread, table
 from codehealth.sources import manifests as M
 from codehealth.sources import snapshots as S
 
@@ -53,6 +53,33 @@ def g2_symbols(spark, sf_dir):
     return found.select("file_path", "name")
 
 
+ALL_LINES = "(select path, line, text, case when regexp_matches(text, '^[A-Za-z]+ [a-z]+') then regexp_extract(text, '^([A-Za-z]+) [a-z]+', 1) end declared from (select source || '/' || doc_id path, unnest(string_split(text, chr(10))) text, generate_subscripts(string_split(text, chr(10)), 1) line, len(string_split(text, chr(10))) n from documents) where not (line = n and text = ''))"
+
+
+def all_symbols_and_calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every line of every document."""
+    from codehealth.operators.line_rules import lines_of
+
+    d = spread(table(spark, sf_dir, "documents"))
+    files = d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id").alias("path"), F.lit("x").alias("language"), F.col("text").alias("content"))
+    return G.symbols_and_calls(lines_of(files, "project_id", "language"), {"x": "^()([A-Za-z]+) [a-z]+"})
+
+
+@query(f"select path as file_path, declared as name, cast(min(line) as int) as line from {ALL_LINES} where declared is not null group by all")
+def g2_all_symbols(spark, sf_dir):
+    return all_symbols_and_calls(spark, sf_dir)[0].select("file_path", "name", "line")
+
+
+@query(
+    f"""with o as (select *, last_value(declared ignore nulls) over (partition by path order by line rows between unbounded preceding and current row) owner from {ALL_LINES}),
+    c as (select path, owner, declared, unnest(regexp_extract_all(text, '([A-Za-z_][\\w.]*)\\s*\\(', 1)) dotted from o where owner is not null)
+    select distinct path || '#' || owner as source, called from (select *, unnest([split_part(dotted, '.', 1), split_part(dotted, '.', -1)]) called from c)
+    where called <> '' and called not in ({", ".join(f"'{x}'" for x in G.NO_CALLS)}) and called is distinct from declared"""
+)
+def g2_all_calls(spark, sf_dir):
+    return all_symbols_and_calls(spark, sf_dir)[1].select("source", "called")
+
+
 @query(f"select source, target from {EDGES.format(30)}")
 def g3_distinct_edges(spark, sf_dir):
     return G.distinct_edges(edges(spark, sf_dir, 30)).select("source", "target")

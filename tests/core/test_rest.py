@@ -65,6 +65,15 @@ def test_symbols_calls_and_layers(spark):
     assert [(r["source"], r["severity"]) for r in bad.collect()] == [("a", "HIGH")]
 
 
+def test_symbols_and_calls_of_all_lines(spark, tmp_path):
+    from codehealth.plans.graph import g2_all_calls, g2_all_symbols
+
+    rows = [(1, "Alpha one\n12 run(a.b.load (x))\nBeta two\nAlpha again; if (z)\n", "s"), (2, "no(\nGamma three go()", "s"), (3, None, "s"), (4, "", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in g2_all_symbols(spark, str(tmp_path)).collect()} == {("s/1", "Alpha", 1), ("s/1", "Beta", 3), ("s/2", "Gamma", 2)}
+    assert {tuple(r) for r in g2_all_calls(spark, str(tmp_path)).collect()} == {("s/1#Alpha", "run"), ("s/1#Alpha", "a"), ("s/1#Alpha", "load"), ("s/2#Gamma", "go")}
+
+
 POM = """<project><parent><version>3.0</version></parent><version>1.0.0</version><dependencyManagement><dependencies><dependency><groupId>g</groupId>
 <artifactId>managed</artifactId><version>9</version></dependency></dependencies></dependencyManagement><dependencies><dependency><groupId>org.springframework.boot</groupId>
 <artifactId>spring-boot-starter-web</artifactId><version>2.5.14</version></dependency><dependency><groupId>l</groupId><artifactId>lombok</artifactId></dependency></dependencies></project>"""
