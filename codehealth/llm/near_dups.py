@@ -5,11 +5,10 @@ a bin keeps its least hash, and an empty bin copies a non-empty one that a hash
 densification). ROWS bins make a band; documents with an equal band share a bucket. Two documents at the threshold of
 0.85 miss each other in all 26 bands of 5 rows with probability (1 - 0.85^5)^26 = 2e-7.
 
-Documents with equal sets are one class, linked to its smallest id; only that id goes on. A bucket's candidates are a
-star: every member against one hub, so their number is that of the members. A star can miss a link between two members
-that are not linked to its hub, so buckets whose members lie in several components get further stars, of another hub
-each time, until every pair of components in a bucket has been compared: see `links`. All candidates are confirmed
-on the full sets. Components come from alternating stars over the confirmed links.
+Documents with equal sets are one class with its smallest id as representative; only that id goes on. A bucket's candidates
+are a star: every member against one hub, so their number is that of the members. A star can miss a link between two
+members that are not linked to its hub, so those get further stars, and what is left is finished exactly: see `links`.
+All candidates are confirmed on the full sets. Components come from alternating stars over the confirmed links.
 
 A text's words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case. Null text or no words: an empty set, linked to nothing.
 Fewer words than a shingle: the whole sequence is the one shingle. Null id: component null, kept. Repeated ids are one
@@ -18,6 +17,7 @@ node. Empty table: no rows. Other columns are left out, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,8 +31,6 @@ from codehealth.llm.words import in_one_row, mix, small_batches, text_bytes, win
 
 SHINGLE, BANDS, ROWS, PERCENT = 5, 26, 5, 85
 GROUP_BYTES = 16 << 20
-#: Links of one hub that are confirmed in one group.
-HUB_PART = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -156,16 +154,18 @@ def overlaps(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
-    """a, b, good of each pair. docs: doc_id, text, bit. A pair goes to a group of its hub b, a hub with many pairs to
-    several groups; each text goes once to every group that needs it."""
-    degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PART).alias("salts"))
-    placed = pairs.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("salts"))), F.lit(parts)).cast("int").alias("grp"))
-    placed = saved(placed, "pairs")
+def confirm(texts: DataFrame, pairs: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
+    """a, b, good of each pair, as a table. A pair goes to a group of its member a, so the pairs of one hub are spread over
+    all groups, and each text goes once to every group that needs it."""
+    placed = pairs.withColumn("grp", F.pmod(F.xxhash64("a"), F.lit(parts)).cast("int"))
     needed = placed.select(F.col("grp").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bits = bitmap(needed.select(bit_of("doc_id").alias("bit")))
-    texts = marked(docs, bits, True).select("doc_id", "text").join(needed, "doc_id").select("at", "doc_id", "text")
-    return texts.groupBy("at").cogroup(placed.groupBy("grp")).applyInArrow(confirmed(percent, size), "a long, b long, good boolean")
+    sent = merging(texts, needed, "doc_id").select("at", "doc_id", "text")
+    return saved(sent.groupBy("at").cogroup(placed.groupBy("grp")).applyInArrow(confirmed(percent, size), "a long, b long, good boolean"), "verdicts")
+
+
+def merging(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join whatever the sizes: none of the many small joins builds a table on the driver."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def bit_of(name: str):
@@ -180,9 +180,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = merging(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = merging(large, least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = saved(small.filter("u <> v").distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -192,60 +192,75 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Rounds of stars at most, before what is left is compared pair by pair.
 STARS = 2
+#: Parts of a bucket that meet their hub in tasks of their own.
+SALTS = 32
 
 
-def links(docs: DataFrame, reps: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
-    """a, b of confirmed links that make the same components as all links between documents that share a bucket.
-
-    In each round every bucket with members in several components takes one of them as hub, another one each time, and
-    compares it with the members of other components. When a round finds no link, or after STARS rounds, the buckets that
-    still lie in several components are finished exactly: members outside a bucket's largest component are compared with
-    all of its members in other components. Sizes or sketches that rule a link out end a pair inside the join."""
-    members = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    members = saved(members.join(shared, "bucket").select("bucket", "doc_id"), "members")
-    about = saved(reps.select("doc_id", "n", "bits").join(members.select("doc_id").distinct(), "doc_id"), "about")
-    # both follow from 100 * shared >= percent * all; neither rules out a link
+def likely(percent: int):
+    """What follows from 100 * shared >= percent * all, for sizes n, m and odd sketches: it rules out no link."""
     sizes_fit = F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
-    likely = sizes_fit & (unlike("bits", "hub_bits") * F.lit(100 + percent) <= F.lit(100 - percent) * (F.col("n") + F.col("m")))
-    done, comps = None, None
+    return sizes_fit & (unlike("bits", "hub_bits") * F.lit(100 + percent) <= F.lit(100 - percent) * (F.col("n") + F.col("m")))
+
+
+def stars(now: DataFrame, about: DataFrame, turn: int) -> DataFrame:
+    """bucket, doc_id, n, b, m, hub_bits of the members (bucket, doc_id, n) of every bucket with two or more, as a table: b
+    is the bucket's hub, another one each turn. A bucket of any size meets its hub in SALTS parts."""
+    now = now.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), F.col("doc_id").alias("b"))
+    hubs = now.groupBy("bucket").agg(F.count("*").alias("c"), F.min(order).alias("h"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("c > 1")
+    hubs = merging(hubs.select("bucket", "h.b", "salts"), about.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("hub_bits")), "b")
+    own = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.call_function("getbit", F.col("salts"), x) == 1)).alias("salt")
+    return saved(merging(now, hubs.select("bucket", "b", "m", "hub_bits", own), ["bucket", "salt"]).drop("salt"), "members")
+
+
+def links(texts: DataFrame, reps: DataFrame, more: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
+    """node, component of all links between documents that share a bucket, and of the links `more` (a, b).
+
+    In each round every bucket's members meet one of them, the hub, and those that are linked to it are done with; the
+    others of a bucket make the next round. After STARS rounds, or when a round finds no link, the buckets whose members
+    still lie in several components are finished exactly: members outside a bucket's largest component are compared with all
+    members of other components and of a like size. Sizes or sketches that rule a link out end a pair inside the join."""
+    about = reps.select("doc_id", "n", "bits")
+    members = stars(reps.select("doc_id", "n", F.explode("bands").alias("bucket")), about, 0)
+    bits = bitmap(members.select(bit_of("doc_id").alias("bit")))
+    texts = saved(marked(texts.withColumn("bit", bit_of("doc_id")), bits, True).select("doc_id", "text"), "shared_texts")
+    now, good = members, []
     for turn in range(STARS):
-        now = members.withColumn("comp", F.col("doc_id")) if comps is None else unresolved(members, comps)
-        order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), "doc_id", "comp")
-        hubs = now.groupBy("bucket").agg(F.min(order).alias("h")).select("bucket", F.col("h.doc_id").alias("b"), F.col("h.comp").alias("hub_comp"))
-        pairs = now.join(hubs, "bucket").filter(F.col("comp") != F.col("hub_comp")).select(F.col("doc_id").alias("a"), "b").distinct()
-        hub_side = about.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"))
-        pairs = pairs.join(about.withColumnRenamed("doc_id", "a"), "a").join(hub_side, "b").filter(likely).select("a", "b")
-        done, comps, good = settled(docs, pairs, done, parts, percent, size)
-        if not good:
+        pairs = now.filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b", "m", "hub_bits").dropDuplicates(["a", "b", "m", "hub_bits"])
+        pairs = saved(merging(pairs, about.withColumnRenamed("doc_id", "a"), "a").filter(likely(percent)).select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
             break
-    now = unresolved(members, comps)
+        good.append(confirm(texts, pairs, parts, percent, size).filter("good").select("a", "b"))
+        if turn + 1 == STARS or good[-1].isEmpty():
+            break
+        rest = merging(now.filter("doc_id <> b"), good[-1].withColumnRenamed("a", "doc_id"), ["doc_id", "b"], "left_anti")
+        now = stars(rest.select("bucket", "doc_id", "n"), about, turn + 1)
+    found = more
+    for x in good:
+        found = found.unionByName(x)
+    comps = components(found)
+
+    # equal sizes, or sizes that may belong together, are in one class or in neighbouring ones
+    step = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
+    now = unresolved(members.select("bucket", "doc_id", "n"), comps)
     sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     most = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    now = now.join(most, "bucket").join(about, "doc_id")
-    outer = now.filter("comp <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"), F.col("comp").alias("own"))
-    inner = now.select(F.col("bucket").alias("of"), F.col("doc_id").alias("b"), "n", "bits", "comp", "main")
+    now = saved(merging(merging(now, most, "bucket").drop("n"), about, "doc_id").withColumn("step", step), "unresolved")
+    outer = now.filter("comp <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"), F.col("comp").alias("own"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    inner = now.select(F.col("bucket").alias("of"), F.col("step").alias("near"), F.col("doc_id").alias("b"), "n", "bits", "comp", "main")
     apart = (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = outer.join(inner, (F.col("bucket") == F.col("of")) & apart & likely).select("a", "b").distinct()
-    return settled(docs, pairs, done, parts, percent, size)[0].filter("good").select("a", "b")
+    pairs = saved(merging(outer, inner, (F.col("bucket") == F.col("of")) & (F.col("step") == F.col("near")) & apart & likely(percent)).select("a", "b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return comps
+    late = confirm(texts, pairs, parts, percent, size).filter("good").select("a", "b")
+    return comps if late.isEmpty() else components(late.unionByName(comps.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The members, with their component, of buckets that lie in several."""
-    now = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    now = merging(members, comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return now.join(several, "bucket")
-
-
-def settled(docs, pairs, done, parts, percent, size) -> tuple[DataFrame, DataFrame, int]:
-    """All verdicts so far (a, b, good), the components of the good ones, and the number of new good ones."""
-    if done is not None:
-        seen = done.select("a", "b").unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    fresh = saved(confirm(docs, pairs, parts, percent, size), "verdicts")
-    good = fresh.filter("good").count()
-    done = fresh if done is None else done.unionByName(fresh)
-    return done, components(done.filter("good")), good
+    return merging(now, several, "bucket")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -255,19 +270,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = 2 * pieces_for(spark, text_size(docs, text_col), group_bytes)
     signs = saved(texts.mapInArrow(signed(bands, rows, size), SIGNED), "signatures")
     key = ["n", "set_a", "set_b"]
-    classes = signs.filter("n > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("rep"))
-    reps = signs.join(classes, key).filter("doc_id = rep").dropDuplicates(["doc_id"] + key)
-    found = links(texts.withColumn("bit", bit_of("doc_id")), reps, parts, percent, size)
-    own = signs.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n", "rep")
-    same = own.filter("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    return labelled(own, found, same)
-
-
-def labelled(own: DataFrame, found: DataFrame, same: DataFrame) -> DataFrame:
-    """A repeated id may be in several classes, so classes are links like the others."""
-    comps = components(found.unionByName(same))
-    out = own.join(comps, own["doc_id"] == comps["node"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    known = signs.filter("n > 0 and doc_id is not null")
+    classes = saved(known.groupBy(key).agg(F.min("doc_id").alias("rep")), "classes")
+    reps = saved(merging(known, classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"]).dropDuplicates([*key, "doc_id"]).select("doc_id", "n", "bands", "bits"), "representatives")
+    # an id that stands more than once may be in several classes: they are linked by it
+    twice = known.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    more = merging(merging(known.select("doc_id", *key), twice, "doc_id"), classes, key).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps = links(texts, reps, more, parts, percent, size)
+    of = merging(classes, comps, classes["rep"] == comps["node"], "left").select(*key, F.coalesce("component", "rep").alias("of"))
+    # only known rows look for their class: rows without words or id would meet under one key
+    own = merging(known.select("doc_id", *key), of, key).select("doc_id", "n", F.col("of").alias("component_id"))
+    rest = signs.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return own.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
