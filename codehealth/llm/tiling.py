@@ -6,8 +6,12 @@ becomes a tile, again and again, down to `min_match`; runs are found by rolling
 grow along diagonals. Tiles may stand in any order, so reordered passages count in full. A document is contaminated by
 an item if tiles cover `threshold` of the item's tokens.
 
-Only the benchmark is broadcast, in blocks of at most `block_bytes` of text; a larger benchmark takes more passes over the
-documents. Documents are not shuffled, and each is read whole.
+Words that repeat make many seed pairs. An item whose shared seeds could not cover enough of it is left before pairs are
+made; else pairs are made in slices of PAIRS at most, of which only the ends of each run are kept, so memory is bounded and
+no match is dropped.
+
+Only the benchmark is broadcast, a block of about `block_bytes` of text at a time; a larger benchmark takes more passes over
+the documents, one after another. Documents are not shuffled, and each is read whole.
 
 Null text or null item: no tokens, no match. Items of fewer tokens than `min_match` must match whole. Repeated rows: each
 is judged. Empty tables: no rows, or nothing contaminated. Other columns are left out, whatever their names.
@@ -25,9 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.llm.shared import saved
 from codehealth.llm.words import in_one_row, small_batches, text_bytes, window_hashes, word_hashes
 
-MIN_MATCH, THRESHOLD, BLOCK_BYTES = 5, 0.5, 16 << 20
+MIN_MATCH, THRESHOLD, BLOCK_BYTES = 5, 0.5, 4 << 20
+#: Pairs of places that are looked at together.
+PAIRS = 1 << 20
 
 _TOKEN = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -72,16 +79,10 @@ class Items:
             self.seeds[size] = value[order], item[order], place[order]
 
 
-def tiles(pairs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """(position in the item, position in the document, length) of the tiles over seeds, pairs of positions that start
-    equal runs of `size` tokens. Longest first; among equals the first in the item, then in the document."""
-    diagonal = pairs[:, 1] - pairs[:, 0]
-    order = np.lexsort((pairs[:, 0], diagonal))
-    i, d = pairs[order, 0], diagonal[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)]
-    start = np.flatnonzero(new)
-    count = np.diff(np.r_[start, len(i)])
-    heap = [(-(int(c) + size - 1), int(i[s]), int(i[s] + d[s])) for s, c in zip(start, count)]
+def tiles(runs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(position in the item, position in the document, length) of the tiles over maximal equal runs, given in the same
+    form. Longest first; among equals the first in the item, then in the document."""
+    heap = [(-n, a, b) for a, b, n in runs.tolist()]
     heapq.heapify(heap)
     in_item, in_doc, out = set(), set(), []
     while heap:
@@ -105,57 +106,76 @@ def tiles(pairs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(h: np.ndarray, row: np.ndarray, items: Items) -> Iterator[tuple[int, int, np.ndarray, int]]:
-    """(row, item, pairs of positions, seed length) of all rows and items that share a seed."""
-    first = np.searchsorted(row, row)
+def candidates(h: np.ndarray, row: np.ndarray, items: Items, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(row, item, seed length) of all rows and items whose shared seeds may cover enough of the item."""
     for size, (value, item, place) in items.seeds.items():
-        rolling = window_hashes(h, size)
-        at = np.flatnonzero(in_one_row(row, size))
-        low, high = np.searchsorted(value, rolling[at], "left"), np.searchsorted(value, rolling[at], "right")
-        hit = high > low
-        at, low, n = at[hit], low[hit], (high - low)[hit]
-        if not len(at):
-            continue
+        rolling, at = window_hashes(h, size), np.flatnonzero(in_one_row(row, size))
+        at = at[value[np.minimum(np.searchsorted(value, rolling[at]), len(value) - 1)] == rolling[at]]
+        # each seed once per row, however often it stands there
+        seed, own = np.unique(np.stack([rolling[at], row[at].astype(np.uint64)]), axis=1) if len(at) else (np.zeros(0, np.uint64),) * 2
+        low, high = np.searchsorted(value, seed, "left"), np.searchsorted(value, seed, "right")
+        n = high - low
         where = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        r, i = row[at], item[where]
-        order = np.lexsort((i, r))
-        r, i = r[order], i[order]
-        pairs = np.stack([place[where][order], (at - first[at])[order]], axis=1)
-        start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (i[1:] != i[:-1])])
-        for a, b in zip(start, [*start[1:], len(r)]):
-            yield int(r[a]), int(i[a]), pairs[a:b], size
+        pair, shared = np.unique(np.stack([np.repeat(own, n).astype(np.int64), item[where]]), axis=1, return_counts=True) if len(where) else (np.zeros((2, 0), np.int64), ())
+        for r, i, places in zip(*pair.tolist(), shared):
+            if places * size >= threshold * len(items.tokens[i]):  # even if no seeds overlapped
+                yield r, i, size
+
+
+def equal_runs(doc: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """(position in the item, position in the document, length) of all maximal runs of `size` or more equal tokens."""
+    seeds, own = window_hashes(item, size), window_hashes(doc, size)
+    order = np.argsort(seeds, kind="stable")
+    low, high = np.searchsorted(seeds[order], own, "left"), np.searchsorted(seeds[order], own, "right")
+    at = np.flatnonzero(high > low)
+    n = (high - low)[at]
+    cut = [*np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), PAIRS)), len(at)]
+    ends: tuple[list, list] = ([], [])
+    for a, b in zip(cut, cut[1:]):
+        k = n[a:b]
+        d = np.repeat(at[a:b], k)
+        i = order[np.repeat(low[at[a:b]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        for found, edge, x, y in ((ends[0], (i == 0) | (d == 0), i - 1, d - 1), (ends[1], (i + size == len(item)) | (d + size == len(doc)), i + size, d + size)):
+            edge = edge | (item[np.where(edge, 0, x)] != doc[np.where(edge, 0, y)])
+            found.append(np.stack([(d - i)[edge], i[edge]]))
+    # on a diagonal, first and last seeds of runs take turns
+    first, last = (np.concatenate(x, axis=1) if x else np.zeros((2, 0), np.int64) for x in ends)
+    first, last = (x[:, np.lexsort((x[1], x[0]))] for x in (first, last))
+    return np.stack([first[1], first[1] + first[0], last[1] - first[1] + size], axis=1)
 
 
 def covers(column: pa.Array, items: Items, threshold: float) -> Iterator[tuple]:
     """row, item id, tiles, longest tile, covered tokens, tokens of the item, for items covered well enough."""
     h, row = tokens(column)
-    for r, i, pairs, size in candidates(h, row, items):
+    for r, i, size in candidates(h, row, items, threshold):
+        a, b = np.searchsorted(row, (r, r + 1))
         n = len(items.tokens[i])
-        if len(np.unique(pairs[:, 0])) * size < threshold * n:
-            continue  # even if no seeds overlapped, they would cover too little
-        found = tiles(pairs, size)
+        found = tiles(equal_runs(h[a:b], items.tokens[i], size), size)
         covered = sum(x[2] for x in found)
         if covered >= threshold * n:
             yield r, items.ids[i], len(found), max(x[2] for x in found), covered, n
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks that fit the bound."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in blocks of about the bound, each collected when it is asked for; and whether it is the last one."""
     items = benchmark.select(benchmark[id_col].cast("long").alias("id"), benchmark[text_col].cast("string").alias("text")).filter("text is not null")
     total = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        yield Items([r["id"] for r in own], [r["text"] for r in own], min_match)
+        yield Items([r["id"] for r in own], [r["text"] for r in own], min_match), k + 1 == blocks
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each contaminated document and item."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     out = None
-    for items in item_blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
-        found = rows.mapInArrow(reported(docs.sparkSession.sparkContext.broadcast(items), threshold), RESULT)
+    for items, last in item_blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        found = rows.mapInArrow(reported(shared, threshold), RESULT)
+        if not last:  # its pass is over before the next block comes
+            found = saved(found, "contaminated")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], RESULT)
 
@@ -174,8 +194,12 @@ def reported(shared, threshold: float) -> Callable:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents (all columns) that no item contaminates."""
-    for items in item_blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
-        docs = docs.mapInArrow(clean_only(docs.sparkSession.sparkContext.broadcast(items), threshold, text_col), docs.schema)
+    for items, last in item_blocks(benchmark, item_col, item_text_col, min_match, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.mapInArrow(clean_only(shared, threshold, text_col), docs.schema)
+        if not last:
+            docs = saved(docs, "clean")
+            shared.destroy()
     return docs
 
 
