@@ -11,6 +11,7 @@ Other columns are left out, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codehealth.llm.shared import unused
-from codehealth.llm.words import mix
+from codehealth.llm.words import mix, small_batches
 
 ORDERS = (2, 3)
 BITS = 14
 #: n-grams after which more text makes a prediction no surer: neighbouring n-grams are not independent.
 SURE_AFTER = 64
 UNKNOWN = "und"
+_WHITE = re.compile(r"\s")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,16 +52,23 @@ def grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield row[:m][good], (mix(key[good]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
-    """First index and texts of parts of about `most` characters."""
-    at, size = 0, 0
+def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts in parts of about `most` characters, with the index of each. A longer text is cut before white space: n-grams lie
+    in one word each, so none is lost, and working arrays stay small."""
+    which, part, size = [], [], 0
     for i, x in enumerate(texts):
-        size += len(x)
-        if size >= most:
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
+        at = 0
+        while at < len(x) or not at:
+            cut = _WHITE.search(x, at + most)
+            end = cut.start() if cut else len(x)
+            which.append(i)
+            part.append(x[at:end])
+            size, at = size + end - at, max(end, 1)
+            if size >= most:
+                yield which, part
+                which, part, size = [], [], 0
+    if part:
+        yield which, part
 
 
 def gram_counts(docs: DataFrame, label: str, text: str, bits: int = BITS) -> DataFrame:
@@ -69,14 +78,17 @@ def gram_counts(docs: DataFrame, label: str, text: str, bits: int = BITS) -> Dat
         found: dict[str, np.ndarray] = {}
         for batch in batches:
             labels, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for at, part in in_parts(texts):
-                names, which = np.unique(np.array(labels[at : at + len(part)], object).astype(str), return_inverse=True)
-                counts = np.zeros((len(names), (1 << bits) + 1), np.int64)
-                counts[:, 0] = np.bincount(which, minlength=len(names))
+            for name in labels:
+                if name not in found:
+                    found[name] = np.zeros((1 << bits) + 1, np.int64)
+                found[name][0] += 1
+            for which, part in in_parts(texts):
+                names, of = np.unique(np.array([labels[i] for i in which], object).astype(str), return_inverse=True)
+                counts = np.zeros(len(names) << bits, np.int64)
                 for row, bucket in grams(part, bits):
-                    counts[:, 1:] += np.bincount((which[row] << bits) + bucket, minlength=len(names) << bits).reshape(len(names), -1)
-                for name, own in zip(names, counts):
-                    found[name] = found[name] + own if name in found else own
+                    counts += np.bincount((of[row] << bits) + bucket, minlength=len(counts))
+                for name, own in zip(names.tolist(), counts.reshape(len(names), -1)):
+                    found[name][1:] += own
         for name, own in found.items():
             full = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full - 1), pa.array(own[full])], names=["label", "bucket", "n"])
@@ -99,39 +111,40 @@ def fit(counts: DataFrame, bits: int = BITS, smoothing: float = 0.5) -> tuple[li
 def scored(texts: list[str | None], names: list[str], prior: np.ndarray, logs: np.ndarray) -> tuple[list[str], list[float]]:
     """Best label of each text and its probability."""
     bits = int(logs.shape[1]).bit_length() - 1
-    labels, scores = [], []
-    for _, part in in_parts([x or "" for x in texts]):
-        total, n = np.zeros((len(names), len(part))), np.zeros(len(part))
+    total, n = np.zeros((len(names), len(texts))), np.zeros(len(texts))
+    for which, part in in_parts([x or "" for x in texts]):
+        of = np.array(which)
         for row, bucket in grams(part, bits):
-            n += np.bincount(row, minlength=len(part))
+            n += np.bincount(of[row], minlength=len(texts))
             for k in range(len(names)):
-                total[k] += np.bincount(row, weights=logs[k][bucket], minlength=len(part))
-        total = total * np.minimum(1, SURE_AFTER / np.maximum(n, 1)) + prior[:, None]
-        for i, text in enumerate(part):
-            if not names or not any(map(str.isalpha, text)):
-                labels.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            p = np.exp(total[:, i] - total[:, i].max())
-            labels.append(names[int(p.argmax())])
-            scores.append(float(p.max() / p.sum()))
+                total[k] += np.bincount(of[row], weights=logs[k][bucket], minlength=len(texts))
+    total = total * np.minimum(1, SURE_AFTER / np.maximum(n, 1)) + prior[:, None]
+    labels, scores = [], []
+    for i, text in enumerate(texts):
+        if not names or not any(map(str.isalpha, text or "")):
+            labels.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        p = np.exp(total[:, i] - total[:, i].max())
+        labels.append(names[int(p.argmax())])
+        scores.append(float(p.max() / p.sum()))
     return labels, scores
 
 
-def predict(docs: DataFrame, model: tuple, text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """The columns of `keep` (name: column; else all of docs) with lang_pred and score of each row."""
-    columns = [c.alias(name) for name, c in keep.items()] if keep is not None else [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: tuple, text: str = "text", keep: dict[str, Column] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of `keep` (name: column; else all of docs) with the predicted language and its score, called `names`."""
+    columns = [c.alias(name) for name, c in keep.items()] if keep is not None else [docs[c] for c in docs.columns]
     whole = unused(docs, "whole_text")
     rows = docs.select(*columns, docs[text].cast("string").alias(whole))
     kept = rows.drop(whole).schema
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{names[0]} string", f"{names[1]} double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, whole, 8 << 20):
             labels, scores = scored(batch.column(batch.num_columns - 1).to_pylist(), *shared.value)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"]
+                [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names]
             )
 
     return rows.mapInArrow(work, schema)
@@ -152,5 +165,6 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5) -> DataFrame:
     """The documents (all columns) that have letters and a language that the model is sure of."""
     model = fit(gram_counts(docs.filter(~held_out(docs[id_col])), lang_col, text_col))
-    found = predict(docs.drop("lang_pred", "score"), model, text_col)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    names = unused(docs, "lang_pred"), unused(docs, "score")
+    found = predict(docs, model, text_col, names=names)
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least_score)).drop(*names)
