@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.llm import archives, blocks, langid, line_templates, mixing, near_dups, quality, secret_ledger, suffixes, tiling
+from codehealth.llm.shared import fresh_path
 from codehealth.llm.sql import SQL  # noqa: F401  read with QUERIES
 
 
@@ -49,7 +50,11 @@ def of_kind(kind: str):
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_ledger.secret_report(table(spark, sf_dir, "documents"))
+    """Two runs over one ledger: half of the documents with an earlier version of the first rule, then all of them."""
+    files, ledger = table(spark, sf_dir, "documents"), secret_ledger.new_ledger(spark, fresh_path(spark, "ledger"))
+    first, *others = secret_ledger.RULES
+    secret_ledger.scan_into(files.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), ledger, rules=(first._replace(version=0), *others))
+    found = secret_ledger.scan_into(files, ledger)
     base = tuple(r.kind for r in secret_ledger.BASE_RULES)
     counts = [F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     return found.select(

@@ -1,8 +1,9 @@
 """Secret scans over all historical versions, incremental, in DataFrame functions only.
 
-Every version of a file is content-addressed: its blob id is the SHA-256 of its text. The ledger holds the
-(blob, rule, rule version) pairs that have been scanned. A run scans each unseen pair once, on one copy of the
-blob, adds the pairs to the ledger and joins the findings back to every path that holds the blob.
+Every version of a file is content-addressed: its blob id is the SHA-256 of its text. The ledger is a table of the
+(blob, rule, rule version) pairs that have been scanned, with what was found. A run (`scan_into`) scans each unseen pair
+once, on one copy of the blob, appends the pairs to the ledger and joins the findings back to every path that holds the
+blob. A rule of a new version is scanned anew, alone.
 
 Offsets count code points, ends are exclusive. Null text: as the empty text, which has no finding. Repeated
 rows: each gets its row. Other columns are left out, whatever their names.
@@ -13,10 +14,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm.shared import saved
+from codehealth.llm.shared import fresh_path, saved
 
 
 class Rule(NamedTuple):
@@ -26,6 +27,8 @@ class Rule(NamedTuple):
     #: A match whose `group` is shorter than this is dropped after the scan.
     group: int
     at_least: int
+    #: Every match holds this: texts without it are not searched.
+    mark: str = ""
 
 
 def any_case(word: str) -> str:
@@ -37,15 +40,15 @@ ASSIGN = "(" + "|".join(map(any_case, ("password", "passwd", "secret", "token"))
 #: Public formats of credentials. In this order at equal starts.
 BASE_RULES = (
     Rule("assign", 1, ASSIGN, 2, 6),
-    Rule("access", 1, "AKIA[A-Z0-9]+", 0, 20),
+    Rule("access", 1, "AKIA[A-Z0-9]+", 0, 20, "AKIA"),
     Rule("hex", 1, "[0-9a-f]{24,}", 0, 24),
 )
 ADDED_RULES = (
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    Rule("jwt", 1, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 20),
-    Rule("forge", 1, "gh[opsur]_[A-Za-z0-9]{36,}", 0, 40),
-    Rule("chat", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    Rule("url", 1, "[a-z][a-z0-9+.-]*://[^/:@\\x20\\x09-\\x0D]+:[^/:@\\x20\\x09-\\x0D]+@", 0, 8),
+    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    Rule("jwt", 1, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 20, ".eyJ"),
+    Rule("forge", 1, "gh[opsur]_[A-Za-z0-9]{36,}", 0, 40, "gh"),
+    Rule("chat", 1, "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, "xox"),
+    Rule("url", 1, "[a-z][a-z0-9+.-]*://[^/:@\\x20\\x09-\\x0D]+:[^/:@\\x20\\x09-\\x0D]+@", 0, 8, "://"),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -73,7 +76,7 @@ def spans(text: Column, rule: Rule) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPANS))
+    return F.when(F.contains(text, F.lit(rule.mark)) & text.rlike(rule.pattern), walked).otherwise(F.array().cast(_SPANS))
 
 
 def named(rule: Rule, rank: int) -> Callable[[Column], Column]:
@@ -85,13 +88,11 @@ def versions_of(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
     return files.select(files[path_col].alias("path"), F.sha2(F.coalesce(files[text_col].cast("string"), F.lit("")), 256).alias("blob"))
 
 
-def unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
+def unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame) -> DataFrame:
     """path, pending: one path of each blob with unseen pairs, and the rules to scan it with."""
     one = versions.groupBy("blob").agg(F.min("path").alias("path"))
     every = F.array(*[F.lit(f"{r.kind}/{r.version}") for r in rules])
-    if ledger is None:
-        return one.select("blob", "path", every.alias("pending"))
-    seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("/", "kind", "version")).alias("seen"))
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("seen"))  # a list per run
     left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
     return one.join(seen, "blob", "left").select("blob", "path", left.alias("pending")).filter(F.size("pending") > 0)
 
@@ -118,34 +119,43 @@ def scan(files: DataFrame, pending: DataFrame, rules: tuple[Rule, ...], path_col
     return rows.select("blob", "pending", found.alias("found"))
 
 
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """blob, kind, version, found: the pairs to append to the ledger, with what was found."""
-    pair = F.split("pair", "/")
-    return scanned.select("blob", "found", F.explode("pending").alias("pair")).select(
-        "blob",
-        pair[0].alias("kind"),
-        pair[1].cast("int").alias("version"),
-        F.filter("found", lambda x: x["kind"] == pair[0]).alias("found"),
-    )
+LEDGER = f"blob string, pairs array<string>, found {FOUND}"
+
 
+def new_ledger(spark: SparkSession, path: str) -> str:
+    """An empty ledger at path."""
+    spark.createDataFrame([], LEDGER).write.parquet(path)
+    return path
 
-def secret_report(files: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """path, found (sorted by start, then rule order) of every version; `ledger` holds earlier runs' ledger_rows."""
+
+def scan_into(files: DataFrame, ledger_path: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, found (sorted by start, then rule order) of every version. What the ledger has not seen yet is scanned and
+    appended to it first, in one pass over the texts."""
+    spark = files.sparkSession
     versions = versions_of(files, path_col, text_col)
     # as a table, so that its rules are data: were they literals, Spark would scan every copy of a blob below the join
-    pending = saved(unseen(versions, rules, ledger), "pending")
-    scanned = scan(files, pending, rules, path_col, text_col).filter(F.size("found") > 0).select("blob", "found")
-    if ledger is not None:
-        current = [f"{r.kind}/{r.version}" for r in rules]
-        scanned = scanned.unionByName(ledger.filter(F.concat_ws("/", "kind", "version").isin(current) & (F.size("found") > 0)).select("blob", "found"))
-    # a path whose rows repeat is scanned once per row: equal spans fall together
-    each = scanned.select("blob", F.explode("found").alias("f")).groupBy("blob").agg(F.collect_set("f").alias("found"))
+    pending = saved(unseen(versions, rules, spark.read.schema(LEDGER).parquet(ledger_path)), "pending")
+    scanned = scan(files, pending, rules, path_col, text_col)
+    scanned.select("blob", F.col("pending").alias("pairs"), "found").write.mode("append").parquet(ledger_path)
+    return located(versions, spark.read.schema(LEDGER).parquet(ledger_path), rules)
+
+
+def located(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """path, found of every version: what the ledger has for these versions of the rules."""
+    current = F.concat_ws("/", "f.kind", "f.version").isin([f"{r.kind}/{r.version}" for r in rules])
+    each = ledger.select("blob", F.explode("found").alias("f")).filter(current).groupBy("blob").agg(F.collect_set("f").alias("found"))
     ordered = F.array_sort("found", lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["rank"] - b["rank"]))
     return versions.join(each.select("blob", ordered.alias("found")), "blob", "left").select(
         "path", F.coalesce("found", F.array().cast(FOUND)).alias("found")
     )
 
 
+def secret_report(files: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """scan_into with a ledger of its own."""
+    spark = files.sparkSession
+    return scan_into(files, new_ledger(spark, fresh_path(spark, "ledger")), path_col, text_col, rules)
+
+
 def digest(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
     """kind:start:end of the spans in order, comma-joined."""
     rows = F.filter(found, lambda x: x["kind"].isin(*kinds)) if kinds else found
