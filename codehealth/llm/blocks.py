@@ -3,7 +3,7 @@
 A window of `window` words that stands twice holds, in either place, a whole block of a fixed grid of
 (window + 1) // 2 words. So non-overlapping blocks are the index, and every rolling window of a block's length
 probes it: a block is an anchor if its words start at least twice. Around anchors, hits are extended: the full
-windows that hold the block are compared by 64-bit hashes, and runs of repeated windows are the maximal repeats.
+windows that hold the block are compared by two hashes of 64 bits, and runs of repeated windows are the maximal repeats.
 Every word of a repeated window is removed, in all places.
 
 How the data move. A task hashes its texts in pieces and sends each distinct hash once per piece, so a passage that
@@ -26,22 +26,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehealth.llm.shared import pieces_for, saved
-from codehealth.llm.words import in_one_row, small_batches, text_bytes, window_hashes, word_hashes, words_of
+from codehealth.llm.words import in_one_row, mix, small_batches, text_bytes, window_hashes, word_hashes, words_of
 
 WINDOW = 35
 #: Bytes of text that a group or a shard stands for, and that a task hashes before it sends.
 GROUP_BYTES, PIECE_BYTES = 8 << 20, 8 << 20
 #: Bits of the bitmap that keeps texts without anchors from moving: 8 MB, whatever the input.
 BITMAP_BITS = 1 << 26
+#: Sets the second hash of a window apart from the first.
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 PROBES = "shard int, probes binary, blocks binary, ids binary, ties binary, places binary, own binary"
 HITS = "grp int, ids binary, ties binary, places binary"
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """doc_id, text, and a key of the row: id (null as the least), tie (hash of the text), grp, bit."""
+    """doc_id, text, and a key of the row: id (null: below all ids, by a hash of the text, so that a table without ids is not
+    one group), tie (hash of the text), grp, bit."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    id_ = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)).cast("long"))
+    id_ = F.coalesce(docs[id_col].cast("long"), F.pmod(F.xxhash64(text, F.lit(2)), F.lit(1 << 61)) + F.lit(-(1 << 63)))
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         text.alias("text"),
@@ -59,11 +62,12 @@ def hashed_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), row
 
 
-def in_shards(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (shard, hash) and where each shard begins in it, with one more at the end."""
-    shard = (h % np.uint64(shards)).astype(np.int64)
-    order = np.lexsort((h, shard))
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+def dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that has elements, and which ones they are: the work follows the elements, not the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    found, cut = np.unique(shard[order], return_index=True)
+    cut = [*cut.tolist(), len(order)]
+    yield from ((s, order[a:b]) for s, a, b in zip(found.tolist(), cut, cut[1:]))
 
 
 def probe(block: int, shards: int, piece_bytes: int) -> Callable:
@@ -80,16 +84,14 @@ def probe(block: int, shards: int, piece_bytes: int) -> Callable:
         again = times[np.searchsorted(value, b_hash)] > 1
         # anchors already known need no key: they are spread over the shards
         shard = np.where(again, np.arange(len(b_hash)) % shards, (b_hash % np.uint64(shards)).astype(np.int64))
-        b_order = np.argsort(shard, kind="stable")
-        b_cut = np.searchsorted(shard[b_order], np.arange(shards + 1))
-        order, cut = in_shards(value, shards)
+        blocks_of, none = dict(dealt(shard)), np.zeros(0, np.int64)
+        probes_of = dict(dealt((value % np.uint64(shards)).astype(np.int64)))
         rows = []
-        for s in range(shards):
-            p, b = order[cut[s] : cut[s + 1]], b_order[b_cut[s] : b_cut[s + 1]]
-            if len(p) or len(b):
-                upper = np.repeat((value[p] >> np.uint64(32)).astype(np.uint32), np.minimum(times[p], 2))
-                own = [upper, (b_hash[b] >> np.uint64(32)).astype(np.uint32), b_id[b], b_tie[b], b_at[b].astype(np.uint32), again[b]]
-                rows.append((s, *(x.tobytes() for x in own)))
+        for s in probes_of | blocks_of:
+            p, b = probes_of.get(s, none), blocks_of.get(s, none)
+            upper = np.repeat((value[p] >> np.uint64(32)).astype(np.uint32), np.minimum(times[p], 2))
+            own = [upper, (b_hash[b] >> np.uint64(32)).astype(np.uint32), b_id[b], b_tie[b], b_at[b].astype(np.uint32), again[b]]
+            rows.append((s, *(x.tobytes() for x in own)))
         kinds = [pa.int32()] + [pa.binary()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "probes", "blocks", "ids", "ties", "places", "own"])
 
@@ -154,8 +156,8 @@ def ordered(texts: pa.Table) -> pa.Table:
     return texts.sort_by([("id", "ascending"), ("tie", "ascending")]).combine_chunks()
 
 
-def group_hashes(texts: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each word, hash of each window that starts at a word, whether that window lies in one row."""
+def group_hashes(texts: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row of each word, two hashes of each window that starts at a word, whether that window lies in one row."""
     hashes, rows, at = [], [], 0
     for batch in small_batches(iter(texts.to_batches())):
         h, row = hashed_words(batch)
@@ -164,15 +166,24 @@ def group_hashes(texts: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray,
         at += batch.num_rows
     h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     row = np.concatenate([*rows, np.zeros(0, np.int64)])
-    return row, window_hashes(h, window), in_one_row(row, window)
+    return row, window_hashes(h, window), window_hashes(mix(h ^ _SECOND), window), in_one_row(row, window)
+
+
+def same_windows(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the index of its kind (equal in both hashes), and of each kind the first window and how many."""
+    order = np.lexsort((check, h))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])][: len(h)]
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return kind, order[new], np.bincount(kind, minlength=int(new.sum()))
 
 
 def extend(window: int, block: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a group's documents and anchors: by shard, each distinct hash of the windows that hold an anchor, with a place."""
+    """Of a group's documents and anchors: by shard, both hashes of each distinct window that holds an anchor, with a place."""
 
     def work(texts: pa.Table, hits: pa.Table) -> pa.Table:
         texts = ordered(texts)
-        row, h, good = group_hashes(texts, window)
+        row, h, check, good = group_hashes(texts, window)
         first = np.searchsorted(row, np.arange(texts.num_rows))
         ids, ties, places = joined(hits["ids"], np.int64), joined(hits["ties"], np.int64), joined(hits["places"], np.uint32)
         order = np.lexsort((ties, ids))
@@ -187,34 +198,34 @@ def extend(window: int, block: int, shards: int) -> Callable[[pa.Table, pa.Table
             np.add.at(edges, start + 1, -1)
         near = np.cumsum(edges)[: len(h)] > 0
         at = np.flatnonzero(near & good)
-        value, which = np.unique(h[at], return_index=True)
-        order, cut = in_shards(value, shards)
+        at = at[same_windows(h[at], check[at])[1]]
         grp = texts["grp"][0].as_py() if texts.num_rows else 0
-        rows = [(s, grp, value[o].tobytes(), at[which[o]].astype(np.uint32).tobytes()) for s in range(shards) if len(o := order[cut[s] : cut[s + 1]])]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], names=["shard", "grp", "hashes", "places"])
+        rows = [(s, grp, h[at[o]].tobytes(), check[at[o]].tobytes(), at[o].astype(np.uint32).tobytes()) for s, o in dealt((h[at] % np.uint64(shards)).astype(np.int64))]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["shard", "grp", "hashes", "checks", "places"])
 
     return work
 
 
 def repeated(table: pa.Table) -> pa.Table:
-    """Of a shard: the places whose hash comes from more than one group."""
+    """Of a shard: the places whose window comes from more than one group."""
     sizes = [len(x.as_py()) // 8 for x in table["hashes"]]
     h, places = joined(table["hashes"], np.uint64), joined(table["places"], np.uint32)
     grp = np.repeat(table["grp"].to_numpy().astype(np.int32), sizes)
-    _, which, times = np.unique(h, return_inverse=True, return_counts=True)
-    good = times[which] > 1
+    kind, _, times = same_windows(h, joined(table["checks"], np.uint64))
+    good = times[kind] > 1
     return by_group(grp[good], [places[good]], ["places"])
 
 
 def removed_words(texts: pa.Table, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of each word and whether it goes: its group or another one repeats a window that covers it."""
-    row, h, good = group_hashes(texts, window)
-    inside = h[good]
-    value, times = np.unique(inside, return_counts=True)
-    bad = np.union1d(value[times > 1], h[places.astype(np.int64)])
+    row, h, check, good = group_hashes(texts, window)
+    inside = np.flatnonzero(good)
+    kind, _, times = same_windows(h[inside], check[inside])
+    bad = times > 1
+    bad[kind[np.searchsorted(inside, places.astype(np.int64))]] = True
     edges = np.zeros(len(row) + 1, np.int64)
-    start = np.flatnonzero(good & np.isin(h, bad))
+    start = inside[bad[kind]] if len(inside) else inside
     np.add.at(edges, start, 1)
     np.add.at(edges, start + window, -1)
     return row, np.cumsum(edges)[:-1] > 0
@@ -294,7 +305,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bits = bitmap(ids_in(hits))
     near = marked(rows, bits, True)
-    sent = near.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend(window, block, shards), "shard int, grp int, hashes binary, places binary")
+    sent = near.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(extend(window, block, shards), "shard int, grp int, hashes binary, checks binary, places binary")
     found = sent.groupBy("shard").applyInArrow(repeated, "grp int, places binary")
     cut = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(finished(window), RESULT)
     return cut.unionByName(marked(rows, bits, False).select("doc_id", "text").mapInArrow(untouched, RESULT))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codehealth.llm.blocks import bitmap, by_group, group_count, ids_in, joined, marked, ordered, rows_of, text_size
+from codehealth.llm.blocks import bitmap, by_group, dealt, group_count, ids_in, joined, marked, ordered, rows_of, text_size
 from codehealth.llm.shared import pieces_for, saved
 from codehealth.llm.words import mix, small_batches, text_bytes
 
@@ -191,14 +191,13 @@ def index(length: int, stem: int, shards: int, piece_bytes: int) -> Callable:
         new = np.r_[True, (ids[lost][1:] != ids[lost][:-1]) | (ties[lost][1:] != ties[lost][:-1]) | (a[1:] < a[:-1]) | (a[1:] > b[:-1])][: len(lost)]
         begin = np.flatnonzero(new)
         span = [ids[lost][begin], ties[lost][begin], a[begin], np.maximum.reduceat(b, begin) if len(begin) else b]
-        kept = order[first]
-        kept = kept[np.argsort((names[kept] % np.uint64(shards)).astype(np.int64), kind="stable")]
-        cut = np.searchsorted((names[kept] % np.uint64(shards)).astype(np.int64), np.arange(shards + 1))
+        kept, none = order[first], np.zeros(0, np.int64)
+        entries_of = dict(dealt((names[kept] % np.uint64(shards)).astype(np.int64)))
+        spans_of = dict(dealt(np.arange(len(span[0])) % shards))
         rows = []
-        for s in range(shards):
-            k, own = kept[cut[s] : cut[s + 1]], slice(s, None, shards)
-            if len(k) or len(span[0][own]):
-                rows.append((s, (names[k] >> np.uint64(32)).astype(np.uint32).tobytes(), exts[k].tobytes(), ids[k].tobytes(), places[k].tobytes(), *(x[own].astype(np.int64).tobytes() for x in span)))
+        for s in entries_of | spans_of:
+            k, own = kept[entries_of.get(s, none)], spans_of.get(s, none)
+            rows.append((s, (names[k] >> np.uint64(32)).astype(np.uint32).tobytes(), exts[k].tobytes(), ids[k].tobytes(), places[k].tobytes(), *(x[own].astype(np.int64).tobytes() for x in span)))
         kinds = [pa.int32()] + [pa.binary()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
@@ -284,14 +283,10 @@ def windows(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
         texts = ordered(texts)
         row, _, position, h = open_windows(texts, found, length)
         value, which = np.unique(h, return_index=True)  # the first index is the least position
-        shard = (value % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(shards + 1))
         ids, grp = texts["id"].to_numpy(), texts["grp"][0].as_py() if texts.num_rows else 0
         rows = [
             (s, grp, value[o].tobytes(), ids[row[which[o]]].tobytes(), position[which[o]].astype(np.uint32).tobytes())
-            for s in range(shards)
-            if len(o := order[cut[s] : cut[s + 1]])
+            for s, o in dealt((value % np.uint64(shards)).astype(np.int64))
         ]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["shard", "grp", "hashes", "ids", "positions"])
