@@ -148,14 +148,19 @@ def once_each(depth: int, parts: int, min_tokens: int, long_line: int, exact: bo
     return work
 
 
-def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the lines of recurring templates taken out of their texts (all columns), n_lines before and n_dropped."""
+def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, **options) -> DataFrame:
+    """docs with the lines of recurring templates taken out of their texts (all columns); with `counts`, n_lines before and
+    n_dropped in place of columns so called."""
     id_, tie = keyed(docs, id_col, text_col)
     key, text_key, lines = unused(docs, "line_key"), unused(docs, "line_text_key"), unused(docs, "lines_gone")
     gone = dropped_lines(docs, id_col, text_col, **options).select(F.col("id").alias(key), F.col("tie").alias(text_key), F.col("lines").alias(lines))
     joined = docs.select("*", id_.alias(key), tie.alias(text_key)).join(gone, [key, text_key], "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col].cast("string"), "\n", -1), lambda x, i: ~F.array_contains(lines, i)), "\n")
+    # the text is split once: it is the only element of an array that transform goes over
+    numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(lines))
+    kept = F.transform(F.array(F.split(docs[text_col].cast("string"), "\n", -1)), lambda x: F.array_join(F.transform(numbers(x), lambda i: F.get(x, i)), "\n"))[0]
     text = F.when(F.col(lines).isNull(), docs[text_col]).otherwise(kept)
-    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    if not counts:
+        return joined.select(*out)
     n_lines = F.coalesce(F.size(F.split(docs[text_col].cast("string"), "\n", -1)), F.lit(0)).cast("long").alias("n_lines")
     return joined.select(*out, n_lines, F.when(F.col(lines).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_dropped"))

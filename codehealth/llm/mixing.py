@@ -9,7 +9,8 @@ joined by (source, block).
 
 Null text or no words: size 0, nothing taken. Null source: a source of its own, last in order. Repeated rows are
 documents of their own. All draws follow from `seed`: reruns agree. Other columns are left out, whatever their names.
-The driver sees one row per source and one per output shard, both set by the user, never by the number of documents.
+The driver sees one row per source, MOST_SOURCES at most (more is an error: sources are kinds of texts, not hosts), and one
+per output shard of SHARD_BLOCKS blocks. Texts take no part in the numbering: they are joined to their places.
 """
 
 from __future__ import annotations
@@ -24,7 +25,13 @@ from pyspark.sql.window import Window
 from codehealth.llm.shared import saved
 from codehealth.llm.words import WORD
 
-BLOCK_WORDS, SHARDS, SEED, REPEATS, WEIGHTS, BUCKETS = 64, 64, 20240101, 3, (5, 2, 1), 1024
+BLOCK_WORDS, SEED, REPEATS, WEIGHTS = 64, 20240101, 3, (5, 2, 1)
+#: Output shards: this many, or more so that none has more blocks than the next figure.
+SHARDS, SHARD_BLOCKS = 64, 1 << 20
+#: Words of a source that one task numbers, or as many parts of it.
+BUCKET_WORDS, BUCKETS = 1 << 22, 1024
+#: Sources are planned on the driver, so there is a bound on them.
+MOST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -92,11 +99,15 @@ class Mix:
     """The plan of one mix over `docs`: sources with targets and quotas, and the slots of all shards."""
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block_words=BLOCK_WORDS, shards=SHARDS, seed=SEED, repeats=REPEATS, weights=WEIGHTS, buckets=BUCKETS):
-        self.spark, self.block_words, self.buckets = docs.sparkSession, block_words, buckets
+        self.spark, self.block_words = docs.sparkSession, block_words
         text = docs[text_col].cast("string")
-        self.rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("tie"))
-        self.sized = saved(self.rows.select("doc_id", "source", "tie", F.size(words(F.col("text"))).cast("long").alias("size")), "sizes")
-        found = self.sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+        # id, none, tie are never null: what is dealt by them once stays where it is in a join on them
+        id_, none = F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("id"), docs[id_col].isNull().alias("none")
+        self.rows = docs.select(docs[id_col].alias("doc_id"), id_, none, docs[source_col].cast("string").alias("source"), text.alias("text"), F.xxhash64(text).alias("tie"))
+        self.sized = saved(self.rows.select("doc_id", "id", "none", "source", "tie", F.size(words(F.col("text"))).cast("long").alias("size")), "sizes")
+        found = self.sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+        if len(found) > MOST_SOURCES:
+            raise ValueError(f"more than {MOST_SOURCES} sources")
         found = sorted((r["source"] is None, r["source"] or "", int(r["size"])) for r in found)
         names, sizes = [None if null else x for null, x, _ in found], [n for *_, n in found]
         aims = targets(sizes, weights, repeats)
@@ -111,7 +122,8 @@ class Mix:
                 m = n.bit_length() - 1
                 turns.append((s, turn, n, coprime(rng, n), int(rng.integers(n)), coprime(rng, n), int(rng.integers(n)), 1 << m, max(1, (m + 1) // 2)))
         self.turns = self.spark.createDataFrame(turns, "s int, turn long, n long, a long, b long, c long, d long, low long, shift int")
-        self.counts = shard_counts(quotas, shards, seed)
+        self.counts = shard_counts(quotas, max(shards, -(-sum(quotas) // SHARD_BLOCKS)), seed)
+        self.buckets = max(buckets, -(-max(sizes, default=0) // BUCKET_WORDS))
 
     def slots(self) -> DataFrame:
         """shard, slot, s, block: which block stands at each place of each output shard."""
@@ -144,18 +156,23 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """shard, slot, source, block, doc_ids, n_words, text: the mixed corpus, block by block."""
-        size = F.size(words(F.col("text"))).cast("long")
-        rows = in_order(self.rows.withColumn("size", size).filter("size > 0"), self.sources, self.buckets)
+        row = ["id", "none", "tie"]
+        places = in_order(self.sized.filter("size > 0"), self.sources, self.buckets).select("s", "doc_id", *row, "source", "size", "start")
+        # rows equal in id and text have several places, each of which needs the text once
+        rows = self.rows.select(*row, "text").dropDuplicates(row).join(places, row)
         w, start, end = self.block_words, F.col("start"), F.col("start") + F.col("size")
 
+        def n(b: Column) -> Column:
+            return (F.least(end, (b + 1) * w) - F.greatest(start, b * w)).cast("int")
+
         def cut(found: Column) -> Column:  # an element of a one-element array, so that the words are found once
             return F.transform(
                 F.sequence(F.floor(start / w), F.floor((end - 1) / w)),
-                lambda b: F.struct(b.alias("block"), F.slice(found, (F.greatest(b * w - start, F.lit(0)) + 1).cast("int"), (F.least(end, (b + 1) * w) - F.greatest(start, b * w)).cast("int")).alias("words")),
+                lambda b: F.struct(b.alias("block"), n(b).alias("n"), F.array_join(F.slice(found, (F.greatest(b * w - start, F.lit(0)) + 1).cast("int"), n(b)), " ").alias("text")),
             )
 
         parts = rows.select("s", "source", "doc_id", "start", F.explode(F.flatten(F.transform(F.array(words(F.col("text"))), cut))).alias("part"))
-        packed = parts.select("s", "source", "part.block", F.struct("start", "doc_id", "part.words").alias("part")).groupBy("s", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("part")).alias("parts"))
-        filled = packed.select("s", "block", "source", F.transform("parts", lambda x: x["doc_id"]).alias("doc_ids"), F.flatten(F.transform("parts", lambda x: x["words"])).alias("words"))
-        filled = filled.select("s", "block", "source", "doc_ids", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+        packed = parts.select("s", "source", "part.block", F.struct("start", "doc_id", "part.n", "part.text").alias("part")).groupBy("s", "block").agg(F.first("source").alias("source"), F.array_sort(F.collect_list("part")).alias("parts"))
+        part = lambda name: F.transform("parts", lambda x: x[name])
+        filled = packed.select("s", "block", "source", part("doc_id").alias("doc_ids"), F.aggregate(part("n"), F.lit(0), lambda a, x: a + x).alias("n_words"), F.array_join(part("text"), " ").alias("text"))
         return self.slots().join(filled, ["s", "block"]).select("shard", "slot", "source", "block", "doc_ids", "n_words", "text")

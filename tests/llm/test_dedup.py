@@ -101,6 +101,26 @@ def test_repeated_windows_of_nothing(spark):
     assert blocks.without_repeats(cases.empty(spark)).count() == 0
 
 
+def test_rows_without_ids_are_spread(spark):
+    """No group gathers them, and they repeat each other like others."""
+    rows = [(None, *r[1:]) for r in cases.rows()]
+    assert blocks.rows_of(cases.docs(spark, rows), "doc_id", "text", 97).select("grp").distinct().count() > 20
+    got = blocks.without_repeats(cases.docs(spark, rows), piece_bytes=4000, group_bytes=4000).select("n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(r[1:] for r in brute_windows(cases.rows()))
+    got = suffixes.without_earlier(cases.docs(spark, rows), piece_bytes=3000, group_bytes=3000).collect()
+    own = blocks.rows_of(cases.docs(spark, rows), "doc_id", "text", 97).select("text", "id").collect()  # their order is that of a hash
+    order = {r["text"]: r["id"] for r in own}
+    want = brute_bytes([(order[t or ""], t) for _, t, *_ in rows])
+    flat = [(r["n_bytes"], sum(x["to"] - x["from"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"])) for r in got]
+    assert sorted(flat) == sorted(r[1:] for r in want)
+
+
+def test_windows_that_agree_in_one_hash_only_are_different():
+    h, check = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    kind, first, times = blocks.same_windows(h, check)
+    assert kind[0] == kind[2] != kind[1] and sorted(times.tolist()) == [1, 1, 2] and len(first) == 3
+
+
 def brute_bytes(data, w=100):
     seen, out = {}, []
     order = sorted({(d, t or "") for d, t, *_ in data})

@@ -1,7 +1,10 @@
 """Mixing, templates, archives, language, quality, secrets, tiling and the pipeline."""
 
 import base64
+import gzip
 import hashlib
+import io
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,6 +131,17 @@ def test_columns_of_documents_stay(spark):
     frame = cases.docs(spark)
     assert line_templates.without_recurring_lines(frame).drop("n_lines", "n_dropped").columns == frame.columns
     assert line_templates.without_recurring_lines(cases.empty(spark)).count() == 0
+    clash = frame.selectExpr("*", "'x' as n_lines", "'y' as n_dropped")
+    assert line_templates.without_recurring_lines(clash, counts=False).select("n_lines", "n_dropped").distinct().collect() == [("x", "y")]
+
+
+def test_a_text_of_many_lines(spark):
+    """30,000 lines, a third of which recur."""
+    text = "\n".join(f"{'same words in all texts' if k % 3 else f'line of its own {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}'}" for k in range(30_000))
+    rows = [(1, "same words in all texts", "en", "s", 0), (2, text, "en", "s", 0), (3, "same words in all texts\nx", "en", "s", 0)]
+    got = {r["doc_id"]: r for r in line_templates.without_recurring_lines(cases.docs(spark, rows), min_docs=3).collect()}
+    assert got[2]["n_dropped"] == 20_000 and got[2]["text"] == "\n".join(x for x in text.split("\n") if not x.startswith("same"))
+    assert got[3]["text"] == "x" and got[1]["n_dropped"] == 0
 
 
 def test_lines_of_two_documents_and_templates_of_ten_go(spark):
@@ -165,15 +179,56 @@ def test_archives_round_trip(spark, version):
 
 
 def test_arc_headers_of_both_versions():
+    read = lambda x: list(archives.arc_records(io.BytesIO(x)))
     for version in "12":
         data = archives.version_block(version, "x.arc", "20240101000000") + b"\n"
         data += archives.arc_line(version, "http://a/", "20240102030405", "text/html", 5) + b"a\nb\nc" + b"\n"
-        (fields, body), = archives.arc_records(data)
+        (fields, body), = read(data)
         assert body == b"a\nb\nc" and fields["URL"] == "http://a/" and fields["Archive-date"] == "20240102030405"
-    with pytest.raises(ValueError):
-        list(archives.arc_records(data[:-3]))
-    with pytest.raises(ValueError):
-        list(archives.arc_records(b"http://a/ 0.0.0.0 20240102030405 text/html 0\n"))
+    for bad in (data[:-3], b"http://a/ 0.0.0.0 20240102030405 text/html 0\n", data + b"http://a/ text/html x\n", data.replace(b"2 0 ", b"7 0 ")):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def foreign(tmp_path):
+    """An ARC 1 file of gzip members, an ARC 2 file, and one that is cut off; names and contents not ours."""
+    os.makedirs(tmp_path / "arc")
+    block = b"1 0 Some Archive\nURL IP-address Archive-date Content-type Archive-length\n"
+    first = b"filedesc://IA-2001-000.arc 0.0.0.0 20010101000000 text/plain %d\n" % len(block) + block + b"\n"
+    page = b"HTTP/1.0 200 OK\nContent-Type: text/html\n\n<p>old</p>"
+    other = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>old</p>\n\n<p>x</p>"
+    dns = b"20010101000000\nexample.com. 600 IN A 1.2.3.4\n"
+    members = [first, b"http://a.b/c d 1.2.3.4 20010102030405 text/html %d\n" % len(page) + page + b"\n", b"dns:example.com 1.2.3.4 20010102030406 text/dns %d\n" % len(dns) + dns + b"\n\n"]
+    (tmp_path / "arc/IA-2001-000.arc.gz").write_bytes(b"".join(map(gzip.compress, members)))
+    block = b"2 0 Some Archive\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    second = b"filedesc://two.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 two.arc %d\n" % len(block) + block + b"\n"
+    second += b"http://b/ 1.2.3.4 20020102030405 text/html 200 abc - 209 two.arc %d\n" % len(other) + other + b"\n"
+    (tmp_path / "arc/two.arc").write_bytes(second)
+    return second
+
+
+def test_foreign_archives(spark, tmp_path):
+    second = foreign(tmp_path)
+    arc, warc = f"{tmp_path}/arc", f"{tmp_path}/warc"
+    archives.convert(spark, arc, warc)
+    got = sorted((r["url"], r["record_type"], r["payload_bytes"], r["page_id"]) for r in archives.read_warc(spark, warc).collect())
+    assert got == [("dns:example.com", "resource", 45, None), ("http://a.b/c d", "response", 10, None), ("http://b/", "response", 20, None)]
+    (tmp_path / "arc/cut.arc").write_bytes(second[:-9])
+    with pytest.raises(Exception, match="the file ends inside a record"):
+        archives.read_arc(spark, arc).collect()
+    lax = archives.read_arc(spark, arc, strict=False).collect()
+    assert len(lax) == 4 and [r["file"].endswith("cut.arc") for r in lax if r["error"]] == [True]
+    archives.convert(spark, arc, f"{tmp_path}/lax", strict=False)
+    assert archives.read_warc(spark, f"{tmp_path}/lax").count() == 3
+
+
+def test_records_have_ids_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a", "<p>1</p>"), (1, "http://a", "<p>1</p>"), (0, "http://a", "<p>1</p>"), (0, "http://a", "<p>1</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as payload", "'y' as file", "'z' as at", "'w' as error")
+    got = archives.archived(pages).collect()
+    assert len({r["record_id"] for r in got}) == 4
+    responses = {r["record_id"] for r in got if r["record_type"] == "response"}
+    assert len(responses) == 2 and all(r["refers_to_record"] in responses for r in got if r["record_type"] == "revisit")
 
 
 def test_archives_of_nothing(spark):
@@ -238,7 +293,20 @@ def test_language_without_labels(spark):
 def test_known_language_keeps_columns(spark):
     frame = cases.clashing(spark)
     kept = langid.in_known_language(frame)
-    assert set(kept.columns) == set(frame.columns) - {"score", "lang_pred"} and kept.count() > 0
+    assert kept.columns == frame.columns and kept.count() > 0
+
+
+def test_long_texts_are_cut_between_words():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(5_000))
+    whole = [np.bincount(b, minlength=256) for _, b in langid.grams([text], 8)]
+    parts = list(langid.in_parts([text, "", "x"], 1_000))
+    assert len(parts) > 10 and {i for which, _ in parts for i in which} == {0, 1, 2}
+    assert "".join(x for which, part in parts for i, x in zip(which, part) if i == 0) == text
+    for k in range(len(langid.ORDERS)):
+        own = sum(np.bincount(list(langid.grams(part, 8))[k][1], minlength=256) for which, part in parts if 0 in which and set(which) == {0})
+        rest = sum((np.bincount(list(langid.grams([x for i, x in zip(which, part) if i == 0], 8))[k][1], minlength=256) for which, part in parts if 0 in which and set(which) != {0}), np.zeros(256, int))
+        assert (own + rest == whole[k]).all()
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
@@ -278,6 +346,32 @@ def test_bands_reject_repeats_and_noise():
     assert verdict(mixed) == "repetitive chunk"
 
 
+@pytest.mark.parametrize("size", [800, 1_500, 3_000, 8_000, 50_000, 200_000])
+def test_base64_is_noise_and_prose_is_not(size):
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    verdict = lambda t: quality.band_verdict(len(t), *quality.ratios(t, quality.CHUNK, packer))
+    rng = random.Random(size)
+    blob = base64.b64encode(rng.randbytes(size))
+    spaced = b" ".join(blob[i : i + 8] for i in range(0, len(blob), 8))
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(rng.choices(vocab, weights=[1 / (k + 1) for k in range(900)], k=size // 5)).encode()
+    assert verdict(blob).startswith("incompressible") and verdict(spaced).startswith("incompressible") and verdict(prose) == "ok"
+    if size >= 50_000:  # a blob at the end of prose, behind the last whole chunk
+        assert verdict(prose[: 8 * 4096 + 50] + blob[:4000]) == "incompressible chunk"
+
+
+def test_very_long_texts_are_judged_whole(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3_000)]
+    text = " ".join(rng.choice(words) for _ in range(400_000))
+    rows = [(1, text, "en", "s", 0), (2, text + "\n" + "é" * 300_000, "en", "s", 0)]
+    got = {r["doc_id"]: r for r in quality.quality_report(cases.docs(spark, rows)).collect()}
+    assert got[1]["n_words"] == 400_000 and got[2]["n_words"] == 400_001
+    assert got[1]["verdict"] == "ok" and got[2]["verdict"].startswith("repetitive")
+
+
 # --- secrets --------------------------------------------------------------------------------------------------------
 
 SECRETS = [
@@ -308,20 +402,39 @@ def test_spans_equal_brute_force(spark, make):
     assert sorted(map(tuple, got)) == sorted((d, brute_spans(t, secret_ledger.RULES)) for d, t, *_ in data)
 
 
-def test_ledger_leaves_seen_pairs_alone(spark):
-    files = cases.docs(spark, SECRETS)
-    versions = secret_ledger.versions_of(files, "doc_id", "text")
-    rules = secret_ledger.BASE_RULES
-    first = secret_ledger.unseen(versions, rules, None)
-    assert first.count() == len({t or "" for _, t, *_ in SECRETS})
-    ledger = secret_ledger.ledger_rows(secret_ledger.scan(files, first, rules, "doc_id", "text"))
-    assert secret_ledger.unseen(versions, rules, ledger).count() == 0
+def test_ledger_leaves_seen_pairs_alone(spark, tmp_path):
+    files, path = cases.docs(spark, SECRETS), secret_ledger.new_ledger(spark, f"{tmp_path}/ledger")
+    rules, read = secret_ledger.BASE_RULES, lambda: spark.read.schema(secret_ledger.LEDGER).parquet(path)
+    pairs = lambda: Counter((r["blob"], tuple(r["pairs"])) for r in read().collect())
+    spans = lambda found: sorted(map(tuple, found.select("path", secret_ledger.digest(secret_ledger.F.col("found"))).collect()))
+    want = lambda data: sorted((d, brute_spans(t, rules)) for d, t, *_ in data)
+    assert spans(secret_ledger.scan_into(files, path, rules=rules)) == want(SECRETS)
+    first = pairs()
+    assert {blob for blob, _ in first} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in SECRETS}
+    assert spans(secret_ledger.scan_into(files, path, rules=rules)) == want(SECRETS) and pairs() == first
+    # a new text and a new version: all rules on the one, that rule alone on the others
+    more = [*SECRETS, (9, "token=abcdefgh", "en", "s", 0)]
     newer = (*rules[:2], rules[2]._replace(version=2))
-    again = secret_ledger.unseen(versions, newer, ledger)
-    assert {tuple(r["pending"]) for r in again.collect()} == {("hex/2",)}
-    grown = cases.docs(spark, [*SECRETS, (9, "token=abcdefgh", "en", "s", 0)])
-    got = secret_ledger.secret_report(grown, rules=rules, ledger=ledger).select("path", secret_ledger.digest(secret_ledger.F.col("found"))).collect()
-    assert sorted(map(tuple, got)) == sorted((d, brute_spans(t, rules)) for d, t, *_ in [*SECRETS, (9, "token=abcdefgh", 0)])
+    assert spans(secret_ledger.scan_into(cases.docs(spark, more), path, rules=newer)) == want(more)
+    added = pairs() - first
+    assert {p for _, p in added} == {("hex/2",), ("assign/1", "access/1", "hex/2")}
+    assert [p for blob, p in added if blob == hashlib.sha256(b"token=abcdefgh").hexdigest()] == [("assign/1", "access/1", "hex/2")]
+
+
+def test_marks_are_in_every_match():
+    rng = random.Random(3)
+    texts = [t or "" for _, t, *_ in SECRETS] + ["eyJab.eyJcd.ef12345678901", "xoxb-1234567890ab", "gho_" + "a" * 36, "ftp://a:b@"]
+    for rule in secret_ledger.RULES:
+        for m in (m for t in texts for m in re.finditer(rule.pattern, t, re.ASCII)):
+            assert rule.mark in m[0], (rule, rng)
+
+
+def test_secret_query_runs_two_batches(spark, tmp_path):
+    from codehealth.llm import queries
+
+    cases.docs(spark, SECRETS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["spans"]) for r in queries.op7_secret_scan(spark, str(tmp_path)).collect())
+    assert got == sorted((d, brute_spans(t, secret_ledger.RULES)) for d, t, *_ in SECRETS)
 
 
 # --- tiling ---------------------------------------------------------------------------------------------------------
@@ -346,18 +459,61 @@ def brute_tiles(item, doc, least):
         marked_d |= set(range(d, d + k))
 
 
-def test_tiles_equal_brute_force():
-    import pyarrow as pa
+def brute_contamination(docs, items, least=5, threshold=0.5):
+    words = lambda t: re.findall("[0-9a-z\\x80-\U0010ffff]+", (t or "").lower())
+    out = []
+    for doc, text in docs:
+        for item, want in items:
+            own, n = words(want), len(words(want))
+            found = brute_tiles(own, words(text), min(least, n)) if n else []
+            if n and sum(found) >= threshold * n:
+                out.append((doc, item, len(found), max(found), sum(found), n, sum(found) / n))
+    return sorted(out)
+
 
+def tiling_rows():
+    """Few different words, so runs overlap, tie and repeat; copies, clean texts, one item inside out, odd texts."""
     rng = random.Random(6)
-    for _ in range(60):
-        item, doc = ([rng.choice("abc") for _ in range(rng.randint(3, 18))] for _ in range(2))
-        doc = doc + item[5:12] + ["x"] + item[:6]
-        items = tiling.Items([1], [" ".join(item)], 3)
-        h, row = tiling.tokens(pa.array([" ".join(doc)]))
-        got = [t for *_, pairs, size in tiling.candidates(h, row, items) for t in tiling.tiles(pairs, size)]
-        assert sum(n for *_, n in got) == sum(brute_tiles(item, doc, 3)) or max(n for *_, n in got) == max(brute_tiles(item, doc, 3))
-        assert all(item[a : a + n] == doc[b : b + n] for a, b, n in got)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 24)))) for k in range(12)] + [(20, "z " * 40), (21, None), (22, "? !"), (23, "É, Größe b b b")]
+    docs = []
+    for k in range(40):
+        item = rng.choice(items[:12])[1].split()
+        n = len(item) // 3
+        docs.append((k, " ".join([rng.choice("abc") for _ in range(rng.randint(0, 18))] + item[2 * n :] + ["x"] + item[n : 2 * n] + ["y"] + item[:n])))
+    return docs + [(50, "z " * 90), (51, None), (52, ""), (53, "é größe B? b. b"), (54, "clean words only here"), docs[3], docs[3]], items
+
+
+def as_rows(found):
+    return sorted((r["doc_id"], r["item_id"], r["n_tiles"], r["longest"], r["covered"], r["n_tokens"], r["coverage"]) for r in found.collect())
+
+
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_contamination_equals_brute_force(spark, block_bytes):
+    docs, items = tiling_rows()
+    want = brute_contamination(docs, items)
+    assert len(want) > 40 and any(x[2] > 2 for x in want)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as item_id", "1 as coverage", "'y' as row")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "'x' as doc_id", "1 as id")
+    assert as_rows(tiling.contamination(frame, bench, block_bytes=block_bytes)) == want
+    kept = tiling.decontaminated(frame, bench, block_bytes=block_bytes)
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in docs if d not in {x[0] for x in want})
+
+
+def test_contamination_query_equals_brute_force(spark, tmp_path):
+    from codehealth.llm import queries
+
+    docs, items = tiling_rows()
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert as_rows(queries.op8_string_tiling(spark, str(tmp_path))) == brute_contamination(docs, items)
+
+
+def test_repeated_words_need_bounded_memory():
+    """2,000 by 20,000 equal words: forty million pairs, of which only the ends of runs are kept."""
+    runs = tiling.equal_runs(np.full(20_000, 7, np.uint64), np.full(2_000, 7, np.uint64), 5)
+    assert len(runs) == 20_000 - 4 + 2_000 - 4 - 1 and runs[:, 2].max() == 2_000
+    assert tiling.tiles(runs, 5) == [(0, 0, 2_000)]
 
 
 def test_reordered_passages_are_caught(spark):
