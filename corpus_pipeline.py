@@ -15,7 +15,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates leave the texts; every document stays."""
-    return line_templates.without_recurring_lines(docs).drop("n_lines", "n_dropped")
+    return line_templates.without_recurring_lines(docs, counts=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
