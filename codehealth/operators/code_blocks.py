@@ -1,6 +1,7 @@
 """Blocks of code: where they end, which are too long or too complex, and which stand twice.
 
-A file is one row with its lines as an array, so that blocks are array expressions without a shuffle."""
+A file is one row with its lines as an array, so that blocks are array expressions without a shuffle. Files are told apart by
+project_id, analysis_id and path, as many of them as the caller has; results carry them."""
 
 from __future__ import annotations
 
@@ -8,13 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codehealth.functions.keys import file_keys
 from codehealth.functions.text import lines as line_array
 
-#: How definitions start.
-PY_DEF, PY_CLASS = r"^\s*(async\s+)?def\s+\w+\s*\(", r"^\s*class\s+\w+"
-BRACE_DEF = r"^\s*(?!(?:for|if|while|switch|catch|do)\b)((public|private|protected|static|final|async|export|abstract|override|synchronized|internal|open)\s+)*(function\s+\w+|[\w$<>,\s]+\s+\w+\s*\()\s*[^)]*\)\s*(throws[\s\w,]+)?\{"
-BRACE_CLASS = r"^\s*(public|internal|open|final|abstract|sealed|export)?\s*class\s+\w+[^{]*\{"
-BRANCH = r"\b(if|elif|else if|for|while|catch|switch)\b|\bcase\s|\b(&&|\|\||\?)\b"
+#: How definitions, branches and nested blocks start. A function has no control word at its head where its
+#: complexity is measured; where its length is, any head counts, and there are more modifiers.
+PY_DEF, PY_CLASS = r"^\s*(?:async\s+)?def\s+\w+\s*\(", r"^\s*class\s+\w+"
+FUNCTION = r"^\s*(?!(?:for|if|while|switch|catch|do)\b)(?:(?:public|private|protected|static|final|async|export)\s+)*(?:function\s+\w+|[\w$<>,\s]+\s+\w+\s*\()\s*[^)]*\)\s*(?:throws[\s\w,]+)?\{"
+BRACE_DEF = r"^\s*(?:(?:public|private|protected|static|final|async|export|abstract|override|synchronized|internal|open)\s+)*(?:function\s+\w+|[\w$<>,\s]+\s+\w+\s*\()\s*[^)]*\)\s*(?:throws[\s\w,]+)?\{"
+BRACE_CLASS = r"^\s*(?:public|internal|open|final|abstract|sealed|export)?\s*class\s+\w+[^{]*\{"
+BRANCH = r"\b(?:if|elif|else if|for|while|catch|switch)\b|\bcase\s|\b(?:&&|\|\||\?)\b"
 NESTS, CLOSES = r"^(if |for |while |catch|switch|else )", r"^(\}|elif|else:)"
 
 
@@ -22,60 +26,78 @@ def with_lines(files: DataFrame) -> DataFrame:
     return files.withColumn("lines", line_array(F.col("content")))
 
 
-def depth_changes(lines: Column, open_: str = "[{]", close: str = "[}]") -> Column:
-    return F.transform(lines, lambda x: F.regexp_count(x, F.lit(open_)) - F.regexp_count(x, F.lit(close)))
+SPANS = "array<struct<start:int,end:int>>"
 
 
-def running(values: Column) -> Column:
-    """Running sums."""
-    empty = F.array().cast("array<int>")
-    return F.aggregate(values, empty, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x)))
+def spans(items: Column, cumulative: bool, shift: int) -> Column:
+    """start, end (lines from 0) of each block, by one fold that carries the open ones. items: an array of (level, opens,
+    inside) per line, where level is the line's depth or, if `cumulative`, its change. A block that opens on a line ends on
+    the first later line that is not deeper than it (less `shift`), else on the last line; `inside` measures its own depth
+    after its first line, less one."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast("array<struct<start:int,level:int>>").alias("open"), F.array().cast(SPANS).alias("out"))
 
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + x["level"] if cumulative else x["level"]
+        before = F.when(x["inside"], depth - 1).otherwise(acc["depth"]) if cumulative else x["level"]
+        ended = F.exists(acc["open"], lambda o: o["level"] >= depth)
+        closed = F.transform(F.filter(acc["open"], lambda o: o["level"] >= depth), lambda o: F.struct(o["start"].alias("start"), (acc["i"] - shift).alias("end")))
+        still = F.when(ended, F.filter(acc["open"], lambda o: o["level"] < depth)).otherwise(acc["open"])
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            depth.alias("depth"),
+            F.when(x["opens"], F.concat(still, F.array(F.struct(acc["i"].alias("start"), before.cast("int").alias("level"))))).otherwise(still).alias("open"),
+            F.when(ended, F.concat(acc["out"], closed)).otherwise(acc["out"]).alias("out"),
+        )
 
-def first_from(flags: Column, start: Column) -> Column:
-    """Index from 0 of the first true value at or after start, null if none."""
-    at = F.array_position(F.slice(flags, start + 1, F.greatest(F.size(flags) - start, F.lit(0))), True)
-    return F.when(at > 0, start + at - 1)
+    last = lambda acc: F.transform(acc["open"], lambda o: F.struct(o["start"].alias("start"), (acc["i"] - 1).alias("end")))
+    return F.aggregate(items, start, step, lambda acc: F.concat(acc["out"], last(acc)))
+
+
+def brace_spans(lines: Column, starts: str, open_: str = "[{]", close: str = "[}]", at_line_end: bool = False) -> Column:
+    change = lambda x: F.regexp_count(x, F.lit(open_)) - F.regexp_count(x, F.lit(close))
+    items = F.transform(lines, lambda x: F.struct(change(x).alias("level"), x.rlike(starts).alias("opens"), F.lit(at_line_end).alias("inside")))
+    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, True, 0)).otherwise(F.array().cast(SPANS))
+
+
+def indent_spans(lines: Column, starts: str = PY_DEF) -> Column:
+    indent = lambda x: F.when(F.trim(x) == "", 1_000_000).otherwise(F.length(x) - F.length(F.ltrim(x)))
+    items = F.transform(lines, lambda x: F.struct(indent(x).alias("level"), x.rlike(starts).alias("opens"), F.lit(False).alias("inside")))
+    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, False, 1)).otherwise(F.array().cast(SPANS))
+
+
+def _exploded(files: DataFrame, found: Column) -> DataFrame:
+    keys = file_keys(files)
+    return files.select(*keys, F.explode(found).alias("b")).select(*keys, "b.*")
 
 
 def block_ends(files: DataFrame, starts: str, open_: str = "[{]", close: str = "[}]", at_line_end: bool = False) -> DataFrame:
-    """path, start, end (lines from 0): a block starts on a line that matches and ends on the first later line where depth is
+    """keys, start, end (lines from 0): a block starts on a line that matches and ends on the first later line where depth is
     back at or below that before the start, else on the last line. at_line_end: the block opens with the last brace of
     its first line, which may close another block first."""
-    sums = with_lines(files).withColumn("depth", running(depth_changes(F.col("lines"), open_, close)))
-    rows = sums.select("path", "lines", "depth", F.posexplode("lines").alias("start", "text")).filter(F.col("text").rlike(starts))
-    before = F.get("depth", F.col("start")) - 1 if at_line_end else F.coalesce(F.get("depth", F.col("start") - 1), F.lit(0))
-    end = first_from(F.transform("depth", lambda d: d <= before), F.col("start") + 1)
-    return rows.select("path", "start", F.coalesce(end, F.size("lines") - 1).cast("int").alias("end"))
+    return _exploded(with_lines(files), brace_spans(F.col("lines"), starts, open_, close, at_line_end))
 
 
 def indent_ends(files: DataFrame, starts: str = PY_DEF) -> DataFrame:
-    """path, start, end: a block by indentation ends before the first non-blank line that is not deeper."""
-    indent = F.transform("lines", lambda x: F.when(F.trim(x) == "", 1_000_000).otherwise(F.length(x) - F.length(F.ltrim(x))))
-    rows = with_lines(files).withColumn("indent", indent)
-    rows = rows.select("path", "indent", F.posexplode("lines").alias("start", "text")).filter(F.col("text").rlike(starts))
-    own = F.get("indent", F.col("start"))
-    end = first_from(F.transform("indent", lambda d: d <= own), F.col("start") + 1)
-    return rows.select("path", "start", (F.coalesce(end, F.size("indent")) - 1).cast("int").alias("end"))
+    """keys, start, end: a block by indentation ends before the first non-blank line that is not deeper."""
+    return _exploded(with_lines(files), indent_spans(F.col("lines"), starts))
 
 
 def bloated(files: DataFrame, method: int = 150, class_: int = 500, file: int = 1200) -> DataFrame:
-    """path, line, rule_key, size of methods, classes and files that are too long."""
-    python = F.col("path").endswith(".py")
-    braces, py = files.filter(~python), files.filter(python)
-    parts = []
-    for key, most, found in (
-        ("BLOATED-METHOD", method, block_ends(braces, BRACE_DEF).unionByName(indent_ends(py, PY_DEF))),
-        ("BLOATED-CLASS", class_, block_ends(braces, BRACE_CLASS).unionByName(indent_ends(py, PY_CLASS))),
-    ):
-        size = F.col("end") - F.col("start") + 1
-        parts.append(found.filter(size > most).select("path", (F.col("start") + 1).alias("line"), F.lit(key).alias("rule_key"), size.alias("size")))
-    return parts[0].unionByName(parts[1]).unionByName(long_files(files, file))
+    """keys, line, rule_key, size of methods, classes and files that are too long, in one pass."""
+    lines, python = F.col("lines"), F.col("path").endswith(".py")
+
+    def long_(found: Column, key: str, most: int) -> Column:
+        size = lambda b: b["end"] - b["start"] + 1
+        return F.transform(F.filter(found, lambda b: size(b) > most), lambda b: F.struct((b["start"] + 1).alias("line"), F.lit(key).alias("rule_key"), size(b).alias("size")))
+
+    pair = lambda braces, indent: F.when(python, indent_spans(lines, indent)).otherwise(brace_spans(lines, braces))
+    whole = F.filter(F.array(F.struct(F.lit(1).alias("line"), F.lit("BLOATED-FILE").alias("rule_key"), F.size(lines).alias("size"))), lambda x: x["size"] > file)
+    return _exploded(with_lines(files), F.concat(long_(pair(BRACE_DEF, PY_DEF), "BLOATED-METHOD", method), long_(pair(BRACE_CLASS, PY_CLASS), "BLOATED-CLASS", class_), whole))
 
 
 def long_files(files: DataFrame, most: int) -> DataFrame:
     n = F.size(line_array(F.col("content")))
-    return files.filter(n > most).select("path", F.lit(1).alias("line"), F.lit("BLOATED-FILE").alias("rule_key"), n.alias("size"))
+    return files.filter(n > most).select(*file_keys(files), F.lit(1).alias("line"), F.lit("BLOATED-FILE").alias("rule_key"), n.alias("size"))
 
 
 def complexity(body: Column, branch: str = BRANCH) -> Column:
@@ -90,22 +112,24 @@ def complexity(body: Column, branch: str = BRANCH) -> Column:
     return F.aggregate(body, F.struct(F.lit(0).alias("score"), F.lit(0).alias("depth")), step, lambda acc: acc["score"])
 
 
-def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace: str = BRACE_DEF, python: str = PY_DEF, branch: str = BRANCH) -> DataFrame:
-    """path, line, score, severity of functions above the limits."""
-    is_python = F.col("path").endswith(".py")
-    ends = block_ends(files.filter(~is_python), brace).unionByName(indent_ends(files.filter(is_python), python))
-    body = F.slice("lines", F.col("start") + 2, F.greatest(F.col("end") - F.col("start"), F.lit(0)))
-    rows = ends.join(with_lines(files), "path").select("path", (F.col("start") + 1).alias("line"), complexity(body, branch).alias("score"))
-    return rows.filter(F.col("score") >= minor).withColumn("severity", F.when(F.col("score") >= major, "MAJOR").otherwise("MINOR"))
+def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace: str = FUNCTION, python: str = PY_DEF, branch: str = BRANCH) -> DataFrame:
+    """keys, line, score, severity of functions above the limits."""
+    lines = F.col("lines")
+    found = F.when(F.col("path").endswith(".py"), indent_spans(lines, python)).otherwise(brace_spans(lines, brace))
+    body = lambda b: F.slice(lines, b["start"] + 2, F.greatest(b["end"] - b["start"], F.lit(0)))
+    scores = F.transform(found, lambda b: F.struct((b["start"] + 1).alias("line"), complexity(body(b), branch).alias("score")))
+    rows = _exploded(with_lines(files), F.filter(scores, lambda x: x["score"] >= minor))
+    return rows.withColumn("severity", F.when(F.col("score") >= major, "MAJOR").otherwise("MINOR"))
 
 
-def empty_catches(files: DataFrame, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]") -> DataFrame:
-    """path, line of catch blocks that hold nothing but blanks and comments."""
-    rows = block_ends(files, head, open_, close, True).join(with_lines(files), "path")
-    inside = F.slice("lines", F.col("start") + 2, F.greatest(F.col("end") - F.col("start") - 1, F.lit(0)))
-    blocks = rows.filter(F.forall(inside, lambda x: F.trim(x).rlike(nothing))).select("path", (F.col("start") + 1).alias("line"))
-    one = with_lines(files).select("path", F.posexplode("lines").alias("at", "text")).filter(F.col("text").rlike(r"catch\s*\([^)]*\)\s*\{[\s/]*\}"))
-    return blocks.unionByName(one.select("path", (F.col("at") + 1).alias("line")))
+def empty_catches(files: DataFrame, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]", one_line: str = r"catch\s*\([^)]*\)\s*\{[\s/]*\}") -> DataFrame:
+    """keys, line of catch blocks that hold nothing but blanks and comments."""
+    lines = F.col("lines")
+    inside = lambda b: F.slice(lines, b["start"] + 2, F.greatest(b["end"] - b["start"] - 1, F.lit(0)))
+    empty = F.filter(brace_spans(lines, head, open_, close, True), lambda b: F.forall(inside(b), lambda x: F.trim(x).rlike(nothing)))
+    alone = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(one_line), i + 1)), lambda i: i.isNotNull())
+    at = F.transform(F.concat(F.transform(empty, lambda b: b["start"] + 1), alone), lambda i: F.struct(i.alias("line")))
+    return _exploded(with_lines(files), at)
 
 
 # --- duplicates -----------------------------------------------------------------------------------------------------
@@ -119,30 +143,41 @@ def normal_line(text: Column) -> Column:
 
 
 def windows(lines: DataFrame, size: int = WINDOW) -> DataFrame:
-    """path, line, hash of every `size` successive lines, without windows of blanks and brackets only."""
-    own = Window.partitionBy("path").orderBy("line").rowsBetween(0, size - 1)
+    """keys, line, hash of every `size` successive lines of a file, without windows of blanks and brackets only."""
+    own = Window.partitionBy(*file_keys(lines)).orderBy("line").rowsBetween(0, size - 1)
     rows = lines.withColumn("w", F.collect_list(normal_line(F.col("text"))).over(own)).filter(F.size("w") == size)
     bare = F.forall("w", lambda x: x.rlike(r"^[\[\](){};,]*$"))
     return rows.filter(~bare).select(*[c for c in lines.columns if c != "text"], F.md5(F.array_join("w", "\n")).alias("hash"))
 
 
 def same_file_duplicates(found: DataFrame, size: int = WINDOW, most: int = 10) -> DataFrame:
-    """path, first, second: the first two starts, `size` lines apart at least, of each window that a file repeats."""
-    own = found.groupBy("path", "hash").agg(F.sort_array(F.collect_list("line")).alias("at"))
+    """keys, first, second: the first two starts, `size` lines apart at least, of each window that a file repeats."""
+    keys = file_keys(found)
+    own = found.groupBy(*keys, "hash").agg(F.sort_array(F.collect_list("line")).alias("at"))
     second = F.get(F.filter("at", lambda x: x - F.get("at", F.lit(0)) >= size), F.lit(0))
-    rows = own.select("path", F.get("at", F.lit(0)).alias("first"), second.alias("second")).filter("second is not null")
-    rank = F.row_number().over(Window.partitionBy("path").orderBy("first", "second"))
+    rows = own.select(*keys, F.get("at", F.lit(0)).alias("first"), second.alias("second")).filter("second is not null")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("first", "second"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
-def cross_file_duplicates(found: DataFrame, most: int = 50, key: str = "project_id") -> DataFrame:
-    """key, path_a, line_a, path_b, line_b: files that share a window, the two first paths of each window, each pair once. Two
-    aggregates: windows of boilerplate stay one row, however many files hold them."""
-    first = found.groupBy(key, "hash", "path").agg(F.min("line").alias("line"))
-    pair = first.groupBy(key, "hash").agg(F.count("*").alias("n"), F.min(F.struct("path", "line")).alias("a"), F.max(F.struct("path", "line")).alias("z"))
-    shared = pair.filter("n > 1")
-    b = first.join(shared.select(key, "hash", "a"), [key, "hash"]).filter(F.col("path") > F.col("a.path")).groupBy(key, "hash").agg(F.min("a").alias("a"), F.min(F.struct("path", "line")).alias("b"))
-    rows = b.groupBy(key, F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b")).agg(F.min(F.struct(F.col("a.line").alias("x"), F.col("b.line").alias("y"))).alias("at"))
-    rows = rows.select(key, "path_a", F.col("at.x").alias("line_a"), "path_b", F.col("at.y").alias("line_b"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("path_a", "line_a", "path_b"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+#: Parts in which the files of one window are looked at.
+PARTS = 64
+
+
+def cross_file_duplicates(found: DataFrame, most: int = 50) -> DataFrame:
+    """project keys, path_a, line_a, path_b, line_b: files of a project (and analysis) that share a window, the two first paths of
+    each window, each pair once. The two first are found by parts of the paths, then over the parts, so a window of
+    boilerplate is dealt over PARTS tasks, however many files hold it, and no pairs of files are made for it."""
+    keys = [c for c in file_keys(found) if c != "path"]
+    first = found.groupBy(*keys, "hash", "path").agg(F.min("line").alias("line"))
+    two = lambda c: F.slice(F.array_sort(c), 1, 2)
+    part = first.groupBy(*keys, "hash", F.pmod(F.xxhash64("path"), F.lit(PARTS)).alias("part"))
+    # within a part the first path, and the first of the others
+    own = part.agg(F.min(F.struct("path", "line")).alias("a"), F.count("*").alias("n"))
+    more = first.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS))).join(own.filter("n > 1"), [*keys, "hash", "part"]).filter(F.col("path") > F.col("a.path"))
+    both = own.select(*keys, "hash", "a").unionByName(more.groupBy(*keys, "hash", "part").agg(F.min(F.struct("path", "line")).alias("a")).drop("part"))
+    pair = both.groupBy(*keys, "hash").agg(two(F.collect_list("a")).alias("p")).filter(F.size("p") > 1)  # two a part at most
+    rows = pair.groupBy(*keys, F.col("p")[0]["path"].alias("path_a"), F.col("p")[1]["path"].alias("path_b")).agg(F.min(F.struct(F.col("p")[0]["line"].alias("x"), F.col("p")[1]["line"].alias("y"))).alias("at"))
+    rows = rows.select(*keys, "path_a", F.col("at.x").alias("line_a"), "path_b", F.col("at.y").alias("line_b"))
+    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    return rows.withColumn("rank", F.row_number().over(order.orderBy("path_a", "line_a", "path_b"))).filter(F.col("rank") <= most).drop("rank")

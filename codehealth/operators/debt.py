@@ -36,11 +36,13 @@ def dependency_debt(deps: DataFrame) -> DataFrame:
     return _row(deps.filter("risk_level in ('HIGH', 'MEDIUM')"), "DEPEND", F.col("risk_level"), F.col("name"), advice)
 
 
-def rebuilt(old: DataFrame, *found: DataFrame, sources: tuple[str, ...] = ("ARCH", "QUALITY", "EVOLUTION", "DEPEND")) -> DataFrame:
-    """Debt rows after a rebuild: the four sources are replaced for the projects, all others stay."""
-    out = old.filter(~F.col("source").isin(*sources)).select(*DEBT)
+def rebuilt(old: DataFrame, projects: DataFrame, *found: DataFrame, sources: tuple[str, ...] = ("ARCH", "QUALITY", "EVOLUTION", "DEPEND")) -> DataFrame:
+    """Debt rows after a rebuild of `projects` (project_id): their rows of the four sources are replaced by those found, which
+    may be none; their other rows and other projects stay."""
+    gone = projects.select("project_id").distinct().crossJoin(old.sparkSession.createDataFrame([(x,) for x in sources], "source string"))
+    out = old.join(gone, ["project_id", "source"], "left_anti").select(*DEBT)
     for rows in found:
-        out = out.unionByName(rows)
+        out = out.unionByName(rows.join(projects.select("project_id").distinct(), "project_id", "left_semi").select(*DEBT))
     return out
 
 
@@ -86,6 +88,32 @@ def purged(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: Tables with a project_id, and tables that reach it in two hops: over which table, by which columns (own, that table's).
+OF_PROJECT = (
+    "file_node", "quality_issue", "architecture_node", "architecture_edge", "arch_violation", "commit_stat", "file_change_stat", "hotspot",
+    "chat_session", "knowledge_chunk", "tech_debt", "generated_doc", "dependency", "analysis",
+)
+BY_WAY = {"chat_message": ("chat_session", "session_id", "session_id"), "analysis_report": ("analysis", "analysis_id", "analysis_id")}
+
+
+def purge(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without what belongs to the projects in gone (project_id), and the runs of these that were cancelled first.
+    Tables by name: `project`, those of OF_PROJECT, those of BY_WAY, as many as are given; others stay as they are."""
+    gone, out = gone.select("project_id").distinct(), dict(tables)
+    stopped = gone.sparkSession.createDataFrame([], "project_id string, status string")
+    if "analysis" in tables:
+        runs = tables["analysis"]
+        stopped = cancelled(runs.filter("status = 'RUNNING'").join(gone, "project_id", "left_semi"), gone)
+    for name in ("project", *OF_PROJECT):
+        if name in tables:
+            out[name] = purged(tables[name], gone, "project_id")
+    for name, (over, own, other) in BY_WAY.items():
+        if name in tables and over in tables:
+            lost = tables[over].join(gone, "project_id", "left_semi").select(F.col(other).alias(own))
+            out[name] = purged(tables[name], lost, own)
+    return out, stopped
+
+
 def cancelled(runs: DataFrame, gone: DataFrame, key: str = "project_id") -> DataFrame:
     """Running runs of purged projects are CANCELLED before they go."""
     mark = gone.select(key).distinct().withColumn("__gone", F.lit(True))

@@ -49,7 +49,7 @@ def hotspots(files: DataFrame, keys: list[str] | None = None, top: int = 10, sha
     keys = keys or []
     total = files.groupBy(*keys).agg(F.countDistinct("commit_hash").alias("total")) if keys else files.agg(F.countDistinct("commit_hash").alias("total"))
     best = top_files(files, top, keys)
-    rows = best.join(F.broadcast(total), keys) if keys else best.crossJoin(F.broadcast(total))  # one row of totals
+    rows = best.join(total, keys) if keys else best.crossJoin(F.broadcast(total))  # one row of totals
     part = F.col("commits") / F.col("total")
     level = F.when(((part >= share) & (F.col("added") >= min_added)) | (F.col("added") >= huge_added), "HIGH").when(F.col("commits") >= min_commits, "MEDIUM")
     evidence = F.array(

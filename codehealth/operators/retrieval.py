@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Words that are no keywords.
+#: Words that are no keywords, and what a run of CJK characters is.
 STOP_WORDS = (
     "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "this", "that", "these", "those", "it", "its", "as", "at", "by",
-    "from", "how", "why", "what", "which", "who", "when", "where", "do", "does", "did", "can", "could", "should", "would", "will", "i", "you", "we", "they", "he", "she", "me", "my",
-    "your", "our",
+    "from", "how", "why", "what", "which", "who", "when", "where", "do", "does", "did", "can", "could", "should", "would", "will", "not", "no", "please", "get", "got", "make",
+    "code", "project", "file", "class", "function",
 )
-CJK_RUN = "[㐀-䶿一-鿿]{2,}"
+CJK_RUN = "[\u4e00-\u9fff]{2,}"
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\s]+"
 
 
@@ -56,15 +56,29 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, blocks: int = 1) -> DataFrame:
+#: Values of the query vectors that are looked at in one pass over the vectors.
+BLOCK_VALUES = 1 << 20
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, block_values: int = BLOCK_VALUES) -> DataFrame:
     """query_id, id, score of the k vectors with the greatest cosine to each query, among those of its project. Queries
-    (query_id, project_id, q) are a stated set; the top k of each part of the vectors is cut before the shuffle, by the
-    row-number limit that Spark pushes below it."""
-    unit = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    rows = vectors.filter("embedding is not null").withColumn("norm", unit("embedding")).join(queries.withColumn("q_norm", unit("q")), "project_id")
-    scored = rows.select("query_id", "id", (dot(F.col("q"), F.col("embedding")) / (F.col("norm") * F.col("q_norm"))).alias("score"))
+    (query_id, project_id, q) are a stated set. They are dealt into blocks of about `block_values` values; each block is a row
+    per project with its queries as an array, so it meets the vectors in a join without a hot key: a vector is scored
+    against the block's queries of its project in place, and its task keeps k of each query before the shuffle."""
+    unit = lambda v: F.sqrt(dot(v, v))
+    total = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_values))
+    rows = vectors.filter("embedding is not null").select("project_id", "id", "embedding", unit(F.col("embedding")).alias("norm"))
+    asked = queries.filter("q is not null").select("project_id", F.struct("query_id", "q", unit(F.col("q")).alias("q_norm")).alias("a"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    out = None
+    for block in range(blocks):
+        own = asked.filter(F.col("block") == block).groupBy("project_id").agg(F.collect_list("a").alias("asked"))  # bounded by the block
+        near = rows.join(F.broadcast(own), "project_id")
+        scores = F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), (dot(a["q"], F.col("embedding")) / (F.col("norm") * a["q_norm"])).alias("score")))
+        scored = near.select("id", F.explode(scores).alias("s")).select("s.query_id", "id", "s.score")
+        out = scored if out is None else out.unionByName(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
 RUN = f"[a-z]{{3,}}|{CJK_RUN}"

@@ -16,25 +16,31 @@ from codehealth.sources import snapshots as S
 
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder in spark.checkpoint.dir, which all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
     return f"{root.rstrip('/')}/plans-{uuid.uuid4().hex}"
 
 
-EDGES = "(select distinct 'p' as project_id, a.l_suppkey as source, b.l_suppkey as target from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_quantity > {0} and b.l_quantity > {0} and a.l_returnflag = 'R' and b.l_returnflag = 'R')"
+#: Items by return flag as projects: three graphs over the same suppliers.
+EDGES = "(select distinct a.l_returnflag as project_id, a.l_suppkey as source, b.l_suppkey as target from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1)"
 
 
-def edges(spark, sf_dir, least: int) -> DataFrame:
-    i = table(spark, sf_dir, "lineitem").filter((F.col("l_quantity") > least) & (F.col("l_returnflag") == "R"))
+def edges(spark, sf_dir) -> DataFrame:
+    i = table(spark, sf_dir, "lineitem")
     after = i.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("target"))
-    return i.join(after, ["l_orderkey", "l_linenumber"]).select(F.lit("p").alias("project_id"), F.col("l_suppkey").alias("source"), "target")
+    return i.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_returnflag").alias("project_id"), F.col("l_suppkey").alias("source"), "target")
 
 
 TYPE = "case s_nationkey % 4 when 0 then 'CONTROLLER' when 1 then 'SERVICE' when 2 then 'REPOSITORY' else 'ENTITY' end"
-NODES = f"(select 'p' as project_id, s_suppkey node_key, s_name as name, {TYPE} node_type from supplier)"
+NODES = f"(select unnest(['A', 'N', 'R']) as project_id, s_suppkey node_key, s_name as name, {TYPE} node_type from supplier)"
 
 
 def nodes(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.lit("p").alias("project_id"), F.col("s_suppkey").alias("node_key"), F.col("s_name").alias("name"), F.expr(TYPE).alias("node_type"), F.lit("f").alias("file_path"), F.lit(1).alias("line"))
+    flags = F.explode(F.array(*map(F.lit, "ANR"))).alias("project_id")
+    return table(spark, sf_dir, "supplier").select(flags, F.col("s_suppkey").alias("node_key"), F.col("s_name").alias("name"), F.expr(TYPE).alias("node_type"), F.lit("f").alias("file_path"), F.lit(1).alias("line"))
 
 
 WORDS = {"CONTROLLER": ("standard", "small"), "SERVICE": ("medium",), "ENTITY": ("economy", "large")}
@@ -45,14 +51,6 @@ def g1_layers(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", G.layer(F.col("p_name"), F.col("p_type"), WORDS).alias("layer"))
 
 
-@query("select source || '/' || doc_id as file_path, regexp_extract(text, '^([A-Za-z]+) ([a-z]+)', 1) as name from documents where regexp_matches(text, '^[A-Za-z]+ [a-z]+')")
-def g2_symbols(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    first = d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id").alias("path"), F.lit("x").alias("language"), F.lit(1).alias("line"), F.regexp_replace("text", "(?s)\n.*", "").alias("text"))
-    found, _ = G.symbols_and_calls(first, {"x": "^()([A-Za-z]+) [a-z]+"})
-    return found.select("file_path", "name")
-
-
 ALL_LINES = "(select path, line, text, case when regexp_matches(text, '^[A-Za-z]+ [a-z]+') then regexp_extract(text, '^([A-Za-z]+) [a-z]+', 1) end declared from (select source || '/' || doc_id path, unnest(string_split(text, chr(10))) text, generate_subscripts(string_split(text, chr(10)), 1) line, len(string_split(text, chr(10))) n from documents) where not (line = n and text = ''))"
 
 
@@ -66,7 +64,7 @@ def all_symbols_and_calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"select path as file_path, declared as name, cast(min(line) as int) as line from {ALL_LINES} where declared is not null group by all")
-def g2_all_symbols(spark, sf_dir):
+def g2_symbols(spark, sf_dir):
     return all_symbols_and_calls(spark, sf_dir)[0].select("file_path", "name", "line")
 
 
@@ -76,24 +74,41 @@ def g2_all_symbols(spark, sf_dir):
     select distinct path || '#' || owner as source, called from (select *, unnest([split_part(dotted, '.', 1), split_part(dotted, '.', -1)]) called from c)
     where called <> '' and called not in ({", ".join(f"'{x}'" for x in G.NO_CALLS)}) and called is distinct from declared"""
 )
-def g2_all_calls(spark, sf_dir):
+def g2_calls(spark, sf_dir):
     return all_symbols_and_calls(spark, sf_dir)[1].select("source", "called")
 
 
-@query(f"select source, target from {EDGES.format(30)}")
+@query(f"select * from {EDGES}")
 def g3_distinct_edges(spark, sf_dir):
-    return G.distinct_edges(edges(spark, sf_dir, 30)).select("source", "target")
+    return G.distinct_edges(edges(spark, sf_dir))
 
 
 @query(
-    f"""with recursive e as (select source, target from {EDGES.format(44)}), r(a, b) as (select source, target from e union select r.a, e.target from r join e on r.b = e.source),
-    m as (select x.a, least(x.a, min(x.b)) root from r x join r y on x.a = y.b and x.b = y.a where x.a <> x.b group by x.a)
-    select array_to_string(list(a order by a), ',') as members, min(a) as source, max(a) as target, 'MAJOR' as severity from m group by root
-    union all select cast(source as varchar), source, source, 'MAJOR' from e where source = target"""
+    f"""with recursive e as (select * from {EDGES}), r(p, a, b) as (select project_id, source, target from e union select r.p, r.a, e.target from r join e on r.p = e.project_id and r.b = e.source),
+    m as (select x.p, x.a, least(x.a, min(x.b)) root from r x join r y on x.p = y.p and x.a = y.b and x.b = y.a where x.a <> x.b group by x.p, x.a)
+    select p as project_id, array_to_string(list(a order by a), ',') as members, min(a) as source, max(a) as target, 'MAJOR' as severity from m group by p, root
+    union all select project_id, cast(source as varchar), source, source, 'MAJOR' from e where source = target"""
 )
 def g4_cycles(spark, sf_dir):
-    found = G.cycles(edges(spark, sf_dir, 44), work_folder(spark))
-    return found.select(F.array_join("members", ",").alias("members"), "source", "target", "severity")
+    found = G.cycles(edges(spark, sf_dir), work_folder(spark))
+    return found.select("project_id", F.array_join("members", ",").alias("members"), "source", "target", "severity")
+
+
+#: Line items point from their part to a later one of the same order, in eleven projects by part: many small components.
+LINKS_OF = "(select distinct a.l_partkey % 11 as project_id, a.l_partkey as source, b.l_partkey as target from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 where a.l_partkey % 11 = b.l_partkey % 11)"
+
+
+@query(
+    f"""with recursive e as (select * from {LINKS_OF}), r(p, a, b) as (select project_id, source, target from e union select r.p, r.a, e.target from r join e on r.p = e.project_id and r.b = e.source),
+    m as (select x.p, x.a, least(x.a, min(x.b)) root from r x join r y on x.p = y.p and x.a = y.b and x.b = y.a where x.a <> x.b group by x.p, x.a)
+    select p as project_id, array_to_string(list(a order by a), ',') as members, min(a) as source, max(a) as target from m group by p, root union all select project_id, cast(source as varchar), source, source from e where source = target"""
+)
+def g4_part_cycles(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem")
+    after = i.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("target"))
+    own = i.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 11 = target % 11").select((F.col("l_partkey") % 11).alias("project_id"), F.col("l_partkey").alias("source"), "target")
+    found = G.cycles(own, work_folder(spark))
+    return found.select("project_id", F.array_join("members", ",").alias("members"), "source", "target")
 
 
 @query("with n as (select regexp_replace(lower(p_brand), '#', '') n, min(p_partkey) target from part group by 1) select distinct p_partkey as source, target from part join n on regexp_replace(lower(p_brand), '#', '') = n where p_partkey <> target")
@@ -103,16 +118,16 @@ def j4_resolved_calls(spark, sf_dir):
     return G.resolved_calls(calls, p).select("source", "target")
 
 
-VIOLATIONS = f"(select e.source, e.target, r.severity from {EDGES.format(30)} e join {NODES} a on a.node_key = e.source join {NODES} b on b.node_key = e.target join (values ('CONTROLLER', 'REPOSITORY', 'HIGH'), ('CONTROLLER', 'ENTITY', 'MEDIUM'), ('SERVICE', 'ENTITY', 'MEDIUM')) r(f, t, severity) on a.node_type = r.f and b.node_type = r.t)"
+VIOLATIONS = f"(select e.project_id, e.source, e.target, r.severity from {EDGES} e join {NODES} a on a.project_id = e.project_id and a.node_key = e.source join {NODES} b on b.project_id = e.project_id and b.node_key = e.target join (values ('CONTROLLER', 'REPOSITORY', 'HIGH'), ('CONTROLLER', 'ENTITY', 'MEDIUM'), ('SERVICE', 'ENTITY', 'MEDIUM')) r(f, t, severity) on a.node_type = r.f and b.node_type = r.t)"
 
 
 def violations(spark, sf_dir) -> DataFrame:
-    return G.violations(G.distinct_edges(edges(spark, sf_dir, 30)), nodes(spark, sf_dir))
+    return G.violations(G.distinct_edges(edges(spark, sf_dir)), nodes(spark, sf_dir))
 
 
 @query(f"select * from {VIOLATIONS}")
 def j5_layer_violations(spark, sf_dir):
-    return violations(spark, sf_dir).select("source", "target", "severity")
+    return violations(spark, sf_dir).select("project_id", "source", "target", "severity")
 
 
 @query("select p_partkey as id, case when p_type like 'STANDARD%' and p_brand like 'Brand#1%' then 'first' when p_type = 'ECONOMY BRASS' and p_brand like 'Brand#2%' then 'second' when p_type like 'STANDARD%' and p_brand like 'Brand#%' then 'third' end as latest from part")
@@ -122,20 +137,23 @@ def j6_eol_rules(spark, sf_dir):
     return G.eol_matches(deps, rules).select("id", "latest")
 
 
-@query(f"select source, target from {EDGES.format(30)} where source % 5 <> 0 and target % 5 <> 0")
+@query(f"select * from {EDGES} where source % 5 <> 0 and target % 5 <> 0")
 def j8_dangling_edges(spark, sf_dir):
-    return G.without_dangling(G.distinct_edges(edges(spark, sf_dir, 30)), nodes(spark, sf_dir).filter("node_key % 5 <> 0")).select("source", "target")
+    return G.without_dangling(G.distinct_edges(edges(spark, sf_dir)), nodes(spark, sf_dir).filter("node_key % 5 <> 0"))
 
 
-@query(f"select source, target, (source, target) in (select (source, target) from {VIOLATIONS}) as violation from {EDGES.format(30)}")
+@query(f"select e.*, v.severity is not null as violation from {EDGES} e left join {VIOLATIONS} v using (project_id, source, target)")
 def j10_highlighted(spark, sf_dir):
-    e = G.distinct_edges(edges(spark, sf_dir, 30))
-    return G.highlighted(e, violations(spark, sf_dir)).select("source", "target", "violation")
+    e = G.distinct_edges(edges(spark, sf_dir))
+    return G.highlighted(e, violations(spark, sf_dir)).select("project_id", "source", "target", "violation")
 
 
-@query(f"with e as (select * from {EDGES.format(45)}) select s_suppkey as node_key, (select count(*) from e where target = s_suppkey) as in_degree, (select count(*) from e where source = s_suppkey) as out_degree, (select count(*) from e where source = s_suppkey) as dep_count from supplier")
+@query(
+    f"""with e as (select * from {EDGES}), i as (select project_id, target k, count(*) n from e group by all), o as (select project_id, source k, count(*) n from e group by all)
+    select p.project_id, p.node_key, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree, coalesce(o.n, 0) as dep_count from {NODES} p left join i on i.project_id = p.project_id and i.k = p.node_key left join o on o.project_id = p.project_id and o.k = p.node_key"""
+)
 def a4_degrees(spark, sf_dir):
-    return G.degrees(G.distinct_edges(edges(spark, sf_dir, 45)), nodes(spark, sf_dir)).drop("project_id")
+    return G.degrees(G.distinct_edges(edges(spark, sf_dir)), nodes(spark, sf_dir))
 
 
 # --- manifests -------------------------------------------------------------------------------------------------------
@@ -165,13 +183,14 @@ def s4_json_map(spark, sf_dir):
 
 @query("select l_orderkey as commit_hash, count(distinct l_partkey) as files_changed, cast(sum(cast(l_quantity as bigint)) as bigint) as added, cast(sum(case when l_linenumber = 1 then 0 else l_linenumber end) as bigint) as removed from lineitem group by 1")
 def s5_commit_log(spark, sf_dir):
-    """Line items as one log per part of the orders."""
+    """Line items as logs of about a thousand orders each, so their number follows the table and their size does not."""
     i = table(spark, sf_dir, "lineitem")
+    logs = max(1, i.count() // 4_000)
     change = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_linenumber") == 1, F.lit("-")).otherwise(F.col("l_linenumber").cast("string")), F.concat(F.lit("p"), "l_partkey"))
     entry = i.groupBy("l_orderkey").agg(F.array_join(F.collect_list(change), "\n").alias("changes"))
     head = F.concat(F.lit("@"), F.lower(F.hex("l_orderkey")), F.lit("\tann\t2024-01-01 00:00:00\n"), F.col("changes"))
-    logs = entry.groupBy((F.col("l_orderkey") % 50).alias("project_id")).agg(F.array_join(F.collect_list(head), "\n").alias("content"))
-    commits, _ = M.commit_log(logs)
+    texts = entry.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(logs)).alias("project_id")).agg(F.array_join(F.collect_list(head), "\n").alias("content"))
+    commits, _ = M.commit_log(texts)
     return commits.select(F.conv("commit_hash", 16, 10).cast("long").alias("commit_hash"), "files_changed", "added", "removed")
 
 
@@ -188,32 +207,50 @@ def s8_imported_metrics(spark, sf_dir):
     return M.imported_metrics(e, ["click", "view"])
 
 
-@query("select o_orderstatus as status, cast(year(o_orderdate) as int) as analysis_id, count(*) as n from orders group by 1, 2")
+@query(
+    """select o_orderstatus as status, cast(year(o_orderdate) as int) as analysis_id, case when year(o_orderdate) > 1994 then 'new' else 'old' end as v, count(*) as n from orders
+    where not (o_orderstatus = 'F' and year(o_orderdate) = 1993) group by all"""
+)
 def s9_replace_snapshot(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("project_id"), F.year("o_orderdate").alias("analysis_id"), "o_orderkey")
+    """Written, written again in part with one key cleared, and that again: no copies, and other keys stay."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("project_id"), F.year("o_orderdate").alias("analysis_id"), "o_orderkey", F.lit("old").alias("v"))
     path = f"{work_folder(spark)}/snapshot"
-    S.replace_snapshot(rows, path)
-    S.replace_snapshot(rows.filter("analysis_id > 1994"), path)
-    return spark.read.parquet(path).groupBy(F.col("project_id").alias("status"), F.col("analysis_id").cast("int").alias("analysis_id")).agg(F.count("*").alias("n"))
+    S.replace_snapshot(rows, path, rows)
+    later, cleared = rows.filter("analysis_id > 1994").withColumn("v", F.lit("new")), rows.filter("project_id = 'F' and analysis_id = 1993")
+    for _ in range(2):
+        S.replace_snapshot(later, path, later.unionByName(cleared))
+    return S.snapshot(spark, path).groupBy(F.col("project_id").alias("status"), F.col("analysis_id").cast("int").alias("analysis_id"), "v").agg(F.count("*").alias("n"))
+
+
+@query("select source as project_id, count(*) as chunks, cast(sum(length(text)) as bigint) as chars from documents where source <> 'src2' and (source <> 'src1' or doc_id % 2 = 0) group by 1")
+def k7_rebuilt_index(spark, sf_dir):
+    """An index of all projects; then one is rebuilt with fewer chunks and one with none."""
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("source").alias("project_id"), F.lit("f").alias("file"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    path = f"{work_folder(spark)}/index"
+    S.rebuild_index(chunks, path, chunks)
+    S.rebuild_index(chunks.filter("project_id = 'src1' and chunk_index % 2 = 0"), path, chunks.filter("project_id in ('src1', 'src2')"))
+    return S.snapshot(spark, path, ("project_id",)).groupBy("project_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
 
 @query(
-    """select o_custkey as project_id, o_orderkey as analysis_id, v from (select o_custkey, o_orderkey, 'old' v from orders where o_orderstatus = 'F' and o_custkey % 3 <> 1 and not (o_custkey % 3 = 2 and o_orderkey % 2 = 0)
-    union all select o_custkey, o_orderkey, 'new' from orders where o_orderstatus = 'F' and o_custkey % 3 = 2 and o_orderkey % 2 = 0)"""
+    """select o_custkey as project_id, o_orderkey as analysis_id, v from (select o_custkey, o_orderkey, 'old' v from orders where o_custkey % 3 <> 1 and not (o_custkey % 3 = 2 and o_orderkey % 2 = 0)
+    union all select o_custkey, o_orderkey, 'new' from orders where o_custkey % 3 = 2 and o_orderkey % 2 = 0)"""
 )
 def s10_refreshed(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("analysis_id"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("analysis_id"))
     action = F.when(F.col("project_id") % 3 == 1, "clear").when((F.col("project_id") % 3 == 2) & (F.col("analysis_id") % 2 == 0), "replace").otherwise("keep")
     return S.refreshed(rows.withColumn("v", F.lit("old")), rows.withColumn("v", F.lit("new")), rows.withColumn("action", action))
 
 
-@query("select user_id as project_id, event_id as id, case when user_id % 2 = 0 then 'SONAR' else 'OLD' end as source, case when user_id % 2 = 0 then 'INFO' else 'MINOR' end as severity from events")
+@query("select user_id as project_id, event_id as id, case when user_id % 2 = 0 then 'SONAR' else 'OLD' end as source, case when user_id % 2 = 0 then 'INFO' else 'MINOR' end as severity from events where user_id % 10 <> 7")
 def s11_replaced_issues(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("project_id"), F.col("event_id").alias("id"), F.lit(" ").alias("suggestion"))
     old = e.withColumns({"source": F.lit("OLD"), "severity": F.lit("MINOR"), "kind": F.lit("BUG")})
     none = F.lit(None).cast("string")
     new = e.filter("project_id % 2 = 0").withColumns({"source": none, "severity": none, "kind": none})
-    return S.replaced_issues(old, new).select("project_id", "id", "source", "severity")
+    refreshed = e.filter("project_id % 2 = 0 or project_id % 10 = 7").select("project_id")  # the latter have no issues any more
+    return S.replaced_issues(old, new, refreshed).select("project_id", "id", "source", "severity")
 
 
 @query("select user_id as analysis_id, cast(floor(cast(json_extract_string(arg_max(props, event_id), '$.k') as double)) as int) as health_score from events group by 1")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.functions.keys import file_keys
 from codehealth.operators import debt as D
 from codehealth.operators import documents as O
+from codehealth.operators import line_rules as R
 from codehealth.operators import retrieval as K
 from codehealth.operators import scoring as C
 from codehealth.plans import graph, history, source_code
@@ -142,10 +144,10 @@ def e2_dimension_compare(spark, sf_dir):
 
 
 def violation_debt(spark, sf_dir):
-    return D.architecture_debt(graph.violations(spark, sf_dir).withColumn("reason", F.concat_ws(" ", "source", "target")))
+    return D.architecture_debt(graph.violations(spark, sf_dir).withColumn("reason", F.concat_ws(" ", "project_id", "source", "target")).withColumn("project_id", F.lit("p")))
 
 
-D1 = f"(select 'ARCH' as source, severity as level, concat(source, ' ', target) as title, null as suggestion from {graph.VIOLATIONS})"
+D1 = f"(select 'ARCH' as source, severity as level, concat(project_id, ' ', source, ' ', target) as title, null as suggestion from {graph.VIOLATIONS})"
 D2 = "(select 'QUALITY' as source, case event_id % 4 when 0 then 'HIGH' else 'MEDIUM' end as level, event_type as title, null as suggestion from events where event_id % 4 < 2)"
 D3 = f"(select 'EVOLUTION' as source, 'HIGH' as level, path as title, concat(commits, '；', added) as suggestion from {history.TOP} where added >= 1200)"
 D4 = f"(select 'DEPEND' as source, risk_level as level, name as title, case when latest is not null then concat('upgrade to ', latest) end as suggestion from {history.DEPENDENCIES} where risk_level in ('HIGH', 'MEDIUM'))"
@@ -187,12 +189,17 @@ def d4_dependency_debt(spark, sf_dir):
     return part_debt(spark, sf_dir).drop("project_id")
 
 
-@query(f"select source, level, count(*) as n from (select * from {D1} union all select * from {D2} union all select * from {D3} union all select * from {D4} union all select 'MANUAL', 'LOW', s_name, null from supplier where s_suppkey % 2 = 0) group by 1, 2")
+@query(
+    f"""select project_id, source, level, count(*) as n from (select 'p' as project_id, * from (select * from {D1} union all select * from {D2} union all select * from {D3} union all select * from {D4} union all select 'MANUAL', 'LOW', s_name, null from supplier where s_suppkey % 2 = 0)
+    union all select 'q', case when s_suppkey % 2 = 0 then 'MANUAL' else 'ARCH' end, 'LOW', s_name, null from supplier union all select 'r', 'MANUAL', 'LOW', s_name, null from supplier where s_suppkey % 2 = 0) group by all"""
+)
 def e3_debt_rebuild(spark, sf_dir):
+    """Project p is rebuilt, r too but without findings, q is left alone."""
     s = table(spark, sf_dir, "supplier")
-    old = s.select(F.lit("p").alias("project_id"), F.when(F.col("s_suppkey") % 2 == 0, "MANUAL").otherwise("ARCH").alias("source"), F.lit("LOW").alias("level"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("suggestion"))
-    now = D.rebuilt(old, violation_debt(spark, sf_dir), issue_debt(spark, sf_dir), hotspot_debt(spark, sf_dir), part_debt(spark, sf_dir))
-    return now.groupBy("source", "level").agg(F.count("*").alias("n"))
+    old = s.select(F.explode(F.array(*map(F.lit, "pqr"))).alias("project_id"), F.when(F.col("s_suppkey") % 2 == 0, "MANUAL").otherwise("ARCH").alias("source"), F.lit("LOW").alias("level"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("suggestion"))
+    projects = spark.createDataFrame([("p",), ("r",)], "project_id string")
+    now = D.rebuilt(old, projects, violation_debt(spark, sf_dir), issue_debt(spark, sf_dir), hotspot_debt(spark, sf_dir), part_debt(spark, sf_dir))
+    return now.groupBy("project_id", "source", "level").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -220,13 +227,31 @@ def l6_intake(spark, sf_dir):
 # --- lifecycle -------------------------------------------------------------------------------------------------------
 
 
-@query("select 'orders' as t, count(*) as n from orders where o_custkey % 10 <> 3 union all select 'lineitem', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_custkey % 10 = 3)")
+@query(
+    """select 'project' as t, count(*) as n from customer where c_custkey % 10 <> 3 union all select 'analysis', count(*) from orders where o_custkey % 10 <> 3
+    union all select 'analysis_report', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_custkey % 10 = 3)
+    union all select 'chat_session', count(distinct conv_id) from conversations where conv_id % 10 <> 3 union all select 'chat_message', count(*) from conversations where conv_id % 10 <> 3
+    union all select 'tech_debt', count(*) from events where user_id % 10 <> 3 union all select 'file_node', count(*) from documents where doc_id % 10 <> 3 union all select 'other', count(*) from part
+    union all select 'cancelled', count(*) from orders where o_custkey % 10 = 3 and o_orderstatus = 'P'"""
+)
 def l1_purge(spark, sf_dir):
-    gone = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 3").select(F.col("c_custkey").alias("o_custkey"))
-    orders = table(spark, sf_dir, "orders")
-    lost = orders.join(gone, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    n = lambda df, t: df.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n")
-    return n(D.purged(orders, gone, "o_custkey"), "orders").unionByName(n(D.purged(table(spark, sf_dir, "lineitem"), lost, "l_orderkey"), "lineitem"))
+    """Each tenth project goes, from all tables; reports go by their analyses and messages by their sessions."""
+    t = lambda name: table(spark, sf_dir, name)
+    key = lambda name, column: t(name).withColumn("project_id", F.col(column))
+    chats = t("conversations").withColumn("session_id", F.col("conv_id"))
+    tables = {
+        "project": key("customer", "c_custkey"), "analysis": key("orders", "o_custkey").select("project_id", F.col("o_orderkey").alias("analysis_id"), F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("SUCCEEDED").alias("status")),
+        "analysis_report": t("lineitem").withColumn("analysis_id", F.col("l_orderkey")), "chat_session": chats.select("session_id", F.col("conv_id").alias("project_id")).distinct(), "chat_message": chats,
+        "tech_debt": key("events", "user_id"), "file_node": key("documents", "doc_id"), "other": t("part"),
+    }
+    ids = lambda name: tables[name].select(F.col("project_id").cast("long"))
+    gone = ids("project").unionByName(ids("chat_session")).unionByName(ids("tech_debt")).unionByName(ids("file_node")).filter("project_id % 10 = 3")
+    left, stopped = D.purge(tables, gone)
+    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("t"), "n")
+    out = n(stopped.filter("status = 'CANCELLED'"), "cancelled")
+    for name, rows in left.items():
+        out = out.unionByName(n(rows, name))
+    return out
 
 
 @query(f"select status, error_code, count(*) as n from (select case when status = 'RUNNING' then 'FAILED' else status end status, case when status = 'RUNNING' then 5003 end error_code from {RUNS}) group by 1, 2 union all select 'READY', null, count(distinct project_id) from {RUNS} where status = 'RUNNING'")
@@ -301,7 +326,7 @@ def k3_keywords(spark, sf_dir):
 
 
 def word_queries(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("role = 'user' and turn < 2 and conv_id % 10 = 0")
+    c = table(spark, sf_dir, "conversations").filter("role = 'user' and conv_id % 50 = 0")
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.lit("p").alias("project_id"), K.keywords(F.col("text")).alias("keywords"))
 
 
@@ -311,7 +336,7 @@ def chunks(spark, sf_dir) -> DataFrame:
 
 
 HITS = f"""(select query_id, file, chunk_index, 0.5 score from (select c.conv_id * 100 + c.turn query_id, d.source file, d.doc_id chunk_index, row_number() over (partition by c.conv_id, c.turn order by d.doc_id, d.source) r
-  from {KEYWORDS} c, documents d where c.turn < 2 and c.conv_id % 10 = 0 and len(list_filter(string_split(c.words, ' '), lambda w: contains(lower(d.text), w) or contains(lower(d.source), w))) > 0) where r <= 8)"""
+  from {KEYWORDS} c, documents d where c.conv_id % 50 = 0 and len(list_filter(string_split(c.words, ' '), lambda w: contains(lower(d.text), w) or contains(lower(d.source), w))) > 0) where r <= 8)"""
 
 
 @query(f"select query_id, file, chunk_index, cast(score as double) as score from {HITS}")
@@ -353,13 +378,13 @@ def k6_context(spark, sf_dir):
 
 
 @query(
-    """with a as (select event_id id, event_id % 7 f, event_id // 100 % 50 l from events where event_id % 100 = 0)
+    """with a as (select event_id id, event_id % 7 f, event_id // 7 % 50 l from events)
     select id as answer_id, concat('src/f', f, '.py') as file, cast(l as int) as line from a where l between 10 and 40"""
 )
 def j7_citations(spark, sf_dir):
-    """Each hundredth event answers with a reference by whole path or by base name; hits span lines 10 to 40."""
-    e = table(spark, sf_dir, "events").filter("event_id % 100 = 0").select(F.col("event_id").alias("answer_id"), (F.col("event_id") % 7).alias("f"), (F.floor(F.col("event_id") / 100) % 50).alias("l"))
-    whole = F.when(F.col("answer_id") % 200 == 0, F.lit("src/")).otherwise(F.lit(""))
+    """Each event answers with a reference by whole path or by base name; hits span lines 10 to 40."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("answer_id"), (F.col("event_id") % 7).alias("f"), (F.floor(F.col("event_id") / 7) % 50).alias("l"))
+    whole = F.when(F.col("answer_id") % 2 == 0, F.lit("src/")).otherwise(F.lit(""))
     answers = e.select("answer_id", F.concat(F.lit("see ["), whole, F.lit("f"), "f", F.lit(".py:"), "l", F.lit("], or [none.py:3]")).alias("text"))
     hits = e.select("answer_id", F.concat(F.lit("src/f"), "f", F.lit(".py")).alias("file"), F.lit(10).alias("start_line"), F.lit(40).alias("end_line"))
     return K.citations(answers, hits)
@@ -369,22 +394,28 @@ def j7_citations(spark, sf_dir):
 
 
 def project_health(spark, sf_dir) -> DataFrame:
-    """Health of each project (source) from its documents: size, findings, scores."""
-    from codehealth.operators import line_rules as R
-
-    files = source_code.files(spark, sf_dir)
+    """Health of each project (source) from its documents: size, findings, scores. Each text is exploded once; findings of a
+    file are summed up where its lines are, then by file, then by project."""
     lines = source_code.doc_lines(spark, sf_dir)
-    secrets = R.scan_lines(lines).groupBy("project_id").agg(F.count("*").alias("vulnerabilities"))
-    project = files.select("project_id", "path")
-    numbers = R.magic_numbers(lines).join(project, "path").groupBy("project_id").agg(F.count("*").alias("code_smells"))
-    sizes = lines.groupBy("project_id").agg(F.countDistinct("path").alias("file_count"), F.count_if(F.trim("text") != "").alias("loc_total"))
-    own = sizes.join(secrets, "project_id", "left").join(numbers, "project_id", "left").fillna(0, ["vulnerabilities", "code_smells"])
+    text, keys = F.col("text"), file_keys(lines)
+    each = lines.select(*keys, "line", F.size(R.line_hits(text)).alias("hits"), R.numbers_of(text).alias("numbers"), (F.trim(text) != "").alias("full"))
+    numbers = F.array_sort(F.collect_list(F.when(F.size("numbers") > 0, F.struct("line", "numbers"))))
+    file = each.groupBy(*keys).agg(F.sum("hits").alias("hits"), F.count_if("full").alias("loc"), numbers.alias("numbers"))
+    smells = F.sum(F.size(R.first_numbers(F.col("numbers"))))
+    own = file.groupBy("project_id").agg(F.count("*").alias("file_count"), F.sum("loc").alias("loc_total"), F.sum("hits").alias("vulnerabilities"), smells.alias("code_smells"))
     none = {c: F.lit(None).cast("double") for c in ("duplication_rate", "coverage_rate", "complexity")}
     flags = {c: F.lit(False) for c in ("truncated", "has_backend", "has_frontend", "has_top_dir")}
     full = own.withColumns(none | flags).withColumn("bugs", F.lit(0)).withColumn("skipped_big", F.lit(0)).withColumn("frameworks", F.array().cast("array<string>"))
     return C.scored(full).select("project_id", "file_count", "loc_total", "vulnerabilities", "code_smells", "quality", "health", "level")
 
 
-@query()
+HITS_OF = f"""(case when {source_code.SECURE} then 1 else (case when {source_code.CALL} is not null then 1 else 0 end)
+  + (case when regexp_matches(text, {source_code.q(R.SQL_WORD)}) and regexp_matches(text, {source_code.q(R.SQL_JOIN)}) then 1 else 0 end) + (case when regexp_matches(text, {source_code.q(R.PASSWORD_COMPARE)}) then 1 else 0 end) end)"""
+OWN = f"""(select project_id, count(distinct (analysis_id, path)) file_count, count(*) filter (trim(text) <> '') loc_total, cast(sum({HITS_OF}) as bigint) vulnerabilities, coalesce(max(smells), 0) code_smells, 0 bugs,
+  null::double duplication_rate, null::double coverage_rate, null::double complexity, false has_backend, false has_frontend, false has_top_dir, 0 n_frameworks
+  from {source_code.LINES} left join (select project_id, count(*) smells from {source_code.magic_sql(source_code.LINES)} group by 1) using (project_id) group by 1)"""
+
+
+@query(f"select project_id, file_count, loc_total, vulnerabilities, code_smells, quality, health, {LEVEL} as level from {HEALTH.replace(SCAN, OWN)}")
 def flagship_project_health(spark, sf_dir):
     return project_health(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,188 +19,338 @@ def q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: Three analyses of each project have files of the same names, and so have all projects.
+KEYS = "project_id, analysis_id, path"
+
+
 def files(spark, sf_dir) -> DataFrame:
+    """Documents as files of a project (source) and one of its analyses; paths repeat among both."""
     d = spread(table(spark, sf_dir, "documents"))
-    return d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("text").alias("content"), "doc_id")
+    path = F.concat(F.lit("src/f"), F.expr("doc_id div 3"), F.lit("."), "lang")
+    return d.select(F.col("source").alias("project_id"), (F.col("doc_id") % 3).alias("analysis_id"), path.alias("path"), F.col("text").alias("content"), "doc_id")
+
+
+FILES = "(select source project_id, doc_id % 3 analysis_id, concat('src/f', doc_id // 3, '.', lang) path, text as content, doc_id from documents)"
 
 
-FILES = "(select source project_id, concat(source, '/', doc_id, '.', lang) path, text as content, doc_id from documents)"
-LINES = f"(select project_id, path, cast(line as int) line, text from (select project_id, path, unnest(string_split(content, chr(10))) text, generate_subscripts(string_split(content, chr(10)), 1) line, len(string_split(content, chr(10))) n from {FILES}) where not (line = n and text = ''))"
+def lines_sql(files: str) -> str:
+    split = "string_split(content, chr(10))"
+    return f"(select {KEYS}, cast(line as int) line, text from (select {KEYS}, unnest({split}) text, generate_subscripts({split}, 1) line, len({split}) n from {files}) where not (line = n and text = ''))"
+
+
+LINES = lines_sql(FILES)
 
 
 def doc_lines(spark, sf_dir) -> DataFrame:
-    return R.lines_of(files(spark, sf_dir), "project_id")
+    return R.lines_of(files(spark, sf_dir))
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages")).select(F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"), "page_id")
+    """Pages as files of four projects; paths repeat among these."""
+    path = F.concat(F.lit("web/p"), F.expr("page_id div 4"), F.lit(".html"))
+    p = spread(table(spark, sf_dir, "pages"))
+    return p.select(F.concat(F.lit("site"), F.col("page_id") % 4).alias("project_id"), F.lit(0).alias("analysis_id"), path.alias("path"), F.col("html").alias("content"), F.regexp_replace("url", "^https?://", "").alias("url"))
+
+
+PAGES = "(select concat('site', page_id % 4) project_id, 0 analysis_id, concat('web/p', page_id // 4, '.html') path, html as content, regexp_replace(url, '^https?://', '') url from pages)"
+PAGE_LINES = lines_sql(PAGES)
+
+#: Lines of code made of the columns of a part: file by file, a bit of everything that the default patterns look for.
+CODE = (
+    "# {name}",
+    "def load_{key}(x):",
+    "    password = '{name}'",
+    "    eval(x) + exec (y)",
+    "    q = 'SELECT {type}' + x",
+    "    if token == '{name}':",
+    "        return hashlib.md5(x)",
+    "    for i in range({size}):",
+    "        yaml.load(f, Loader=SafeLoader) if i else yaml.load(f)",
+    "    try:",
+    "        os.system('rm -rf {name}')",
+    "    except E{key}:",
+    "        # {size}",
+    "        pass",
+    "    while x and y: x = {key}",
+    "    subprocess(a, shell=True)  # TODO {name}",
+    "class A{key} {{",
+    "  public void get{key}(int x) {{",
+    "    if (x > {key}) {{",
+    "      try {{ run(x, {key}{size}); }} catch (E e) {{ }}",
+    "    }} else {{ Math.random(); }}",
+    "    for (int i = 0; i < {size}; i++) {{",
+    "      try {{",
+    "        f();",
+    "      }} catch (E e) {{",
+    "        // {name}",
+    "      }}",
+    "    }}",
+    "  }}",
+    "}}",
+)
+#: A part leaves line k out if p_partkey + k is a multiple of 7; lines with braces are always there.
+ALWAYS = tuple(k for k, x in enumerate(CODE) if "{{" in x or "}}" in x)
+
+
+def code_files(spark, sf_dir) -> DataFrame:
+    """A Python and a Java file of each part, of projects by brand; paths repeat among the projects."""
+    p = spread(table(spark, sf_dir, "part"))
+    column = {"name": F.col("p_name"), "type": F.col("p_type"), "key": F.col("p_partkey").cast("string"), "size": F.col("p_size").cast("string")}
 
+    def text(line: str):
+        parts = re.split(r"\{(name|type|key|size)\}", line.replace("{{", "\x01").replace("}}", "\x02"))
+        return F.concat(*[column[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)])
 
-PAGES = "(select regexp_replace(url, '^https?://', '') path, html as content, page_id from pages)"
-PAGE_LINES = f"(select path, cast(line as int) line, text from (select path, unnest(string_split(content, chr(10))) text, generate_subscripts(string_split(content, chr(10)), 1) line, len(string_split(content, chr(10))) n from {PAGES}) where not (line = n and text = ''))"
+    chosen = F.array_compact(F.array(*[text(x) if k in ALWAYS else F.when((F.col("p_partkey") + k) % 7 != 0, text(x)) for k, x in enumerate(CODE)]))
+    content = F.concat(F.array_join(chosen, "\n"), F.lit("\n"))
+    path = F.concat(F.lit("src/m"), F.expr("p_partkey div 50"), F.lit("_"), F.col("p_partkey") % 2, F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise(".java"))
+    return p.select(F.concat(F.lit("k"), F.col("p_partkey") % 50 - F.col("p_partkey") % 2).alias("project_id"), F.lit(1).alias("analysis_id"), path.alias("path"), content.alias("content"))
+
+
+def _code_line(line: str) -> str:
+    parts = re.split(r"\{(name|type|key|size)\}", line.replace("{{", "\x01").replace("}}", "\x02"))
+    names = {"name": "p_name", "type": "p_type", "key": "p_partkey", "size": "p_size"}
+    return "concat(" + ", ".join(names[x] if i % 2 else q(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)) + ")"
+
+
+CODE_LINES = (
+    "(select project_id, analysis_id, path, line, text from (select concat('k', p_partkey % 50 - p_partkey % 2) project_id, 1 analysis_id, concat('src/m', p_partkey // 50, '_', p_partkey % 2, case when p_partkey % 2 = 0 then '.py' else '.java' end) path, l.text, cast(row_number() over (partition by p_partkey order by l.k) as int) line from part, lateral (values "
+    + ", ".join(f"({k}, {'true' if k in ALWAYS else f'(p_partkey + {k}) % 7 <> 0'}, {_code_line(x)})" for k, x in enumerate(CODE))
+    + ") l(k, taken, text) where l.taken))"
+)
 
 
 # --- inventory -------------------------------------------------------------------------------------------------------
 
 TRIM = "regexp_replace({0}, '^[ \\t\\x0c\\x0b]+|[ \\t\\x0c\\x0b]+$', '', 'g')"
-LOC = f"(select path, count(*) filter (t <> '' and not starts_with(t, '//') and not starts_with(t, '#') and not starts_with(t, '/*')) loc from (select path, trim(text) t from {LINES}) group by path)"
+LOC = f"(select {KEYS}, count(*) filter (t <> '' and not starts_with(t, '//') and not starts_with(t, '#') and not starts_with(t, '/*')) loc from (select {KEYS}, trim(text) t from {LINES}) group by all)"
 
 
-@query(f"select path, 'kept' as status, 'OTHER' as language, coalesce(loc, 0) as loc from {FILES} f left join {LOC} l using (path) where octet_length(encode(content)) <= 4000 union all select path, 'big', null, null from {FILES} where octet_length(encode(content)) > 4000")
+@query(f"select {KEYS}, 'kept' as status, 'OTHER' as language, coalesce(loc, 0) as loc from {FILES} f left join {LOC} l using ({KEYS}) where octet_length(encode(content)) <= {I.MAX_BYTES} union all select {KEYS}, 'big', null, null from {FILES} where octet_length(encode(content)) > {I.MAX_BYTES}")
 def s1_inventory(spark, sf_dir):
-    rows = files(spark, sf_dir).select("path", F.octet_length("content").alias("size_bytes"), F.col("content").cast("binary").alias("content"))
-    return I.inventory(rows, 4000).select("path", "status", "language", "loc")
+    rows = files(spark, sf_dir).select("project_id", "analysis_id", "path", F.octet_length("content").alias("size_bytes"), F.col("content").cast("binary").alias("content"))
+    return I.inventory(rows).select("project_id", "analysis_id", "path", "status", "language", "loc")
 
 
 @query(
     f"""with f as (select source project_id, lang, n_chars, row_number() over (partition by source order by concat(source, '/', doc_id, '.', lang)) k from documents),
-    t as (select project_id, sum(n_chars) filter (k <= 30) total, count(*) filter (k <= 30) files, count(*) > 30 truncated from f group by 1),
-    s as (select project_id, lang, sum(n_chars) n from f where k <= 30 group by 1, 2)
+    t as (select project_id, sum(n_chars) filter (k <= {I.MAX_FILES}) total, count(*) filter (k <= {I.MAX_FILES}) files, count(*) > {I.MAX_FILES} truncated from f group by 1),
+    s as (select project_id, lang, sum(n_chars) n from f where k <= {I.MAX_FILES} group by 1, 2)
     select t.project_id, cast(total as bigint) as loc_total, files as file_count, truncated, (select string_agg(concat(lang, '=', round(n * 100 / total, 1)), ',' order by lang) from s where s.project_id = t.project_id) as lang_stats from t"""
 )
 def s2_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     rows = d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id", F.lit("."), "lang").alias("path"), F.col("lang").alias("language"), F.col("n_chars").alias("loc"), F.lit("kept").alias("status"))
     shown = F.array_join(F.transform(F.sort_array(F.map_entries("lang_stats")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return I.summary(rows, most=30).select("project_id", "loc_total", "file_count", "truncated", shown.alias("lang_stats"))
+    return I.summary(rows).select("project_id", "loc_total", "file_count", "truncated", shown.alias("lang_stats"))
 
 
-@query(f"select path, list_has_any(list_slice(string_split(path, '/'), 1, -2), ['item', 'dist', 'build', 'target']) or regexp_matches(path, '(\\.lock|\\.min\\.js|\\.map|\\.pyc|\\.pyo|\\.class|\\.jar)$') as ignored from {PAGES}")
+@query(f"select url, list_has_any(list_slice(string_split(url, '/'), 1, -2), ['item', 'dist', 'build', 'target']) or regexp_matches(url, '(\\.lock|\\.min\\.js|\\.map|\\.pyc|\\.pyo|\\.class|\\.jar)$') as ignored from {PAGES}")
 def f1_default_ignore(spark, sf_dir):
     # hosts stand in for directories; a directory of the pages is among the ignored ones
     p = pages(spark, sf_dir)
-    named = F.concat_ws("/", F.transform(I.segments(F.col("path")), lambda x: F.when(x == "item", F.lit("dist")).otherwise(x)))
-    return p.select("path", I.ignored(named).alias("ignored"))
+    named = F.concat_ws("/", F.transform(I.segments(F.col("url")), lambda x: F.when(x == "item", F.lit("dist")).otherwise(x)))
+    return p.select("url", I.ignored(named).alias("ignored"))
 
 
-@query(f"select path, list_has_any(string_split(path, '/'), ['.git', 'node_modules', '.venv', 'venv', 'dist', 'build', '.idea', 'p']) as skipped from {PAGES}")
+@query(f"select url, list_has_any(string_split(url, '/'), ['.git', 'node_modules', '.venv', 'venv', 'dist', 'build', '.idea', 'p']) as skipped from {PAGES}")
 def f4_scanner_skips(spark, sf_dir):
-    return pages(spark, sf_dir).select("path", I.skipped(F.col("path"), (*I.SCANNER_SKIPS, "p")).alias("skipped"))
+    return pages(spark, sf_dir).select("url", I.skipped(F.col("url"), (*I.SCANNER_SKIPS, "p")).alias("skipped"))
 
 
-@query(f"select path, regexp_extract(path, '(\\.[^./]+)$', 1) as extension from {FILES} where regexp_extract(path, '(\\.[^./]+)$', 1) in ('.en', '.fr')")
+@query(f"select {KEYS}, regexp_extract(path, '(\\.[^./]+)$', 1) as extension from {FILES} where regexp_extract(path, '(\\.[^./]+)$', 1) in ('.en', '.fr')")
 def f5_extension_filter(spark, sf_dir):
     f = files(spark, sf_dir).withColumn("extension", I.extension(F.col("path")))
-    return f.filter(F.col("extension").isin(".en", ".fr")).select("path", "extension")
+    return f.filter(F.col("extension").isin(".en", ".fr")).select("project_id", "analysis_id", "path", "extension")
 
 
-RULES = [("src1", 1, "src1", False), ("src1", 2, "src1/21.en", True), ("src2", 1, "nothing", False), ("src3", 1, "src3/", False), ("src3", 2, "src3", True)]
+RULES = [("src1", 1, "src", False), ("src1", 2, "src/f7.en", True), ("src2", 1, "nothing", False), ("src3", 1, "src3/", False), ("src3", 2, "src3", True)]
 
 
 @query(
-    f"""with r(of, ord, v, negate) as (values ('src1', 1, 'src1', false), ('src1', 2, 'src1/21.en', true), ('src2', 1, 'nothing', false), ('src3', 1, 'src3', false), ('src3', 2, 'src3', true)),
-    m as (select project_id, path, arg_max(negate, ord) negate from {FILES}, r where project_id = of and case when contains(v, '/') then path = v else list_contains(string_split(path, '/'), v) end group by 1, 2)
-    select f.path, not m.negate as custom from {FILES} f left join m using (path)"""
+    f"""with r(of, ord, v, negate) as (values ('src1', 1, 'src', false), ('src1', 2, 'src/f7.en', true), ('src2', 1, 'nothing', false), ('src3', 1, 'src3', false), ('src3', 2, 'src3', true)),
+    m as (select {KEYS}, arg_max(negate, ord) negate from {FILES}, r where project_id = of and case when contains(v, '/') then path = v else list_contains(string_split(path, '/'), v) end group by all)
+    select {KEYS}, not m.negate as custom from {FILES} f left join m using ({KEYS})"""
 )
 def f2_custom_ignore(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "project_id string, ord int, value string, negate boolean")
-    return I.custom_ignored(files(spark, sf_dir).select("project_id", "path"), rules).select("path", "custom")
+    return I.custom_ignored(files(spark, sf_dir).select("project_id", "analysis_id", "path"), rules).select("project_id", "analysis_id", "path", "custom")
 
 
-@query(f"select distinct project_id, project_id as dir from {FILES} where project_id = 'src1'")
+@query(f"select distinct project_id, 'src' as dir from {FILES} where project_id = 'src1'")
 def f3_reincluded_dirs(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "project_id string, ord int, value string, negate boolean")
-    return I.reincluded(files(spark, sf_dir).select("project_id", F.col("project_id").alias("dir")).distinct(), rules)
+    return I.reincluded(files(spark, sf_dir).select("project_id", F.lit("src").alias("dir")).distinct(), rules)
 
 
 STACK = {"the": "The", "der": "German", "die": "German", "les": "French", "zzzz": "None"}
+STORES = {"and": "And", "und": "Und", "th": "Th"}
 
 
 @query(
-    f"""with k(kw, label, rank) as (values ('the', 'The', 0), ('der', 'German', 1), ('die', 'German', 1), ('les', 'French', 3), ('zzzz', 'None', 4)),
-    h as (select project_id, label, min(rank) rank from {FILES}, k where contains(content, kw) group by 1, 2)
-    select p.project_id, (select string_agg(label, ',' order by rank) from h where h.project_id = p.project_id) as frameworks, false as has_backend from (select distinct project_id from {FILES}) p"""
+    """with m as (select source project_id, text, case when doc_id % 2 = 0 then 0 else 2 end o, doc_id % 2 = 0 pom from documents),
+    k(kw, label, rank) as (values ('the', 'The', 0), ('der', 'German', 1), ('die', 'German', 1), ('les', 'French', 3), ('zzzz', 'None', 4)),
+    d(kw, label, rank) as (values ('and', 'And', 0), ('und', 'Und', 1), ('th', 'Th', 2)),
+    h as (select project_id, label, min(o * 1000 + rank) rank from m, k where contains(case when pom then text else lower(text) end, kw) group by 1, 2 union all select project_id, 'Maven', -1 from m where pom group by 1),
+    g as (select project_id, label, min(o * 1000 + rank) rank from m, d where contains(case when pom then text else lower(text) end, kw) group by 1, 2)
+    select p.project_id, (select string_agg(label, ',' order by rank) from h where h.project_id = p.project_id) as frameworks, coalesce((select string_agg(label, ',' order by rank) from g where g.project_id = p.project_id), '') as databases, true as has_backend from (select distinct project_id from m) p"""
 )
 def f11_stack(spark, sf_dir):
-    found = I.stack(files(spark, sf_dir), STACK)
-    return found.select("project_id", F.array_join("frameworks", ",").alias("frameworks"), "has_backend")
+    """Documents stand in for poms and requirements at the roots of their projects."""
+    d = spread(table(spark, sf_dir, "documents"))
+    rows = d.select(F.col("source").alias("project_id"), F.when(F.col("doc_id") % 2 == 0, "pom.xml").otherwise("requirements.txt").alias("path"), F.col("text").alias("content"))
+    found = I.stack(rows, STACK, STORES)
+    return found.select("project_id", F.array_join("frameworks", ",").alias("frameworks"), F.array_join("databases", ",").alias("databases"), "has_backend")
 
 
 # --- rules -----------------------------------------------------------------------------------------------------------
 
+HIT = ("project_id", "analysis_id", "path", "line", "rule_key")
+
+
+def code_lines(spark, sf_dir) -> DataFrame:
+    return R.lines_of(code_files(spark, sf_dir))
+
 
-@query(f"select path, line, 'SECRET-HARDCODED' as rule_key from {LINES} where regexp_matches(text, {q(R.SECRET)})")
+@query(f"select {KEYS}, line, 'SECRET-HARDCODED' as rule_key from {LINES} where regexp_matches(text, {q(R.SECRET)})")
 def r1_secrets(spark, sf_dir):
-    return R.scan_lines(doc_lines(spark, sf_dir)).filter("rule_key = 'SECRET-HARDCODED'").select("path", "line", "rule_key")
+    return R.scan_lines(doc_lines(spark, sf_dir)).filter("rule_key = 'SECRET-HARDCODED'").select(*HIT)
 
 
-CALLS = (("<script", "script"), ("<a [^>]*href", "link"), ("<li>", "item"), ("</p>", "paragraph"))
-LABEL = "case " + " ".join(f"when regexp_matches(text, {q(p)}) then {q(x)}" for p, x in CALLS) + " end"
+def dangerous_sql(patterns) -> str:
+    """One engine has no look-ahead: the list's only one, for a safe loader later in the line, is written out for it."""
+    plain = lambda p: f"regexp_matches(text, {q(p)})"
+    test = lambda p: plain(p) if "(?!" not in p else f"(regexp_matches(text, {q(p.split('|')[0])}) or regexp_matches(regexp_replace(text, '^.*SafeLoader', ''), {q('yaml[.]load' + chr(92) + 's*' + chr(92) + '([^)]*' + chr(92) + ')')}))"
+    return "case " + " ".join(f"when {test(p)} then {q(x)}" for p, x in patterns) + " end"
 
 
-@query(f"select path, line, {LABEL} as message from {PAGE_LINES} where {LABEL} is not null")
-def r2_dangerous_calls(spark, sf_dir):
-    return R.scan_lines(R.lines_of(pages(spark, sf_dir)), (R.LineRule("DANGEROUS-CALL", "SECURITY", "VULNERABILITY", "MAJOR", ""),), CALLS).select("path", "line", "message")
+CALL = dangerous_sql(R.DANGEROUS)
+SECURE = f"regexp_matches(text, {q(R.SECRET)})"
 
 
-PAIR = R.LineRule("SQL-INJECTION", "SECURITY", "VULNERABILITY", "CRITICAL", r"(?i)" + R.EDGE + r"(a|div|p)" + R.END, r"['\"]")
+@query(f"select {KEYS}, line, {CALL} as message from {CODE_LINES} where {CALL} is not null and not {SECURE}")
+def r2_dangerous_calls(spark, sf_dir):
+    return R.scan_lines(code_lines(spark, sf_dir)).filter("rule_key = 'DANGEROUS-CALL'").select("project_id", "analysis_id", "path", "line", "message")
 
 
-@query(f"select path, line, 'SQL-INJECTION' as rule_key from {PAGE_LINES} where regexp_matches(text, {q(PAIR.pattern)}) and regexp_matches(text, {q(PAIR.also)})")
+@query(f"select {KEYS}, line, 'SQL-INJECTION' as rule_key from {CODE_LINES} where regexp_matches(text, {q(R.SQL_WORD)}) and regexp_matches(text, {q(R.SQL_JOIN)}) and not {SECURE}")
 def r3_two_marks(spark, sf_dir):
-    return R.scan_lines(R.lines_of(pages(spark, sf_dir)), (PAIR,)).select("path", "line", "rule_key")
+    return R.scan_lines(code_lines(spark, sf_dir)).filter("rule_key = 'SQL-INJECTION'").select(*HIT)
+
+
+@query(
+    f"""with c as (select *, {SECURE} a, {CALL} is not null b, regexp_matches(text, {q(R.SQL_WORD)}) and regexp_matches(text, {q(R.SQL_JOIN)}) c, regexp_matches(text, {q(R.PASSWORD_COMPARE)}) d from {CODE_LINES})
+    select {KEYS}, line, rule_key from (select *, unnest(['SECRET-HARDCODED', 'DANGEROUS-CALL', 'SQL-INJECTION', 'PLAINTEXT-PASSWORD-COMPARE']) rule_key from c)
+    where case rule_key when 'SECRET-HARDCODED' then a when 'DANGEROUS-CALL' then b and not a when 'SQL-INJECTION' then c and not a else d and not a end"""
+)
+def r4_rules_on_one_line(spark, sf_dir):
+    """All default rules: several may hit a line, a secret ends it."""
+    return R.scan_lines(code_lines(spark, sf_dir)).select(*HIT)
 
 
-MANY = (R.LineRule("ONE", "S", "K", "MAJOR", "<script", last=True), R.LineRule("TWO", "S", "K", "MINOR", "<p>"), R.LineRule("THREE", "S", "K", "MINOR", "</p>"))
+MANY = [("ONE", "MAJOR", "<script", True), ("TWO", "MINOR", "<p>", False), ("THREE", "MINOR", "</p>", False)]
 
 
 @query(
-    f"""select path, line, rule_key from (select path, line, text, unnest(['ONE', 'TWO', 'THREE']) rule_key from {PAGE_LINES})
+    f"""select {KEYS}, line, rule_key from (select *, unnest(['ONE', 'TWO', 'THREE']) rule_key from {PAGE_LINES})
     where case rule_key when 'ONE' then contains(text, '<script') when 'TWO' then contains(text, '<p>') and not contains(text, '<script') else contains(text, '</p>') and not contains(text, '<script') end"""
 )
-def r4_rules_on_one_line(spark, sf_dir):
-    return R.scan_lines(R.lines_of(pages(spark, sf_dir)), MANY).select("path", "line", "rule_key")
+def x_registered_rules(spark, sf_dir):
+    """Rules that come as a table."""
+    rules = spark.createDataFrame([(i, key, "S", "K", severity, pattern, last) for i, (key, severity, pattern, last) in enumerate(MANY)], "ord int, rule_key string, source string, kind string, severity string, pattern string, last boolean")
+    R.register_rules(rules, "pages")
+    return R.scan_lines(R.lines_of(pages(spark, sf_dir)), R.REGISTERED["pages"]).select(*HIT)
 
 
 WORDS = {"THE": "MINOR", "ER": "MAJOR"}
-MARK = f"upper(regexp_extract(regexp_extract(text, {q(R.OPENER + '(.*)$')}, 0), {q('(?i)(THE|ER)' + R.END)}, 1))"
 
 
-@query(f"select path, line, concat('LEFTOVER-', marker) as rule_key from (select path, line, marker, row_number() over (partition by path order by line) k from (select *, {MARK} marker from {LINES}) where marker <> '') where k <= 10")
+def mark_sql(words: str) -> str:
+    return f"upper(regexp_extract(regexp_extract(text, {q(R.OPENER + '(.*)$')}, 0), {q(f'(?i)({words})' + R.END)}, 1))"
+
+
+MARK = mark_sql("THE|ER")
+LEFT = f"(select * from (select *, row_number() over (partition by {KEYS} order by line) k from (select *, {MARK} marker from {LINES}) where marker <> '') where k <= 10)"
+
+
+@query(f"select {KEYS}, line, concat('LEFTOVER-', marker) as rule_key from {LEFT}")
 def r5_leftovers(spark, sf_dir):
-    return R.leftovers(doc_lines(spark, sf_dir), WORDS).select("path", "line", "rule_key")
+    return R.leftovers(doc_lines(spark, sf_dir), WORDS).select(*HIT)
+
+
+@query(f"select {KEYS}, line, concat('LEFTOVER-', {mark_sql('TODO|FIXME|HACK|XXX')}) as rule_key from {CODE_LINES} where {mark_sql('TODO|FIXME|HACK|XXX')} <> ''")
+def r5_code_leftovers(spark, sf_dir):
+    return R.leftovers(code_lines(spark, sf_dir)).select(*HIT)
 
 
 BARE = f"regexp_replace(regexp_replace(text, {q(R.STRING)}, 'S', 'g'), '(//|#).*$', '', 'g')"
 NUMBERS = f"list_filter(regexp_extract_all({BARE}, '[A-Za-z0-9_$]+'), lambda x: regexp_matches(x, '^[0-9]{{3,}}$') and x not in ({', '.join(map(q, R.SAFE_NUMBERS))}))"
 
 
-@query(f"select path, line, array_to_string(numbers, ',') as numbers from (select *, {NUMBERS} numbers from {LINES} where not regexp_matches(trim(text), {q(r'^(//|#|[*]|/[*])')}) and not regexp_matches(text, {q(R.DECLARATION)})) where len(numbers) > 0")
+def numbers_sql(lines: str) -> str:
+    return f"(select {KEYS}, line, numbers from (select *, {NUMBERS} numbers from {lines} where not regexp_matches(trim(text), {q(r'^(//|#|[*]|/[*])')}) and not regexp_matches(text, {q(R.DECLARATION)})) where len(numbers) > 0)"
+
+
+@query(f"select {KEYS}, line, array_to_string(numbers, ',') as numbers from {numbers_sql(LINES)}")
 def r6_number_candidates(spark, sf_dir):
-    return R.number_candidates(doc_lines(spark, sf_dir)).select("path", "line", F.array_join("numbers", ",").alias("numbers"))
+    return R.number_candidates(doc_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line", F.array_join("numbers", ",").alias("numbers"))
+
 
+def magic_sql(lines: str) -> str:
+    """A fold over the candidate lines of a file: the numbers reported so far, and which one this line adds."""
+    return f"""(with recursive c as (select *, row_number() over (partition by {KEYS} order by line) k from {numbers_sql(lines)}),
+      f as (select {KEYS}, k, line, [numbers[1]] seen, numbers[1] hit from c where k = 1
+        union all select c.project_id, c.analysis_id, c.path, c.k, c.line, case when len(seen) < 5 and n is not null then list_append(seen, n) else seen end, case when len(seen) < 5 then n end
+          from f join (select * from c) c on c.project_id = f.project_id and c.analysis_id = f.analysis_id and c.path = f.path and c.k = f.k + 1, lateral (select list_filter(c.numbers, lambda x: not list_contains(f.seen, x))[1] n))
+      select {KEYS}, line, hit as message from f where hit is not null)"""
 
-@query()
+
+@query(magic_sql(LINES))
 def r6_magic_numbers(spark, sf_dir):
-    return R.magic_numbers(doc_lines(spark, sf_dir)).select("path", "line", "message")
+    return R.magic_numbers(doc_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line", "message")
+
 
+@query(magic_sql(CODE_LINES))
+def r6_code_numbers(spark, sf_dir):
+    return R.magic_numbers(code_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line", "message")
 
-@query(f"select path, line from (select *, lead(text) over (partition by path order by line) after from {LINES} where not regexp_matches(text, '^An')) where regexp_matches(text, '^[^,]*[.]$') and regexp_matches(after, '^[A-Z][a-z]+ ')")
+
+def swallowed_sql(lines: str, head: str, body: str, comment: str) -> str:
+    return f"select {KEYS}, line from (select *, lead(text) over (partition by {KEYS} order by line) after from {lines} where not regexp_matches(text, {q(comment)})) where regexp_matches(text, {q(head)}) and regexp_matches(after, {q(body)})"
+
+
+@query(swallowed_sql(CODE_LINES, r"^[ \t]*except[^:]*:[ \t]*$", r"^[ \t]*pass[ \t]*$", r"^[ \t]*#"))
 def r7_swallowed(spark, sf_dir):
-    return R.swallowed(doc_lines(spark, sf_dir), "^[^,]*[.]$", "^[A-Z][a-z]+ ", "^An").select("path", "line")
+    return R.swallowed(code_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line")
 
 
-@query(
-    f"""with s as (select path, count(*) n, count(*) filter (regexp_matches(text, '[.]$')) nt, min(line) filter (regexp_matches(text, '[.]$')) t, count(*) filter (regexp_matches(text, '^[A-Z][a-z]+ a')) nm, min(line) filter (regexp_matches(text, '^[A-Z][a-z]+ a')) m from {LINES} group by 1)
-    select path, t as line, 'TRAILING-WHITESPACE' as rule_key from s where nt >= 3 union all select path, m, 'MIXED-INDENT' from s where nm >= 1"""
-)
-def r9_style(spark, sf_dir):
-    return R.style(doc_lines(spark, sf_dir), "[.]$", "^[A-Z][a-z]+ a").select("path", "line", "rule_key")
+@query(swallowed_sql(LINES, "^[^,]*[.]$", "^[A-Z][a-z]+ ", "^An"))
+def r7_text_pairs(spark, sf_dir):
+    return R.swallowed(doc_lines(spark, sf_dir), "^[^,]*[.]$", "^[A-Z][a-z]+ ", "^An").select("project_id", "analysis_id", "path", "line")
+
 
+STYLE = {"trailing": "[.]$", "mixed": "^[A-Z][a-z]+ a"}
+STYLED = f"""(with s as (select {KEYS}, count(*) filter (regexp_matches(text, '[.]$')) nt, min(line) filter (regexp_matches(text, '[.]$')) t, count(*) filter (regexp_matches(text, '^[A-Z][a-z]+ a')) nm, min(line) filter (regexp_matches(text, '^[A-Z][a-z]+ a')) m from {LINES} group by all)
+    select {KEYS}, t as line, 'TRAILING-WHITESPACE' as rule_key from s where nt >= 3 union all select {KEYS}, m, 'MIXED-INDENT' from s where nm >= 1)"""
 
-def doc_issues(spark, sf_dir) -> DataFrame:
-    lines = doc_lines(spark, sf_dir)
-    return R.all_issues(None, R.scan_lines(lines), R.leftovers(lines, WORDS), R.style(lines, "[.]$", "^[A-Z][a-z]+ a"))
+
+@query(f"select * from {STYLED}")
+def r9_style(spark, sf_dir):
+    return R.style(doc_lines(spark, sf_dir), **STYLE).select(*HIT)
 
 
 @query(
-    f"""select source, count(*) as n from (select 'SECURITY' as source from {LINES} where regexp_matches(text, {q(R.SECRET)})
-    union all select 'TODO' from (select path, row_number() over (partition by path order by line) k from (select *, {MARK} marker from {LINES}) where marker <> '') where k <= 10
-    union all select 'STYLE' from {LINES} group by path having count(*) filter (regexp_matches(text, '[.]$')) >= 3
-    union all select 'STYLE' from {LINES} group by path having count(*) filter (regexp_matches(text, '^[A-Z][a-z]+ a')) >= 1) group by 1"""
+    f"""select {KEYS}, line, rule_key, source from (select {KEYS}, line, 'SECRET-HARDCODED' as rule_key, 'SECURITY' as source from {LINES} where {SECURE}
+    union all select {KEYS}, line, 'DANGEROUS-CALL', 'SECURITY' from {LINES} where {CALL} is not null and not {SECURE}
+    union all select {KEYS}, line, 'SQL-INJECTION', 'SECURITY' from {LINES} where regexp_matches(text, {q(R.SQL_WORD)}) and regexp_matches(text, {q(R.SQL_JOIN)}) and not {SECURE}
+    union all select {KEYS}, line, 'PLAINTEXT-PASSWORD-COMPARE', 'SECURITY' from {LINES} where regexp_matches(text, {q(R.PASSWORD_COMPARE)}) and not {SECURE}
+    union all select {KEYS}, line, concat('LEFTOVER-', marker), 'TODO' from {LEFT}
+    union all select {KEYS}, line, 'MAGIC-NUMBER', 'MAGIC' from {magic_sql(LINES)}
+    union all select *, 'STYLE' from {STYLED})"""
 )
 def r10_all_issues(spark, sf_dir):
-    return doc_issues(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    """All scanners over one explosion of each text."""
+    return R.findings(files(spark, sf_dir), markers=WORDS, styles=STYLE).select(*HIT, "source")
 
 
 ADVICE = [("STANDARD", "plain", "leave"), ("STANDARD POLISHED", "shiny", "dull"), ("PROMO", "loud", "hush"), ("ECONOMY A", "cheap", "check")]
@@ -212,7 +364,7 @@ ADVICE = [("STANDARD", "plain", "leave"), ("STANDARD POLISHED", "shiny", "dull")
 def r11_advice(spark, sf_dir):
     issues = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("rule_key"))
     advice = spark.createDataFrame(ADVICE, "rule_key string, impact string, fix string")
-    return R.with_advice(issues, advice, "id").select("id", "impact", "fix")
+    return R.with_advice(issues, advice).select("id", "impact", "fix")
 
 
 @query(
@@ -226,94 +378,145 @@ def r12_explanations(spark, sf_dir):
 
 
 @query(
-    f"""with i as (select path, line, 3 r from {LINES} where regexp_matches(text, {q(R.SECRET)}) union all
-      select path, line, case marker when 'ER' then 2 else 1 end from (select *, row_number() over (partition by path order by line) k from (select *, {MARK} marker from {LINES}) where marker <> '') where k <= 10)
-    select l.path, l.line, count(i.r) as issues, case max(i.r) when 3 then 'error' when 2 then 'warning' when 1 then 'info' end as class from {LINES} l left join i using (path, line) group by 1, 2"""
+    f"""with i as (select {KEYS}, line, 3 r from {LINES} where {SECURE} union all select {KEYS}, line, case marker when 'ER' then 2 else 1 end from {LEFT})
+    select {KEYS}, line, count(i.r) as issues, case max(i.r) when 3 then 'error' when 2 then 'warning' when 1 then 'info' end as class from {LINES} l left join i using ({KEYS}, line) group by all"""
 )
 def j9_annotated_lines(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    return R.annotated(lines, R.all_issues(None, R.scan_lines(lines), R.leftovers(lines, WORDS)))
+    issues = R.findings(files(spark, sf_dir), markers=WORDS, rules=R.SECURITY[:1], numbers=False).filter("source <> 'STYLE'")
+    return R.annotated(doc_lines(spark, sf_dir), issues)
 
 
 # --- blocks ----------------------------------------------------------------------------------------------------------
 
-DEPTH = f"(select path, line, text, sum(len(regexp_extract_all(text, '<[a-z]')) - len(regexp_extract_all(text, '</'))) over (partition by path order by line) d, max(line) over (partition by path) n from {PAGE_LINES})"
 
+def depth_sql(lines: str, open_: str, close: str) -> str:
+    return f"(select {KEYS}, line, text, sum(len(regexp_extract_all(text, {q(open_)})) - len(regexp_extract_all(text, {q(close)}))) over (partition by {KEYS} order by line) d, max(line) over (partition by {KEYS}) n from {lines})"
 
-@query(
-    f"""with s as (select *, coalesce(lag(d) over (partition by path order by line), 0) b from {DEPTH})
-    select path, cast(line - 1 as int) as start, cast(coalesce((select min(e.line) from s e where e.path = s.path and e.line > s.line and e.d <= s.b), s.n) - 1 as int) as end from s where regexp_matches(text, '<(body|ul|div)')"""
-)
+
+def same_file(a: str, b: str) -> str:
+    return " and ".join(f"{a}.{k} = {b}.{k}" for k in KEYS.split(", "))
+
+
+def braces_sql(lines: str, head: str, open_: str = "[{]", close: str = "[}]") -> str:
+    """Blocks of the lines that satisfy the condition `head`: start and end from 0."""
+    return f"""(with s as (select *, coalesce(lag(d) over (partition by {KEYS} order by line), 0) b from {depth_sql(lines, open_, close)})
+    select {KEYS}, cast(line - 1 as int) as start, cast(coalesce((select min(e.line) from s e where {same_file("e", "s")} and e.line > s.line and e.d <= s.b), s.n) - 1 as int) as end from s where {head})"""
+
+
+def indents_sql(lines: str, head: str) -> str:
+    return f"""(with l as (select *, case when trim(text) = '' then 1000000 else length(text) - length(ltrim(text, ' ')) end d, max(line) over (partition by {KEYS}) n from {lines})
+    select {KEYS}, cast(line - 1 as int) as start, cast(coalesce((select min(e.line) from l e where {same_file("e", "l")} and e.line > l.line and e.d <= l.d), l.n + 1) - 2 as int) as end from l where {head})"""
+
+
+def defined(pattern: str) -> str:
+    """A condition for a head pattern: one engine has no look-ahead, so the words ruled out are a condition of their own."""
+    ruled = r"(?!(?:for|if|while|switch|catch|do)\b)"
+    other = "" if ruled not in pattern else f" and not regexp_matches(text, {q('^' + chr(92) + 's*(?:for|if|while|switch|catch|do)' + chr(92) + 'b')})"
+    return f"regexp_matches(text, {q(pattern.replace(ruled, ''))}){other}"
+
+
+JAVA, PYTHON = f"(select * from {CODE_LINES} where path like '%.java')", f"(select * from {CODE_LINES} where path like '%.py')"
+
+
+@query(f"select * from {braces_sql(PAGE_LINES, "regexp_matches(text, '<(body|ul|div)')", '<[a-z]', '</')}")
 def b1_block_ends(spark, sf_dir):
     return B.block_ends(pages(spark, sf_dir), "<(body|ul|div)", "<[a-z]", "</")
 
 
-@query(
-    f"""with l as (select *, case when trim(text) = '' then 1000000 else length(text) - length(ltrim(text, ' ')) end d, max(line) over (partition by path) n from {PAGE_LINES})
-    select path, cast(line - 1 as int) as start, cast(coalesce((select min(e.line) from l e where e.path = l.path and e.line > l.line and e.d <= l.d), l.n + 1) - 2 as int) as end from l where contains(text, '<body')"""
-)
+@query(f"select * from {braces_sql(CODE_LINES, defined(B.BRACE_CLASS))}")
+def b1_classes(spark, sf_dir):
+    return B.block_ends(code_files(spark, sf_dir), B.BRACE_CLASS)
+
+
+@query(f"select * from {indents_sql(PAGE_LINES, "contains(text, '<body')")}")
 def b2_indent_ends(spark, sf_dir):
     return B.indent_ends(pages(spark, sf_dir), "<body")
 
 
-@query(f"select path, 1 as line, 'BLOATED-FILE' as rule_key, cast(count(*) as int) as size from {LINES} group by path having count(*) > 50")
+@query(f"select * from {indents_sql(CODE_LINES, defined(B.PY_DEF))}")
+def b2_functions(spark, sf_dir):
+    return B.indent_ends(code_files(spark, sf_dir))
+
+
+@query(f"select {KEYS}, 1 as line, 'BLOATED-FILE' as rule_key, cast(count(*) as int) as size from {LINES} group by {KEYS} having count(*) > 50")
 def b3_bloated_files(spark, sf_dir):
     return B.long_files(files(spark, sf_dir), 50)
 
 
-@query()
+@query(
+    f"""with m as (select 'BLOATED-METHOD' as rule_key, 8 most, * from {braces_sql(JAVA, defined(B.BRACE_DEF))} union all select 'BLOATED-METHOD', 8, * from {indents_sql(PYTHON, defined(B.PY_DEF))}
+    union all select 'BLOATED-CLASS', 12, * from {braces_sql(JAVA, defined(B.BRACE_CLASS))} union all select 'BLOATED-CLASS', 12, * from {indents_sql(PYTHON, defined(B.PY_CLASS))})
+    select {KEYS}, "start" + 1 as line, rule_key, "end" - "start" + 1 as size from m where "end" - "start" + 1 > most
+    union all select {KEYS}, 1, 'BLOATED-FILE', cast(count(*) as int) from {CODE_LINES} group by {KEYS} having count(*) > 26"""
+)
 def b3_bloated(spark, sf_dir):
-    return B.bloated(files(spark, sf_dir), 3, 3, 50)
+    return B.bloated(code_files(spark, sf_dir), 8, 12, 26)
+
+
+BRANCHES = f"len(regexp_extract_all(t, {q(B.BRANCH)}))"
 
 
 @query(
-    f"""select path, line, cast(score as int) as score, case when score >= 5 then 'MAJOR' else 'MINOR' end as severity from (select path, line, text,
-    len(regexp_extract_all(lead(text) over (partition by path order by line), '(the|of|and) ')) score from {LINES}) where regexp_matches(text, '^[A-Z]') and score >= 2"""
+    f"""with recursive f as (select * from {braces_sql(JAVA, defined(B.FUNCTION))} union all select * from {indents_sql(PYTHON, defined(B.PY_DEF))}),
+    l as (select {KEYS}, f.start, f.end, line, trim(text) t, row_number() over (partition by {KEYS}, f.start order by line) k from f join {CODE_LINES} using ({KEYS}) where line > f.start + 1 and line <= f.end + 1),
+    w as (select *, regexp_matches(t, {q(B.CLOSES)}) c, regexp_matches(t, {q(B.NESTS)}) o, {BRANCHES} n from l),
+    r as (select {KEYS}, start, k, case when o then 1 else 0 end depth, n score from w where k = 1
+      union all select w.project_id, w.analysis_id, w.path, w.start, w.k, (case when c then greatest(depth - 1, 0) else depth end) + case when o then 1 else 0 end, score + n * (1 + case when c then greatest(depth - 1, 0) else depth end) from r join w on {same_file("r", "w")} and r.start = w.start and w.k = r.k + 1),
+    s as (select {KEYS}, start, max_by(score, k) score from r group by all)
+    select {KEYS}, cast(start + 1 as int) as line, cast(score as int) as score, case when score >= 7 then 'MAJOR' else 'MINOR' end as severity from s where score >= 4"""
 )
 def b4_complex_functions(spark, sf_dir):
-    # lines without braces: a block is a line and the next one
-    return B.complex_functions(files(spark, sf_dir), 2, 5, brace="^[A-Z]", branch="(the|of|and) ")
+    return B.complex_functions(code_files(spark, sf_dir), 4, 7)
 
 
 @query(
-    f"""with s as (select * from {DEPTH}),
-    b as (select path, line, coalesce((select min(e.line) from s e where e.path = h.path and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, '<(ul|body|div)'))
-    select path, cast(line as int) as line from b where not exists (select 1 from s x where x.path = b.path and x.line > b.line and x.line < b.last and not regexp_matches(trim(x.text), '^($|<!--|<(li|p|/))'))
-    union all select path, cast(line as int) from s where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{[\\s/]*\\}}')"""
+    f"""with s as (select * from {depth_sql(PAGE_LINES, '<[a-z]', '</')}),
+    b as (select {KEYS}, line, coalesce((select min(e.line) from s e where {same_file("e", "h")} and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, '<(ul|body|div)'))
+    select {KEYS}, cast(line as int) as line from b where not exists (select 1 from s x where {same_file("x", "b")} and x.line > b.line and x.line < b.last and not regexp_matches(trim(x.text), '^($|<!--|<(li|p|/))'))
+    union all select {KEYS}, cast(line as int) from s where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{[\\s/]*\\}}')"""
 )
-def r8_empty_catches(spark, sf_dir):
+def r8_empty_blocks(spark, sf_dir):
     return B.empty_catches(pages(spark, sf_dir), "<(ul|body|div)", r"^($|<!--|<(li|p|/))", "<[a-z]", "</")
 
 
+@query(
+    f"""with s as (select * from {depth_sql(CODE_LINES, '[{]', '[}]')}),
+    b as (select {KEYS}, line, coalesce((select min(e.line) from s e where {same_file("e", "h")} and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{\\s*$'))
+    select {KEYS}, line from b where not exists (select 1 from s x where {same_file("x", "b")} and x.line > b.line and x.line < b.last and not regexp_matches(trim(x.text), '^($|//|#|/[*]|[*])'))
+    union all select {KEYS}, line from s where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{[\\s/]*\\}}')"""
+)
+def r8_empty_catches(spark, sf_dir):
+    return B.empty_catches(code_files(spark, sf_dir))
+
+
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 NORMAL = "lower(regexp_replace(regexp_replace(text, '[\"''][^\"'']{0,200}[\"'']', '\"S\"', 'g'), '[ \\t\\r\\n\\f\\v]+', '', 'g'))"
-WINDOWS = f"""(select project_id, path, line, md5(array_to_string(w, chr(10))) hash from (select project_id, path, line, list({NORMAL}) over (partition by path order by line rows between current row and 5 following) w from {LINES})
+WINDOWS = f"""(select {KEYS}, line, md5(array_to_string(w, chr(10))) hash from (select {KEYS}, line, list({NORMAL}) over (partition by {KEYS} order by line rows between current row and 5 following) w from {LINES})
   where len(w) = 6 and len(list_filter(w, lambda x: not regexp_matches(x, '^[\\[\\](){{}};,]*$'))) > 0)"""
 
 
-@query(f"select path, line, hash from {WINDOWS}")
+@query(f"select {KEYS}, line, hash from {WINDOWS}")
 def u1_windows(spark, sf_dir):
-    return B.windows(doc_lines(spark, sf_dir)).select("path", "line", "hash")
+    return B.windows(doc_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line", "hash")
 
 
 @query(
-    f"""select path, first, second from (select *, row_number() over (partition by path order by first, second) k from (select path, list_min(w) as first, list_min(list_filter(w, lambda x: x - list_min(w) >= 6)) as second
-    from (select path, hash, list(line) w from {WINDOWS} group by 1, 2)) where second is not null) where k <= 10"""
+    f"""select {KEYS}, first, second from (select *, row_number() over (partition by {KEYS} order by first, second) k from (select {KEYS}, list_min(w) as first, list_min(list_filter(w, lambda x: x - list_min(w) >= 6)) as second
+    from (select {KEYS}, hash, list(line) w from {WINDOWS} group by all)) where second is not null) where k <= 10"""
 )
 def u2_same_file_duplicates(spark, sf_dir):
     return B.same_file_duplicates(B.windows(doc_lines(spark, sf_dir)))
 
 
 @query(
-    f"""with f as (select 'all' as project_id, hash, path, min(line) line from {WINDOWS} group by 1, 2, 3), r as (select *, row_number() over (partition by project_id, hash order by path) k from f),
-    p as (select a.project_id, a.path path_a, a.line line_a, b.path path_b, b.line line_b from r a join r b on a.project_id = b.project_id and a.hash = b.hash and a.k = 1 and b.k = 2),
-    d as (select *, row_number() over (partition by project_id, path_a, path_b order by line_a, line_b) j from p)
-    select project_id, path_a, line_a, path_b, line_b from (select *, row_number() over (partition by project_id order by path_a, line_a, path_b) m from d where j = 1) where m <= 50"""
+    f"""with f as (select project_id, analysis_id, hash, path, min(line) line from {WINDOWS} group by all), r as (select *, row_number() over (partition by project_id, analysis_id, hash order by path) k from f),
+    p as (select a.project_id, a.analysis_id, a.path path_a, a.line line_a, b.path path_b, b.line line_b from r a join r b on a.project_id = b.project_id and a.analysis_id = b.analysis_id and a.hash = b.hash and a.k = 1 and b.k = 2),
+    d as (select *, row_number() over (partition by project_id, analysis_id, path_a, path_b order by line_a, line_b) j from p)
+    select project_id, analysis_id, path_a, line_a, path_b, line_b from (select *, row_number() over (partition by project_id, analysis_id order by path_a, line_a, path_b) m from d where j = 1) where m <= 50"""
 )
 def u3_cross_file_duplicates(spark, sf_dir):
-    all_ = B.windows(doc_lines(spark, sf_dir).withColumn("project_id", F.lit("all")))
-    return B.cross_file_duplicates(all_)
+    return B.cross_file_duplicates(B.windows(doc_lines(spark, sf_dir)))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
@@ -336,7 +539,7 @@ def x_version_and_clip(spark, sf_dir):
     return p.select("p_partkey", T.version_major(version).alias("major"), T.clipped(F.col("p_type"), 9).alias("short"))
 
 
-@query(f"select 'long' as scanner, path, line, 'LONG-LINE' as rule_key from {LINES} where length(text) > 400")
+@query(f"select 'long' as scanner, {KEYS}, line, 'LONG-LINE' as rule_key from {LINES} where length(text) > 400")
 def x_user_scanner(spark, sf_dir):
     scanners.register_scanner("long", scanners.long_lines(400))
     return scanners.scanned(files(spark, sf_dir), ["long"])

@@ -13,16 +13,18 @@ from codehealth.streaming import jobs as J
 
 
 def streamed(rows: DataFrame, order: str, parts: int = 3) -> tuple[DataFrame, str]:
-    """rows as a stream of files that arrive in the order of a column, and a folder for what the job writes."""
+    """rows as a stream of slices that arrive in the order of a column, each as several files that are one batch, and a folder
+    for what the job writes."""
     spark, folder = rows.sparkSession, work_folder(rows.sparkSession)
+    files = spark.sparkContext.defaultParallelism
     spark.conf.set(*J.STATE_STORE)
     key = F.col(order).cast("long") if dict(rows.dtypes)[order] == "bigint" else F.unix_micros(F.col(order).cast("timestamp"))
     cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)]).alias("c")).first()["c"] or []
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows if low is None else rows.filter(key > low)
         part = part if high is None else part.filter(key <= high)
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return J.file_stream(spark, f"{folder}/in"), folder
+        part.repartition(files, F.xxhash64(*part.columns)).write.mode("append").option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
+    return J.file_stream(spark, f"{folder}/in", files), folder
 
 
 def event_rows(spark, sf_dir) -> DataFrame:
@@ -68,11 +70,11 @@ def t4_stuck_runs(spark, sf_dir):
     return J.run_to_table(J.stuck_runs(stream, 720), "append", folder).drop("batch_id")
 
 
-@query(f"select path, line, rule_key from (select path, line, 'SECRET-HARDCODED' as rule_key from {source_code.LINES} where regexp_matches(text, {source_code.q(R.SECRET)}))")
+@query(f"select {source_code.KEYS}, line, 'SECRET-HARDCODED' as rule_key from {source_code.LINES} where {source_code.SECURE}")
 def t5_rule_scan_stream(spark, sf_dir):
     stream, folder = streamed(source_code.files(spark, sf_dir), "doc_id")
     found = R.scan_lines(R.lines_of(stream)).filter("rule_key = 'SECRET-HARDCODED'")
-    return J.run_to_table(found, "append", folder).select("path", "line", "rule_key")
+    return J.run_to_table(found, "append", folder).select(*source_code.HIT)
 
 
 @query("select conv_id as session_id, case when max(case when role = 'system' and conv_id % 3 = 0 then 'error' end) is null then string_agg(text, '' order by turn) else 'error' end as answer, max(case when role = 'system' and conv_id % 3 = 0 then 'error' end) is not null as failed from conversations group by 1")

@@ -22,11 +22,11 @@ def tag_blocks(files: DataFrame, tag: str, unique: str) -> DataFrame:
 
 
 def maven(manifests: DataFrame) -> DataFrame:
-    """project_id, ecosystem, name, version of pom files: managed and parent versions do not count, a dependency without a
+    """project_id, ecosystem, name, version of the pom.xml at each project's root: managed and parent versions do not count, a dependency without a
     version takes the project's, the first of equal names stays."""
     bare = F.regexp_replace(F.regexp_replace("content", r"(?s)<dependencyManagement>.*?</dependencyManagement>", ""), r"(?s)<parent>.*?</parent>", "")
     own = inner(F.regexp_replace(bare, r"(?s)<dependency>.*?</dependency>", ""), "version")
-    rows = manifests.filter(F.col("path").endswith("pom.xml")).select("project_id", own.alias("own"), F.posexplode(blocks(bare, "dependency")).alias("pos", "b"))
+    rows = manifests.filter("path = 'pom.xml'").select("project_id", own.alias("own"), F.posexplode(blocks(bare, "dependency")).alias("pos", "b"))
     found = rows.select(
         "project_id", "pos", F.lit("maven").alias("ecosystem"), F.concat_ws(":", inner(F.col("b"), "groupId"), inner(F.col("b"), "artifactId")).alias("name"), F.coalesce(inner(F.col("b"), "version"), "own").alias("version")
     )
@@ -45,8 +45,8 @@ def npm_version(raw: Column) -> Column:
 
 
 def npm(manifests: DataFrame) -> DataFrame:
-    """project_id, ecosystem, name, version of package.json files: dependencies before devDependencies."""
-    rows = manifests.filter(F.col("path").endswith("package.json"))
+    """project_id, ecosystem, name, version of the package.json at each project's root: dependencies before devDependencies."""
+    rows = manifests.filter("path = 'package.json'")
     parsed = rows.select("project_id", F.from_json("content", "dependencies map<string,string>, devDependencies map<string,string>").alias("j"))
     part = lambda k, name: parsed.select("project_id", F.lit(k).alias("rank"), F.explode(f"j.{name}").alias("name", "raw"))
     both = part(0, "dependencies").unionByName(part(1, "devDependencies"))
@@ -58,25 +58,21 @@ def json_map(rows: DataFrame, unique: str, content: str) -> DataFrame:
     return rows.select(unique, F.explode(F.from_json(content, "map<string,string>")).alias("name", "raw")).select(unique, "name", npm_version(F.col("raw")).alias("version"))
 
 
-COMMIT = "^@([0-9a-f]+)\t([^\t]*)\t([^\t]*)$"
+COMMIT = "^@([0-9a-f]+)\t([^\t\n]*)\t([^\t\n]*)(\n|$)"
 CHANGE = "^([0-9]+|-)\t([0-9]+|-)\t(.+)$"
 
 
 def commit_log(logs: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
     """commits (key, commit_hash, author_name, committed_at, files_changed, added, removed) and files (key, commit_hash, path,
-    added, removed) of logs (key, content): a line `@hash<tab>author<tab>time`, then numstat lines. '-' counts as 0. Logs
-    are split per row, so order is by position in the log, never by arrival."""
-    lines = logs.select(key, F.posexplode(F.split("content", "\n")).alias("pos", "line"))
-    own = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.when(F.col("line").rlike(COMMIT), F.col("line"))
-    rows = lines.withColumn("head", F.last(head, ignorenulls=True).over(own))
+    added, removed) of logs (key, content): a line `@hash<tab>author<tab>time`, then numstat lines. '-' counts as 0. A log is
+    cut before each such line, so a commit is a row of its own and nothing is put in order."""
+    pieces = logs.select(key, F.explode(F.split("content", "(?m)(?=^@[0-9a-f]+\t[^\t\n]*\t[^\t\n]*$)")).alias("piece")).filter(F.col("piece").rlike(COMMIT))
+    part = lambda k: F.regexp_extract("piece", COMMIT, k)
+    heads = pieces.select(key, part(1).alias("commit_hash"), part(2).alias("author_name"), F.try_to_timestamp(part(3)).alias("committed_at"))
     number = lambda k: F.coalesce(F.regexp_extract("line", CHANGE, k).try_cast("long"), F.lit(0))
-    hash_ = F.regexp_extract("head", COMMIT, 1)
-    changes = rows.filter(F.col("line").rlike(CHANGE)).select(key, hash_.alias("commit_hash"), F.regexp_extract("line", CHANGE, 3).alias("path"), number(1).alias("added"), number(2).alias("removed"))
+    rows = pieces.select(key, part(1).alias("commit_hash"), F.explode(F.split("piece", "\n")).alias("line")).filter(F.col("line").rlike(CHANGE))
+    changes = rows.select(key, "commit_hash", F.regexp_extract("line", CHANGE, 3).alias("path"), number(1).alias("added"), number(2).alias("removed"))
     files = changes.groupBy(key, "commit_hash", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-    heads = rows.filter(F.col("line").rlike(COMMIT)).select(
-        key, hash_.alias("commit_hash"), F.regexp_extract("head", COMMIT, 2).alias("author_name"), F.try_to_timestamp(F.regexp_extract("head", COMMIT, 3)).alias("committed_at")
-    )
     total = files.groupBy(key, "commit_hash").agg(F.count("*").alias("files_changed"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     commits = heads.join(total, [key, "commit_hash"], "left").select(key, "commit_hash", "author_name", "committed_at", zero("files_changed"), zero("added"), zero("removed"))

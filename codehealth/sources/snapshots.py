@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def replace_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("project_id", "analysis_id")) -> None:
-    """Writes rows over the partitions that they belong to; others stay. Writing twice leaves one copy."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def replace_snapshot(rows: DataFrame, path: str, refreshed: DataFrame, keys: tuple[str, ...] = ("project_id", "analysis_id")) -> None:
+    """Puts rows in place of what the table at path has for the keys in `refreshed`, which may have no new rows: these are
+    cleared. Other keys stay. Writing twice leaves one copy.
+
+    The table is a log: a run appends its rows, then a mark for each of its keys, and of a key only the rows of its last mark
+    are seen. So nothing is read to be written over, no folder is made per key, and rows of a run that failed stay unseen. One
+    writer at a time."""
+    spark, gone = rows.sparkSession, refreshed.select(*keys).distinct()
+    last = spark.read.parquet(f"{path}/marks").agg(F.max("version")).first()[0] if exists(spark, f"{path}/marks") else None
+    run = F.lit(uuid.uuid4().hex).alias("run")
+    rows.join(gone, list(keys), "left_semi").select("*", run).write.mode("append").parquet(f"{path}/rows")
+    gone.select("*", run, F.lit((last or 0) + 1).alias("version")).write.mode("append").parquet(f"{path}/marks")
+
+
+def snapshot(spark: SparkSession, path: str, keys: tuple[str, ...] = ("project_id", "analysis_id")) -> DataFrame:
+    """The rows of a snapshot table."""
+    last = spark.read.parquet(f"{path}/marks").groupBy(*keys).agg(F.max_by("run", "version").alias("run"))
+    return spark.read.parquet(f"{path}/rows").join(last, [*keys, "run"], "left_semi").drop("run")
+
+
+def rebuild_index(chunks: DataFrame, path: str, projects: DataFrame) -> None:
+    """All chunks (project_id, file, chunk_index, content, ...) of `projects` (project_id) are replaced, by none if they have none;
+    the chunks of other projects stay."""
+    replace_snapshot(chunks, path, projects, ("project_id",))
 
 
 def refreshed(old: DataFrame, new: DataFrame, status: DataFrame, project: str = "project_id", run: str = "analysis_id") -> DataFrame:
@@ -21,10 +49,12 @@ def refreshed(old: DataFrame, new: DataFrame, status: DataFrame, project: str =
     return rest.unionByName(new.join(replaced, [project, run], "left_semi"))
 
 
-def replaced_issues(old: DataFrame, new: DataFrame, project: str = "project_id") -> DataFrame:
-    """All issues of the projects in `new` are replaced; blank fields take defaults."""
+def replaced_issues(old: DataFrame, new: DataFrame, refreshed: DataFrame, project: str = "project_id") -> DataFrame:
+    """All issues of the projects in `refreshed` are replaced by those in `new`, which may have none for some of them; other
+    projects stay. Blank fields take defaults."""
     filled = new.withColumn("source", F.coalesce("source", F.lit("SONAR"))).withColumn("severity", F.coalesce("severity", F.lit("INFO"))).withColumn("kind", F.coalesce("kind", F.lit("SMELL"))).withColumn("suggestion", F.nullif(F.trim("suggestion"), F.lit("")))
-    return old.join(new.select(project).distinct(), project, "left_anti").unionByName(filled)
+    gone = refreshed.select(project).distinct()
+    return old.join(gone, project, "left_anti").unionByName(filled.join(gone, project, "left_semi"))
 
 
 def report_columns(reports: DataFrame, key: str = "analysis_id", order: str = "seq") -> DataFrame:

@@ -10,6 +10,7 @@ from codehealth.operators import retrieval as K
 from codehealth.operators import scoring as C
 from codehealth.sources import manifests as M
 from codehealth.sources import snapshots as S
+from codehealth.streaming import jobs as J
 
 
 def commits(spark, *days):
@@ -66,12 +67,12 @@ def test_symbols_calls_and_layers(spark):
 
 
 def test_symbols_and_calls_of_all_lines(spark, tmp_path):
-    from codehealth.plans.graph import g2_all_calls, g2_all_symbols
+    from codehealth.plans.graph import g2_calls, g2_symbols
 
     rows = [(1, "Alpha one\n12 run(a.b.load (x))\nBeta two\nAlpha again; if (z)\n", "s"), (2, "no(\nGamma three go()", "s"), (3, None, "s"), (4, "", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {tuple(r) for r in g2_all_symbols(spark, str(tmp_path)).collect()} == {("s/1", "Alpha", 1), ("s/1", "Beta", 3), ("s/2", "Gamma", 2)}
-    assert {tuple(r) for r in g2_all_calls(spark, str(tmp_path)).collect()} == {("s/1#Alpha", "run"), ("s/1#Alpha", "a"), ("s/1#Alpha", "load"), ("s/2#Gamma", "go")}
+    assert {tuple(r) for r in g2_symbols(spark, str(tmp_path)).collect()} == {("s/1", "Alpha", 1), ("s/1", "Beta", 3), ("s/2", "Gamma", 2)}
+    assert {tuple(r) for r in g2_calls(spark, str(tmp_path)).collect()} == {("s/1#Alpha", "run"), ("s/1#Alpha", "a"), ("s/1#Alpha", "load"), ("s/2#Gamma", "go")}
 
 
 POM = """<project><parent><version>3.0</version></parent><version>1.0.0</version><dependencyManagement><dependencies><dependency><groupId>g</groupId>
@@ -81,7 +82,8 @@ PACKAGE = '{"dependencies": {"vue": "^2.6.14", "axios": "~1.7.0", "x": "git+http
 
 
 def test_manifests_and_end_of_life(spark):
-    m = spark.createDataFrame([("p", "pom.xml", POM), ("p", "package.json", PACKAGE)], "project_id string, path string, content string")
+    nested = [("p", f"{x}{name}", body) for x in ("sub/", "sub/x-", "x-") for name, body in (("pom.xml", POM.replace("lombok", "no")), ("package.json", PACKAGE.replace("axios", "no")))]
+    m = spark.createDataFrame([("p", "pom.xml", POM), ("p", "package.json", PACKAGE), *nested], "project_id string, path string, content string")
     deps = M.maven(m).unionByName(M.npm(m))
     got = {r["name"]: (r["version"], r["is_eol"]) for r in G.eol_matches(deps).collect()}
     assert got == {"org.springframework.boot:spring-boot-starter-web": ("2.5.14", True), "l:lombok": ("1.0.0", False), "vue": ("2.6.14", True), "axios": ("1.7.0", False), "x": (None, False), "vite": ("5.4.0", False)}
@@ -147,10 +149,97 @@ def test_keywords_and_chunks(spark):
 
 def test_snapshot_written_twice_is_there_once(spark, tmp_path):
     rows = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b")], "project_id string, analysis_id int, v string")
+    seen = lambda: sorted(r["v"] for r in S.snapshot(spark, f"{tmp_path}/s").collect())
     for _ in range(2):
-        S.replace_snapshot(rows, f"{tmp_path}/s")
-    S.replace_snapshot(rows.filter("analysis_id = 2").withColumn("v", F.lit("c")), f"{tmp_path}/s")
-    assert sorted(r["v"] for r in spark.read.parquet(f"{tmp_path}/s").collect()) == ["a", "c"]
+        S.replace_snapshot(rows, f"{tmp_path}/s", rows)
+    assert seen() == ["a", "b"]
+    S.replace_snapshot(rows.filter("analysis_id = 2").withColumn("v", F.lit("c")), f"{tmp_path}/s", rows.filter("analysis_id = 2"))
+    assert seen() == ["a", "c"]
+    S.replace_snapshot(rows.limit(0), f"{tmp_path}/s", rows.filter("analysis_id = 1"))  # nothing new: cleared
+    assert seen() == ["c"]
+
+
+def test_issues_of_projects_without_new_ones_go(spark):
+    schema = "project_id string, id int, source string, severity string, kind string, suggestion string"
+    old = spark.createDataFrame([(p, i, "OLD", "MINOR", "BUG", None) for p in "abc" for i in (1, 2)], schema)
+    new = spark.createDataFrame([("a", 9, None, None, None, " "), ("c", 8, "S", "MAJOR", "X", "do")], schema)
+    refreshed = spark.createDataFrame([("a",), ("b",)], "project_id string")
+    got = sorted((r["project_id"], r["id"], r["source"]) for r in S.replaced_issues(old, new, refreshed).collect())
+    assert got == [("a", 9, "SONAR"), ("c", 1, "OLD"), ("c", 2, "OLD")]
+
+
+def test_debt_of_other_projects_stays(spark):
+    schema = "project_id string, source string, level string, title string, suggestion string"
+    old = spark.createDataFrame([(p, s, "LOW", "old", None) for p in "ab" for s in ("ARCH", "DEPEND", "MANUAL")], schema)
+    found = spark.createDataFrame([("a", "ARCH", "HIGH", "new", None), ("b", "ARCH", "HIGH", "stray", None)], schema)
+    got = sorted((r["project_id"], r["source"], r["title"]) for r in D.rebuilt(old, old.filter("project_id = 'a'"), found).collect())
+    assert got == [("a", "ARCH", "new"), ("a", "MANUAL", "old"), ("b", "ARCH", "old"), ("b", "DEPEND", "old"), ("b", "MANUAL", "old")]
+
+
+def test_purge_goes_two_hops(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    tables = {
+        "project": frame("project_id int", (1,), (2,)), "analysis": frame("project_id int, analysis_id int, status string", (1, 10, "RUNNING"), (1, 11, "FAILED"), (2, 20, "RUNNING")),
+        "analysis_report": frame("analysis_id int", (10,), (11,), (20,)), "chat_session": frame("project_id int, session_id int", (1, 5), (2, 6)), "chat_message": frame("session_id int", (5,), (6,), (6,)),
+        "dependency": frame("project_id int", (1,), (2,)), "settings": frame("k string", ("x",)),
+    }
+    left, stopped = D.purge(tables, frame("project_id int", (1,), (1,), (7,)))
+    assert {k: v.count() for k, v in left.items()} == {"project": 1, "analysis": 1, "analysis_report": 1, "chat_session": 1, "chat_message": 2, "dependency": 1, "settings": 1}
+    assert [(r["analysis_id"], r["status"]) for r in stopped.collect()] == [(10, "CANCELLED")]
+
+
+def test_nearest_in_blocks_is_the_same(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(f"p{i % 3}", i, [rng.random() - 0.5 for _ in range(4)] if i % 11 else None) for i in range(120)]
+    vectors = spark.createDataFrame(rows, "project_id string, id int, embedding array<double>")
+    queries = vectors.filter("id % 7 = 0").selectExpr("id as query_id", "project_id", "embedding as q")
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = []
+    for p, i, q in rows:
+        if i % 7 == 0 and q:
+            best = sorted((-round(cosine(q, e), 9), j) for o, j, e in rows if o == p and e)[:5]
+            want += [(i, j) for _, j in best]
+    for size in (8, 1 << 20):
+        assert sorted((r["query_id"], r["id"]) for r in K.nearest(queries, vectors, 5, size).collect()) == sorted(want)
+
+
+def files_of(spark, folder, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return J.file_stream(spark, f"{folder}/in")
+
+
+def test_messages_seen_within_the_time_are_left_out(spark, tmp_path):
+    spark.conf.set(*J.STATE_STORE)
+    row = lambda i, s, content, at: (i, s, content, f"2024-01-01 00:00:{at:02d}")
+    stream = files_of(spark, tmp_path, [[row(1, 1, "a", 0), row(2, 1, "b", 1), row(3, 2, "a", 1)], [row(4, 1, "a", 1), row(5, 1, "c", 40)], [row(7, 9, "z", 41)], [row(6, 1, "a", 42)]], "id long, session_id long, content string, at string")
+    got = J.run_to_table(J.unrepeated(stream, "2 seconds"), "append", str(tmp_path / "job")).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 3, 5, 6, 7]  # 4 repeats 1; before 6 comes, a batch has let the first be forgotten
+
+
+def test_runs_without_events_fail(spark, tmp_path):
+    spark.conf.set(*J.STATE_STORE)
+    row = lambda run, seq, status, minute: (run, seq, status, f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00")
+    first = [row(1, 1, "RUNNING", 0), row(2, 1, "PENDING", 0), row(3, 1, "RUNNING", 0)]
+    batches = [first, [row(2, 2, "RUNNING", 20), row(3, 2, "SUCCEEDED", 10)], [row(4, 1, "RUNNING", 45)], [row(4, 2, "SUCCEEDED", 46)]]
+    stream = files_of(spark, tmp_path, batches, "analysis_id long, seq long, status string, at string")
+    got = J.run_to_table(J.stuck_runs(stream, 30), "append", str(tmp_path / "job")).collect()
+    assert [(r["analysis_id"], r["status"], r["error_code"]) for r in got] == [(1, "FAILED", 5003)]  # 2 is due at minute 50
+
+
+@pytest.mark.parametrize("name,text,want", [
+    ("pom.xml", "<a>spring-boot mysql h2</a>", (["Maven", "Spring Boot"], ["MySQL", "H2"], True, False)),
+    ("package.json", '{"dependencies": {"vue": "1", "pg": "8"}, "devDependencies": {"vite": "5"}}', (["Vue", "Vite"], ["PostgreSQL"], False, True)),
+    ("requirements.txt", "Flask\nredis", (["Flask"], ["Redis"], True, False)),
+    ("sub/pom.xml", "spring-boot", ([], [], False, False)),
+])
+def test_stack(spark, name, text, want):
+    from codehealth.sources import inventory as I
+
+    r = I.stack(spark.createDataFrame([("p", name, text)], "project_id string, path string, content string")).first()
+    assert (r["frameworks"], r["databases"], r["has_backend"], r["has_frontend"]) == want
 
 
 def test_upload_audit(spark):
@@ -162,6 +251,7 @@ def test_upload_audit(spark):
 def test_entry_and_queries(spark):
     import __spark_entry__ as E
 
-    assert E.entry(spark).count() > 0
+    rows = E.entry(spark).collect()
+    assert rows and all(0 <= r["health"] <= 100 and r["file_count"] > 0 for r in rows)
     queries, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 120

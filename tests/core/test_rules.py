@@ -132,6 +132,88 @@ def test_duplicates(spark):
     assert [(r["path_a"], r["path_b"]) for r in B.cross_file_duplicates(w).collect()] == [("a.py", "b.py")]
 
 
+def two_projects(spark, content, path="src/a.py"):
+    """The same path in two projects, and in two analyses of one of them."""
+    rows = [("p", 1, path, content), ("q", 1, path, content), ("q", 2, path, content)]
+    return spark.createDataFrame(rows, "project_id string, analysis_id int, path string, content string")
+
+
+@pytest.mark.parametrize(
+    "content,scan,n",
+    [
+        ("# TODO x\n" * 8, R.leftovers, 8),
+        ("".join(f"f({k}{k}{k}, a)\n" for k in range(1, 6)), R.magic_numbers, 5),
+        ("try:\n  f()\nexcept E:\n  pass\n", R.swallowed, 1),
+        ("a \nb \nc \n", R.style, 1),
+        ("eval(x)\n", R.scan_lines, 1),
+        ("".join(f"line {k} of many\n" for k in range(8)), B.windows, 3),
+        ("\n".join(f"same {k}" for k in [*range(8), *range(8)]), lambda x: B.same_file_duplicates(B.windows(x)), 3),
+    ],
+)
+def test_files_of_other_projects_are_other_files(spark, content, scan, n):
+    got = scan(R.lines_of(two_projects(spark, content))).groupBy("project_id", "analysis_id").count().collect()
+    assert {(r["project_id"], r["analysis_id"]): r["count"] for r in got} == {("p", 1): n, ("q", 1): n, ("q", 2): n}
+
+
+def test_blocks_of_other_projects_are_other_blocks(spark):
+    code = "def f(x):\n" + "".join(f"{'  ' * (i + 1)}if x > {i}:\n" for i in range(5)) + "            pass\n"
+    files_ = two_projects(spark, code)
+    assert B.complex_functions(files_).count() == 3 and B.indent_ends(files_).count() == 3 and B.bloated(files_, 3, 9, 9).count() == 3
+    catch = two_projects(spark, "try {\n} catch (E e) {\n}\n", "A.java")
+    assert B.empty_catches(catch).count() == 3
+    lines = R.lines_of(files_)
+    assert B.cross_file_duplicates(B.windows(lines)).count() == 0  # equal files of different projects share nothing
+    assert R.annotated(lines, R.scan_lines(R.lines_of(two_projects(spark, "eval(x)\n")))).filter("issues = 1").count() == 3
+
+
+def test_all_findings_in_one_pass_are_those_of_the_scanners(spark):
+    text = "eval(x)\n# TODO a\npassword = 'abcdefgh1'\ny = f(777, 888)\nz = g(777)\nq \nr \ns \n\tt\n u\n" + "// FIXME\n" * 12
+    files_ = two_projects(spark, text)
+    lines, columns = R.lines_of(files_), ["project_id", "analysis_id", "path", "line", "rule_key", "source", "kind", "severity", "message"]
+    parts = R.all_issues(None, R.scan_lines(lines), R.leftovers(lines), R.magic_numbers(lines), R.style(lines))
+    assert sorted(map(tuple, R.findings(files_).select(columns).collect())) == sorted(map(tuple, parts.select(columns).collect()))
+
+
+@pytest.mark.parametrize("line,hit", [("yaml.load(f)", True), ("yaml.load(f, Loader=SafeLoader)", True), ("yaml.load(f); SafeLoader", False), ("yaml.safe_load(f)", False), ("x.md5 (y)", True), ("subprocess(a, shell=True)", True)])
+def test_fixed_patterns(spark, line, hit):
+    assert bool(found(spark, line)) == hit
+
+
+def test_rules_from_a_table(spark):
+    schema = "ord int, rule_key string, source string, kind string, severity string, pattern string, also string, last boolean, needs array<string>"
+    rules = spark.createDataFrame([(2, "B", "S", "K", "MINOR", "b", None, False, None), (1, "A", "S", "K", "MAJOR", "a", "c", True, ["a"])], schema)
+    R.register_rules(rules, "mine")
+    got = R.scan_registered(R.lines_of(files(spark, a__py="a c b\na b\nb"))).filter("rule_key in ('A', 'B')")
+    assert sorted((r["line"], r["rule_key"]) for r in got.collect()) == [(1, "A"), (2, "B"), (3, "B")]
+
+
+def brute_spans(text, starts, cumulative):
+    lines, out, depth = text.split("\n"), [], []
+    for x in lines:
+        depth.append((depth[-1] if depth else 0) + x.count("{") - x.count("}"))
+    indent = [10**6 if not x.strip() else len(x) - len(x.lstrip(" ")) for x in lines]
+    for i, x in enumerate(lines):
+        if starts(x):
+            if cumulative:
+                before = depth[i - 1] if i else 0
+                out.append((i, next((k for k in range(i + 1, len(lines)) if depth[k] <= before), len(lines) - 1)))
+            else:
+                out.append((i, next((k for k in range(i + 1, len(lines)) if indent[k] <= indent[i]), len(lines)) - 1))
+    return sorted(out)
+
+
+def test_block_ends_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    for n in range(12):
+        text = "\n".join("  " * rng.randint(0, 3) + rng.choice(["def f(", "{", "}", "x {", "} y {", "", "z", "{ {", "} }"]) for _ in range(rng.randint(1, 40)))
+        one = spark.createDataFrame([("p", "a.x", text + "\nend")], "project_id string, path string, content string")
+        for cumulative, got in ((True, B.block_ends(one, "[{]$")), (False, B.indent_ends(one, "def f"))):
+            starts = (lambda x: x.endswith("{")) if cumulative else (lambda x: "def f" in x)
+            assert sorted((r["start"], r["end"]) for r in got.collect()) == brute_spans(text + "\nend", starts, cumulative), text
+
+
 def test_endpoints(spark):
     java = '@RequestMapping("/api/v1")\nclass C {\n  @GetMapping("/users")\n  public List<U> listUsers() {\n  }\n  @PostMapping("/users")\n  public U add(U u) {\n}'
     got = O.endpoints(R.lines_of(files(spark, C__java=java))).orderBy("line").collect()
