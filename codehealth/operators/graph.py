@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codehealth.functions.keys import file_keys
+
 #: Words in a name that tell its layer, first hit wins; calls between layers that break the rules.
 LAYERS = {
     "CONTROLLER": ("controller", "view", "api"),
@@ -136,33 +138,54 @@ def cycles(edges: DataFrame, folder: str, key: str = "project_id") -> DataFrame:
     return found.select(key, "members", F.get("members", F.lit(0)).alias("source"), last.alias("target"), F.lit("MAJOR").alias("severity"))
 
 
-#: Declarations by language: pattern with the name as group 2.
+#: Declarations by language: patterns with the name as group 2, the first that matches counts. Java: classes, inner ones
+#: too; Go: the receiver's type owns its methods; the others: what stands at the left edge.
 DECLARATIONS = {
-    "java": r"^\s*((?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+(\w+)",
-    "py": r"^(async\s+)?(?:def|class)\s+(\w+)",
-    "go": r"^func\s+(\([^)]*\)\s*)?(\w+)\s*\(",
-    "js": r"^\s*(export\s+(?:default\s+)?)?(?:async\s+)?(?:function|class|const)\s+(\w+)",
-    "ts": r"^\s*(export\s+(?:default\s+)?)?(?:async\s+)?(?:function|class|const)\s+(\w+)",
+    "java": (r"^\s*((?:public|private|protected|static|final|abstract|sealed)\s+)*class\s+(\w+)",),
+    "py": (r"^(async\s+)?(?:def|class)\s+(\w+)",),
+    "go": (r"^func\s+(\()\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)", r"^func\s+()(\w+)\s*[\[(]"),
+    "js": (r"^(export\s+(?:default\s+)?)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+(\w+)",),
+    "ts": (r"^(export\s+(?:default\s+)?)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+(\w+)",),
 }
+#: A line at the left edge that is no declaration ends the owner, where blocks are told by indentation.
+ENDS = {"py": r"^[^\s#@)\]}'\"]"}
+#: A field with its type (groups 2 and 1), for languages where calls go through fields.
+FIELDS = {"java": r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:private|protected|public|static|final)\s+)+(\w+)(?:<[^=;]*>)?\s+(\w+)\s*(?:=|;)"}
+COMMENT = {"py": "#.*$"}
+STRING = "\"[^\"]*\"|'[^']*'"
 NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "def", "func", "function", "class", "new")
 
 
-def symbols_and_calls(lines: DataFrame, declarations: dict[str, str] = DECLARATIONS) -> tuple[DataFrame, DataFrame]:
-    """nodes and calls (project_id, source, called) from lines (project_id, path, language, line, text): a line's owner is the
-    last declaration above it; a call is a dotted name before a bracket, of which root and leaf count. This reads
-    line by line: declarations over several lines and names in strings are beyond it."""
-    name = F.coalesce(*[F.when((F.col("language") == k) & F.col("text").rlike(p), F.regexp_extract("text", p, 2)) for k, p in declarations.items()])
-    own = Window.partitionBy("project_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("declared", name).withColumn("owner", F.last("declared", ignorenulls=True).over(own))
+def symbols_and_calls(lines: DataFrame, declarations: dict[str, str | tuple[str, ...]] = DECLARATIONS) -> tuple[DataFrame, DataFrame]:
+    """nodes and calls (keys but path, source, called) from lines (keys, language, line, text). A line's owner is the last
+    declaration above it; a call is a dotted name before a bracket, outside strings and comments, of which the root and the
+    last part count. In Java the part before the last counts for the root, and a field of the file for its declared type.
+    This reads line by line: a head or a string that goes over several lines is read by its first one."""
+    keys = file_keys(lines)
+    own_keys = [c for c in keys if c != "path"]
+    text, language = F.col("text"), F.col("language")
+    patterns = [(k, x) for k, p in declarations.items() for x in ((p,) if isinstance(p, str) else p)]
+    name = F.coalesce(*[F.when((language == k) & text.rlike(p), F.regexp_extract(text, p, 2)) for k, p in patterns])
+    ended = F.coalesce(*[F.when((language == k) & text.rlike(p), F.lit("")) for k, p in ENDS.items()])
+    comment = F.coalesce(*[F.when(language == k, F.lit(p)) for k, p in COMMENT.items()], F.lit("//.*$"))
+    own = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("declared", name).withColumn("owner", F.nullif(F.last(F.coalesce("declared", ended), ignorenulls=True).over(own), F.lit("")))
     key = F.concat("path", F.lit("#"))
-    nodes = rows.filter("declared is not null").select("project_id", F.concat(key, "declared").alias("node_key"), F.col("declared").alias("name"), layer(F.col("declared"), F.col("path")).alias("node_type"), F.col("path").alias("file_path"), "line")
-    calls = rows.filter("owner is not null").select("project_id", F.concat(key, "owner").alias("source"), "declared", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("dotted"))
+    nodes = rows.filter("declared is not null").select(*own_keys, F.concat(key, "declared").alias("node_key"), F.col("declared").alias("name"), layer(F.col("declared"), F.col("path")).alias("node_type"), F.col("path").alias("file_path"), "line")
+    bare = F.regexp_replace(F.regexp_replace(text, F.lit(STRING), F.lit("S")), comment, F.lit(""))
+    calls = rows.filter("owner is not null").select(*keys, "language", F.concat(key, "owner").alias("source"), "declared", F.explode(F.regexp_extract_all(bare, F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))).alias("dotted"))
     parts = F.split("dotted", r"\.")
-    called = calls.select("project_id", "source", "declared", F.explode(F.array_distinct(F.array(F.get(parts, F.lit(0)), F.element_at(parts, -1)))).alias("called"))
+    calls = calls.withColumn("leaf", F.element_at(parts, -1)).withColumn("root", F.when((language == "java") & (F.size(parts) > 2), F.get(parts, F.size(parts) - 2)).otherwise(F.get(parts, F.lit(0))))
+    field = F.coalesce(*[F.when((language == k) & text.rlike(p), F.struct(F.regexp_extract(text, p, 2).alias("root"), F.regexp_extract(text, p, 1).alias("type"))) for k, p in FIELDS.items()])
+    fields = lines.select(*keys, "line", field.alias("f")).filter("f is not null").groupBy(*keys, F.col("f.root").alias("root")).agg(F.max_by("f.type", "line").alias("type"))
+    # a name of one part is a call, not a field
+    typed = calls.join(fields, [*keys, "root"], "left").withColumn("root", F.when(F.size(F.split("dotted", r"\.")) == 2, F.coalesce("type", "root")).otherwise(F.col("root")))
+    called = typed.select(*own_keys, "source", "declared", F.explode(F.array_distinct(F.array("root", "leaf"))).alias("called"))
     return distinct_nodes(nodes), called.filter((F.col("called") != "") & ~F.col("called").isin(*NO_CALLS) & ~F.col("called").eqNullSafe(F.col("declared"))).drop("declared").distinct()
 
 
-#: First rule in order wins: ecosystem, name, by prefix, version prefix, latest, reason, risk.
+#: Releases that are out of support. First rule in order wins: ecosystem, name, by prefix, version prefix,
+#: latest, reason, risk.
 EOL_RULES = (
     ("maven", "org.springframework.boot:spring-boot", True, "2.5.", "3.2+", "Spring Boot 2.5 is out of support", "HIGH"),
     ("maven", "org.springframework.boot:spring-boot", True, "2.6.", "3.2+", "Spring Boot 2.6 is out of support", "HIGH"),

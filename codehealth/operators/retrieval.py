@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codehealth.functions.keys import file_keys
+from codehealth.operators.code_blocks import BRACE_DEF, PY_CLASS, PY_DEF, brace_spans, indent_spans, with_lines
+
 #: Words that are no keywords, and what a run of CJK characters is.
 STOP_WORDS = (
     "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "was", "were", "be", "been", "this", "that", "these", "those", "it", "its", "as", "at", "by",
@@ -28,28 +31,67 @@ def keywords(text: Column, most: int = 8, stop: tuple[str, ...] = STOP_WORDS) ->
     return F.slice(F.array_distinct(F.concat(words, F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(0)))), 1, most)
 
 
-def token_windows(docs: DataFrame, unique: str, text: str = "text", whole: int = 800, size: int = 400, overlap: int = 50) -> DataFrame:
+def token_windows(docs: DataFrame, unique: str | list[str], text: str = "text", whole: int = 800, size: int = 400, overlap: int = 50, as_written: bool = False) -> DataFrame:
     """unique, chunk_index, n_tokens, content: texts of up to `whole` estimated tokens are one chunk, others are windows of
     `size` that share `overlap`. A token costs a quarter of its length, rounded up; window k has the tokens whose cost before
-    them is in k * (size - overlap) .. + size. Running sums over an array have no built-in function, so this is a pandas
-    function over batches of texts; nothing is shuffled."""
+    them is in k * (size - overlap) .. + size. The content is the tokens joined by spaces or, `as_written`, the text from the
+    first of them to the last (all of it, if it is one chunk). Running sums over an array have no built-in function, so this
+    is a pandas function over batches of texts; nothing is shuffled."""
+    unique = [unique] if isinstance(unique, str) else unique
 
     @F.pandas_udf("array<struct<n_tokens:int,content:string>>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(windows_of(t or "", whole, size, overlap)))
+        return texts.map(lambda t: list(windows_of(t or "", whole, size, overlap, as_written)))
 
-    rows = docs.select(unique, F.posexplode(cut(F.col(text))).alias("chunk_index", "w"))
-    return rows.select(unique, "chunk_index", "w.n_tokens", "w.content")
+    rows = docs.select(*unique, F.posexplode(cut(F.col(text))).alias("chunk_index", "w"))
+    return rows.select(*unique, "chunk_index", "w.n_tokens", "w.content")
 
 
-def windows_of(text: str, whole: int, size: int, overlap: int) -> Iterator[dict]:
-    tokens = re.findall(TOKEN, text, re.ASCII)
+def windows_of(text: str, whole: int, size: int, overlap: int, as_written: bool = False) -> Iterator[dict]:
+    places = [m.span() for m in re.finditer(TOKEN, text, re.ASCII)]
+    tokens = [text[a:b] for a, b in places]
     costs = np.array([(len(t) + 3) // 4 for t in tokens], np.int64)
     at, total = np.cumsum(costs) - costs, int(costs.sum())
     starts = [0] if total <= whole else range(0, max(total - 1 - overlap, 0) + 1, size - overlap)
     for start in starts if tokens else ():
         a, b = np.searchsorted(at, (start, start + (size if total > whole else total)))
-        yield {"n_tokens": int(b - a), "content": " ".join(tokens[a:b])}
+        written = text if total <= whole else text[places[a][0] : places[b - 1][1]]
+        yield {"n_tokens": int(b - a), "content": written if as_written else " ".join(tokens[a:b])}
+
+
+#: Where symbols start; the name is in the group that matches.
+PY_SYMBOL = PY_DEF + "|" + PY_CLASS
+JAVA_SYMBOL = r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|interface|enum|record)\s+\w+[^{]*\{|" + BRACE_DEF
+NAME = r"(?:\b(?:class|interface|enum|record|def)\s+(\w+)|(\w+)\s*\()"
+MAX_BYTES, MAX_CHUNKS = 1 << 20, 5_000
+
+
+def source_chunks(files: DataFrame, whole: int = 800, size: int = 400, overlap: int = 50, max_bytes: int = MAX_BYTES, most: int = MAX_CHUNKS) -> DataFrame:
+    """keys, chunk_index, symbol, start_line, end_line, n_tokens, content of Python and Java files (keys, content).
+
+    A symbol that starts inside no other one (a class, or a function outside classes) is a chunk with its lines; what no
+    symbol holds is a chunk of the module, with all lines of the file as its range, unless it is blank. Longer ones become
+    token windows. Empty files and those above `max_bytes` are left out, and so are files of a project (and analysis) once
+    those before them, by path, have `most` chunks."""
+    keys, python = file_keys(files), F.col("path").endswith(".py")
+    rows = with_lines(files.filter((python | F.col("path").endswith(".java")) & F.octet_length("content").between(1, max_bytes)))
+    lines = F.col("lines")
+    found = F.when(python, indent_spans(lines, PY_SYMBOL)).otherwise(brace_spans(lines, JAVA_SYMBOL))
+    rows = rows.withColumn("spans", F.array_sort(F.filter(found, lambda s: ~F.exists(found, lambda o: (o["start"] < s["start"]) & (o["end"] >= s["start"])))))
+    named = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, NAME, 1), F.lit("")), F.nullif(F.regexp_extract(x, NAME, 2), F.lit("")))
+    piece = lambda symbol, a, b, text: F.struct(symbol.alias("symbol"), a.alias("start_line"), b.alias("end_line"), text.alias("text"))
+    symbols = F.transform("spans", lambda s: piece(named(F.get(lines, s["start"])), s["start"] + 1, s["end"] + 1, F.array_join(F.slice(lines, s["start"] + 1, s["end"] - s["start"] + 1), "\n")))
+    inside = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"])))
+    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), inside), lambda i: F.get(lines, i)), "\n")
+    module = F.filter(F.array(piece(F.lit(None).cast("string"), F.lit(1), F.size(lines), rest)), lambda p: p["text"].rlike(r"\S"))
+    pieces = rows.select(*keys, F.posexplode(F.concat(symbols, module)).alias("piece", "p")).select(*keys, "piece", "p.*")
+    cut = token_windows(pieces, [*keys, "piece", "symbol", "start_line", "end_line"], "text", whole, size, overlap, True)
+    order = Window.partitionBy(*keys).orderBy("piece", "part")
+    chunks = cut.withColumnRenamed("chunk_index", "part").withColumn("chunk_index", F.row_number().over(order) - 1)
+    project = [c for c in keys if c != "path"]
+    before = Window.partitionBy(*project or [F.lit(1)]).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    taken = chunks.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < most)
+    return chunks.join(taken.select(*keys), keys, "left_semi").select(*keys, "chunk_index", "symbol", "start_line", "end_line", "n_tokens", "content")
 
 
 def dot(a: Column, b: Column) -> Column:

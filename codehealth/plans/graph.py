@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.operators import graph as G
+from codehealth.operators import retrieval as K
+from codehealth.operators.line_rules import lines_of
 from codehealth.plans.registry import query, spread, table
+from codehealth.plans.source_code import CODE_LINES, KEYS, braces_sql, code_files, code_lines, indents_sql, q, same_file
 from codehealth.sources import manifests as M
 from codehealth.sources import snapshots as S
 
@@ -54,28 +57,56 @@ def g1_layers(spark, sf_dir):
 ALL_LINES = "(select path, line, text, case when regexp_matches(text, '^[A-Za-z]+ [a-z]+') then regexp_extract(text, '^([A-Za-z]+) [a-z]+', 1) end declared from (select source || '/' || doc_id path, unnest(string_split(text, chr(10))) text, generate_subscripts(string_split(text, chr(10)), 1) line, len(string_split(text, chr(10))) n from documents) where not (line = n and text = ''))"
 
 
-def all_symbols_and_calls(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+@query(f"select path as file_path, declared as name, cast(min(line) as int) as line from {ALL_LINES} where declared is not null group by all")
+def g2_symbols(spark, sf_dir):
     """Every line of every document."""
-    from codehealth.operators.line_rules import lines_of
-
     d = spread(table(spark, sf_dir, "documents"))
     files = d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), "doc_id").alias("path"), F.lit("x").alias("language"), F.col("text").alias("content"))
-    return G.symbols_and_calls(lines_of(files, "project_id", "language"), {"x": "^()([A-Za-z]+) [a-z]+"})
+    return G.symbols_and_calls(lines_of(files, "language"), {"x": "^()([A-Za-z]+) [a-z]+"})[0].select("file_path", "name", "line")
 
 
-@query(f"select path as file_path, declared as name, cast(min(line) as int) as line from {ALL_LINES} where declared is not null group by all")
-def g2_symbols(spark, sf_dir):
-    return all_symbols_and_calls(spark, sf_dir)[0].select("file_path", "name", "line")
+(JAVA,), (PY,) = G.DECLARATIONS["java"], G.DECLARATIONS["py"]
+WRITTEN = f"""(select *, path like '%.py' py, case when path like '%.py' and regexp_matches(text, {q(PY)}) then regexp_extract(text, {q(PY)}, 2) when path like '%.java' and regexp_matches(text, {q(JAVA)}) then regexp_extract(text, {q(JAVA)}, 2) end declared,
+  regexp_replace(regexp_replace(text, {q(G.STRING)}, 'S', 'g'), case when path like '%.py' then '#.*$' else '//.*$' end, '') bare from {CODE_LINES})"""
+
+
+def code_symbols(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    lines = code_lines(spark, sf_dir)
+    return G.symbols_and_calls(lines.withColumn("language", F.when(F.col("path").endswith(".py"), "py").otherwise("java")))
+
+
+@query(f"select project_id, path || '#' || declared as node_key, min(line) as line from {WRITTEN} where declared is not null group by all")
+def g2_code_symbols(spark, sf_dir):
+    return code_symbols(spark, sf_dir)[0].select("project_id", "node_key", "line")
+
+
+@query(
+    f"""with w as (select *, nullif(last_value(coalesce(declared, case when py and regexp_matches(text, {q(G.ENDS["py"])}) then '' end) ignore nulls) over (partition by {KEYS} order by line rows between unbounded preceding and current row), '') owner from {WRITTEN}),
+    f as (select {KEYS}, regexp_extract(text, {q(G.FIELDS["java"])}, 2) root, max_by(regexp_extract(text, {q(G.FIELDS["java"])}, 1), line) t from {CODE_LINES} where path like '%.java' and regexp_matches(text, {q(G.FIELDS["java"])}) group by all),
+    d as (select {KEYS}, py, owner, declared, string_split(unnest(regexp_extract_all(bare, '([A-Za-z_][\\w.]*)\\s*\\(', 1)), '.') p from w where owner is not null),
+    r as (select *, case when not py and len(p) > 2 then p[-2] else p[1] end root from d),
+    c as (select project_id, path || '#' || owner as source, declared, unnest([case when len(p) = 2 then coalesce(f.t, root) else root end, p[-1]]) called from r left join f using ({KEYS}, root))
+    select distinct project_id, source, called from c where called <> '' and called not in ({", ".join(f"'{x}'" for x in G.NO_CALLS)}) and called is distinct from declared"""
+)
+def g2_code_calls(spark, sf_dir):
+    return code_symbols(spark, sf_dir)[1].select("project_id", "source", "called")
+
+
+PY_SPANS = indents_sql(f"(select * from {CODE_LINES} where path like '%.py')", f"regexp_matches(text, {q(K.PY_SYMBOL)})")
+JAVA_SPANS = braces_sql(f"(select * from {CODE_LINES} where path like '%.java')", f"regexp_matches(text, {q(K.JAVA_SYMBOL)})")
 
 
 @query(
-    f"""with o as (select *, last_value(declared ignore nulls) over (partition by path order by line rows between unbounded preceding and current row) owner from {ALL_LINES}),
-    c as (select path, owner, declared, unnest(regexp_extract_all(text, '([A-Za-z_][\\w.]*)\\s*\\(', 1)) dotted from o where owner is not null)
-    select distinct path || '#' || owner as source, called from (select *, unnest([split_part(dotted, '.', 1), split_part(dotted, '.', -1)]) called from c)
-    where called <> '' and called not in ({", ".join(f"'{x}'" for x in G.NO_CALLS)}) and called is distinct from declared"""
+    f"""with a as (select * from {PY_SPANS} union all select * from {JAVA_SPANS}),
+    s as (select * from a where not exists (select 1 from a o where {same_file("o", "a")} and o.start < a.start and o.end >= a.start)),
+    p as (select {KEYS}, start k, start + 1 as start_line, s.end + 1 as end_line, max(case when line = start + 1 then coalesce(nullif(regexp_extract(text, {q(K.NAME)}, 1), ''), nullif(regexp_extract(text, {q(K.NAME)}, 2), '')) end) symbol, string_agg(text, chr(10) order by line) content
+      from s join {CODE_LINES} using ({KEYS}) where line between start + 1 and s.end + 1 group by all
+      union all select {KEYS}, 1000000, 1, max(n), null, string_agg(text, chr(10) order by line) filter (not exists (select 1 from s where {same_file("s", "l")} and l.line between s.start + 1 and s.end + 1)) from (select *, max(line) over (partition by {KEYS}) n from {CODE_LINES}) l group by {KEYS})
+    select {KEYS}, cast(row_number() over (partition by {KEYS} order by k) - 1 as int) as chunk_index, symbol, cast(start_line as int) as start_line, cast(end_line as int) as end_line, md5(content) as digest from p where regexp_matches(content, '[^\\s]')"""
 )
-def g2_calls(spark, sf_dir):
-    return all_symbols_and_calls(spark, sf_dir)[1].select("source", "called")
+def k1_source_chunks(spark, sf_dir):
+    """Chunks of symbols and of what is left of the module; the files are too short for windows."""
+    return K.source_chunks(code_files(spark, sf_dir)).select("project_id", "analysis_id", "path", "chunk_index", "symbol", "start_line", "end_line", F.md5("content").alias("digest"))
 
 
 @query(f"select * from {EDGES}")
@@ -300,7 +331,6 @@ LINKS = "(select page_id, unnest(string_split(html, chr(10))) text, generate_sub
     last_value(nullif(regexp_extract(text, '<title>([^<]*)', 1), '') ignore nulls) over (partition by page_id order by line) heading from {LINKS}) where link <> ''"""
 )
 def w7_endpoints(spark, sf_dir):
-    from codehealth.operators.line_rules import lines_of
     from codehealth.operators.documents import carried
 
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("content"))

@@ -74,13 +74,14 @@ CODE = (
     "    while x and y: x = {key}",
     "    subprocess(a, shell=True)  # TODO {name}",
     "class A{key} {{",
+    "  private final Repo{size} repo;",
     "  public void get{key}(int x) {{",
     "    if (x > {key}) {{",
     "      try {{ run(x, {key}{size}); }} catch (E e) {{ }}",
     "    }} else {{ Math.random(); }}",
     "    for (int i = 0; i < {size}; i++) {{",
     "      try {{",
-    "        f();",
+    "        repo.save(this.a.load.find(x)); // no(call)",
     "      }} catch (E e) {{",
     "        // {name}",
     "      }}",

@@ -66,13 +66,41 @@ def test_symbols_calls_and_layers(spark):
     assert [(r["source"], r["severity"]) for r in bad.collect()] == [("a", "HIGH")]
 
 
-def test_symbols_and_calls_of_all_lines(spark, tmp_path):
-    from codehealth.plans.graph import g2_calls, g2_symbols
+@pytest.mark.parametrize("language,text,nodes_,calls_", [
+    ("java", "public class OrderController {\n  private final OrderService service;\n  @Inject private Map<String, Repo> repos;\n  void a() {\n    service.load(1);\n    this.repo.save(x); // gone(1)\n    s = \"no(1)\";\n  }\n  static class Inner {\n    int b() { return new Helper().run(); }\n  }\n}", {"OrderController": 1, "Inner": 9}, {("OrderController", "OrderService"), ("OrderController", "load"), ("OrderController", "repo"), ("OrderController", "save"), ("OrderController", "a"), ("Inner", "b"), ("Inner", "Helper"), ("Inner", "run")}),
+    ("go", "func (s *Service) Get(id int) {\n\ts.repo.Find(id)\n}\nfunc (Service) Put() {\n}\nfunc main() {\n\tNew(1)\n}", {"Service": 1, "main": 6}, {("Service", "Get"), ("Service", "s"), ("Service", "Find"), ("Service", "Put"), ("main", "New")}),
+    ("py", "import os\ndef f(\n    a,\n):\n    g(a)  # no(1)\n\nrun(1)\nclass C:\n    def m(self):\n        self.x.y('z(1)')", {"f": 2, "C": 8}, {("f", "g"), ("C", "m"), ("C", "self"), ("C", "y")}),
+    ("ts", "export default class A {\n  b() { return c.d(); }\n}\nexport const e = () => f()\n  const no = 1", {"A": 1, "e": 4}, {("A", "b"), ("A", "c"), ("A", "d"), ("e", "f")}),
+])
+def test_symbols_of_each_language(spark, language, text, nodes_, calls_):
+    rows = [(p, "f", language, i + 1, t) for p in ("p", "q") for i, t in enumerate(text.split("\n"))]
+    nodes, calls = G.symbols_and_calls(spark.createDataFrame(rows, "project_id string, path string, language string, line int, text string"))
+    for p in ("p", "q"):
+        assert {r["name"]: r["line"] for r in nodes.filter(F.col("project_id") == p).collect()} == nodes_
+        assert {(r["source"][2:], r["called"]) for r in calls.filter(F.col("project_id") == p).collect()} == calls_
+
+
+def test_chunks_of_source_files(spark):
+    py = "import os\n\ndef f():\n    return 1\n\nclass C:\n    def m(self):\n        return 2\nx = f()\n"
+    java = "package a;\npublic class B {\n  void m() {\n  }\n}\n"
+    long_ = "def g():\n" + "".join(f"    word{i} = other{i}\n" for i in range(400))
+    rows = [(p, path, t) for p in ("p", "q") for path, t in (("a.py", py), ("B.java", java), ("g.py", long_), ("e.py", ""), ("n.txt", py), ("blank.py", "\n \n"))]
+    chunks = K.source_chunks(spark.createDataFrame(rows, "project_id string, path string, content string"))
+    got = {p: [tuple(r) for r in chunks.filter((F.col("project_id") == "p") & (F.col("path") == p)).orderBy("chunk_index").select("chunk_index", "symbol", "start_line", "end_line", "content").collect()] for p in ("a.py", "B.java", "g.py", "blank.py")}
+    assert got["a.py"] == [(0, "f", 3, 5, "def f():\n    return 1\n"), (1, "C", 6, 8, "class C:\n    def m(self):\n        return 2"), (2, None, 1, 9, "import os\n\nx = f()")]
+    assert got["B.java"] == [(0, "B", 2, 5, "public class B {\n  void m() {\n  }\n}"), (1, None, 1, 5, "package a;")]
+    assert len(got["g.py"]) > 3 and {x[1:4] for x in got["g.py"]} == {("g", 1, 401)} and all(x[4] in long_ for x in got["g.py"])
+    assert "".join(got["g.py"][0][4]).startswith("def g()") and got["blank.py"] == [] and chunks.groupBy("project_id").count().select("count").distinct().count() == 1
+    few = K.source_chunks(spark.createDataFrame(rows, "project_id string, path string, content string"), most=3)
+    assert {r["path"] for r in few.collect()} == {"B.java", "a.py"}  # the third chunk stands in a.py, which stays whole
+
+
+def test_symbols_of_all_lines(spark, tmp_path):
+    from codehealth.plans.graph import g2_symbols
 
     rows = [(1, "Alpha one\n12 run(a.b.load (x))\nBeta two\nAlpha again; if (z)\n", "s"), (2, "no(\nGamma three go()", "s"), (3, None, "s"), (4, "", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in g2_symbols(spark, str(tmp_path)).collect()} == {("s/1", "Alpha", 1), ("s/1", "Beta", 3), ("s/2", "Gamma", 2)}
-    assert {tuple(r) for r in g2_calls(spark, str(tmp_path)).collect()} == {("s/1#Alpha", "run"), ("s/1#Alpha", "a"), ("s/1#Alpha", "load"), ("s/2#Gamma", "go")}
 
 
 POM = """<project><parent><version>3.0</version></parent><version>1.0.0</version><dependencyManagement><dependencies><dependency><groupId>g</groupId>
