@@ -30,7 +30,7 @@ from codehealth.llm.words import in_one_row, mix, small_batches, text_bytes, win
 
 WINDOW = 35
 #: Bytes of text that a group or a shard stands for, and that a task hashes before it sends.
-GROUP_BYTES, PIECE_BYTES = 8 << 20, 8 << 20
+GROUP_BYTES, PIECE_BYTES = 6 << 20, 6 << 20
 #: Bits of the bitmap that keeps texts without anchors from moving: 8 MB, whatever the input.
 BITMAP_BITS = 1 << 26
 #: Sets the second hash of a window apart from the first.

@@ -10,7 +10,9 @@ the order of a suffix array whose characters are hashes (naming substrings by ha
 sorting by the bytes themselves would move each text about four times over). The sorted batch is merge-scanned against
 every level: equal (name, ext) means that all windows of the later entry start earlier, too; equal names with other
 exts may share some windows. Then the batch becomes a level, and levels of like size merge, so n batches leave about
-log n levels. A family can be kept as a table and taken up again with later documents.
+log n levels. With `index`, the levels of all shards are kept as a table: a later run takes them up again, scans the new
+documents against them, and keeps what has become of them. Ids of later batches lie above those of earlier ones (else an
+error, as is a null id). Earlier documents are read again where an entry has to be settled, see below, and not changed.
 
 Entries that share a name but not an ext are settled window by window: the windows' hashes are sorted in shards in
 the same way, and the least place is the original. Hashes have 64 bits.
@@ -29,11 +31,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codehealth.llm.blocks import bitmap, by_group, dealt, group_count, ids_in, joined, marked, ordered, rows_of, text_size
-from codehealth.llm.shared import pieces_for, saved
+from codehealth.llm.shared import exists, pieces_for, saved
 from codehealth.llm.words import mix, small_batches, text_bytes
 
 LENGTH, STEM = 100, 24
@@ -47,7 +49,8 @@ _LOW = np.uint64(0xFFFFFFFF)
 ENTRIES = "shard int, names binary, exts binary, ids binary, places binary, span_ids binary, span_ties binary, span_from binary, span_to binary"
 #: Verdicts: windows start, number of windows, and whether they are to be settled one by one (else all are repeats).
 VERDICTS = "grp int, ids binary, ties binary, starts binary, counts binary, open binary"
-FAMILY = "shard int, level int, names binary, exts binary, ids binary, places binary, mixed binary"
+#: A level of a shard's family.
+LEVELS = "shard int, level int, names binary, exts binary, level_ids binary, places binary, mixed binary"
 
 
 class Hashes:
@@ -176,7 +179,7 @@ def unplaced(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (places >> np.uint64(48)).astype(np.int64), ((places >> np.uint64(8)) & np.uint64((1 << 40) - 1)).astype(np.int64), (places & np.uint64(0xFF)).astype(np.int64)
 
 
-def index(length: int, stem: int, shards: int, piece_bytes: int) -> Callable:
+def index_of(length: int, stem: int, shards: int, piece_bytes: int) -> Callable:
     """Per piece and shard: the first entry of each (name, ext); the windows of the others, merged, are spans."""
 
     def sent(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +225,24 @@ def packed(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
+PARTS = (np.uint32, np.uint64, np.int64, np.uint64, bool)
+
+
 def matches(groups: int, length: int) -> Callable[[pa.Table], pa.Table]:
     """Of a shard: repeats and entries to settle, by group. Each piece's entries are a batch of the shard's family."""
 
     def work(table: pa.Table) -> pa.Table:
-        family, lost = Family(), []
-        for batch in zip(packed(table["names"], np.uint32), packed(table["exts"], np.uint64), packed(table["ids"], np.int64), packed(table["places"], np.uint64)):
+        return verdicts_of(table, Family())
+
+    def verdicts_of(table: pa.Table, family: Family) -> pa.Table:
+        lost, old = [], bool(family.levels)
+        batches = list(zip(*(packed(table[x], kind) for x, kind in zip(("names", "exts", "ids", "places"), PARTS))))
+        for batch in batches:
             lost += list(family.add(*batch))
-        mixed = [(x[2][x[4]], x[3][x[4]]) for x in family.levels]
+        asked = np.unique(np.concatenate([np.zeros(0, np.uint32), *(x[0] for x in batches)])) if old else None
+        # entries of earlier runs are settled where a new one has their name
+        again = lambda x: x[4] if asked is None else x[4] & np.isin(x[0], asked)
+        mixed = [(x[2][again(x)], x[3][again(x)]) for x in family.levels]
         ids, places = (np.concatenate([*(x[k] for x in lost), *(x[k] for x in mixed), np.zeros(0, t)]) for k, t in ((0, np.int64), (1, np.uint64)))
         is_open = np.arange(len(ids)) >= sum(len(x[0]) for x in lost)
         ties, starts, counts = unplaced(places)
@@ -240,6 +253,26 @@ def matches(groups: int, length: int) -> Callable[[pa.Table], pa.Table]:
         is_open = np.concatenate([is_open, np.zeros(len(span[0]), bool)])
         return by_group((ids % groups).astype(np.int32), [ids, ties.astype(np.uint16), starts, counts.astype(np.int32), is_open], ["ids", "ties", "starts", "counts", "open"])
 
+    work.with_family = verdicts_of
+    return work
+
+
+def matches_and_levels(groups: int, length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same with the shard's kept levels, and what has become of these."""
+    verdicts_of = matches(groups, length).with_family
+
+    def work(table: pa.Table, kept: pa.Table) -> pa.Table:
+        kept = kept.sort_by("level")
+        names = ("names", "exts", "level_ids", "places", "mixed")
+        family = Family([[x.copy() for x in level] for level in zip(*(packed(kept[n], kind) for n, kind in zip(names, PARTS)))])
+        shard = (table if table.num_rows else kept)["shard"][0].as_py()
+        found = verdicts_of(table, family)
+        levels = pa.table(
+            [pa.array([shard] * len(family.levels), pa.int32()), pa.array(range(len(family.levels)), pa.int32())] + [pa.array([x[i].astype(kind).tobytes() for x in family.levels], pa.binary()) for i, kind in enumerate(PARTS)],
+            names=["shard", "level", *names],
+        )
+        return pa.concat_tables([found, levels], promote_options="default").select([x.split()[0] for x in f"{VERDICTS}, {LEVELS}".split(", ")])
+
     return work
 
 
@@ -348,24 +381,64 @@ SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 RESULT = "doc_id long, n_bytes long, removed array<struct<from:long,to:long>>, kept binary"
 
 
-def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stem: int = STEM, piece_bytes: int = PIECE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """doc_id, n_bytes, removed (maximal spans, in bytes) and kept (the other bytes) of every document."""
+class Kept:
+    """The family of earlier runs as a table at path: its levels, how many shards it has, and the greatest id in it."""
+
+    def __init__(self, spark: SparkSession, path: str, shards: int):
+        self.spark, self.path = spark, path
+        last = spark.read.parquet(f"{path}/runs").orderBy(F.desc("run")).first() if exists(spark, f"{path}/runs") else None
+        self.run, self.shards, self.max_id = (last["run"], last["shards"], last["max_id"]) if last else (0, shards, None)
+
+    def levels(self) -> DataFrame:
+        return self.spark.read.schema(LEVELS).parquet(f"{self.path}/levels-{self.run}") if self.run else self.spark.createDataFrame([], LEVELS)
+
+    def follow(self, levels: DataFrame, max_id: int | None) -> None:
+        """The levels after this run, then the mark by which the next run finds them: a run that fails leaves the old ones."""
+        run = self.run + 1
+        levels.write.mode("overwrite").parquet(f"{self.path}/levels-{run}")
+        self.spark.createDataFrame([(run, self.shards, max_id)], "run int, shards int, max_id long").write.mode("append").parquet(f"{self.path}/runs")
+
+
+def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stem: int = STEM, piece_bytes: int = PIECE_BYTES, group_bytes: int = GROUP_BYTES, index: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_bytes, removed (maximal spans, in bytes) and kept (the other bytes) of every document.
+
+    index: a path where the family is kept for later batches; it is made if there is none. earlier: the documents of earlier
+    batches, with the same columns of id and text."""
     if not stem < length <= stem + 255:
         raise ValueError("an entry has at most 255 windows")
     spark = docs.sparkSession
     shards = groups = group_count(2 * pieces_for(spark, text_size(docs, text_col), group_bytes))
     rows = rows_of(docs, id_col, text_col, groups)
-    sent = rows.select("text", "id", "tie").mapInArrow(index(length, stem, shards, piece_bytes), ENTRIES)
-    found = saved(sent.groupBy("shard").applyInArrow(matches(groups, length), VERDICTS), "matches")
+    all_rows, old_id = rows, None
+    if index is None:
+        sent = rows.select("text", "id", "tie").mapInArrow(index_of(length, stem, shards, piece_bytes), ENTRIES)
+        found = saved(sent.groupBy("shard").applyInArrow(matches(groups, length), VERDICTS), "matches")
+    else:
+        kept = Kept(spark, index, shards)
+        shards, old_id = kept.shards, kept.max_id
+        low, high, n, known = docs.agg(F.min(docs[id_col].cast("long")), F.max(docs[id_col].cast("long")), F.count("*"), F.count(docs[id_col])).first()
+        if n != known or old_id is not None and low is not None and low <= old_id:
+            raise ValueError("the ids of a batch lie above those of earlier ones, and none is null")
+        if kept.run and earlier is None:
+            raise ValueError("a later batch needs the earlier documents")
+        if earlier is not None:
+            all_rows = rows.unionByName(rows_of(earlier, id_col, text_col, groups))
+        sent = rows.select("text", "id", "tie").mapInArrow(index_of(length, stem, shards, piece_bytes), ENTRIES)
+        both = sent.groupBy("shard").cogroup(kept.levels().groupBy("shard")).applyInArrow(matches_and_levels(groups, length), f"{VERDICTS}, {LEVELS}")
+        both = saved(both, "matches")
+        kept.follow(both.filter("level is not null").select(*(x.split()[0] for x in LEVELS.split(", "))), max((x for x in (old_id, high) if x is not None), default=None))
+        found = both.filter("level is null").select(*(x.split()[0] for x in VERDICTS.split(", ")))
 
     bits = bitmap(ids_in(found))
-    near = marked(rows, bits, True)
+    near = marked(all_rows, bits, True)
     each = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(windows(length, shards), "shard int, grp int, hashes binary, ids binary, positions binary")
     settled = each.groupBy("shard").applyInArrow(later, "grp int, positions binary")
     verdicts = found.withColumn("positions", F.lit(None).cast("binary")).unionByName(
         settled.select("grp", *(F.lit(None).cast("binary").alias(x) for x in ("ids", "ties", "starts", "counts", "open")), "positions")
     )
     cut = near.groupBy("grp").cogroup(verdicts.groupBy("grp")).applyInArrow(finished(length), RESULT)
+    if old_id is not None:
+        cut = cut.filter(F.col("doc_id") > old_id)
     rest = marked(rows, bits, False).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<from:long,to:long>>").alias("removed"), F.col("text").cast("binary").alias("kept")
     )

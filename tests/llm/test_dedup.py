@@ -145,6 +145,25 @@ def test_earlier_bytes_equal_brute_force(spark, make, length, stem):
     assert sorted(flat) == brute_bytes(cases.rows(), length)
 
 
+def test_later_batches_take_up_the_index(spark, tmp_path):
+    """Four batches against one brute force over all; one of them is empty."""
+    data, path = cases.rows(), f"{tmp_path}/index"
+    want = {b: [r for r in brute_bytes(data) if low <= r[0] < high] for b, (low, high) in enumerate(((0, 30), (30, 30), (30, 66), (66, 999)))}
+    seen = cases.empty(spark)
+    for b, (low, high) in enumerate(((0, 30), (30, 30), (30, 66), (66, 999))):
+        batch = cases.docs(spark).filter(f"doc_id >= {low} and doc_id < {high}")
+        got = suffixes.without_earlier(batch, piece_bytes=3000, group_bytes=3000, index=path, earlier=seen).collect()
+        flat = [(r["doc_id"], r["n_bytes"], sum(x["to"] - x["from"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"])) for r in got]
+        assert sorted(flat) == want[b]
+        seen = seen.unionByName(batch)
+    levels = spark.read.parquet(f"{path}/levels-4").groupBy("shard").count().agg({"count": "max"}).first()[0]
+    assert 1 <= levels <= 6
+    with pytest.raises(ValueError):
+        suffixes.without_earlier(batch, index=path, earlier=seen)
+    with pytest.raises(ValueError):
+        suffixes.without_earlier(cases.docs(spark, [(10_000, "x", "en", "s", 1)]), index=path)
+
+
 def test_earlier_bytes_of_nothing(spark):
     assert suffixes.without_earlier(cases.empty(spark)).count() == 0
 
