@@ -57,6 +57,49 @@ def test_blocks_hold_what_was_taken(spark):
     assert all(b["n_words"] <= 8 for b in blocks) and len({(b["shard"], b["slot"]) for b in blocks}) == len(blocks)
 
 
+def brute_mix(spark, frame, mix, w):
+    """taken by document and blocks by place, word by word, from the plan's small tables."""
+    from pyspark.sql import functions as F
+
+    docs = frame.select("doc_id", "source", "text", F.xxhash64(F.col("text")).alias("tie"), F.pmod(F.xxhash64("doc_id"), F.lit(mix.buckets)).alias("bucket")).collect()
+    sources = {r["name"]: (r["s"], r["source_size"], r["target"]) for r in mix.sources.collect()}
+    turns = {(r["s"], r["turn"]): r for r in mix.turns.collect()}
+    words = {s: [] for s, *_ in sources.values()}  # (document, word) in order
+    for k, r in sorted(enumerate(docs), key=lambda x: (x[1]["bucket"], x[1]["doc_id"], x[1]["tie"])):
+        words[sources[r["source"]][0]] += [(k, x) for x in (r["text"] or "").encode().split()]
+    taken, blocks, done = Counter(), {}, Counter()
+    for shard, counts in enumerate(mix.counts.tolist()):
+        slot = 0
+        for s, n in enumerate(counts):
+            for _ in range(n):
+                t = turns[(s, done[s] // turns[(s, 0)]["n"])]
+                x = (done[s] % t["n"] * t["a"] + t["b"]) % t["n"]
+                x = x ^ (x >> t["shift"]) if x < t["low"] else x
+                block = (x * t["c"] + t["d"]) % t["n"]
+                own = words[s][block * w : (block + 1) * w]
+                blocks[(shard, slot)] = (s, block, " ".join(x.decode() for _, x in own))
+                taken.update(k for k, _ in own)
+                done[s] += 1
+                slot += 1
+    rows = [(r["doc_id"], len((r["text"] or "").encode().split()), *sources[r["source"]][1:], taken[k]) for k, r in enumerate(docs)]
+    return sorted(rows), blocks, {name: s for name, (s, *_) in sources.items()}
+
+
+def test_mix_equals_brute_force(spark):
+    frame = cases.docs(spark).dropDuplicates(["doc_id"])
+    mix = mixing.Mix(frame, block_words=8, shards=5)
+    rows, blocks, numbers = brute_mix(spark, frame, mix, 8)
+    assert sorted(map(tuple, mix.taken().select("doc_id", "size", "source_size", "target", "taken").collect())) == rows
+    got = {(r["shard"], r["slot"]): (numbers[r["source"]], r["block"], r["text"]) for r in mix.blocks().collect()}
+    assert got == blocks and len(got) > 100
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.Mix(cases.docs(spark))
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
@@ -531,6 +574,28 @@ def test_reordered_passages_are_caught(spark):
 # --- pipeline -------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("make", [cases.docs, cases.clashing, cases.empty])
+def test_pipeline_of_odd_documents(spark, tmp_path, make):
+    """Nulls, empty and repeated rows, columns named like the operators' own, no rows at all."""
+    import corpus_pipeline
+
+    frame = make(spark).selectExpr("*", "1 as n_lines", "'y' as whole_text", "2 as s", "3 as bucket", "4 as line_key")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = Counter(map(tuple, docs.drop("text").collect()))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = f"{tmp_path}/{k}"
+        stage(spark, docs, str(tmp_path)).write.parquet(out)
+        docs = spark.read.parquet(out)
+        assert docs.columns == frame.columns
+        after = Counter(map(tuple, docs.drop("text").collect()))
+        assert not after - before  # rows go or stay as they are
+        before = after
+    blocks = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(blocks) == bool(before) and all(b["n_words"] == len(b["text"].split(" ")) for b in blocks)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
