@@ -48,15 +48,18 @@ def token_windows(docs: DataFrame, unique: str | list[str], text: str = "text",
 
 
 def windows_of(text: str, whole: int, size: int, overlap: int, as_written: bool = False) -> Iterator[dict]:
-    places = [m.span() for m in re.finditer(TOKEN, text, re.ASCII)]
-    tokens = [text[a:b] for a, b in places]
+    tokens = re.findall(TOKEN, text, re.ASCII)
+    places = [m.span() for m in re.finditer(TOKEN, text, re.ASCII)] if as_written else []
     costs = np.array([(len(t) + 3) // 4 for t in tokens], np.int64)
     at, total = np.cumsum(costs) - costs, int(costs.sum())
     starts = [0] if total <= whole else range(0, max(total - 1 - overlap, 0) + 1, size - overlap)
     for start in starts if tokens else ():
         a, b = np.searchsorted(at, (start, start + (size if total > whole else total)))
-        written = text if total <= whole else text[places[a][0] : places[b - 1][1]]
-        yield {"n_tokens": int(b - a), "content": written if as_written else " ".join(tokens[a:b])}
+        if as_written:
+            content = text if total <= whole else text[places[a][0] : places[b - 1][1]]
+        else:
+            content = " ".join(tokens[a:b])
+        yield {"n_tokens": int(b - a), "content": content}
 
 
 #: Where symbols start; the name is in the group that matches.
