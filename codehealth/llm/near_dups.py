@@ -174,15 +174,14 @@ def bit_of(name: str):
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node that it reaches) of every node of links (a, b), by alternating large and small
-    stars (Kiveris and others, 2014). Only a count and a checksum come to the driver."""
+    stars (Kiveris and others, 2014). A node with many links meets its least neighbour in salted parts. Only a count and a
+    checksum come to the driver."""
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = merging(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = merging(large, least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        large = with_least(both).select("u", "v", F.least("u", "m").alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         e = saved(small.filter("u <> v").distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -192,8 +191,35 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Rounds of stars at most, before what is left is compared pair by pair.
 STARS = 2
-#: Parts of a bucket that meet their hub in tasks of their own.
-SALTS = 32
+#: Parts of a bucket or of a node's links that meet their hub in tasks of their own, 64 at most: they are bits of a number.
+SALTS = 64
+
+
+def salt_of(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salts_seen():
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def each_salt():
+    """A row for each salt in the bits `salts`."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.call_function("getbit", F.col("salts"), x) == 1)).alias("salt")
+
+
+def with_group(rows: DataFrame, key: str, member: str, *found, only: str = "true") -> DataFrame:
+    """rows with the aggregates `found` of all rows with the same key, of the groups that satisfy `only`. The aggregate is summed
+    up before the shuffle and joined back in parts by a hash of `member`, so a group of any size is no single task's."""
+    salted = rows.select("*", salt_of(member))
+    group = salted.groupBy(key).agg(*found, salts_seen()).filter(only)
+    names = [c for c in group.columns if c not in (key, "salts")]
+    return merging(salted, group.select(key, *names, each_salt()), [key, "salt"]).drop("salt")
+
+
+def with_least(links: DataFrame) -> DataFrame:
+    """links (u, v) with m, the least v of each u."""
+    return with_group(links, "u", "v", F.min("v").alias("m")).select("u", "v", "m")
 
 
 def likely(percent: int):
@@ -205,12 +231,11 @@ def likely(percent: int):
 def stars(now: DataFrame, about: DataFrame, turn: int) -> DataFrame:
     """bucket, doc_id, n, b, m, hub_bits of the members (bucket, doc_id, n) of every bucket with two or more, as a table: b
     is the bucket's hub, another one each turn. A bucket of any size meets its hub in SALTS parts."""
-    now = now.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    now = now.select("*", salt_of("doc_id"))
     order = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("order"), F.col("doc_id").alias("b"))
-    hubs = now.groupBy("bucket").agg(F.count("*").alias("c"), F.min(order).alias("h"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("c > 1")
+    hubs = now.groupBy("bucket").agg(F.count("*").alias("c"), F.min(order).alias("h"), salts_seen()).filter("c > 1")
     hubs = merging(hubs.select("bucket", "h.b", "salts"), about.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("hub_bits")), "b")
-    own = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda x: F.call_function("getbit", F.col("salts"), x) == 1)).alias("salt")
-    return saved(merging(now, hubs.select("bucket", "b", "m", "hub_bits", own), ["bucket", "salt"]).drop("salt"), "members")
+    return saved(merging(now, hubs.select("bucket", "b", "m", "hub_bits", each_salt()), ["bucket", "salt"]).drop("salt"), "members")
 
 
 def links(texts: DataFrame, reps: DataFrame, more: DataFrame, parts: int, percent: int, size: int) -> DataFrame:
@@ -242,10 +267,11 @@ def links(texts: DataFrame, reps: DataFrame, more: DataFrame, parts: int, percen
 
     # equal sizes, or sizes that may belong together, are in one class or in neighbouring ones
     step = F.floor(F.log("n") / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n").cast("int")
-    now = unresolved(members.select("bucket", "doc_id", "n"), comps)
-    sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    most = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    now = saved(merging(merging(now, most, "bucket").drop("n"), about, "doc_id").withColumn("step", step), "unresolved")
+    now = unresolved(members.select("bucket", "doc_id"), comps).select("*", salt_of("doc_id"))
+    sizes = now.groupBy("bucket", "comp").agg(F.count("*").alias("c"), salts_seen())
+    most = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.bit_or("salts").alias("salts"))
+    now = merging(now, most.select("bucket", "main", each_salt()), ["bucket", "salt"]).drop("salt")
+    now = saved(merging(now, about, "doc_id").withColumn("step", step), "unresolved")
     outer = now.filter("comp <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("hub_bits"), F.col("comp").alias("own"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
     inner = now.select(F.col("bucket").alias("of"), F.col("step").alias("near"), F.col("doc_id").alias("b"), "n", "bits", "comp", "main")
     apart = (F.col("own") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("a") < F.col("b")))
@@ -259,8 +285,7 @@ def links(texts: DataFrame, reps: DataFrame, more: DataFrame, parts: int, percen
 def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The members, with their component, of buckets that lie in several."""
     now = merging(members, comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return merging(now, several, "bucket")
+    return with_group(now, "bucket", "doc_id", F.min("comp").alias("lo"), F.max("comp").alias("hi"), only="lo < hi").drop("lo", "hi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
