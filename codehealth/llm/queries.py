@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codehealth.llm import archives, blocks, langid, line_templates, mixing, near_dups, quality, secret_ledger, suffixes, tiling
+from codehealth.llm import archives, blocks, bpe, langid, lexical_search, line_templates, mixing, near_dups, quality, secret_ledger, suffixes, tiling, whitening
 from codehealth.llm.shared import fresh_path
 from codehealth.llm.sql import SQL  # noqa: F401  read with QUERIES
 
@@ -77,6 +77,21 @@ def op10_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There and back: the ids of each text, and the text of the ids."""
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), packed_ids=True, drop_text=True)
+    back = bpe.decoded(ids)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,5 +106,8 @@ QUERIES = {
         op8_string_tiling,
         op9_block_anchors,
         op10_suffix_index,
+        op11_best_positions,
+        op12_bpe_stream,
+        op13_whitening,
     )
 }

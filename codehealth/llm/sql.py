@@ -86,6 +86,16 @@ q as (select doc_id, a, z, lag(z, 1, 0) over (partition by doc_id order by a) y
 c as (select q.doc_id, count(*) n_spans, sum(z - a) n_removed, string_agg(substr(x, cast(2 * y + 1 as bigint), cast(2 * (a - y) as bigint)), '' order by a) head, max(z) last from q join b on b.doc_id = q.doc_id group by 1)
 select b.doc_id, length(x) // 2 as n_bytes, coalesce(cast(n_removed as bigint), 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) as kept_sha256 from b left join c on c.doc_id = b.doc_id"""
 
+_TERMS = "unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+OP11 = f"""with t as (select doc_id, w, count(*) tf from (select doc_id, {_TERMS} w from documents) group by 1, 2),
+n as (select doc_id, sum(tf)::bigint n from t group by 1),
+a as (select count(*) big_n, sum(n)::bigint big_l from n),
+f as (select w, count(*) df from t group by 1),
+i as (select item_id, w, count(*) c from (select item_id, {_TERMS} w from benchmark) group by 1, 2),
+s as (select item_id, doc_id, sum(c * floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::bigint score
+  from i join t using (w) join f using (w) join n using (doc_id) cross join a group by 1, 2)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from s where score > 0 qualify row_number() over (partition by item_id order by score desc, doc_id) <= 20"""
+
 SQL = {
     "op1_near_dups": OP1,
     "op3_line_templates": OP3,
@@ -94,4 +104,5 @@ SQL = {
     "op7_secret_scan": OP7,
     "op9_block_anchors": OP9,
     "op10_suffix_index": OP10,
+    "op11_best_positions": OP11,
 }
