@@ -19,7 +19,7 @@ FUNCTION = r"^\s*(?!(?:for|if|while|switch|catch|do)\b)(?:(?:public|private|prot
 BRACE_DEF = r"^\s*(?:(?:public|private|protected|static|final|async|export|abstract|override|synchronized|internal|open)\s+)*(?:function\s+\w+|[\w$<>,\s]+\s+\w+\s*\()\s*[^)]*\)\s*(?:throws[\s\w,]+)?\{"
 BRACE_CLASS = r"^\s*(?:public|internal|open|final|abstract|sealed|export)?\s*class\s+\w+[^{]*\{"
 BRANCH = r"\b(?:if|elif|else if|for|while|catch|switch)\b|\bcase\s|\b(?:&&|\|\||\?)\b"
-NESTS, CLOSES = r"^(if |for |while |catch|switch|else )", r"^(\}|elif|else:)"
+NESTS, CLOSES = r"^\s*(if |for |while |catch|switch|else )", r"^\s*(\}|elif|else:)"
 
 
 def with_lines(files: DataFrame) -> DataFrame:
@@ -29,11 +29,12 @@ def with_lines(files: DataFrame) -> DataFrame:
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def spans(items: Column, cumulative: bool, shift: int) -> Column:
+def spans(items: Column, cumulative: bool, shift: int, nested: bool = True) -> Column:
     """start, end (lines from 0) of each block, by one fold that carries the open ones. items: an array of (level, opens,
     inside) per line, where level is the line's depth or, if `cumulative`, its change. A block that opens on a line ends on
     the first later line that is not deeper than it (less `shift`), else on the last line; `inside` measures its own depth
-    after its first line, less one."""
+    after its first line, less one. Unless `nested`, what opens inside a block is passed by: the search goes on after its end,
+    so at most one block is open."""
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast("array<struct<start:int,level:int>>").alias("open"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -42,10 +43,11 @@ def spans(items: Column, cumulative: bool, shift: int) -> Column:
         ended = F.exists(acc["open"], lambda o: o["level"] >= depth)
         closed = F.transform(F.filter(acc["open"], lambda o: o["level"] >= depth), lambda o: F.struct(o["start"].alias("start"), (acc["i"] - shift).alias("end")))
         still = F.when(ended, F.filter(acc["open"], lambda o: o["level"] < depth)).otherwise(acc["open"])
+        free = F.lit(True) if nested else F.size(still if shift else acc["open"]) == 0  # without shift the last line is the block's own
         return F.struct(
             (acc["i"] + 1).alias("i"),
             depth.alias("depth"),
-            F.when(x["opens"], F.concat(still, F.array(F.struct(acc["i"].alias("start"), before.cast("int").alias("level"))))).otherwise(still).alias("open"),
+            F.when(x["opens"] & free, F.concat(still, F.array(F.struct(acc["i"].alias("start"), before.cast("int").alias("level"))))).otherwise(still).alias("open"),
             F.when(ended, F.concat(acc["out"], closed)).otherwise(acc["out"]).alias("out"),
         )
 
@@ -53,16 +55,16 @@ def spans(items: Column, cumulative: bool, shift: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.concat(acc["out"], last(acc)))
 
 
-def brace_spans(lines: Column, starts: str, open_: str = "[{]", close: str = "[}]", at_line_end: bool = False) -> Column:
+def brace_spans(lines: Column, starts: str, open_: str = "[{]", close: str = "[}]", at_line_end: bool = False, nested: bool = True) -> Column:
     change = lambda x: F.regexp_count(x, F.lit(open_)) - F.regexp_count(x, F.lit(close))
     items = F.transform(lines, lambda x: F.struct(change(x).alias("level"), x.rlike(starts).alias("opens"), F.lit(at_line_end).alias("inside")))
-    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, True, 0)).otherwise(F.array().cast(SPANS))
+    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, True, 0, nested)).otherwise(F.array().cast(SPANS))
 
 
-def indent_spans(lines: Column, starts: str = PY_DEF) -> Column:
-    indent = lambda x: F.when(F.trim(x) == "", 1_000_000).otherwise(F.length(x) - F.length(F.ltrim(x)))
+def indent_spans(lines: Column, starts: str = PY_DEF, nested: bool = True) -> Column:
+    indent = lambda x: F.when(x.rlike(r"^\s*$"), 1_000_000).otherwise(F.length(F.regexp_extract(x, r"^(\s*)", 1)))
     items = F.transform(lines, lambda x: F.struct(indent(x).alias("level"), x.rlike(starts).alias("opens"), F.lit(False).alias("inside")))
-    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, False, 1)).otherwise(F.array().cast(SPANS))
+    return F.when(F.exists(lines, lambda x: x.rlike(starts)), spans(items, False, 1, nested)).otherwise(F.array().cast(SPANS))
 
 
 def _exploded(files: DataFrame, found: Column) -> DataFrame:
@@ -83,14 +85,15 @@ def indent_ends(files: DataFrame, starts: str = PY_DEF) -> DataFrame:
 
 
 def bloated(files: DataFrame, method: int = 150, class_: int = 500, file: int = 1200) -> DataFrame:
-    """keys, line, rule_key, size of methods, classes and files that are too long, in one pass."""
+    """keys, line, rule_key, size of methods, classes and files that are too long, in one pass. Methods inside a method, and classes
+    inside a class, are part of it and not judged by themselves."""
     lines, python = F.col("lines"), F.col("path").endswith(".py")
 
     def long_(found: Column, key: str, most: int) -> Column:
         size = lambda b: b["end"] - b["start"] + 1
         return F.transform(F.filter(found, lambda b: size(b) > most), lambda b: F.struct((b["start"] + 1).alias("line"), F.lit(key).alias("rule_key"), size(b).alias("size")))
 
-    pair = lambda braces, indent: F.when(python, indent_spans(lines, indent)).otherwise(brace_spans(lines, braces))
+    pair = lambda braces, indent: F.when(python, indent_spans(lines, indent, nested=False)).otherwise(brace_spans(lines, braces, nested=False))
     whole = F.filter(F.array(F.struct(F.lit(1).alias("line"), F.lit("BLOATED-FILE").alias("rule_key"), F.size(lines).alias("size"))), lambda x: x["size"] > file)
     return _exploded(with_lines(files), F.concat(long_(pair(BRACE_DEF, PY_DEF), "BLOATED-METHOD", method), long_(pair(BRACE_CLASS, PY_CLASS), "BLOATED-CLASS", class_), whole))
 
@@ -101,22 +104,22 @@ def long_files(files: DataFrame, most: int) -> DataFrame:
 
 
 def complexity(body: Column, branch: str = BRANCH) -> Column:
-    """Sum over branch words of 1 + depth; depth rises after a nesting line and falls, not below 0, on a closing one."""
+    """Sum over branch words of 1 + depth. A line counts at the depth before it; then depth rises after a nesting line or else
+    falls, not below 0, after a closing one."""
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = F.trim(raw)
-        depth = F.when(line.rlike(CLOSES), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        score = acc["score"] + F.regexp_count(line, F.lit(branch)) * (depth + 1)
-        return F.struct(score.alias("score"), F.when(line.rlike(NESTS), depth + 1).otherwise(depth).alias("depth"))
+    def step(acc: Column, line: Column) -> Column:
+        score = acc["score"] + F.regexp_count(line, F.lit(branch)) * (acc["depth"] + 1)
+        depth = F.when(line.rlike(NESTS), acc["depth"] + 1).when(line.rlike(CLOSES), F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        return F.struct(score.alias("score"), depth.alias("depth"))
 
     return F.aggregate(body, F.struct(F.lit(0).alias("score"), F.lit(0).alias("depth")), step, lambda acc: acc["score"])
 
 
 def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace: str = FUNCTION, python: str = PY_DEF, branch: str = BRANCH) -> DataFrame:
-    """keys, line, score, severity of functions above the limits."""
+    """keys, line, score, severity of functions above the limits, head line included; a function inside another is part of it."""
     lines = F.col("lines")
-    found = F.when(F.col("path").endswith(".py"), indent_spans(lines, python)).otherwise(brace_spans(lines, brace))
-    body = lambda b: F.slice(lines, b["start"] + 2, F.greatest(b["end"] - b["start"], F.lit(0)))
+    found = F.when(F.col("path").endswith(".py"), indent_spans(lines, python, nested=False)).otherwise(brace_spans(lines, brace, nested=False))
+    body = lambda b: F.slice(lines, b["start"] + 1, b["end"] - b["start"] + 1)
     scores = F.transform(found, lambda b: F.struct((b["start"] + 1).alias("line"), complexity(body(b), branch).alias("score")))
     rows = _exploded(with_lines(files), F.filter(scores, lambda x: x["score"] >= minor))
     return rows.withColumn("severity", F.when(F.col("score") >= major, "MAJOR").otherwise("MINOR"))

@@ -89,11 +89,49 @@ CODE = (
     "  }}",
     "}}",
 )
-#: A part leaves line k out if p_partkey + k is a multiple of 7; lines with braces are always there.
-ALWAYS = tuple(k for k, x in enumerate(CODE) if "{{" in x or "}}" in x)
+#: Functions and classes inside others, with branches at several depths.
+NESTED = (
+    "class A{key} {{",
+    "    def outer(x):",
+    "        if x == {key}:",
+    "            x = 1",
+    "        elif x == {size}:",
+    "            x = 2",
+    "        elif x > 3:",
+    "            for y in x:",
+    "                while y: y -= 1",
+    "        else:",
+    "            x = 3",
+    "",
+    "        def inner(z):",
+    "            if z or x:",
+    "                return '{name}'",
+    "        class B{size}:",
+    "            def deep(self): pass",
+    "    def last(x): return {size} if x else 0",
+    "    public void run{key}(int x) {{",
+    "      for (int i = 0; i < {size}; i++) {{",
+    "        void twice(int y) {{",
+    "          if (y > x) {{",
+    "            switch (y) {{ case 1: return; case {size}: break; }}",
+    "          }} else if (y > {key}) {{ y--; }}",
+    "        }}",
+    "        class C{key} {{",
+    "        }}",
+    "      }}",
+    "    }} void after(int z) {{ if (z > 1) {{ z--; }}",
+    "    }}",
+    "    int plain(int z) {{ return z > 1 ? z : {key}; }}",
+    "}}",
+)
+
 
+def always(code: tuple[str, ...]) -> tuple[int, ...]:
+    """A part leaves line k out if p_partkey + k is a multiple of 7; lines with braces are always there."""
+    return tuple(k for k, x in enumerate(code) if "{{" in x or "}}" in x)
 
-def code_files(spark, sf_dir) -> DataFrame:
+
+def code_files(spark, sf_dir, code: tuple[str, ...] = CODE) -> DataFrame:
     """A Python and a Java file of each part, of projects by brand; paths repeat among the projects."""
     p = spread(table(spark, sf_dir, "part"))
     column = {"name": F.col("p_name"), "type": F.col("p_type"), "key": F.col("p_partkey").cast("string"), "size": F.col("p_size").cast("string")}
@@ -102,7 +140,8 @@ def code_files(spark, sf_dir) -> DataFrame:
         parts = re.split(r"\{(name|type|key|size)\}", line.replace("{{", "\x01").replace("}}", "\x02"))
         return F.concat(*[column[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)])
 
-    chosen = F.array_compact(F.array(*[text(x) if k in ALWAYS else F.when((F.col("p_partkey") + k) % 7 != 0, text(x)) for k, x in enumerate(CODE)]))
+    there = always(code)
+    chosen = F.array_compact(F.array(*[text(x) if k in there else F.when((F.col("p_partkey") + k) % 7 != 0, text(x)) for k, x in enumerate(code)]))
     content = F.concat(F.array_join(chosen, "\n"), F.lit("\n"))
     path = F.concat(F.lit("src/m"), F.expr("p_partkey div 50"), F.lit("_"), F.col("p_partkey") % 2, F.when(F.col("p_partkey") % 2 == 0, ".py").otherwise(".java"))
     return p.select(F.concat(F.lit("k"), F.col("p_partkey") % 50 - F.col("p_partkey") % 2).alias("project_id"), F.lit(1).alias("analysis_id"), path.alias("path"), content.alias("content"))
@@ -114,11 +153,16 @@ def _code_line(line: str) -> str:
     return "concat(" + ", ".join(names[x] if i % 2 else q(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)) + ")"
 
 
-CODE_LINES = (
-    "(select project_id, analysis_id, path, line, text from (select concat('k', p_partkey % 50 - p_partkey % 2) project_id, 1 analysis_id, concat('src/m', p_partkey // 50, '_', p_partkey % 2, case when p_partkey % 2 = 0 then '.py' else '.java' end) path, l.text, cast(row_number() over (partition by p_partkey order by l.k) as int) line from part, lateral (values "
-    + ", ".join(f"({k}, {'true' if k in ALWAYS else f'(p_partkey + {k}) % 7 <> 0'}, {_code_line(x)})" for k, x in enumerate(CODE))
-    + ") l(k, taken, text) where l.taken))"
-)
+def code_lines_sql(code: tuple[str, ...]) -> str:
+    there = always(code)
+    return (
+        "(select project_id, analysis_id, path, line, text from (select concat('k', p_partkey % 50 - p_partkey % 2) project_id, 1 analysis_id, concat('src/m', p_partkey // 50, '_', p_partkey % 2, case when p_partkey % 2 = 0 then '.py' else '.java' end) path, l.text, cast(row_number() over (partition by p_partkey order by l.k) as int) line from part, lateral (values "
+        + ", ".join(f"({k}, {'true' if k in there else f'(p_partkey + {k}) % 7 <> 0'}, {_code_line(x)})" for k, x in enumerate(code))
+        + ") l(k, taken, text) where l.taken))"
+    )
+
+
+CODE_LINES, NESTED_LINES = code_lines_sql(CODE), code_lines_sql(NESTED)
 
 
 # --- inventory -------------------------------------------------------------------------------------------------------
@@ -133,6 +177,44 @@ def s1_inventory(spark, sf_dir):
     return I.inventory(rows).select("project_id", "analysis_id", "path", "status", "language", "loc")
 
 
+#: Files of several folders, and the rules of five projects as the text of their rule files.
+FOLDERS = ("src", "dist", "dist/sub", "lib/build/gen", "docs", "web/.cache/x")
+RULE_FILES = {
+    "src1": "# kept results\n docs \n!dist/f12.en\n\n",
+    "src2": "lib\n!dist/sub/f5.de\n!lib/build/gen/f9.fr\nf7.en\n",
+    "src3": "docs/\n!docs\n/src/f30.fr\n!web/.cache\n",
+    "src4": "!docs/none\nsrc\n! src/f4.en\n#src\n",
+    "src5": "!\n/\nf1.en\n!dist/\n",
+}
+RULE_ROWS = (
+    ("src1", 1, "dir", "docs", False), ("src1", 2, "file", "dist/f12.en", True),
+    ("src2", 0, "dir", "lib", False), ("src2", 1, "file", "dist/sub/f5.de", True), ("src2", 2, "file", "lib/build/gen/f9.fr", True), ("src2", 3, "dir", "f7.en", False),
+    ("src3", 0, "dir", "docs", False), ("src3", 1, "dir", "docs", True), ("src3", 2, "file", "src/f30.fr", False), ("src3", 3, "file", "web/.cache", True),
+    ("src4", 0, "file", "docs/none", True), ("src4", 1, "dir", "src", False), ("src4", 2, "file", "src/f4.en", True),
+    ("src5", 2, "dir", "f1.en", False), ("src5", 3, "dir", "dist", True),
+)
+
+
+@query(
+    f"""with f as (select source project_id, doc_id % 3 analysis_id, concat([{", ".join(map(q, FOLDERS))}][cast(doc_id % {len(FOLDERS)} as int) + 1], '/f', doc_id // 3, '.', lang) path from documents),
+    r(project_id, ord, kind, v, negate) as (values {", ".join(f"({q(a)}, {b}, {q(c)}, {q(d)}, {str(e).lower()})" for a, b, c, d, e in RULE_ROWS)}),
+    a as (select distinct project_id, unnest(list_transform(generate_series(1, len(s) - 1), lambda i: array_to_string(s[1:i], '/'))) dir from (select project_id, string_split(path, '/') s from f)),
+    o as (select a.project_id, dir, arg_max(not negate, ord) out from a join r on r.project_id = a.project_id and kind = 'dir' and list_contains(string_split(dir, '/'), v) group by all),
+    g as (select a.*, (list_has_any(string_split(dir, '/'), ['dist', 'build', '.cache']) or coalesce(out, false)) and not exists (select 1 from r where r.project_id = a.project_id and negate and starts_with(v, dir)) pruned from a left join o using (project_id, dir)),
+    p as (select f.project_id, analysis_id, path, min_by(dir, length(dir)) pruned_dir from f join g on g.project_id = f.project_id and pruned and starts_with(path, dir || '/') group by all),
+    m as (select f.project_id, analysis_id, path, arg_max(not negate, ord) out from f join r on r.project_id = f.project_id and case kind when 'dir' then list_contains(string_split(path, '/'), v) else path = v end group by all)
+    select project_id, analysis_id, path, pruned_dir, case when pruned_dir is not null or out then 'ignored' else 'kept' end as status from f left join p using (project_id, analysis_id, path) left join m using (project_id, analysis_id, path)"""
+)
+def s1_inventory_with_rules(spark, sf_dir):
+    """Rule files of many projects with negated rules: what they reach into, and what the last match says."""
+    d = spread(table(spark, sf_dir, "documents"))
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % len(FOLDERS) + 1).cast("int"))
+    path = F.concat(folder, F.lit("/f"), F.expr("doc_id div 3"), F.lit("."), "lang")
+    rows = d.select(F.col("source").alias("project_id"), (F.col("doc_id") % 3).alias("analysis_id"), path.alias("path"), F.octet_length("text").alias("size_bytes"), F.col("text").cast("binary").alias("content"))
+    kept = spark.createDataFrame([(k, ".rules", v) for k, v in RULE_FILES.items()], "project_id string, path string, content string")
+    return I.inventory(rows, rules=I.rules_in(kept, ".rules")).select("project_id", "analysis_id", "path", "pruned_dir", "status")
+
+
 @query(
     f"""with f as (select source project_id, lang, n_chars, row_number() over (partition by source order by concat(source, '/', doc_id, '.', lang)) k from documents),
     t as (select project_id, sum(n_chars) filter (k <= {I.MAX_FILES}) total, count(*) filter (k <= {I.MAX_FILES}) files, count(*) > {I.MAX_FILES} truncated from f group by 1),
@@ -416,7 +498,18 @@ def defined(pattern: str) -> str:
     return f"regexp_matches(text, {q(pattern.replace(ruled, ''))}){other}"
 
 
-JAVA, PYTHON = f"(select * from {CODE_LINES} where path like '%.java')", f"(select * from {CODE_LINES} where path like '%.py')"
+def of_language(lines: str, extension: str) -> str:
+    return f"(select * from {lines} where path like '%{extension}')"
+
+
+def cursor_sql(blocks: str) -> str:
+    """Of the blocks of a rule and file those that a cursor meets that goes on after the end of each: a query that begins with
+    `with recursive` and ends with the table c."""
+    k = f"{KEYS}, rule"
+    return f"""with recursive b as (select *, row_number() over (partition by {k} order by start) k from ({blocks})),
+    r as (select {k}, k, start, "end", true kept, "end" last from b where k = 1
+      union all select b.project_id, b.analysis_id, b.path, b.rule, b.k, b.start, b."end", b.start > r.last, case when b.start > r.last then b."end" else r.last end from r join b on {same_file("r", "b")} and b.rule = r.rule and b.k = r.k + 1),
+    c as (select {k}, start, "end" from r where kept)"""
 
 
 @query(f"select * from {braces_sql(PAGE_LINES, "regexp_matches(text, '<(body|ul|div)')", '<[a-z]', '</')}")
@@ -444,32 +537,47 @@ def b3_bloated_files(spark, sf_dir):
     return B.long_files(files(spark, sf_dir), 50)
 
 
-@query(
-    f"""with m as (select 'BLOATED-METHOD' as rule_key, 8 most, * from {braces_sql(JAVA, defined(B.BRACE_DEF))} union all select 'BLOATED-METHOD', 8, * from {indents_sql(PYTHON, defined(B.PY_DEF))}
-    union all select 'BLOATED-CLASS', 12, * from {braces_sql(JAVA, defined(B.BRACE_CLASS))} union all select 'BLOATED-CLASS', 12, * from {indents_sql(PYTHON, defined(B.PY_CLASS))})
-    select {KEYS}, "start" + 1 as line, rule_key, "end" - "start" + 1 as size from m where "end" - "start" + 1 > most
-    union all select {KEYS}, 1, 'BLOATED-FILE', cast(count(*) as int) from {CODE_LINES} group by {KEYS} having count(*) > 26"""
-)
+def bloated_sql(lines: str, method: int, class_: int, file: int) -> str:
+    java, python = of_language(lines, ".java"), of_language(lines, ".py")
+    heads = (("BLOATED-METHOD", braces_sql(java, defined(B.BRACE_DEF))), ("BLOATED-METHOD", indents_sql(python, defined(B.PY_DEF))), ("BLOATED-CLASS", braces_sql(java, defined(B.BRACE_CLASS))), ("BLOATED-CLASS", indents_sql(python, defined(B.PY_CLASS))))
+    return f"""{cursor_sql(" union all ".join(f"select '{rule}' as rule, * from {x}" for rule, x in heads))}
+    select {KEYS}, "start" + 1 as line, rule as rule_key, "end" - "start" + 1 as size from c where "end" - "start" + 1 > case rule when 'BLOATED-METHOD' then {method} else {class_} end
+    union all select {KEYS}, 1, 'BLOATED-FILE', cast(count(*) as int) from {lines} group by {KEYS} having count(*) > {file}"""
+
+
+def complex_sql(lines: str, minor: int, major: int) -> str:
+    """Head line included; a line counts at the depth before it."""
+    found = f"select 'f' as rule, * from {braces_sql(of_language(lines, '.java'), defined(B.FUNCTION))} union all select 'f', * from {indents_sql(of_language(lines, '.py'), defined(B.PY_DEF))}"
+    return f"""{cursor_sql(found)},
+    l as (select {KEYS}, c.start, ltrim(text) t, len(regexp_extract_all(text, {q(B.BRANCH)})) n, row_number() over (partition by {KEYS}, c.start order by line) k from c join {lines} using ({KEYS}) where line between c.start + 1 and c."end" + 1),
+    w as (select *, case when regexp_matches(t, '^(if |for |while |catch|switch|else )') then 1 when starts_with(t, '}}') or starts_with(t, 'elif') or starts_with(t, 'else:') then -1 else 0 end turn from l),
+    d as (select {KEYS}, start, k, n score, greatest(turn, 0) depth from w where k = 1
+      union all select w.project_id, w.analysis_id, w.path, w.start, w.k, d.score + w.n * (1 + d.depth), greatest(d.depth + w.turn, 0) from d join w on {same_file("d", "w")} and d.start = w.start and w.k = d.k + 1),
+    s as (select {KEYS}, start, max_by(score, k) score from d group by all)
+    select {KEYS}, cast(start + 1 as int) as line, cast(score as int) as score, case when score >= {major} then 'MAJOR' else 'MINOR' end as severity from s where score >= {minor}"""
+
+
+@query(bloated_sql(CODE_LINES, 8, 12, 26))
 def b3_bloated(spark, sf_dir):
     return B.bloated(code_files(spark, sf_dir), 8, 12, 26)
 
 
-BRANCHES = f"len(regexp_extract_all(t, {q(B.BRANCH)}))"
+@query(bloated_sql(NESTED_LINES, 3, 1, 28))
+def b3_nested_blocks(spark, sf_dir):
+    """Functions inside functions and classes inside classes: the outer ones only."""
+    return B.bloated(code_files(spark, sf_dir, NESTED), 3, 1, 28)
 
 
-@query(
-    f"""with recursive f as (select * from {braces_sql(JAVA, defined(B.FUNCTION))} union all select * from {indents_sql(PYTHON, defined(B.PY_DEF))}),
-    l as (select {KEYS}, f.start, f.end, line, trim(text) t, row_number() over (partition by {KEYS}, f.start order by line) k from f join {CODE_LINES} using ({KEYS}) where line > f.start + 1 and line <= f.end + 1),
-    w as (select *, regexp_matches(t, {q(B.CLOSES)}) c, regexp_matches(t, {q(B.NESTS)}) o, {BRANCHES} n from l),
-    r as (select {KEYS}, start, k, case when o then 1 else 0 end depth, n score from w where k = 1
-      union all select w.project_id, w.analysis_id, w.path, w.start, w.k, (case when c then greatest(depth - 1, 0) else depth end) + case when o then 1 else 0 end, score + n * (1 + case when c then greatest(depth - 1, 0) else depth end) from r join w on {same_file("r", "w")} and r.start = w.start and w.k = r.k + 1),
-    s as (select {KEYS}, start, max_by(score, k) score from r group by all)
-    select {KEYS}, cast(start + 1 as int) as line, cast(score as int) as score, case when score >= 7 then 'MAJOR' else 'MINOR' end as severity from s where score >= 4"""
-)
+@query(complex_sql(CODE_LINES, 4, 7))
 def b4_complex_functions(spark, sf_dir):
     return B.complex_functions(code_files(spark, sf_dir), 4, 7)
 
 
+@query(complex_sql(NESTED_LINES, 1, 12))
+def b4_nested_functions(spark, sf_dir):
+    return B.complex_functions(code_files(spark, sf_dir, NESTED), 1, 12)
+
+
 @query(
     f"""with s as (select * from {depth_sql(PAGE_LINES, '<[a-z]', '</')}),
     b as (select {KEYS}, line, coalesce((select min(e.line) from s e where {same_file("e", "h")} and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, '<(ul|body|div)'))
