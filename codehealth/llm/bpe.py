@@ -30,6 +30,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -44,7 +45,9 @@ from codehealth.llm.words import small_batches
 PATH = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of a vocabulary file at most; it is broadcast.
 MOST_BYTES = 64 << 20
-CHUNK, BLOCK, CACHE, SHORT = 1 << 16, 1 << 10, 1 << 17, 64
+CHUNK, BLOCK, CACHE, SHORT = 1 << 16, 1 << 10, 1 << 18, 64
+ID_BITS = 24
+_ID, _NONE = (1 << ID_BITS) - 1, 1 << 62
 OTHER, LETTER, DIGIT, WHITE = range(4)
 #: Suffixes that an apostrophe takes along.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -52,7 +55,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 class Vocabulary(NamedTuple):
     byte_ids: list[int]
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair: rank, id
+    merges: dict[tuple[int, int], int]  # pair: rank and, in its lowest ID_BITS bits, id
     token_bytes: dict[int, bytes]
     special: dict[str, int]
     lookahead: int
@@ -124,7 +127,7 @@ def vocabulary(text: str) -> Vocabulary:
     letters, ids = byte_letters(), model["vocab"]
     of = {name: bytes(letters[c] for c in name) for name in ids if all(c in letters for c in name)}
     pairs = [tuple(x.split(" ") if isinstance(x, str) else x) for x in model["merges"]]
-    merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+    merges = {(ids[a], ids[b]): rank << ID_BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
     token_bytes = {ids[name]: data for name, data in of.items()} | {k: name.encode() for name, k in special.items()}
     single = {data[0]: ids[name] for name, data in of.items() if len(data) == 1}
     return Vocabulary([single[b] for b in range(256)], merges, token_bytes, special, lookahead_of([(of[a], of[b]) for a, b in pairs]), classes_of_characters(), hashlib.sha256(text.encode()).hexdigest())
@@ -132,24 +135,42 @@ def vocabulary(text: str) -> Vocabulary:
 
 def merged(data: bytes, words: Vocabulary) -> list[int]:
     """Ids of data: again and again the pair of the lowest rank, the leftmost of equal ones, becomes one token."""
+    if len(data) > SHORT:
+        return merged_by_heap(data, words)
+    one, rule = words.byte_ids, words.merges.get
+    ids = [one[b] for b in data]
+    ranks = [rule(pair, _NONE) for pair in zip(ids, ids[1:])]
+    while ranks and (least := min(ranks)) != _NONE:
+        k = ranks.index(least)
+        ids[k] = made = least & _ID
+        del ids[k + 1], ranks[k]
+        if k < len(ranks):
+            ranks[k] = rule((made, ids[k + 1]), _NONE)
+        if k:
+            ranks[k - 1] = rule((ids[k - 1], made), _NONE)
+    return ids
+
+
+def merged_by_heap(data: bytes, words: Vocabulary) -> list[int]:
+    """The same in n log n steps."""
     ids = [words.byte_ids[b] for b in data]
     rules, n = words.merges, len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = [(rule[0], k, rule[1], ids[k], ids[k + 1]) for k in range(n - 1) if (rule := rules.get((ids[k], ids[k + 1])))]
+    waiting = [(rule, k, ids[k], ids[k + 1]) for k in range(n - 1) if (rule := rules.get((ids[k], ids[k + 1]))) is not None]
     heapq.heapify(waiting)
     while waiting:
-        _, k, made, a, b = heapq.heappop(waiting)
+        rule, k, a, b = heapq.heappop(waiting)
         right = after[k]
         if ids[k] != a or right >= n or ids[right] != b:
             continue  # one of the two is part of another token by now
-        ids[k], ids[right] = made, -1
+        ids[k], ids[right] = made, _ = rule & _ID, -1
         after[k] = right = after[right]
         if right < n:
             before[right] = k
-            if rule := rules.get((made, ids[right])):
-                heapq.heappush(waiting, (rule[0], k, rule[1], made, ids[right]))
-        if (left := before[k]) >= 0 and (rule := rules.get((ids[left], made))):
-            heapq.heappush(waiting, (rule[0], left, rule[1], ids[left], made))
+            if (rule := rules.get((made, ids[right]))) is not None:
+                heapq.heappush(waiting, (rule, k, made, ids[right]))
+        if (left := before[k]) >= 0 and (rule := rules.get((ids[left], made))) is not None:
+            heapq.heappush(waiting, (rule, left, ids[left], made))
     return [x for x in ids if x >= 0]
 
 
@@ -183,24 +204,29 @@ class Transducer:
 
 
 class _Remembered(dict):
-    """Little-endian ids of short pieces."""
+    """Packed ids of short pieces, of the last CACHE / 2 to CACHE that came: when half is full, it becomes the older half."""
 
     def __init__(self, words: Vocabulary):
         super().__init__()
-        self.words = words
+        self.words, self.older = words, {}
 
     def __missing__(self, piece: str) -> bytes:
-        run = Transducer(self.words)
-        data = packed(run.feed(piece.encode()) + run.finish())
-        if len(piece) <= SHORT:
-            if len(self) >= CACHE:
-                self.clear()
-            self[piece] = data
+        data = self.older.get(piece)
+        if data is None:
+            own = piece.encode()
+            if len(own) > SHORT:
+                run = Transducer(self.words)
+                return packed(run.feed(own) + run.finish())
+            data = packed(merged(own, self.words))
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = data
         return data
 
 
 def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Encoder:
