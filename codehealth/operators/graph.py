@@ -1,9 +1,8 @@
-"""Call graphs: nodes (project_id, node_key, name, node_type, file_path, line) and edges (project_id, source, target)."""
+"""Call graphs: nodes (keys, node_key, name, node_type, file_path, line) and edges (keys, source, target). A graph belongs to a
+project or, where tables have an analysis_id, to one analysis of it. Cycles: see operators/cycles.py."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,108 +33,64 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "_", "")
 
 
-def distinct_nodes(nodes: DataFrame, key: str = "project_id") -> DataFrame:
-    """The first row, by file and line, of each node key."""
-    own = Window.partitionBy(key, "node_key").orderBy("file_path", "line")
+#: What tells graphs apart, as many of them as a table has.
+GRAPH_KEYS = ("project_id", "analysis_id")
+
+
+def graph_keys(df: DataFrame, key: str | None = None) -> list[str]:
+    """The key columns of df: the one given, else those of GRAPH_KEYS that it has."""
+    return [key] if key else [c for c in GRAPH_KEYS if c in df.columns]
+
+
+def distinct_nodes(nodes: DataFrame, key: str | None = None) -> DataFrame:
+    """The first row, by file and line, of each node key of a graph."""
+    own = Window.partitionBy(*graph_keys(nodes, key), "node_key").orderBy("file_path", "line")
     return nodes.withColumn("__rank", F.row_number().over(own)).filter("__rank = 1").drop("__rank")
 
 
-def distinct_edges(edges: DataFrame, key: str = "project_id") -> DataFrame:
-    return edges.select(key, "source", "target").distinct()
+def distinct_edges(edges: DataFrame, key: str | None = None) -> DataFrame:
+    return edges.select(*graph_keys(edges, key), "source", "target").distinct()
 
 
-def resolved_calls(calls: DataFrame, nodes: DataFrame, key: str = "project_id") -> DataFrame:
-    """key, source, target: calls (source, called) matched to nodes by normal name; of several the least key, never itself."""
-    named = nodes.groupBy(key, normal_name(F.col("name")).alias("n")).agg(F.min("node_key").alias("target"))
-    return calls.withColumn("n", normal_name(F.col("called"))).join(named, [key, "n"]).filter("source <> target").select(key, "source", "target").distinct()
+def resolved_calls(calls: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
+    """keys, source, target: calls (source, called) matched to nodes by normal name; of several the least key, never itself."""
+    keys = graph_keys(nodes, key)
+    named = nodes.groupBy(*keys, normal_name(F.col("name")).alias("n")).agg(F.min("node_key").alias("target"))
+    return calls.withColumn("n", normal_name(F.col("called"))).join(named, [*keys, "n"]).filter("source <> target").select(*keys, "source", "target").distinct()
 
 
-def violations(edges: DataFrame, nodes: DataFrame, rules=FORBIDDEN, key: str = "project_id") -> DataFrame:
+def violations(edges: DataFrame, nodes: DataFrame, rules=FORBIDDEN, key: str | None = None) -> DataFrame:
     """Edges between layers that a rule forbids, with severity and reason."""
+    keys = graph_keys(edges, key)
     table = edges.sparkSession.createDataFrame(list(rules), "from_type string, to_type string, severity string, reason string")
-    kind = nodes.select(key, "node_key", "node_type")
-    rows = edges.join(kind.select(key, F.col("node_key").alias("source"), F.col("node_type").alias("from_type")), [key, "source"])
-    rows = rows.join(kind.select(key, F.col("node_key").alias("target"), F.col("node_type").alias("to_type")), [key, "target"])
-    return rows.join(F.broadcast(table), ["from_type", "to_type"]).select(key, "source", "target", "severity", "reason")
+    kind = nodes.select(*keys, "node_key", "node_type")
+    rows = edges.join(kind.select(*keys, F.col("node_key").alias("source"), F.col("node_type").alias("from_type")), [*keys, "source"])
+    rows = rows.join(kind.select(*keys, F.col("node_key").alias("target"), F.col("node_type").alias("to_type")), [*keys, "target"])
+    return rows.join(F.broadcast(table), ["from_type", "to_type"]).select(*keys, "source", "target", "severity", "reason")
 
 
-def without_dangling(edges: DataFrame, nodes: DataFrame, key: str = "project_id") -> DataFrame:
+def without_dangling(edges: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
     """Edges with both ends among the nodes."""
-    known = nodes.select(key, "node_key").distinct()
-    return edges.join(known.withColumnRenamed("node_key", "source"), [key, "source"], "left_semi").join(known.withColumnRenamed("node_key", "target"), [key, "target"], "left_semi")
+    keys = graph_keys(edges, key)
+    known = nodes.select(*keys, "node_key").distinct()
+    return edges.join(known.withColumnRenamed("node_key", "source"), [*keys, "source"], "left_semi").join(known.withColumnRenamed("node_key", "target"), [*keys, "target"], "left_semi")
 
 
-def degrees(edges: DataFrame, nodes: DataFrame, key: str = "project_id") -> DataFrame:
+def degrees(edges: DataFrame, nodes: DataFrame, key: str | None = None) -> DataFrame:
     """in_degree, out_degree, dep_count of every node, 0 if isolated."""
-    outs = edges.groupBy(key, F.col("source").alias("node_key")).agg(F.count("*").alias("o"))
-    ins = edges.groupBy(key, F.col("target").alias("node_key")).agg(F.count("*").alias("i"))
-    rows = nodes.select(key, "node_key").join(outs, [key, "node_key"], "left").join(ins, [key, "node_key"], "left")
+    keys = graph_keys(edges, key)
+    outs = edges.groupBy(*keys, F.col("source").alias("node_key")).agg(F.count("*").alias("o"))
+    ins = edges.groupBy(*keys, F.col("target").alias("node_key")).agg(F.count("*").alias("i"))
+    rows = nodes.select(*keys, "node_key").join(outs, [*keys, "node_key"], "left").join(ins, [*keys, "node_key"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return rows.select(key, "node_key", zero("i").alias("in_degree"), zero("o").alias("out_degree"), zero("o").alias("dep_count"))
+    return rows.select(*keys, "node_key", zero("i").alias("in_degree"), zero("o").alias("out_degree"), zero("o").alias("dep_count"))
 
 
-def highlighted(edges: DataFrame, found: DataFrame, key: str = "project_id") -> DataFrame:
+def highlighted(edges: DataFrame, found: DataFrame, key: str | None = None) -> DataFrame:
     """edges with whether they are among the violations."""
-    bad = found.select(key, "source", "target").distinct().withColumn("bad", F.lit(True))
-    return edges.join(bad, [key, "source", "target"], "left").withColumn("violation", F.coalesce("bad", F.lit(False))).drop("bad")
-
-
-def _kept(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _trimmed(e: DataFrame, folder: str, key: str) -> DataFrame:
-    """Edges whose source has an edge in and whose target has one out, again and again: no cycle is lost."""
-    n = e.count()
-    while n:
-        into, out = e.select(key, F.col("target").alias("source")).distinct(), e.select(key, F.col("source").alias("target")).distinct()
-        e = _kept(e.join(into, [key, "source"], "left_semi").join(out, [key, "target"], "left_semi"), folder)
-        left = e.count()
-        if left == n:
-            break
-        n = left
-    return e
-
-
-def _spread(e: DataFrame, start: DataFrame, folder: str, key: str) -> DataFrame:
-    """key, node, colour: the greatest colour that reaches each node along edges (key, source, target)."""
-    now = start
-    while True:
-        pushed = e.join(now.select(key, F.col("node").alias("source"), "colour"), [key, "source"]).select(key, F.col("target").alias("node"), "colour")
-        new = _kept(now.unionByName(pushed).groupBy(key, "node").agg(F.max("colour").alias("colour")), folder)
-        changed = new.join(now.withColumnRenamed("colour", "before"), [key, "node"]).filter("colour <> before").count()
-        now = new
-        if not changed:
-            return now
-
-
-def cycles(edges: DataFrame, folder: str, key: str = "project_id") -> DataFrame:
-    """key, members (sorted), source (least), target (greatest), severity of each strongly connected component of more than one
-    node, and of each self loop. Colouring: the greatest id that reaches a node is its colour; the nodes of a colour that
-    reach its root backwards are one component; the rest goes on. Tables in `folder` (shared by all executors) cut the
-    lineage; only counts come to the driver."""
-    e = distinct_edges(edges, key)
-    loops = e.filter("source = target").select(key, F.array("source").alias("members"))
-    e, found = _kept(e.filter("source <> target"), folder), loops
-    while True:
-        e = _trimmed(e, folder, key)
-        if not e.count():
-            break
-        nodes = e.select(key, F.col("source").alias("node")).unionByName(e.select(key, F.col("target").alias("node"))).distinct()
-        colour = _spread(e, nodes.withColumn("colour", F.col("node")), folder, key)
-        own = e.join(colour.select(key, F.col("node").alias("source"), "colour"), [key, "source"]).join(colour.select(key, F.col("node").alias("target"), F.col("colour").alias("c2")), [key, "target"]).filter("colour = c2")
-        back = own.select(key, F.col("target").alias("source"), F.col("source").alias("target"))
-        # a node counts as reached (1) once its colour's root reaches it backwards
-        start = colour.select(key, "node", F.when(F.col("node") == F.col("colour"), 1).otherwise(0).alias("colour"))
-        reached = _spread(back, start, folder, key).filter("colour = 1").select(key, "node")
-        groups = reached.join(colour, [key, "node"]).groupBy(key, "colour").agg(F.sort_array(F.collect_list("node")).alias("members"))
-        found = found.unionByName(groups.filter(F.size("members") > 1).select(key, "members"))
-        gone = reached.withColumnRenamed("node", "source")
-        e = _kept(e.join(gone, [key, "source"], "left_anti").join(gone.withColumnRenamed("source", "target"), [key, "target"], "left_anti"), folder)
-    last = F.get("members", F.size("members") - 1)
-    return found.select(key, "members", F.get("members", F.lit(0)).alias("source"), last.alias("target"), F.lit("MAJOR").alias("severity"))
+    keys = graph_keys(edges, key)
+    bad = found.select(*keys, "source", "target").distinct().withColumn("bad", F.lit(True))
+    return edges.join(bad, [*keys, "source", "target"], "left").withColumn("violation", F.coalesce("bad", F.lit(False))).drop("bad")
 
 
 #: Declarations by language: patterns with the name as group 2, the first that matches counts. Java: classes, inner ones
@@ -160,7 +115,8 @@ def symbols_and_calls(lines: DataFrame, declarations: dict[str, str | tuple[str,
     """nodes and calls (keys but path, source, called) from lines (keys, language, line, text). A line's owner is the last
     declaration above it; a call is a dotted name before a bracket, outside strings and comments, of which the root and the
     last part count. In Java the part before the last counts for the root, and a field of the file for its declared type.
-    This reads line by line: a head or a string that goes over several lines is read by its first one."""
+    This reads line by line, with any table of patterns: a head or a string that goes over several lines is read by its first
+    one. operators/symbols.py reads whole files of the five languages that it knows."""
     keys = file_keys(lines)
     own_keys = [c for c in keys if c != "path"]
     text, language = F.col("text"), F.col("language")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from codehealth.operators import graph as G
 from codehealth.operators import retrieval as K
+from codehealth.operators import symbols as Y
+from codehealth.operators.cycles import cycles
 from codehealth.operators.line_rules import lines_of
 from codehealth.plans.registry import query, spread, table
 from codehealth.plans.source_code import CODE_LINES, KEYS, braces_sql, code_files, code_lines, indents_sql, q, same_file
@@ -92,6 +95,143 @@ def g2_code_calls(spark, sf_dir):
     return code_symbols(spark, sf_dir)[1].select("project_id", "source", "called")
 
 
+#: Files of four languages with marks inside strings and comments, heads over several lines and blocks inside blocks.
+LEXED = {
+    "java": (
+        "/* class No {{ x(); }} */",
+        "@Service",
+        '@Mapping("/{name}(b)")',
+        "public class",
+        "    A{key} extends Base<X> {{",
+        "  private final Repo{size} repo;",
+        "  Helper helper;",
+        "  void a(int x) throws E {{",
+        "    repo.load(1); // gone(1) \"",
+        "    this.part.save(x);",
+        '    String s = "no(1) // \\" {{";',
+        '    String t = """',
+        "      class T {{ q(); }}",
+        '      """;',
+        "    char c = '{{';",
+        "    new Maker(2).run();",
+        "    Thing z = new Thing();",
+        "    a.b.c(helper.go());",
+        "    if (x > {size}) {{ more(x); }}",
+        "  }}",
+        "  static class Inner{key} {{",
+        "    int b() {{ return deep(1); }}",
+        "  }}",
+        "  void later() {{ class Local {{ }} after(); }}",
+        "}}",
+        "interface I {{ class Hidden {{ void h(); }} }}",
+        "class Second{size} {{ }}",
+    ),
+    "py": (
+        '"""class Doc:',
+        "def no(): pass",
+        '"""',
+        "import os",
+        "def f{key}(",
+        "a,",
+        "    b=first(),",
+        "):",
+        '    x = f"{{call(1)}} and {{y}}"',
+        '    """ z(1) """',
+        "    g(a)  # no(1) '",
+        "    s = 'q(\"' + h.i.j({size})",
+        "",
+        "run(1)",
+        "@deco",
+        "def decorated():",
+        "    lost()",
+        "async def go{size}(): await k.m()",
+        "class C{key}(Base):",
+        '    @prop("{name}")',
+        "    def m(self):",
+        "        self.x.y('z(1)')",
+        "    class D: pass",
+    ),
+    "go": (
+        "package main",
+        "// func No() {{}}",
+        "func (s *S{key}) Get(id int) interface{{}} {{",
+        "  s.repo.Find(id)",
+        '  q := `raw func X() {{ "`',
+        "  if check(q) {{",
+        "  }}",
+        "}}",
+        "func (",
+        "  T{size},",
+        ") Put() {{",
+        "}}",
+        "var x = top()",
+        "func main{key}() {{",
+        "  func() {{ New(1) }}()",
+        "}}",
+    ),
+    "ts": (
+        "export default class A{key} {{",
+        "  b(x: number): void {{ return c.d(); }}",
+        "  e = () => first(1)",
+        "}}",
+        "export const e{size} = (",
+        "  x,",
+        ") =>",
+        "  f(`a ${{g(x)}} {{ b`)",
+        "run(1)",
+        "const h = 1, i = j()",
+        "function k({{ a }}: T): {{ b: number }} {{",
+        "  /* const no = 1 */",
+        "  return function inner() {{ l?.m(); }};",
+        "}}",
+        "  let n{key} = [1].map(o)",
+        "abstract class Abs {{ p() {{}} }}",
+        "async function",
+        "  q() {{ await r(); }}",
+    ),
+}
+#: What the languages' own grammars make of them: name, line, names called.
+LEXED_SYMBOLS = {
+    "java": (("A{key}", 2, "Repo{size} load part save Maker run b c Helper go more deep after"), ("Inner{key}", 21, "deep"), ("Second{size}", 27, "")),
+    "py": (("f{key}", 5, "first call g h j"), ("go{size}", 18, "k m"), ("C{key}", 19, "prop self y")),
+    "go": (("S{key}", 3, "s Find check"), ("T{size}", 9, ""), ("main{key}", 14, "New")),
+    "ts": (("A{key}", 1, "c d first"), ("e{size}", 5, "f g"), ("h", 10, "j"), ("k", 11, "l m"), ("n{key}", 15, "map"), ("q", 17, "r")),
+}
+
+
+def lexed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = spread(table(spark, sf_dir, "part"))
+    column = {"name": F.col("p_name"), "key": F.col("p_partkey").cast("string"), "size": F.col("p_size").cast("string")}
+    path = F.concat(F.lit("src/m"), F.expr("p_partkey div 8"), F.lit("."))
+    content, extension = F.lit(None).cast("string"), F.lit("")
+    for k, (name, lines) in enumerate(LEXED.items()):
+        parts = re.split(r"\{(name|key|size)\}", "\n".join(lines).replace("{{", "\x01").replace("}}", "\x02"))
+        text = F.concat(*[column[x] if i % 2 else F.lit(x.replace("\x01", "{").replace("\x02", "}")) for i, x in enumerate(parts)])
+        content, extension = (F.when(F.col("p_partkey") % len(LEXED) == k, x).otherwise(rest) for x, rest in ((text, content), (F.lit(name), extension)))
+    project = F.concat(F.lit("k"), F.expr("p_partkey div 4 % 2"))
+    return Y.symbols_and_calls_of(p.select(project.alias("project_id"), (F.col("p_partkey") % 3).alias("analysis_id"), F.concat(path, extension).alias("path"), content.alias("content")))
+
+
+def _of_part(text: str) -> str:
+    return "concat('', " + ", ".join({"key": "p_partkey", "size": "p_size"}[x] if i % 2 else q(x) for i, x in enumerate(re.split(r"\{(key|size)\}", text))) + ")"
+
+
+def lexed_sql(columns: str) -> str:
+    found = ", ".join(f"({k}, {q(name)}, {_of_part(symbol)}, {line}, {_of_part(called)})" for k, name in enumerate(LEXED) for symbol, line, called in LEXED_SYMBOLS[name])
+    return f"""select {columns} from (select concat('k', p_partkey // 4 % 2) project_id, p_partkey % 3 analysis_id, concat('src/m', p_partkey // 8, '.', l.language, '#', l.symbol) node_key, l.symbol as name, cast(l.line as int) line, l.called words
+      from part, lateral (values {found}) l(k, language, symbol, line, called) where p_partkey % {len(LEXED)} = l.k)"""
+
+
+@query(lexed_sql("project_id, analysis_id, node_key, name, line"))
+def g2_lexed_symbols(spark, sf_dir):
+    return lexed(spark, sf_dir)[0].select("project_id", "analysis_id", "node_key", "name", "line")
+
+
+@query("select distinct project_id, analysis_id, source, unnest(string_split(words, ' ')) as called from (" + lexed_sql("project_id, analysis_id, node_key as source, words") + ") where words <> ''")
+def g2_lexed_calls(spark, sf_dir):
+    return lexed(spark, sf_dir)[1].select("project_id", "analysis_id", "source", "called")
+
+
 PY_SPANS = indents_sql(f"(select * from {CODE_LINES} where path like '%.py')", f"regexp_matches(text, {q(K.PY_SYMBOL)})")
 JAVA_SPANS = braces_sql(f"(select * from {CODE_LINES} where path like '%.java')", f"regexp_matches(text, {q(K.JAVA_SYMBOL)})")
 
@@ -121,7 +261,7 @@ def g3_distinct_edges(spark, sf_dir):
     union all select project_id, cast(source as varchar), source, source, 'MAJOR' from e where source = target"""
 )
 def g4_cycles(spark, sf_dir):
-    found = G.cycles(edges(spark, sf_dir), work_folder(spark))
+    found = cycles(edges(spark, sf_dir), work_folder(spark))
     return found.select("project_id", F.array_join("members", ",").alias("members"), "source", "target", "severity")
 
 
@@ -138,10 +278,19 @@ def g4_part_cycles(spark, sf_dir):
     i = table(spark, sf_dir, "lineitem")
     after = i.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("target"))
     own = i.join(after, ["l_orderkey", "l_linenumber"]).filter("l_partkey % 11 = target % 11").select((F.col("l_partkey") % 11).alias("project_id"), F.col("l_partkey").alias("source"), "target")
-    found = G.cycles(own, work_folder(spark))
+    found = cycles(own, work_folder(spark))
     return found.select("project_id", F.array_join("members", ",").alias("members"), "source", "target")
 
 
+@query(f"select project_id, analysis_id, node_key, least(count(distinct source), 1) as calls from (select n.project_id, a analysis_id, node_key from {NODES} n, range(3) r(a)) left join (select project_id, source % 3 analysis_id, source, source node_key from {EDGES}) using (project_id, analysis_id, node_key) group by all")
+def g3_nodes_of_analyses(spark, sf_dir):
+    """Nodes of several analyses of a project that share keys and paths, each with whether it has calls of its own analysis."""
+    n = nodes(spark, sf_dir).withColumn("analysis_id", F.explode(F.array(*map(F.lit, range(3)))))
+    own = edges(spark, sf_dir).withColumn("analysis_id", (F.col("source") % 3).cast("int"))
+    found = G.degrees(G.distinct_edges(own), G.distinct_nodes(n.unionByName(n)))
+    return found.select("project_id", "analysis_id", "node_key", F.least("out_degree", F.lit(1)).alias("calls"))
+
+
 @query("with n as (select regexp_replace(lower(p_brand), '#', '') n, min(p_partkey) target from part group by 1) select distinct p_partkey as source, target from part join n on regexp_replace(lower(p_brand), '#', '') = n where p_partkey <> target")
 def j4_resolved_calls(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.lit("p").alias("project_id"), F.col("p_partkey").alias("node_key"), F.regexp_replace("p_brand", "#", "_").alias("name"))

@@ -8,6 +8,7 @@ from codehealth.operators import graph as G
 from codehealth.operators import history as H
 from codehealth.operators import retrieval as K
 from codehealth.operators import scoring as C
+from codehealth.operators.cycles import cycles
 from codehealth.sources import manifests as M
 from codehealth.sources import snapshots as S
 from codehealth.streaming import jobs as J
@@ -50,7 +51,7 @@ def test_hotspots(spark):
 )
 def test_cycles(spark, tmp_path, edges, want):
     e = spark.createDataFrame([("p", x[0], x[1]) for x in edges], "project_id string, source string, target string")
-    got = G.cycles(e, str(tmp_path)).select(F.array_join("members", ",").alias("m"), "source", "target").collect()
+    got = cycles(e, str(tmp_path)).select(F.array_join("members", ",").alias("m"), "source", "target").collect()
     assert sorted(r["m"] for r in got) == want and all(r["m"].startswith(r["source"]) and r["m"].endswith(r["target"]) for r in got)
 
 
