@@ -217,16 +217,19 @@ def warc_record(file, at, url, fetched, kind, http, payload, payload_digest, ref
     ]
     if again:
         fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", record_id(to_file, to_at)), ("X-Payload-Length", str(len(payload)))]
-        fields += [("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("X-Refers-To-Page-Id", str(refers_to))] if refers_to is not None else []
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + block
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, strict: bool = True) -> None:
-    """WARC files with one record for each record of the ARC files. Payloads are read twice and shuffled once, by their place:
+    """WARC files with one record for each record of the ARC files. Of records with equal payloads that with the greatest page id stays a
+    response; archives of others have no ids, so that of the latest date does, then that of the last place. Payloads are read twice and shuffled once, by their place:
     however many copies a payload has, no key gathers them."""
-    seen = read_arc(spark, arc_path, payloads=False, strict=strict).filter("error is null").select("file", "at", "page_id", "payload_digest")
-    newest = seen.filter("page_id is not null").groupBy("payload_digest").agg(F.max(F.struct("page_id", "file", "at")).alias("to"))
-    older = seen.join(newest, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("to.page_id")))
+    seen = read_arc(spark, arc_path, payloads=False, strict=strict).filter("error is null").select("file", "at", "page_id", "fetched", "payload_digest")
+    # null is the least: an id wins over none, and without any the latest date
+    newest = seen.groupBy("payload_digest").agg(F.max(F.struct("page_id", "fetched", "file", "at")).alias("to"))
+    itself = F.when(F.col("to.page_id").isNull(), (F.col("file") == F.col("to.file")) & (F.col("at") == F.col("to.at"))).otherwise(F.col("page_id").eqNullSafe(F.col("to.page_id")))
+    older = seen.join(newest, "payload_digest").filter(~itself)
     older = older.select("file", "at", F.col("to.page_id").alias("refers_to"), F.col("to.file").alias("to_file"), F.col("to.at").alias("to_at"))
     rows = read_arc(spark, arc_path, strict=strict).filter("error is null").join(older, ["file", "at"], "left")
     rows = rows.select("file", "at", "url", "fetched", "kind", "http", "payload", "payload_digest", "refers_to", "to_file", "to_at")

@@ -11,7 +11,6 @@ Other columns are left out, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,21 +22,30 @@ from codehealth.llm.shared import unused
 from codehealth.llm.words import mix, small_batches
 
 ORDERS = (2, 3)
+#: Characters of a part that the next one begins with.
+OVERLAP = max(ORDERS) - 1
 BITS = 14
 #: n-grams after which more text makes a prediction no surer: neighbouring n-grams are not independent.
 SURE_AFTER = 64
 UNKNOWN = "und"
-_WHITE = re.compile(r"\s")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(index of the text, bucket) of all n-grams, for each order. Other characters than letters are one space."""
+def grams(texts: list[str], bits: int, cuts: list[tuple[bool, bool]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the text, bucket) of all n-grams, for each order. Other characters than letters are one space. cuts: whether a text
+    goes on one before (then it begins with the last OVERLAP characters of that), and whether another goes on it."""
     rows = ["\n" + x.lower() + "\n" for x in texts]
     code = np.frombuffer("".join(rows).encode("utf-32-le", "replace"), np.uint32)
     letter = ((code >= 97) & (code <= 122)) | (code >= 0xC0)
     code = np.where(letter, code, 32).astype(np.uint64)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    sizes = np.array([len(x) for x in rows], np.int64)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    counted = np.ones(len(code), bool)  # by where an n-gram ends
+    for end, size, (left, right) in zip(np.cumsum(sizes).tolist(), sizes.tolist(), cuts or ()):
+        if left:
+            counted[end - size : end - size + 1 + OVERLAP] = False
+        if right:
+            counted[end - 1] = False
     for n in ORDERS:
         if len(code) < n:
             continue
@@ -46,29 +54,31 @@ def grams(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]
         for i in range(n):
             key = key * _STEP + code[i : m + i]
         # within one word, with the space before or after it; so none spans two texts
-        good = letter[: m] | letter[n - 1 :]
+        good = (letter[: m] | letter[n - 1 :]) & counted[n - 1 :]
         for i in range(1, n - 1):
             good &= letter[i : m + i]
         yield row[:m][good], (mix(key[good]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in parts of about `most` characters, with the index of each. A longer text is cut before white space: n-grams lie
-    in one word each, so none is lost, and working arrays stay small."""
-    which, part, size = [], [], 0
+def in_parts(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[list[int], list[str], list[tuple[bool, bool]]]]:
+    """Texts in parts of about `most` characters, with the index of each and where it is cut. A longer text is cut anywhere, with
+    an overlap, so that each n-gram is counted once and working arrays stay small, whatever the text."""
+    which, part, cuts, size = [], [], [], 0
     for i, x in enumerate(texts):
         at = 0
+        if len(x) > most:
+            x = x.lower()  # as a whole, since some letters look at their neighbours
         while at < len(x) or not at:
-            cut = _WHITE.search(x, at + most)
-            end = cut.start() if cut else len(x)
+            end = min(at + most, len(x))
             which.append(i)
-            part.append(x[at:end])
+            part.append(x[max(at - OVERLAP, 0) : end])
+            cuts.append((at > 0, end < len(x)))
             size, at = size + end - at, max(end, 1)
             if size >= most:
-                yield which, part
-                which, part, size = [], [], 0
+                yield which, part, cuts
+                which, part, cuts, size = [], [], [], 0
     if part:
-        yield which, part
+        yield which, part, cuts
 
 
 def gram_counts(docs: DataFrame, label: str, text: str, bits: int = BITS) -> DataFrame:
@@ -82,10 +92,10 @@ def gram_counts(docs: DataFrame, label: str, text: str, bits: int = BITS) -> Dat
                 if name not in found:
                     found[name] = np.zeros((1 << bits) + 1, np.int64)
                 found[name][0] += 1
-            for which, part in in_parts(texts):
+            for which, part, cuts in in_parts(texts):
                 names, of = np.unique(np.array([labels[i] for i in which], object).astype(str), return_inverse=True)
                 counts = np.zeros(len(names) << bits, np.int64)
-                for row, bucket in grams(part, bits):
+                for row, bucket in grams(part, bits, cuts):
                     counts += np.bincount((of[row] << bits) + bucket, minlength=len(counts))
                 for name, own in zip(names.tolist(), counts.reshape(len(names), -1)):
                     found[name][1:] += own
@@ -112,9 +122,9 @@ def scored(texts: list[str | None], names: list[str], prior: np.ndarray, logs: n
     """Best label of each text and its probability."""
     bits = int(logs.shape[1]).bit_length() - 1
     total, n = np.zeros((len(names), len(texts))), np.zeros(len(texts))
-    for which, part in in_parts([x or "" for x in texts]):
+    for which, part, cuts in in_parts([x or "" for x in texts]):
         of = np.array(which)
-        for row, bucket in grams(part, bits):
+        for row, bucket in grams(part, bits, cuts):
             n += np.bincount(of[row], minlength=len(texts))
             for k in range(len(names)):
                 total[k] += np.bincount(of[row], weights=logs[k][bucket], minlength=len(texts))

@@ -84,10 +84,11 @@ def permuted(i: Column, n: Column, a: Column, b: Column, c: Column, d: Column, l
 
 def in_order(docs: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     """s (index of the source), row key and start (words of the source before it) of each row. A source's rows are ordered
-    by a hash of the id, so its running sum is made in `buckets` parts, however large the source."""
+    by a hash of id and text, so its running sum is made in `buckets` parts, however large the source and however many of its
+    rows have no id."""
     part = ["s", "bucket"]
     rows = docs.join(F.broadcast(sources), docs["source"].eqNullSafe(sources["name"])).drop("name")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
     sums = rows.groupBy(part).agg(F.sum("size").alias("own"))
     before = F.sum("own").over(Window.partitionBy("s").orderBy("bucket")) - F.col("own")
     own = Window.partitionBy(part).orderBy("doc_id", "tie", "size")

@@ -9,15 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of applications on this machine that name none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, one machine), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Only where it is unset (tests, one machine), a temporary one for the application; a
+    running session does not take the setting any more, so it is kept here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master, application = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if application not in _OWN:
+        _OWN[application] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    return _OWN[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

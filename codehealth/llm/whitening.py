@@ -51,7 +51,7 @@ def matrix(column: pa.Array) -> list[np.ndarray]:
     sizes = np.diff(column.offsets.to_numpy())
     flat = column.flatten().to_numpy()
     at = np.cumsum(sizes) - sizes
-    return [flat[(at[sizes == d][:, None] + np.arange(d)).ravel()].reshape(-1, d) for d in np.unique(sizes).tolist()]
+    return [flat[(at[sizes == d][:, None] + np.arange(d)).ravel()].reshape(int((sizes == d).sum()), d) for d in np.unique(sizes).tolist()]
 
 
 def products(x: np.ndarray) -> list[int]:

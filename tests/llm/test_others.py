@@ -34,6 +34,25 @@ def test_shards_draw_the_quotas():
     assert (counts == mixing.shard_counts([50, 7, 0, 120], 8, 1)).all()
 
 
+def test_shared_folder_of_a_session_that_names_none():
+    from codehealth.llm import shared
+
+    class Context:
+        master, applicationId = "local[2]", "test-application"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    found = shared.shared_dir(Session)
+    assert os.path.isdir(found) and shared.shared_dir(Session) == found
+    Context.master = "spark://x"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+
+
 @pytest.mark.parametrize("make", MAKERS)
 def test_mix_comes_near_its_targets_and_repeats_itself(spark, make):
     rows = [tuple(r) for r in mixing.Mix(make(spark), block_words=8).taken().collect()]
@@ -61,7 +80,7 @@ def brute_mix(spark, frame, mix, w):
     """taken by document and blocks by place, word by word, from the plan's small tables."""
     from pyspark.sql import functions as F
 
-    docs = frame.select("doc_id", "source", "text", F.xxhash64(F.col("text")).alias("tie"), F.pmod(F.xxhash64("doc_id"), F.lit(mix.buckets)).alias("bucket")).collect()
+    docs = frame.select("doc_id", "source", "text", F.xxhash64(F.col("text")).alias("tie"), F.pmod(F.xxhash64("doc_id", F.xxhash64(F.col("text"))), F.lit(mix.buckets)).alias("bucket")).collect()
     sources = {r["name"]: (r["s"], r["source_size"], r["target"]) for r in mix.sources.collect()}
     turns = {(r["s"], r["turn"]): r for r in mix.turns.collect()}
     words = {s: [] for s, *_ in sources.values()}  # (document, word) in order
@@ -94,6 +113,12 @@ def test_mix_equals_brute_force(spark):
     assert got == blocks and len(got) > 100
 
 
+def test_rows_without_ids_are_spread(spark):
+    frame = spark.createDataFrame([(None, f"w{i} x", None, "s", None) for i in range(400)], cases.SCHEMA)
+    mix = mixing.Mix(frame, block_words=8)
+    assert mixing.in_order(mix.sized, mix.sources, mix.buckets).select("bucket").distinct().count() > 250
+
+
 def test_too_many_sources_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError, match="more than 2 sources"):
@@ -265,6 +290,20 @@ def test_foreign_archives(spark, tmp_path):
     assert archives.read_warc(spark, f"{tmp_path}/lax").count() == 3
 
 
+def test_equal_payloads_without_ids(spark, tmp_path):
+    os.makedirs(tmp_path / "arc")
+    block = b"1 0 Some Archive\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = b"filedesc://x.arc 0.0.0.0 20010101000000 text/plain %d\n" % len(block) + block + b"\n"
+    page = b"HTTP/1.0 200 OK\n\n<p>same</p>"
+    record = lambda url, date: b"http://%s/ 1.2.3.4 %s text/html %d\n" % (url, date, len(page)) + page + b"\n"
+    (tmp_path / "arc/a.arc").write_bytes(head + record(b"a", b"20010102030405") + record(b"b", b"20030102030405") + record(b"c", b"20020102030405"))
+    (tmp_path / "arc/b.arc").write_bytes(head + record(b"d", b"20030102030405"))
+    archives.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    got = {r["url"][7]: r for r in archives.read_warc(spark, f"{tmp_path}/warc").collect()}
+    assert {k: r["record_type"] for k, r in got.items()} == {"a": "revisit", "b": "revisit", "c": "revisit", "d": "response"}  # the latest date, then the last file
+    assert {r["refers_to_record"] for k, r in got.items() if k != "d"} == {got["d"]["record_id"]} and {r["refers_to"] for r in got.values()} == {None}
+
+
 def test_records_have_ids_of_their_own(spark, tmp_path):
     rows = [(1, "http://a", "<p>1</p>"), (1, "http://a", "<p>1</p>"), (0, "http://a", "<p>1</p>"), (0, "http://a", "<p>1</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as payload", "'y' as file", "'z' as at", "'w' as error")
@@ -339,17 +378,26 @@ def test_known_language_keeps_columns(spark):
     assert kept.columns == frame.columns and kept.count() > 0
 
 
-def test_long_texts_are_cut_between_words():
+@pytest.mark.parametrize("space", [" ", "", "8"])
+def test_long_texts_are_cut_anywhere(space):
     rng = random.Random(2)
-    text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(5_000))
+    text = space.join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(5_000))
     whole = [np.bincount(b, minlength=256) for _, b in langid.grams([text], 8)]
+    got = [np.zeros(256, int) for _ in langid.ORDERS]
     parts = list(langid.in_parts([text, "", "x"], 1_000))
-    assert len(parts) > 10 and {i for which, _ in parts for i in which} == {0, 1, 2}
-    assert "".join(x for which, part in parts for i, x in zip(which, part) if i == 0) == text
-    for k in range(len(langid.ORDERS)):
-        own = sum(np.bincount(list(langid.grams(part, 8))[k][1], minlength=256) for which, part in parts if 0 in which and set(which) == {0})
-        rest = sum((np.bincount(list(langid.grams([x for i, x in zip(which, part) if i == 0], 8))[k][1], minlength=256) for which, part in parts if 0 in which and set(which) != {0}), np.zeros(256, int))
-        assert (own + rest == whole[k]).all()
+    assert len(parts) > 10 and {i for which, *_ in parts for i in which} == {0, 1, 2}
+    assert max(len(x) for _, part, _ in parts for x in part) <= 1_000 + langid.OVERLAP
+    for which, part, cuts in parts:
+        for k, (row, bucket) in enumerate(langid.grams(part, 8, cuts)):
+            got[k] += np.bincount(bucket[np.array(which)[row] == 0], minlength=256)
+    assert all((a == b).all() for a, b in zip(got, whole))
+
+
+def test_a_long_text_without_white_space(spark):
+    rows = [(i, x * 200, lang, None, None) for i, (x, lang) in enumerate([("hello world ", "en"), ("bonjour monde ", "fr")] * 5)]
+    text = "bonjourmonde" * 200_000
+    docs = spark.createDataFrame([*rows, (100, text, None, None, None)], cases.SCHEMA)
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.language_report(docs).collect()}[100] == "fr"
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
