@@ -70,3 +70,28 @@ def clipped(text: Column, most: int) -> Column:
     """Trimmed, cut at `most` characters with an ellipsis; blank is null."""
     own = F.trim(text)
     return F.nullif(F.when(F.char_length(own) > most, F.concat(F.substring(own, 1, most), F.lit("…"))).otherwise(own), F.lit(""))
+
+
+def first_block(text: Column) -> Column:
+    """The first {...} of a text whose braces outside strings are balanced; null without one. A fold over braces and strings, which
+    stops counting once the block is closed."""
+    rest = F.regexp_extract(text, r"(?s)^[^{]*(\{.*)$", 1)
+    tokens = F.regexp_extract_all(rest, F.lit(r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[{}]|[^{}"]++'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("closed"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(acc["closed"], acc).otherwise(F.struct(depth.alias("depth"), (acc["at"] + F.length(t)).cast("int").alias("at"), (depth == 0).alias("closed")))
+
+    found = F.aggregate(tokens, start, step, lambda acc: F.when(acc["closed"], acc["at"]))
+    return F.substring(rest, F.lit(1), found)
+
+
+def json_object(text: Column, schema: str) -> Column:
+    """What the schema finds in a JSON object that a text is or holds: the whole text, else what lies between its first and its last
+    brace, else its first balanced block, which prose with braces may follow. Null if none of them is a JSON object."""
+    whole = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    ok = lambda x: x.rlike(r"^\{") & F.try_parse_json(x).isNotNull()
+    chosen = F.coalesce(*[F.when(ok(x), x) for x in (whole, outer, first_block(text))])
+    return F.from_json(chosen, schema)

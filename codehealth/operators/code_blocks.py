@@ -84,10 +84,9 @@ def indent_ends(files: DataFrame, starts: str = PY_DEF) -> DataFrame:
     return _exploded(with_lines(files), indent_spans(F.col("lines"), starts))
 
 
-def bloated(files: DataFrame, method: int = 150, class_: int = 500, file: int = 1200) -> DataFrame:
-    """keys, line, rule_key, size of methods, classes and files that are too long, in one pass. Methods inside a method, and classes
-    inside a class, are part of it and not judged by themselves."""
-    lines, python = F.col("lines"), F.col("path").endswith(".py")
+def bloated_in(lines: Column, python: Column, method: int = 150, class_: int = 500, file: int = 1200) -> Column:
+    """line, rule_key, size of methods, classes and files that are too long. Methods inside a method, and classes inside a class, are
+    part of it and not judged by themselves."""
 
     def long_(found: Column, key: str, most: int) -> Column:
         size = lambda b: b["end"] - b["start"] + 1
@@ -95,7 +94,12 @@ def bloated(files: DataFrame, method: int = 150, class_: int = 500, file: int =
 
     pair = lambda braces, indent: F.when(python, indent_spans(lines, indent, nested=False)).otherwise(brace_spans(lines, braces, nested=False))
     whole = F.filter(F.array(F.struct(F.lit(1).alias("line"), F.lit("BLOATED-FILE").alias("rule_key"), F.size(lines).alias("size"))), lambda x: x["size"] > file)
-    return _exploded(with_lines(files), F.concat(long_(pair(BRACE_DEF, PY_DEF), "BLOATED-METHOD", method), long_(pair(BRACE_CLASS, PY_CLASS), "BLOATED-CLASS", class_), whole))
+    return F.concat(long_(pair(BRACE_DEF, PY_DEF), "BLOATED-METHOD", method), long_(pair(BRACE_CLASS, PY_CLASS), "BLOATED-CLASS", class_), whole)
+
+
+def bloated(files: DataFrame, method: int = 150, class_: int = 500, file: int = 1200) -> DataFrame:
+    """keys, line, rule_key, size of what is too long, in one pass."""
+    return _exploded(with_lines(files), bloated_in(F.col("lines"), F.col("path").endswith(".py"), method, class_, file))
 
 
 def long_files(files: DataFrame, most: int) -> DataFrame:
@@ -115,24 +119,30 @@ def complexity(body: Column, branch: str = BRANCH) -> Column:
     return F.aggregate(body, F.struct(F.lit(0).alias("score"), F.lit(0).alias("depth")), step, lambda acc: acc["score"])
 
 
-def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace: str = FUNCTION, python: str = PY_DEF, branch: str = BRANCH) -> DataFrame:
-    """keys, line, score, severity of functions above the limits, head line included; a function inside another is part of it."""
-    lines = F.col("lines")
-    found = F.when(F.col("path").endswith(".py"), indent_spans(lines, python, nested=False)).otherwise(brace_spans(lines, brace, nested=False))
+def complex_in(lines: Column, python: Column, least: int = 12, brace: str = FUNCTION, indent: str = PY_DEF, branch: str = BRANCH) -> Column:
+    """line, score of functions that score `least` or more, head line included; a function inside another is part of it."""
+    found = F.when(python, indent_spans(lines, indent, nested=False)).otherwise(brace_spans(lines, brace, nested=False))
     body = lambda b: F.slice(lines, b["start"] + 1, b["end"] - b["start"] + 1)
     scores = F.transform(found, lambda b: F.struct((b["start"] + 1).alias("line"), complexity(body(b), branch).alias("score")))
-    rows = _exploded(with_lines(files), F.filter(scores, lambda x: x["score"] >= minor))
+    return F.filter(scores, lambda x: x["score"] >= least)
+
+
+def complex_functions(files: DataFrame, minor: int = 12, major: int = 20, brace: str = FUNCTION, python: str = PY_DEF, branch: str = BRANCH) -> DataFrame:
+    """keys, line, score, severity of functions above the limits."""
+    rows = _exploded(with_lines(files), complex_in(F.col("lines"), F.col("path").endswith(".py"), minor, brace, python, branch))
     return rows.withColumn("severity", F.when(F.col("score") >= major, "MAJOR").otherwise("MINOR"))
 
 
-def empty_catches(files: DataFrame, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]", one_line: str = r"catch\s*\([^)]*\)\s*\{[\s/]*\}") -> DataFrame:
-    """keys, line of catch blocks that hold nothing but blanks and comments."""
-    lines = F.col("lines")
+def empty_catch_lines(lines: Column, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]", one_line: str = r"catch\s*\([^)]*\)\s*\{[\s/]*\}") -> Column:
     inside = lambda b: F.slice(lines, b["start"] + 2, F.greatest(b["end"] - b["start"] - 1, F.lit(0)))
     empty = F.filter(brace_spans(lines, head, open_, close, True), lambda b: F.forall(inside(b), lambda x: F.trim(x).rlike(nothing)))
     alone = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(one_line), i + 1)), lambda i: i.isNotNull())
-    at = F.transform(F.concat(F.transform(empty, lambda b: b["start"] + 1), alone), lambda i: F.struct(i.alias("line")))
-    return _exploded(with_lines(files), at)
+    return F.transform(F.concat(F.transform(empty, lambda b: b["start"] + 1), alone), lambda i: F.struct(i.alias("line")))
+
+
+def empty_catches(files: DataFrame, head: str = r"catch\s*\([^)]*\)\s*\{\s*$", nothing: str = r"^($|//|#|/\*|\*)", open_: str = "[{]", close: str = "[}]", one_line: str = r"catch\s*\([^)]*\)\s*\{[\s/]*\}") -> DataFrame:
+    """keys, line of catch blocks that hold nothing but blanks and comments."""
+    return _exploded(with_lines(files), empty_catch_lines(F.col("lines"), head, nothing, open_, close, one_line))
 
 
 # --- duplicates -----------------------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codehealth.functions.text import json_object
+
 TOP_DIRS = ("src", "backend", "frontend", "lib", "app")
 WEIGHTS = (("quality", 0.4), ("structure", 0.3), ("dependency", 0.15), ("scale", 0.15))
 
@@ -93,8 +95,9 @@ REPORT = "healthScore double, level string, dimensions array<struct<key:string,s
 
 def validated(candidates: DataFrame, base: str = "base_health") -> DataFrame:
     """candidates (report_json, base) with health_score, level, source: a report with the four dimensions, titled risks and
-    filled recommendations counts, its score held within 10 of the base and in 0..100; any other falls back to the base."""
-    r = F.from_json("report_json", REPORT)
+    filled recommendations counts, its score held within 10 of the base and in 0..100; any other falls back to the base. Prose and
+    code fences around a report do not matter."""
+    r = json_object(F.col("report_json"), REPORT)
     rows = candidates.withColumn("__r", r)
     keys = F.transform("__r.dimensions", lambda d: d["key"])
     good = (

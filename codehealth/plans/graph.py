@@ -374,6 +374,39 @@ def s5_commit_log(spark, sf_dir):
     return commits.select(F.conv("commit_hash", 16, 10).cast("long").alias("commit_hash"), "files_changed", "added", "removed")
 
 
+@query("select concat('log', l_orderkey % 3) as project_id, l_orderkey as commit_hash, count(distinct l_partkey) as files_changed, cast(sum(cast(l_quantity as bigint)) as bigint) as added from lineitem group by all")
+def s5_read_logs(spark, sf_dir):
+    """Logs of three projects as text files, cut by the mark of a commit."""
+    i, folder = table(spark, sf_dir, "lineitem"), work_folder(spark)
+    change = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.lit("-"), F.concat(F.lit("p"), "l_partkey"))
+    entry = i.groupBy("l_orderkey").agg(F.array_join(F.collect_list(change), "\n").alias("changes"))
+    text = entry.select(F.concat(F.lit("@"), F.lower(F.hex("l_orderkey")), F.lit("\tann\t2024-01-01 00:00:00\n"), F.col("changes")).alias("value"), F.concat(F.lit("log"), F.col("l_orderkey") % 3).alias("project_id"))
+    text.write.partitionBy("project_id").text(f"{folder}/logs")
+    commits, _ = M.commits_of(M.read_commit_logs(spark, f"{folder}/logs"))
+    return commits.select("project_id", F.conv("commit_hash", 16, 10).cast("long").alias("commit_hash"), "files_changed", "added")
+
+
+@query(
+    """with e as (select event_id, user_id, event_id // 50 page, event_id // 50 % 7 k from events)
+    select 'finding' as kind, concat('c', user_id) as path, case when event_id % 3 = 0 then 'INFO' else 'MAJOR' end as detail, count(*) as n from e where k not in (1, 2) and (k <> 3 or event_id % 50 <> 7) group by all
+    union all select 'page', null, case k when 1 then 'no JSON object' when 2 then 'no list of findings' else '1 findings without a rule' end, count(distinct page) from e where k in (1, 2) or k = 3 and event_id % 50 = 7 group by all"""
+)
+def s7_read_pages(spark, sf_dir):
+    """Exported pages as JSON files, some cut off, some without a list, some with a finding that has no rule."""
+    e, folder = table(spark, sf_dir, "events"), work_folder(spark)
+    page, kind = F.floor(F.col("event_id") / 50), F.floor(F.col("event_id") / 50) % 7
+    issue = F.struct(
+        F.concat(F.lit("k"), "event_id").alias("key"), F.when((kind != 3) | (F.col("event_id") % 50 != 7), F.lit("java:S1")).alias("rule"), F.when(F.col("event_id") % 3 != 0, "MAJOR").alias("severity"),
+        F.concat(F.lit("proj:c"), "user_id").alias("component"), (F.col("event_id") % 9 + 1).cast("string").alias("line"), F.lit("m").alias("message"), F.lit("BUG").alias("type"),
+    )
+    pages = e.groupBy(page.alias("page"), kind.alias("kind")).agg(F.to_json(F.struct(F.collect_list(issue).alias("issues"))).alias("json"))
+    text = F.when(F.col("kind") == 1, F.expr("left(json, length(json) - 5)")).when(F.col("kind") == 2, '{"errors": []}').otherwise(F.col("json"))
+    pages.select(text.alias("value"), "page").repartition(8, "page").write.partitionBy("page").text(f"{folder}/pages")
+    found, bad = M.read_issue_pages(spark, f"{folder}/pages/*")
+    issues = M.imported_issues(found).select(F.lit("finding").alias("kind"), "path", F.col("severity").alias("detail"))
+    return issues.unionByName(bad.select(F.lit("page").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("reason").alias("detail"))).groupBy("kind", "path", "detail").agg(F.count("*").alias("n"))
+
+
 @query("select event_id as id, concat('c', user_id) as path, case when event_id % 3 = 0 then 'INFO' else 'MAJOR' end as severity, case when event_id % 4 = 0 then 'CODE_SMELL' else 'BUG' end as kind from events")
 def s7_imported_issues(spark, sf_dir):
     e = table(spark, sf_dir, "events")

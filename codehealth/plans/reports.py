@@ -100,6 +100,28 @@ def c8_validated(spark, sf_dir):
     return C.validated(rows).select("id", "health_score", "source")
 
 
+#: How candidates come: alone, fenced, between prose, before prose with braces, with braces in strings, cut off, twice.
+WRAPPED = ("%s", "```json\n%s\n```", "Here it is:\n\n%s\nDone.", "%s and {so} on", '{"note": "} {", "x": 1} then %s', "{ %s", "%s%s", "no { braces")
+#: Which of these are read: an object that is no report counts as one that could be read, but not as a good one.
+READ = (0, 1, 2, 3, 6)
+
+
+@query(
+    f"""with e as (select event_id id, cast(json_extract_string(props, '$.k') as bigint) k, event_id % {len(WRAPPED)} in ({", ".join(map(str, READ))}) ok, event_id % 90 base from events)
+    select id, cast(case when ok then least(greatest(least(greatest(k, base - 10), base + 10), 0), 100) else base end as bigint) as health_score, case when ok then 'CANDIDATE' else 'RULES' end as source from e"""
+)
+def c8_wrapped_reports(spark, sf_dir):
+    """Reports inside prose, code fences and other braces."""
+    e = table(spark, sf_dir, "events")
+    json = F.format_string(CANDIDATE, F.get_json_object("props", "$.k").cast("long"), F.lit("scale"))
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(WRAPPED):
+        parts = [x for part in shape.split("%s") for x in (F.lit(part), json)][:-1]
+        text = F.when(F.col("event_id") % len(WRAPPED) == k, F.concat(*parts)).otherwise(text)
+    rows = e.select(F.col("event_id").alias("id"), text.alias("report_json"), (F.col("event_id") % 90).alias("base_health"))
+    return C.validated(rows).select("id", "health_score", "source")
+
+
 @query("select event_id as analysis_id, unnest(['dimension', 'dimension', 'dimension', 'dimension', 'risk']) as part, unnest(['quality', 'structure', 'dependency', case when event_id % 3 = 0 then 'odd' else 'scale' end, 't']) as name, unnest(['1.0', '2.0', '3.0', '4.0', 'LOW']) as value from events where event_id % 5 <> 0 union all select event_id, 'dimension', null, null from events where event_id % 5 = 0")
 def c9_report_rows(spark, sf_dir):
     e = table(spark, sf_dir, "events")

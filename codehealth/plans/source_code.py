@@ -11,6 +11,7 @@ from codehealth.functions import text as T
 from codehealth.operators import code_blocks as B
 from codehealth.operators import line_rules as R
 from codehealth.operators import scanners
+from codehealth.operators.issues import every_finding
 from codehealth.plans.registry import query, spread, table
 from codehealth.sources import inventory as I
 
@@ -432,7 +433,7 @@ def r9_style(spark, sf_dir):
     union all select *, 'STYLE' from {STYLED})"""
 )
 def r10_all_issues(spark, sf_dir):
-    """All scanners over one explosion of each text."""
+    """The four families of line rules over one explosion of each text."""
     return R.findings(files(spark, sf_dir), markers=WORDS, styles=STYLE).select(*HIT, "source")
 
 
@@ -601,33 +602,95 @@ def r8_empty_catches(spark, sf_dir):
 # --- duplicates ------------------------------------------------------------------------------------------------------
 
 NORMAL = "lower(regexp_replace(regexp_replace(text, '[\"''][^\"'']{0,200}[\"'']', '\"S\"', 'g'), '[ \\t\\r\\n\\f\\v]+', '', 'g'))"
-WINDOWS = f"""(select {KEYS}, line, md5(array_to_string(w, chr(10))) hash from (select {KEYS}, line, list({NORMAL}) over (partition by {KEYS} order by line rows between current row and 5 following) w from {LINES})
+def windows_sql(lines: str) -> str:
+    return f"""(select {KEYS}, line, md5(array_to_string(w, chr(10))) hash from (select {KEYS}, line, list({NORMAL}) over (partition by {KEYS} order by line rows between current row and 5 following) w from {lines})
   where len(w) = 6 and len(list_filter(w, lambda x: not regexp_matches(x, '^[\\[\\](){{}};,]*$'))) > 0)"""
 
 
+def same_file_sql(windows: str) -> str:
+    return f"""select {KEYS}, first, second from (select *, row_number() over (partition by {KEYS} order by first, second) k from (select {KEYS}, list_min(w) as first, list_min(list_filter(w, lambda x: x - list_min(w) >= 6)) as second
+    from (select {KEYS}, hash, list(line) w from {windows} group by all)) where second is not null) where k <= 10"""
+
+
+def cross_file_sql(windows: str) -> str:
+    return f"""with f as (select project_id, analysis_id, hash, path, min(line) line from {windows} group by all), r as (select *, row_number() over (partition by project_id, analysis_id, hash order by path) k from f),
+    p as (select a.project_id, a.analysis_id, a.path path_a, a.line line_a, b.path path_b, b.line line_b from r a join r b on a.project_id = b.project_id and a.analysis_id = b.analysis_id and a.hash = b.hash and a.k = 1 and b.k = 2),
+    d as (select *, row_number() over (partition by project_id, analysis_id, path_a, path_b order by line_a, line_b) j from p)
+    select project_id, analysis_id, path_a, line_a, path_b, line_b from (select *, row_number() over (partition by project_id, analysis_id order by path_a, line_a, path_b) m from d where j = 1) where m <= 50"""
+
+
+WINDOWS = windows_sql(LINES)
+
+
 @query(f"select {KEYS}, line, hash from {WINDOWS}")
 def u1_windows(spark, sf_dir):
     return B.windows(doc_lines(spark, sf_dir)).select("project_id", "analysis_id", "path", "line", "hash")
 
 
-@query(
-    f"""select {KEYS}, first, second from (select *, row_number() over (partition by {KEYS} order by first, second) k from (select {KEYS}, list_min(w) as first, list_min(list_filter(w, lambda x: x - list_min(w) >= 6)) as second
-    from (select {KEYS}, hash, list(line) w from {WINDOWS} group by all)) where second is not null) where k <= 10"""
-)
+@query(same_file_sql(WINDOWS))
 def u2_same_file_duplicates(spark, sf_dir):
     return B.same_file_duplicates(B.windows(doc_lines(spark, sf_dir)))
 
 
-@query(
-    f"""with f as (select project_id, analysis_id, hash, path, min(line) line from {WINDOWS} group by all), r as (select *, row_number() over (partition by project_id, analysis_id, hash order by path) k from f),
-    p as (select a.project_id, a.analysis_id, a.path path_a, a.line line_a, b.path path_b, b.line line_b from r a join r b on a.project_id = b.project_id and a.analysis_id = b.analysis_id and a.hash = b.hash and a.k = 1 and b.k = 2),
-    d as (select *, row_number() over (partition by project_id, analysis_id, path_a, path_b order by line_a, line_b) j from p)
-    select project_id, analysis_id, path_a, line_a, path_b, line_b from (select *, row_number() over (partition by project_id, analysis_id order by path_a, line_a, path_b) m from d where j = 1) where m <= 50"""
-)
+@query(cross_file_sql(WINDOWS))
 def u3_cross_file_duplicates(spark, sf_dir):
     return B.cross_file_duplicates(B.windows(doc_lines(spark, sf_dir)))
 
 
+#: Documents as files of one project and analysis each language, so that copies meet.
+BY_LANGUAGE = "(select lang project_id, 0 analysis_id, concat('doc/f', doc_id, '.md') path, text as content from documents)"
+
+
+def by_language(spark, sf_dir) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents"))
+    return d.select(F.col("lang").alias("project_id"), F.lit(0).alias("analysis_id"), F.concat(F.lit("doc/f"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
+
+
+@query(cross_file_sql(windows_sql(lines_sql(BY_LANGUAGE))))
+def u3_copies(spark, sf_dir):
+    """Copies and shared passages among all documents of a language."""
+    return B.cross_file_duplicates(B.windows(R.lines_of(by_language(spark, sf_dir))))
+
+
+#: All kinds of files: code, code with blocks inside blocks, and documents.
+EVERY_LINE = f"(select {KEYS}, line, text from {CODE_LINES} union all select project_id, 2, path, line, text from {NESTED_LINES} union all select {KEYS}, line, text from {lines_sql(BY_LANGUAGE)})"
+
+
+def style_sql(lines: str) -> str:
+    return f"""(with s as (select {KEYS}, count(*) n, count(*) filter (regexp_matches(text, '[ \\t]+$')) nt, min(line) filter (regexp_matches(text, '[ \\t]+$')) t, count(*) filter (regexp_matches(text, '^( +\\t|\\t+ )')) nm, min(line) filter (regexp_matches(text, '^( +\\t|\\t+ )')) m, bool_or(starts_with(text, chr(9))) tabs, bool_or(starts_with(text, ' ')) spaces from {lines} group by all)
+    select {KEYS}, t as line, 'TRAILING-WHITESPACE' as rule_key from s where nt >= 3 union all select {KEYS}, m, 'MIXED-INDENT' from s where nm >= 1 union all select {KEYS}, 1, 'INCONSISTENT-INDENT' from s where tabs and spaces)"""
+
+
+def every_sql(lines: str) -> str:
+    todo = mark_sql("TODO|FIXME|HACK|XXX")
+    java, python = of_language(lines, ".java"), of_language(lines, ".py")
+    catches = f"""with s as (select * from {depth_sql(java, '[{]', '[}]')}),
+      b as (select {KEYS}, line, coalesce((select min(e.line) from s e where {same_file("e", "h")} and e.line > h.line and e.d < h.d), n) last from s h where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{\\s*$'))
+      select {KEYS}, line from b where not exists (select 1 from s x where {same_file("x", "b")} and x.line > b.line and x.line < b.last and not regexp_matches(trim(x.text), '^($|//|#|/[*]|[*])'))
+      union all select {KEYS}, line from s where regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*\\{{[\\s/]*\\}}')"""
+    return f"""select {KEYS}, cast(line as int) line, rule_key, source, severity from (
+      select {KEYS}, line, 'SECRET-HARDCODED' as rule_key, 'SECURITY' as source, 'CRITICAL' as severity from {lines} where {SECURE}
+      union all select {KEYS}, line, 'DANGEROUS-CALL', 'SECURITY', 'MAJOR' from {lines} where {CALL} is not null and not {SECURE}
+      union all select {KEYS}, line, 'SQL-INJECTION', 'SECURITY', 'CRITICAL' from {lines} where regexp_matches(text, {q(R.SQL_WORD)}) and regexp_matches(text, {q(R.SQL_JOIN)}) and not {SECURE}
+      union all select {KEYS}, line, 'PLAINTEXT-PASSWORD-COMPARE', 'SECURITY', 'CRITICAL' from {lines} where regexp_matches(text, {q(R.PASSWORD_COMPARE)}) and not {SECURE}
+      union all select {KEYS}, line, concat('LEFTOVER-', marker), 'TODO', case marker when 'TODO' then 'MINOR' else 'MAJOR' end from (select *, row_number() over (partition by {KEYS} order by line) k from (select *, {todo} marker from {lines}) where marker <> '') where k <= 10
+      union all select {KEYS}, line, 'MAGIC-NUMBER', 'MAGIC', 'MINOR' from {magic_sql(lines)}
+      union all select *, 'STYLE', case rule_key when 'TRAILING-WHITESPACE' then 'INFO' else 'MINOR' end from {style_sql(lines)}
+      union all select {KEYS}, line, 'SWALLOWED-EXCEPTION', 'ERROR', 'MAJOR' from ({swallowed_sql(python, r"^[ \t]*except[^:]*:[ \t]*$", r"^[ \t]*pass[ \t]*$", r"^[ \t]*#")} union all ({catches}))
+      union all select {KEYS}, line, rule_key, 'BLOATED', case rule_key when 'BLOATED-FILE' then 'MINOR' else 'MAJOR' end from ({bloated_sql(f"(select * from {lines} where path not like '%.md')", 6, 4, 27)})
+      union all select {KEYS}, line, 'COMPLEX-FUNCTION', 'COMPLEXITY', severity from ({complex_sql(lines, 4, 9)})
+      union all select {KEYS}, first, 'DUPLICATED-BLOCK', 'DUPLICATION', 'MAJOR' from ({same_file_sql(windows_sql(lines))})
+      union all select project_id, analysis_id, path_a, line_a, 'DUPLICATED-BLOCK', 'DUPLICATION', 'MAJOR' from ({cross_file_sql(windows_sql(lines))}))"""
+
+
+@query(every_sql(EVERY_LINE))
+def r10_eight_scanners(spark, sf_dir):
+    """Line rules, leftovers, numbers, style, swallowed exceptions, long and complex blocks, duplicates: one list."""
+    nested = code_files(spark, sf_dir, NESTED).withColumn("analysis_id", F.lit(2))
+    rows = code_files(spark, sf_dir).unionByName(nested).unionByName(by_language(spark, sf_dir))
+    return every_finding(rows, sources=(".py", ".java", ".md"), limits={"method": 6, "class_": 4, "file": 27, "minor": 4, "major": 9}).select(*HIT, "source", "severity")
+
+
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 TOKENS = """(select doc_id, list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: (length(x) + 3) // 4)) w, length(text) n,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,10 +63,24 @@ CHANGE = "^([0-9]+|-)\t([0-9]+|-)\t(.+)$"
 
 
 def commit_log(logs: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
-    """commits (key, commit_hash, author_name, committed_at, files_changed, added, removed) and files (key, commit_hash, path,
-    added, removed) of logs (key, content): a line `@hash<tab>author<tab>time`, then numstat lines. '-' counts as 0. A log is
+    """commits and files (see commits_of) of logs (key, content): a line `@hash<tab>author<tab>time`, then numstat lines. A log is
     cut before each such line, so a commit is a row of its own and nothing is put in order."""
-    pieces = logs.select(key, F.explode(F.split("content", "(?m)(?=^@[0-9a-f]+\t[^\t\n]*\t[^\t\n]*$)")).alias("piece")).filter(F.col("piece").rlike(COMMIT))
+    return commits_of(logs.select(key, F.explode(F.split("content", "(?m)(?=^@[0-9a-f]+\t[^\t\n]*\t[^\t\n]*$)")).alias("piece")), key)
+
+
+def read_commit_logs(spark: SparkSession, path: str, key: str = "project_id") -> DataFrame:
+    """key, piece: the commits of exported logs, for commits_of. The key is that of a folder `key=value`, else the file's name without
+    extension. A record ends where a line begins with the mark of a commit, so one large file is read by as many tasks as
+    it has splits, and none holds more than a commit."""
+    rows = spark.read.option("lineSep", "\n@").text(path)
+    name = F.col(key) if key in rows.columns else F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    return rows.select(name.alias(key), F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("piece"))
+
+
+def commits_of(pieces: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
+    """commits (key, commit_hash, author_name, committed_at, files_changed, added, removed) and files (key, commit_hash, path,
+    added, removed) of pieces of logs (key, piece), a commit each. '-' counts as 0; what is no commit is left out."""
+    pieces = pieces.filter(F.col("piece").rlike(COMMIT))
     part = lambda k: F.regexp_extract("piece", COMMIT, k)
     heads = pieces.select(key, part(1).alias("commit_hash"), part(2).alias("author_name"), F.try_to_timestamp(part(3)).alias("committed_at"))
     number = lambda k: F.coalesce(F.regexp_extract("line", CHANGE, k).try_cast("long"), F.lit(0))
@@ -79,6 +93,22 @@ def commit_log(logs: DataFrame, key: str = "project_id") -> tuple[DataFrame, Dat
     return commits, files
 
 
+#: Fields of an exported finding.
+PAGE = "issues array<struct<key:string,rule:string,severity:string,component:string,line:string,message:string,type:string>>, __bad string"
+
+
+def read_issue_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """findings (page, component, rule_key, severity, kind, line, message) of exported pages, one JSON object a file, and the pages that
+    could not be read (page, reason, content): no JSON, no list of findings, or a finding without a rule."""
+    pages = spark.read.schema(PAGE).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
+    pages = pages.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("page"), "issues", "__bad")
+    broken = F.filter("issues", lambda x: x.isNull() | (F.coalesce(x["rule"], F.lit("")) == ""))
+    reason = F.when(F.col("__bad").isNotNull(), "no JSON object").when(F.col("issues").isNull(), "no list of findings").when(F.size(broken) > 0, F.format_string("%d findings without a rule", F.size(broken)))
+    bad = pages.select("page", reason.alias("reason"), F.col("__bad").alias("content")).filter("reason is not null")
+    rows = pages.filter("__bad is null").select("page", F.explode("issues").alias("i")).filter("i.rule <> ''")
+    return rows.select("page", "i.component", F.col("i.rule").alias("rule_key"), "i.severity", F.col("i.type").alias("kind"), F.col("i.line").try_cast("int").alias("line"), "i.message"), bad
+
+
 def imported_issues(issues: DataFrame) -> DataFrame:
     """Exported findings: the project prefix leaves the component; severity and kind have defaults."""
     return issues.withColumn("path", F.regexp_replace("component", "^[^:]*:", "")).withColumn("severity", F.coalesce("severity", F.lit("INFO"))).withColumn("kind", F.coalesce("kind", F.lit("CODE_SMELL")))

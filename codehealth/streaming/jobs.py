@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
+from codehealth.sources.snapshots import replace_snapshot, snapshot
+
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -36,6 +39,28 @@ def run_to_table(stream: DataFrame, mode: str, folder: str, final: Callable[[Dat
     return spark.read.parquet(f"{folder}/out").drop("part")
 
 
+def run_to_snapshot(stream: DataFrame, find: Callable[[DataFrame], DataFrame], path: str, folder: str, keys: tuple[str, ...], name: str, order: str | None = None) -> DataFrame:
+    """Drains the stream into a snapshot table at path and reads it back. Of each batch the keys are refreshed: what `find` makes of
+    their rows replaces what the table has for them, so a file that comes again leaves one copy, and one without findings
+    none. order: of several rows with equal keys in a batch the greatest counts. A batch that runs again, after a failure
+    anywhere, is written once: the table knows the last batch of each stream by its name. folder: the stream's own state."""
+    spark = stream.sparkSession
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        if order:
+            last = rows.groupBy(*keys).agg(F.max(order).alias(order))
+            found = find(rows.join(last, [*keys, order], "left_semi"))
+        else:
+            found = find(rows)
+        replace_snapshot(found, path, rows, keys, (name, batch))
+        rows.unpersist()
+
+    q = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return snapshot(spark, path, keys)
+
+
 def latest_by_batch(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of each key's latest batch: what an update-mode table holds in the end."""
     values = [c for c in rows.columns if c not in keys]
@@ -61,6 +86,62 @@ def unrepeated(messages: DataFrame, within: str = "2 seconds") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["session_id", "content"])
 
 
+def first_within(messages: DataFrame, seconds: int) -> DataFrame:
+    """The exact rule behind unrepeated, as a batch: session_id, id of the messages that no earlier one of equal content, let through
+    itself, precedes by `seconds` or less. A fold over the times of each (session, content). A stream forgets a message only
+    once its watermark has passed, so it may let fewer through."""
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    own = messages.groupBy("session_id", "content").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "id"))).alias("m"))
+    start = F.struct(F.lit(None).cast("long").alias("gone"), F.array().cast("array<long>").alias("ids"))
+
+    def step(acc, x):
+        new = acc["gone"].isNull() | (x["at"] > acc["gone"])
+        return F.struct(F.when(new, x["at"] + seconds * 1_000_000).otherwise(acc["gone"]).alias("gone"), F.when(new, F.concat(acc["ids"], F.array(x["id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))
+
+    return own.select("session_id", F.explode(F.aggregate("m", start, step, lambda acc: acc["ids"])).alias("id"))
+
+
+def silences(events: DataFrame, minutes: int, late: str = "1 minute") -> DataFrame:
+    """Batch twin of stuck_runs: a row (analysis_id, FAILED, 5003) for each time that a pending or running one had no event for so
+    long, before its next event or the watermark after the last event of all."""
+    at = F.col("at").cast("timestamp")
+    order = Window.partitionBy("analysis_id").orderBy("at", "seq")
+    end = events.agg((F.max(at) - F.expr(f"interval {late}")).alias("end"))  # one row
+    rows = events.withColumn("next", F.lead(at).over(order)).join(F.broadcast(end))
+    late = F.unix_micros(F.coalesce("next", "end")) - F.unix_micros(at) > minutes * 60_000_000
+    return rows.filter(F.col("status").isin("PENDING", "RUNNING") & late).select("analysis_id", F.lit("FAILED").alias("status"), F.lit(5003).alias("error_code"))
+
+
+class FirstWithin(StatefulProcessor):
+    """Keeps until when a message of a session counts as seen."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.gone = handle.getValueState("gone", StructType([StructField("gone", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        gone, out = self.gone.get()[0] if self.gone.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples():
+            at = r.at.value // 1000
+            if gone is None or at > gone:
+                gone = at + self.seconds * 1_000_000
+                out.append((key[0], r.id))
+        self.gone.update((gone,))
+        yield pd.DataFrame(out, columns=["session_id", "id"]).astype({"session_id": "int64", "id": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def first_within_stream(messages: DataFrame, seconds: int = 2) -> DataFrame:
+    """first_within as a stream: session_id, id; exact if batches come in order. Its state keeps one time a session and content."""
+    timed = messages.withColumn("at", F.col("at").cast("timestamp"))
+    schema = StructType([StructField("session_id", LongType()), StructField("id", LongType())])
+    return timed.groupBy("session_id", "content").transformWithStateInPandas(FirstWithin(seconds), schema, "Append", "None")
+
+
 class Submits(StatefulProcessor):
     """Keeps each session's last message; a row that repeats it within the time is a repeat."""
 
@@ -92,25 +173,34 @@ def repeated_submits(messages: DataFrame, seconds: float = 2.0) -> DataFrame:
     return timed.groupBy("session_id").transformWithStateInPandas(Submits(seconds), schema, "Append", "None")
 
 
+FAILED = {"analysis_id": "int64", "status": "str", "error_code": "int64"}
+
+
 class Stuck(StatefulProcessor):
-    """A run that stays pending or running without an event for so long fails."""
+    """A run that stays pending or running without an event for so long fails, by a timer or, where its next event comes first, by
+    that. Each silence fails it once."""
 
     def __init__(self, minutes: int):
         self.wait = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", StructType([StructField("status", StringType()), StructField("due", LongType())]))
+        self.last = handle.getValueState("last", StructType([StructField("due", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(rows)).sort_values(["at", "seq"]).iloc[-1]
-        if self.last.exists() and self.last.get()[1]:
-            self.handle.deleteTimer(self.last.get()[1])
-        due = int(found["at"].timestamp() * 1000) + self.wait if found["status"] in ("PENDING", "RUNNING") else 0
-        if due:
-            self.handle.registerTimer(due)
-        self.last.update((found["status"], due))
-        yield pd.DataFrame({"analysis_id": pd.Series([], dtype="int64"), "status": pd.Series([], dtype="str"), "error_code": pd.Series([], dtype="int64")})
+        due = before = self.last.get()[0] if self.last.exists() else 0
+        silences = 0
+        for r in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
+            now = int(r.at.timestamp() * 1000)
+            silences += bool(due) and now > due
+            due = now + self.wait if r.status in ("PENDING", "RUNNING") else 0
+        if due != before:
+            if before:
+                self.handle.deleteTimer(before)
+            if due:
+                self.handle.registerTimer(due)
+            self.last.update((due,))
+        yield pd.DataFrame({"analysis_id": [int(key[0])] * silences, "status": ["FAILED"] * silences, "error_code": [5003] * silences}).astype(FAILED)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
