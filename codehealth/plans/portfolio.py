@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codehealth.operators import portfolio as P
+from codehealth.plans.graph import work_folder
 from codehealth.plans.registry import query, table
+from codehealth.sources import catalog
 
 STATUS = "case o_orderstatus when 'F' then 'SUCCEEDED' when 'O' then 'RUNNING' else 'FAILED' end"
 RUNS = f"(select o_custkey project_id, o_orderkey id, {STATUS} status, cast(cast(o_totalprice as bigint) % 101 as bigint) score, strftime(o_orderdate, '%Y-%m-%d') created from orders)"
@@ -80,6 +82,21 @@ def f9_soft_delete(spark, sf_dir):
     return P.distribution(P.visible(projects(spark, sf_dir)), F.col("status"), "status")
 
 
+@query(
+    """select 'orphan:project_id' as rule, count(*) filter (o_custkey % 7 = 0) as n from orders where o_orderkey % 4 <> 0 union all select 'null:id', 0 union all select 'null:project_id', 0 union all select 'null:status', 0
+    union all select 'enum:status', 0 union all select 'enum:stage', 0 union all select 'unique:id', 0 union all select 'rows', count(*) from orders where o_orderkey % 4 <> 0"""
+)
+def f9_typed_tables(spark, sf_dir):
+    """Orders as runs and customers as projects in typed tables: deleted rows are seen by no read and no check."""
+    root = f"{work_folder(spark)}/tables"
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("READY").alias("status"), F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0).alias("deleted"))
+    status = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "RUNNING").otherwise("SUCCEEDED")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), status.alias("status"), F.lit("SCAN").alias("stage"), F.when(F.col("o_orderkey") % 4 == 0, 1).otherwise(0).alias("deleted"))
+    catalog.write(c, root, "project")
+    catalog.write(o, root, "analysis")
+    return catalog.broken_rules(spark, root, "analysis").unionByName(catalog.read(spark, root, "analysis").agg(F.count("*").alias("n")).select(F.lit("rows").alias("rule"), "n"))
+
+
 @query("select doc_id, source from documents where lang = 'en' and contains(source, '1')")
 def f8_file_filter(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -9,6 +9,7 @@ from codehealth.functions.keys import file_keys
 from codehealth.operators import debt as D
 from codehealth.operators import documents as O
 from codehealth.operators import line_rules as R
+from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
 from codehealth.operators import scoring as C
 from codehealth.plans import graph, history, source_code
@@ -323,10 +324,14 @@ def k1_token_windows(spark, sf_dir):
     return K.token_windows(spread(table(spark, sf_dir, "documents")), "doc_id").select("doc_id", "chunk_index", "n_tokens", F.md5("content").alias("digest"))
 
 
-def vector_hits(spark, sf_dir, k=5) -> DataFrame:
+def vector_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
     queries = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("p").alias("project_id"), F.col("embedding").alias("q"))
-    return K.nearest(queries, v.select(F.lit("p").alias("project_id"), F.col("vec_id").alias("id"), "embedding"), k)
+    return queries, v.select(F.lit("p").alias("project_id"), F.col("vec_id").alias("id"), "embedding")
+
+
+def vector_hits(spark, sf_dir, k=5) -> DataFrame:
+    return K.nearest(*vector_tables(spark, sf_dir), k)
 
 
 VECTOR = "(select query_id, id, score from (select q.vec_id query_id, v.vec_id id, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) score, row_number() over (partition by q.vec_id order by list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) desc, v.vec_id) r from embeddings q, embeddings v where q.vec_id % 50 = 0) where r <= 5)"
@@ -337,6 +342,14 @@ def k2_nearest_vectors(spark, sf_dir):
     return vector_hits(spark, sf_dir).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
+@query("select count(*) * 5 as exact, true as enough from embeddings where vec_id % 50 = 0")
+def k2_bucket_recall(spark, sf_dir):
+    """Nearest vectors by buckets of random projections, held against the exact ones: recall of 0.9 at least."""
+    queries, vectors = vector_tables(spark, sf_dir)
+    found = N.recall(N.nearest_by_buckets(queries, vectors, 5), K.nearest(queries, vectors, 5))
+    return found.select("exact", (F.col("recall") >= 0.9).alias("enough"))
+
+
 STOP = ", ".join(f"'{x}'" for x in K.STOP_WORDS)
 KEYWORDS = f"(select conv_id, turn, (select string_agg(w, ' ' order by f) from (select w, min(p) f from (select unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{{3,}}'), 1) p) where w not in ({STOP}) group by w order by f limit 8)) words from conversations where role = 'user')"
 
