@@ -15,7 +15,7 @@ documents against them, and keeps what has become of them. Ids of later batches
 error, as is a null id). Earlier documents are read again where an entry has to be settled, see below, and not changed.
 
 Entries that share a name but not an ext are settled window by window: the windows' hashes are sorted in shards in
-the same way, and the least place is the original. Hashes have 64 bits.
+the same way, and the least place is the original. Windows are told apart there by two hashes of 64 bits.
 
 How the data move: see `blocks`. Entries that repeat within a piece of text go as one entry, and their windows as merged
 spans; texts without any match are not shuffled.
@@ -43,21 +43,30 @@ PIECE_BYTES, GROUP_BYTES = 8 << 20, 8 << 20
 
 _A, _ONE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(1)
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED270B))
+_OTHER = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x2545F4914F6CDD1D))
 _LOW = np.uint64(0xFFFFFFFF)
 
-#: An entry's place: 16 bits of a hash of the text, the byte where its first window starts, its number of windows.
+#: An entry's place: TIE_BITS of a hash of the text, the byte where its first window starts (a text has less than 2^31), its number of windows.
 ENTRIES = "shard int, names binary, exts binary, ids binary, places binary, span_ids binary, span_ties binary, span_from binary, span_to binary"
 #: Verdicts: windows start, number of windows, and whether they are to be settled one by one (else all are repeats).
 VERDICTS = "grp int, ids binary, ties binary, starts binary, counts binary, open binary"
+#: Windows to settle: two hashes of each.
+OPEN = "shard int, grp int, hashes binary, seconds binary, ids binary, positions binary"
 #: A level of a shard's family.
 LEVELS = "shard int, level int, names binary, exts binary, level_ids binary, places binary, mixed binary"
 
 
+TIE_BITS = 25
+#: Entries that a shard's new pieces have together, at least, before they meet its levels.
+BATCH = 1 << 14
+
+
 class Hashes:
-    """Hashes of substrings of fixed lengths of one byte array, each made from those of half the length."""
+    """Hashes of substrings of fixed lengths of one byte array, each made from those of half the length. Other values of bytes give
+    other hashes."""
 
-    def __init__(self, data: np.ndarray):
-        self.of = {1: _BYTE[data]}
+    def __init__(self, data: np.ndarray, values: np.ndarray = _BYTE):
+        self.of = {1: values[data]}
 
     def power(self, size: int) -> np.ndarray:
         if size not in self.of:
@@ -170,13 +179,23 @@ class Family:
             self.levels.sort(key=lambda x: -len(x[0]))
 
 
+def short(ties: np.ndarray) -> np.ndarray:
+    """The upper bits of ties, in the same order."""
+    return (ties.astype(np.int64) >> (64 - TIE_BITS)) + (1 << TIE_BITS - 1)
+
+
 def placed(ties: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return ((ties.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)) | (starts.astype(np.uint64) << np.uint64(8)) | counts.astype(np.uint64)
+    return (short(ties).astype(np.uint64) << np.uint64(64 - TIE_BITS)) | (starts.astype(np.uint64) << np.uint64(8)) | counts.astype(np.uint64)
 
 
 def unplaced(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """16-bit tie, start, number of windows."""
-    return (places >> np.uint64(48)).astype(np.int64), ((places >> np.uint64(8)) & np.uint64((1 << 40) - 1)).astype(np.int64), (places & np.uint64(0xFF)).astype(np.int64)
+    """Bits of the tie, start, number of windows."""
+    return (places >> np.uint64(64 - TIE_BITS)).astype(np.int64), ((places >> np.uint64(8)) & np.uint64((1 << 56 - TIE_BITS) - 1)).astype(np.int64), (places & np.uint64(0xFF)).astype(np.int64)
+
+
+def shard_of(names: np.ndarray, shards: int) -> np.ndarray:
+    """By the bits of a name that a level keeps, so that levels can be dealt out anew."""
+    return (names.astype(np.uint64) % np.uint64(shards)).astype(np.int64)
 
 
 def index_of(length: int, stem: int, shards: int, piece_bytes: int) -> Callable:
@@ -195,7 +214,7 @@ def index_of(length: int, stem: int, shards: int, piece_bytes: int) -> Callable:
         begin = np.flatnonzero(new)
         span = [ids[lost][begin], ties[lost][begin], a[begin], np.maximum.reduceat(b, begin) if len(begin) else b]
         kept, none = order[first], np.zeros(0, np.int64)
-        entries_of = dict(dealt((names[kept] % np.uint64(shards)).astype(np.int64)))
+        entries_of = dict(dealt(shard_of(names[kept] >> np.uint64(32), shards)))
         spans_of = dict(dealt(np.arange(len(span[0])) % shards))
         rows = []
         for s in entries_of | spans_of:
@@ -237,8 +256,15 @@ def matches(groups: int, length: int) -> Callable[[pa.Table], pa.Table]:
     def verdicts_of(table: pa.Table, family: Family) -> pa.Table:
         lost, old = [], bool(family.levels)
         batches = list(zip(*(packed(table[x], kind) for x, kind in zip(("names", "exts", "ids", "places"), PARTS))))
-        for batch in batches:
-            lost += list(family.add(*batch))
+        # small pieces meet each other before they meet the levels: a batch is as large as what is there, so n entries are
+        # looked at about log n times, however many pieces they come in
+        waiting, size = [], 0
+        for k, batch in enumerate(batches):
+            waiting.append(batch)
+            size += len(batch[0])
+            if size >= max(BATCH, sum(len(x[0]) for x in family.levels)) or k + 1 == len(batches):
+                lost += list(family.add(*(np.concatenate(x) for x in zip(*waiting))))
+                waiting, size = [], 0
         asked = np.unique(np.concatenate([np.zeros(0, np.uint32), *(x[0] for x in batches)])) if old else None
         # entries of earlier runs are settled where a new one has their name
         again = lambda x: x[4] if asked is None else x[4] & np.isin(x[0], asked)
@@ -248,10 +274,10 @@ def matches(groups: int, length: int) -> Callable[[pa.Table], pa.Table]:
         ties, starts, counts = unplaced(places)
         span = [joined(table[x], np.int64) for x in ("span_ids", "span_ties", "span_from", "span_to")]
         ids = np.concatenate([ids, span[0]])
-        ties, starts = np.concatenate([ties, span[1] & 0xFFFF]), np.concatenate([starts, span[2]])
+        ties, starts = np.concatenate([ties, short(span[1])]), np.concatenate([starts, span[2]])
         counts = np.concatenate([counts, span[3] - span[2] - length + 1])
         is_open = np.concatenate([is_open, np.zeros(len(span[0]), bool)])
-        return by_group((ids % groups).astype(np.int32), [ids, ties.astype(np.uint16), starts, counts.astype(np.int32), is_open], ["ids", "ties", "starts", "counts", "open"])
+        return by_group((ids % groups).astype(np.int32), [ids, ties.astype(np.uint32), starts, counts.astype(np.int32), is_open], ["ids", "ties", "starts", "counts", "open"])
 
     work.with_family = verdicts_of
     return work
@@ -278,11 +304,11 @@ def matches_and_levels(groups: int, length: int) -> Callable[[pa.Table, pa.Table
 
 def read_verdicts(texts: pa.Table, found: pa.Table) -> tuple[np.ndarray, ...]:
     """row, start, count, open of each verdict, for every row that it is about."""
-    ids, ties = joined(found["ids"], np.int64), joined(found["ties"], np.uint16)
+    ids, ties = joined(found["ids"], np.int64), joined(found["ties"], np.uint32)
     starts, counts, is_open = joined(found["starts"], np.int64), joined(found["counts"], np.int32), joined(found["open"], bool)
     order = np.lexsort((starts, ties, ids))
     own = ids[order]
-    row_ids, row_ties = texts["id"].to_numpy(), texts["tie"].to_numpy() & 0xFFFF
+    row_ids, row_ties = texts["id"].to_numpy(), short(texts["tie"].to_numpy())
     low, high = np.searchsorted(own, row_ids, "left"), np.searchsorted(own, row_ids, "right")
     rows = np.repeat(np.arange(len(row_ids)), high - low)
     at = order[np.arange(len(rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
@@ -291,8 +317,8 @@ def read_verdicts(texts: pa.Table, found: pa.Table) -> tuple[np.ndarray, ...]:
     return rows, starts[at], counts[at].astype(np.int64), is_open[at]
 
 
-def open_windows(texts: pa.Table, found: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the entries to settle: row, start, position in the group and hash of each window, in order of position."""
+def open_windows(texts: pa.Table, found: pa.Table, length: int) -> tuple[np.ndarray, ...]:
+    """Of the entries to settle: row, start, position in the group and two hashes of each window, in order of position."""
     rows, starts, counts, is_open = read_verdicts(texts, found)
     rows, starts, counts = rows[is_open], starts[is_open], counts[is_open]
     order = np.lexsort((starts, rows))
@@ -300,13 +326,24 @@ def open_windows(texts: pa.Table, found: pa.Table, length: int) -> tuple[np.ndar
     each = np.repeat(np.arange(len(rows)), counts)
     start = starts[each] + np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
     row, hashes, at = rows[each], [], 0
+    none = np.zeros(0, np.uint64)
     for batch in small_batches(iter(texts.to_batches())):
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
         a, b = np.searchsorted(row, (at, at + batch.num_rows))
-        hashes.append(Hashes(data).at(offsets[row[a:b] - at] + start[a:b], length) if b > a else np.zeros(0, np.uint64))
+        where = offsets[row[a:b] - at] + start[a:b]
+        hashes.append([Hashes(data, v).at(where, length) if b > a else none for v in (_BYTE, _OTHER)])
         at += batch.num_rows
     offsets = np.r_[0, np.cumsum([len(x.as_py().encode()) for x in texts["text"]])].astype(np.int64)
-    return row, start, offsets[row] + start, np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    return row, start, offsets[row] + start, *(np.concatenate([*x, none]) for x in (zip(*hashes) if hashes else ((), ())))
+
+
+def distinct(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first index of each pair of hashes, and which of these each pair is."""
+    order = np.lexsort((h2, h))  # keeps the order of equal ones
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])][: len(h)]
+    which = np.empty(len(h), np.int64)
+    which[order] = runs(new)
+    return order[new], which
 
 
 def windows(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -314,25 +351,27 @@ def windows(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
 
     def work(texts: pa.Table, found: pa.Table) -> pa.Table:
         texts = ordered(texts)
-        row, _, position, h = open_windows(texts, found, length)
-        value, which = np.unique(h, return_index=True)  # the first index is the least position
+        row, _, position, h, h2 = open_windows(texts, found, length)
+        which, _ = distinct(h, h2)  # the first index is the least position
+        value, second = h[which], h2[which]
         ids, grp = texts["id"].to_numpy(), texts["grp"][0].as_py() if texts.num_rows else 0
         rows = [
-            (s, grp, value[o].tobytes(), ids[row[which[o]]].tobytes(), position[which[o]].astype(np.uint32).tobytes())
+            (s, grp, value[o].tobytes(), second[o].tobytes(), ids[row[which[o]]].tobytes(), position[which[o]].astype(np.uint32).tobytes())
             for s, o in dealt((value % np.uint64(shards)).astype(np.int64))
         ]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["shard", "grp", "hashes", "ids", "positions"])
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=[x.split()[0] for x in OPEN.split(", ")])
 
     return work
 
 
 def later(table: pa.Table) -> pa.Table:
     """Of a shard: the positions of windows that another group holds with a smaller id."""
-    h, ids, positions = joined(table["hashes"], np.uint64), joined(table["ids"], np.int64), joined(table["positions"], np.uint32)
+    h, h2 = joined(table["hashes"], np.uint64), joined(table["seconds"], np.uint64)
+    ids, positions = joined(table["ids"], np.int64), joined(table["positions"], np.uint32)
     grp = np.repeat(table["grp"].to_numpy().astype(np.int32), [len(x.as_py()) // 8 for x in table["hashes"]])
-    order = np.lexsort((ids, h))
-    again = order[1:][h[order][1:] == h[order][:-1]]
+    order = np.lexsort((ids, h2, h))
+    again = order[1:][(h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])]
     return by_group(grp[again], [positions[again]], ["positions"])
 
 
@@ -342,9 +381,9 @@ def finished(length: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def work(texts: pa.Table, found: pa.Table) -> pa.Table:
         texts = ordered(texts)
         rows, starts, counts, is_open = read_verdicts(texts, found)
-        row, start, position, h = open_windows(texts, found, length)
+        row, start, position, h, h2 = open_windows(texts, found, length)
         gone = np.isin(position, joined(found["positions"], np.uint32))
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        first, which = distinct(h, h2)
         # a row that repeats stands twice in the group: the copy is not a repeat of it
         ids, ties = texts["id"].to_numpy(), texts["tie"].to_numpy()
         original = first[which]
@@ -381,16 +420,35 @@ SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 RESULT = "doc_id long, n_bytes long, removed array<struct<from:long,to:long>>, kept binary"
 
 
+def redealt(shards: int) -> Callable:
+    """Levels dealt out to so many shards, each part in the order that it had."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                parts = [np.frombuffer(row[n], kind) for n, kind in zip(("names", "exts", "level_ids", "places", "mixed"), PARTS)]
+                rows = [(s, row["level"], *(x[np.sort(own)].tobytes() for x in parts)) for s, own in dealt(shard_of(parts[0], shards))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32(), pa.int32(), *[pa.binary()] * 5])], names=[x.split()[0] for x in LEVELS.split(", ")])
+
+    return work
+
+
 class Kept:
-    """The family of earlier runs as a table at path: its levels, how many shards it has, and the greatest id in it."""
+    """The family of earlier runs as a table at path: its levels, how many shards it has, and the greatest id in it. Where a run wants
+    more than twice as many shards, the levels are dealt out anew."""
 
     def __init__(self, spark: SparkSession, path: str, shards: int):
         self.spark, self.path = spark, path
         last = spark.read.parquet(f"{path}/runs").orderBy(F.desc("run")).first() if exists(spark, f"{path}/runs") else None
-        self.run, self.shards, self.max_id = (last["run"], last["shards"], last["max_id"]) if last else (0, shards, None)
+        self.run, self.old, self.max_id = (last["run"], last["shards"], last["max_id"]) if last else (0, shards, None)
+        self.shards = shards if shards > 2 * self.old else self.old
 
     def levels(self) -> DataFrame:
-        return self.spark.read.schema(LEVELS).parquet(f"{self.path}/levels-{self.run}") if self.run else self.spark.createDataFrame([], LEVELS)
+        if not self.run:
+            return self.spark.createDataFrame([], LEVELS)
+        found = self.spark.read.schema(LEVELS).parquet(f"{self.path}/levels-{self.run}")
+        return found if self.shards == self.old else found.mapInArrow(redealt(self.shards), LEVELS)
 
     def follow(self, levels: DataFrame, max_id: int | None) -> None:
         """The levels after this run, then the mark by which the next run finds them: a run that fails leaves the old ones."""
@@ -407,7 +465,8 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not stem < length <= stem + 255:
         raise ValueError("an entry has at most 255 windows")
     spark = docs.sparkSession
-    shards = groups = group_count(2 * pieces_for(spark, text_size(docs, text_col), group_bytes))
+    size = text_size(docs, text_col) + (text_size(earlier, text_col) if earlier is not None else 0)
+    shards = groups = group_count(2 * pieces_for(spark, size, group_bytes))
     rows = rows_of(docs, id_col, text_col, groups)
     all_rows, old_id = rows, None
     if index is None:
@@ -431,7 +490,7 @@ def without_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bits = bitmap(ids_in(found))
     near = marked(all_rows, bits, True)
-    each = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(windows(length, shards), "shard int, grp int, hashes binary, ids binary, positions binary")
+    each = near.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(windows(length, shards), OPEN)
     settled = each.groupBy("shard").applyInArrow(later, "grp int, positions binary")
     verdicts = found.withColumn("positions", F.lit(None).cast("binary")).unionByName(
         settled.select("grp", *(F.lit(None).cast("binary").alias(x) for x in ("ids", "ties", "starts", "counts", "open")), "positions")

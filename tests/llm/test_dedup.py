@@ -1,6 +1,7 @@
 """Near-duplicates, repeated windows and repeated bytes against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -164,6 +165,70 @@ def test_later_batches_take_up_the_index(spark, tmp_path):
         suffixes.without_earlier(cases.docs(spark, [(10_000, "x", "en", "s", 1)]), index=path)
 
 
+def test_shards_follow_an_index_that_grows(spark, tmp_path):
+    """A batch of five rows, then many, then a few again: the levels are dealt out anew, and results are those of one run."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    parts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    data = [(i, " ".join(rng.choice(parts) for _ in range(3)), None, None, None) for i in range(400)]
+    want = {r[0]: r for r in brute_bytes(data)}
+    path, seen, shards = f"{tmp_path}/index", cases.empty(spark), []
+    for low, high in ((0, 5), (5, 380), (380, 400)):
+        batch = cases.docs(spark, data[low:high])
+        got = suffixes.without_earlier(batch, piece_bytes=3000, group_bytes=3000, index=path, earlier=seen).collect()
+        flat = [(r["doc_id"], r["n_bytes"], sum(x["to"] - x["from"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"])) for r in got]
+        assert sorted(flat) == [want[i] for i in range(low, high)]
+        seen = seen.unionByName(batch)
+        shards.append(spark.read.parquet(f"{path}/runs").orderBy("run").collect()[-1]["shards"])
+    assert shards[0] < 20 < 50 < shards[1] == shards[2]
+    assert spark.read.parquet(f"{path}/levels-3").select("shard").distinct().count() > 50
+
+
+def one_table(rng, pieces, size):
+    import pyarrow as pa
+
+    rows = []
+    for k in range(pieces):
+        names = rng.integers(0, 1 << 20, size).astype(np.uint32)
+        places = suffixes.placed(np.full(size, k), np.arange(size), np.full(size, 3))
+        rows.append((0, names.tobytes(), names.astype(np.uint64).tobytes(), np.full(size, k).tobytes(), places.tobytes(), *[b""] * 4))
+    return pa.table([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in suffixes.ENTRIES.split(", ")])
+
+
+def test_work_of_a_family_follows_the_entries_not_the_pieces():
+    import time
+
+    took = {}
+    for pieces in (64, 4096):
+        table = one_table(np.random.default_rng(1), pieces, 120_000 // pieces)
+        began = time.process_time()
+        suffixes.matches(101, 100)(table)
+        took[pieces] = time.process_time() - began
+    assert took[4096] < 5 * took[64] + 0.5
+
+
+def test_windows_to_settle_need_both_hashes():
+    first, which = suffixes.distinct(np.array([5, 5, 5, 9], np.uint64), np.array([2, 1, 2, 1], np.uint64))
+    assert sorted(first.tolist()) == [0, 1, 3] and which[0] == which[2] != which[1]
+
+
+def test_places_come_back():
+    ties, starts, counts = np.array([-(1 << 63), 0, (1 << 63) - 1]), np.array([0, (1 << 31) - 1, 12]), np.array([1, 255, 9])
+    got = suffixes.unplaced(suffixes.placed(ties, starts, counts))
+    assert got[0].tolist() == [0, 1 << 24, (1 << 25) - 1] and got[1].tolist() == starts.tolist() and got[2].tolist() == counts.tolist()
+
+
+def test_rows_of_one_id_and_other_texts(spark):
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("abcdef") for _ in range(150)) for _ in range(12)]
+    data = [(i % 7, rng.choice(parts) + rng.choice(parts), None, None, None) for i in range(60)]
+    own = blocks.rows_of(cases.docs(spark, data), "doc_id", "text", 97).select("doc_id", "text", "tie").collect()
+    order = {(r["doc_id"], r["text"]): (r["doc_id"], r["tie"]) for r in own}
+    want = brute_bytes([(order[d, t], t) for d, t, *_ in data])
+    got = suffixes.without_earlier(cases.docs(spark, data), piece_bytes=3000, group_bytes=3000).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], len(r["removed"]), bytes(r["kept"])) for r in got) == sorted((k[0], n, spans, kept) for k, n, _, spans, kept in want)
+
+
 def test_earlier_bytes_of_nothing(spark):
     assert suffixes.without_earlier(cases.empty(spark)).count() == 0
 
