@@ -92,7 +92,7 @@ def unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame) -> D
     """path, pending: one path of each blob with unseen pairs, and the rules to scan it with."""
     one = versions.groupBy("blob").agg(F.min("path").alias("path"))
     every = F.array(*[F.lit(f"{r.kind}/{r.version}") for r in rules])
-    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("seen"))  # a list per run
+    seen = ledger.join(one.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("seen"))  # a list per run
     left = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
     return one.join(seen, "blob", "left").select("blob", "path", left.alias("pending")).filter(F.size("pending") > 0)
 
@@ -141,9 +141,11 @@ def scan_into(files: DataFrame, ledger_path: str, path_col: str = "doc_id", text
 
 
 def located(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """path, found of every version: what the ledger has for these versions of the rules."""
+    """path, found of every version: what the ledger has for these versions of the rules. Of the ledger only the blobs of these
+    versions are taken up."""
     current = F.concat_ws("/", "f.kind", "f.version").isin([f"{r.kind}/{r.version}" for r in rules])
-    each = ledger.select("blob", F.explode("found").alias("f")).filter(current).groupBy("blob").agg(F.collect_set("f").alias("found"))
+    own = ledger.filter(F.size("found") > 0).join(versions.select("blob").distinct(), "blob", "left_semi")
+    each = own.select("blob", F.explode("found").alias("f")).filter(current).groupBy("blob").agg(F.collect_set("f").alias("found"))
     ordered = F.array_sort("found", lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(a["rank"] - b["rank"]))
     return versions.join(each.select("blob", ordered.alias("found")), "blob", "left").select(
         "path", F.coalesce("found", F.array().cast(FOUND)).alias("found")

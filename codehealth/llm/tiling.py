@@ -79,30 +79,43 @@ class Items:
             self.seeds[size] = value[order], item[order], place[order]
 
 
+def longest_free(busy: np.ndarray) -> int:
+    edges = np.flatnonzero(np.r_[True, busy, True])
+    return int(np.diff(edges).max()) - 1
+
+
 def tiles(runs: np.ndarray, size: int) -> list[tuple[int, int, int]]:
     """(position in the item, position in the document, length) of the tiles over maximal equal runs, given in the same
-    form. Longest first; among equals the first in the item, then in the document."""
-    heap = [(-n, a, b) for a, b, n in runs.tolist()]
-    heapq.heapify(heap)
-    in_item, in_doc, out = set(), set(), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        free = [a + k not in in_item and b + k not in in_doc for k in range(-n)]
-        if all(free):
+    form. Longest first; among equals the first in the item, then in the document. What earlier tiles left of a run is cut
+    out of it and waits its turn. The search ends as soon as the item has no free place of `size` tokens, so words
+    that repeat, and make many runs, cost a sort of these and little more."""
+    if not len(runs):
+        return []
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0], -runs[:, 2]))]
+    ends = runs[:, :2] + runs[:, 2:]
+    reached = np.zeros(int(ends[:, 0].max()) + 1, np.int64)
+    np.add.at(reached, runs[:, 0], 1)
+    np.add.at(reached, ends[:, 0], -1)
+    in_item, in_doc = np.cumsum(reached)[:-1] == 0, np.zeros(int(ends[:, 1].max()), bool)  # what no run reaches is not free
+    left, at, out = [], 0, []
+    while at < len(runs) or left:
+        own = (-int(runs[at, 2]), int(runs[at, 0]), int(runs[at, 1])) if at < len(runs) else None
+        if own is None or left and left[0] < own:
+            n, a, b = heapq.heappop(left)
+        else:
+            n, a, b = own
+            at += 1
+        busy = in_item[a : a - n] | in_doc[b : b - n]
+        if not busy.any():
             out.append((a, b, -n))
-            in_item.update(range(a, a - n))
-            in_doc.update(range(b, b - n))
+            in_item[a : a - n] = in_doc[b : b - n] = True
+            if longest_free(in_item) < size:
+                break
             continue
-        k = 0
-        while k < -n:  # what earlier tiles left of this run
-            if free[k]:
-                end = k
-                while end < -n and free[end]:
-                    end += 1
-                if end - k >= size:
-                    heapq.heappush(heap, (k - end, a + k, b + k))
-                k = end
-            k += 1
+        edges = np.flatnonzero(np.r_[True, busy, True])
+        free = np.flatnonzero(np.diff(edges) > size)
+        for k, end in zip(edges[free].tolist(), (edges[free + 1] - 1).tolist()):
+            heapq.heappush(left, (k - end, a + k, b + k))
     return out
 
 

@@ -528,6 +528,16 @@ def test_secret_query_runs_two_batches(spark, tmp_path):
     assert got == sorted((d, brute_spans(t, secret_ledger.RULES)) for d, t, *_ in SECRETS)
 
 
+def test_a_run_takes_up_the_blobs_of_its_batch(spark, tmp_path):
+    docs = cases.docs(spark, SECRETS)
+    ledger = secret_ledger.new_ledger(spark, f"{tmp_path}/ledger")
+    secret_ledger.scan_into(docs, ledger)
+    few = docs.limit(2)
+    got = {r["path"]: [tuple(x) for x in r["found"]] for r in secret_ledger.scan_into(few, ledger).collect()}
+    want = {r["path"]: [tuple(x) for x in r["found"]] for r in secret_ledger.secret_report(docs).collect()}
+    assert got == {k: want[k] for k in got} and len(got) == few.select("doc_id").distinct().count()
+
+
 # --- tiling ---------------------------------------------------------------------------------------------------------
 
 
@@ -607,6 +617,25 @@ def test_repeated_words_need_bounded_memory():
     assert tiling.tiles(runs, 5) == [(0, 0, 2_000)]
 
 
+def test_repeated_words_with_breaks_need_little_work():
+    """Runs of 49 equal words in either text: hundreds of thousands of runs, of which forty become tiles."""
+    import time
+
+    doc, item = np.full(20_000, 7, np.uint64), np.full(2_000, 7, np.uint64)
+    doc[49::50], item[49::50] = np.arange(400) + 100, np.arange(40) + 1000
+    began = time.process_time()
+    found = tiling.tiles(tiling.equal_runs(doc, item, 5), 5)
+    assert len(found) == 40 and {n for *_, n in found} == {49} and time.process_time() - began < 8
+
+
+def test_tiles_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        item, doc = ([rng.choice("ab") for _ in range(rng.randint(1, 14))] for _ in range(2))
+        runs = tiling.equal_runs(*(np.array([ord(c) for c in x], np.uint64) for x in (doc, item)), 2) if min(len(item), len(doc)) >= 2 else np.zeros((0, 3), np.int64)
+        assert sorted(n for *_, n in tiling.tiles(runs, 2)) == brute_tiles(item, doc, 2)
+
+
 def test_reordered_passages_are_caught(spark):
     item = "One two three four five six. Seven eight nine ten eleven twelve! Thirteen fourteen fifteen sixteen seventeen"
     parts = [x.strip() for x in re.split("[.!]", item)]
