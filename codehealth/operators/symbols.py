@@ -83,8 +83,7 @@ LANGUAGES = {
         blocks="$^",
     ),
     "go": Language(f"`[^`]*+`?|{_QUOTED}|{_NOTES}", _BRACES, rf"{_LINE}func\s*(?:\([^)]*\)\s*)?\w+", r"(?s)^func[\s(].*\w$", "", "if for switch return func select go defer case range struct interface map chan", r"\bfunc\s*\("),
-    "js": _JS,
-    "ts": _JS,
+    "js": _JS,  # and ts
 }
 #: Language by extension.
 EXTENSIONS = {".java": "java", ".py": "py", ".go": "go", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".ts": "ts", ".tsx": "ts"}
@@ -179,10 +178,11 @@ def flat(body: Column, levels: int = 12) -> Column:
 
 def symbols_of(files: DataFrame) -> DataFrame:
     """keys, language, name, line, body (code after the head) of each symbol of the files (keys, path, content). Language: a column of
-    that name, else by extension; files of other languages and null contents have no symbols."""
+    that name (java, py, go, js, ts), else by extension; files of other languages and null contents have no symbols."""
     keys = file_keys(files)
     known = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])
     language = F.col("language") if "language" in files.columns else F.try_element_at(known, F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
+    language = F.when(language == "ts", "js").otherwise(language)
     rows = files.select(*keys, language.alias("language"), F.regexp_replace("content", "\r\n?", "\n").alias("content")).filter("language is not null")
     rows = rows.withColumn("code", code_only(F.col("content"), F.col("language"))).drop("content")
     rows = rows.withColumn("s", F.explode(symbol_spans(F.col("code"), F.col("language"))))

@@ -372,7 +372,7 @@ NUMBERS = f"list_filter(regexp_extract_all({BARE}, '[A-Za-z0-9_$]+'), lambda x:
 
 
 def numbers_sql(lines: str) -> str:
-    return f"(select {KEYS}, line, numbers from (select *, {NUMBERS} numbers from {lines} where not regexp_matches(trim(text), {q(r'^(//|#|[*]|/[*])')}) and not regexp_matches(text, {q(R.DECLARATION)})) where len(numbers) > 0)"
+    return f"(select {KEYS}, line, numbers from (select *, {NUMBERS} numbers from {lines} where not regexp_matches(text, {q(r'^[ \t]*(//|#|[*]|/[*])')}) and not regexp_matches(ltrim({BARE}), {q(R.DECLARED)}) and not regexp_matches(ltrim({BARE}), {q(R.ASSIGNED)})) where len(numbers) > 0)"
 
 
 @query(f"select {KEYS}, line, array_to_string(numbers, ',') as numbers from {numbers_sql(LINES)}")

@@ -33,12 +33,6 @@ def brute(edges):
     return sorted([x for x in own if len(x) > 1] + [(a,) for a, b in set(edges) if a == b])
 
 
-def found(spark, edges, folder, **options):
-    rows = cycles(spark.createDataFrame([("p", a, b) for a, b in edges], SCHEMA), str(folder), **options).collect()
-    assert all(r["source"] == r["members"][0] and r["target"] == r["members"][-1] for r in rows)
-    return sorted(tuple(r["members"]) for r in rows)
-
-
 def graphs():
     rng = random.Random(3)
     yield [(i, i + 1) for i in range(30)]
@@ -49,11 +43,15 @@ def graphs():
         yield [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
 
 
-@pytest.mark.parametrize("edges", list(graphs()), ids=str)
-def test_both_ways_find_the_components(spark, tmp_path, edges):
-    want = brute(edges)
-    assert found(spark, edges, tmp_path / "a") == want
-    assert found(spark, edges, tmp_path / "b", in_one=0) == want
+@pytest.mark.parametrize("in_one", [200_000, 40, 0])
+def test_both_ways_find_the_components(spark, tmp_path, in_one):
+    all_of_them = list(graphs())
+    rows = [(f"g{k}", a, b) for k, edges in enumerate(all_of_them) for a, b in edges]
+    got = {}
+    for r in cycles(spark.createDataFrame(rows, SCHEMA), str(tmp_path), in_one=in_one).collect():
+        assert r["source"] == r["members"][0] and r["target"] == r["members"][-1]
+        got.setdefault(r["project_id"], []).append(tuple(r["members"]))
+    assert {k: sorted(v) for k, v in got.items()} == {f"g{k}": want for k, edges in enumerate(all_of_them) if (want := brute(edges))}
 
 
 def test_search_of_one_graph():
@@ -65,12 +63,10 @@ def test_search_of_one_graph():
 
 def test_a_long_chain_takes_few_jobs(spark, tmp_path):
     n = 10_000
-    spark.sparkContext.setJobGroup("chain", "chain")
-    shuffled = spark.range(n - 1).selectExpr("'p' project_id", "cast(id as int) source", "cast(id + 1 as int) target")
-    closed = shuffled.unionByName(spark.createDataFrame([("p", n - 1, n // 2)], SCHEMA))
+    chain = spark.range(n - 1).selectExpr("'p' project_id", "cast(id as int) source", "cast(id + 1 as int) target")
+    closed = chain.unionByName(spark.createDataFrame([("p", n - 1, n // 2)], SCHEMA))
     own = cycles(closed, str(tmp_path), in_one=0)
     tables = len(list(tmp_path.iterdir()))
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert tables <= 40
     assert [len(r["members"]) for r in own.collect()] == [n // 2]
 
@@ -94,15 +90,8 @@ def test_nodes_of_two_analyses_stay(spark):
 # --- symbols of whole files -------------------------------------------------------------------------------------------
 
 
-def parsed(spark, path, text):
-    nodes, calls = Y.symbols_and_calls_of(spark.createDataFrame([(path, text)], "path string, content string"))
-    names = {}
-    for r in calls.collect():
-        names.setdefault(r["source"].split("#")[1], set()).add(r["called"])
-    return {r["name"]: r["line"] for r in nodes.collect()}, names
-
-
-@pytest.mark.parametrize("path,text,nodes_,calls_", [
+#: path, text, symbols with their lines, names that they call.
+PARSED = [
     ("A.java", "class A {\n  Repo repo;\n  void a() { repo.find(); }\n}\n", {"A": 1}, {"A": {"Repo", "find"}}),
     ("A.java", "/* class B {\n */ class A { String s = \"}\\\"}\"; char c = '}'; // }\n void f() { g(); }\n}\nclass C { void h() { k(); } }", {"A": 2, "C": 5}, {"A": {"g"}, "C": {"k"}}),
     ("A.java", "class A {\n  class B {\n    void f() { x(); }\n  }\n  void g() { y(); class L { } }\n}\nenum E { P; class Q { } }", {"A": 1, "B": 2}, {"A": {"x", "y"}, "B": {"x"}}),
@@ -116,11 +105,28 @@ def parsed(spark, path, text):
     ("a.java", None, {}, {}),
     ("a.java", "class A { void f() { g(", {"A": 1}, {"A": {"g"}}),
     ("a.java", "} } class A { void f() { g(); } }", {"A": 1}, {"A": {"g"}}),
-])
-def test_symbols_of_whole_files(spark, path, text, nodes_, calls_):
-    assert parsed(spark, path, text) == (nodes_, calls_)
+]
+
+
+def parsed(spark, files):
+    """Symbols and calls by path."""
+    nodes, calls = Y.symbols_and_calls_of(spark.createDataFrame(files, "path string, content string"))
+    symbols, names = {path: {} for path, _ in files}, {path: {} for path, _ in files}
+    for r in nodes.collect():
+        symbols[r["file_path"]][r["name"]] = r["line"]
+    for r in calls.collect():
+        path, name = r["source"].split("#")
+        names[path].setdefault(name, set()).add(r["called"])
+    return symbols, names
+
+
+def test_symbols_of_whole_files(spark):
+    symbols, names = parsed(spark, [(f"{k}/{path}", text) for k, (path, text, *_) in enumerate(PARSED)])
+    for k, (path, _, nodes_, calls_) in enumerate(PARSED):
+        assert (symbols[f"{k}/{path}"], names[f"{k}/{path}"]) == (nodes_, calls_), k
 
 
 def test_long_strings_and_comments_do_not_overflow(spark):
     text = "/*" + "x'\"\n" * 200_000 + "*/\nclass A { String s = \"" + "\\\"a" * 50_000 + "\"; void f() { g(); } }"
-    assert parsed(spark, "A.java", text) == ({"A": 200_002}, {"A": {"g"}})
+    symbols, names = parsed(spark, [("A.java", text)])
+    assert symbols["A.java"] == {"A": 200_002} and names["A.java"] == {"A": {"g"}}
