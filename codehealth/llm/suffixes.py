@@ -15,7 +15,8 @@ documents against them, and keeps what has become of them. Ids of later batches
 error, as is a null id). Earlier documents are read again where an entry has to be settled, see below, and not changed.
 
 Entries that share a name but not an ext are settled window by window: the windows' hashes are sorted in shards in
-the same way, and the least place is the original. Windows are told apart there by two hashes of 64 bits.
+the same way, and the least place is the original. Windows are told apart there by two hashes of 64 bits,
+of the second of which half crosses the shuffle.
 
 How the data move: see `blocks`. Entries that repeat within a piece of text go as one entry, and their windows as merged
 spans; texts without any match are not shuffled.
@@ -356,7 +357,7 @@ def windows(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
         value, second = h[which], h2[which]
         ids, grp = texts["id"].to_numpy(), texts["grp"][0].as_py() if texts.num_rows else 0
         rows = [
-            (s, grp, value[o].tobytes(), second[o].tobytes(), ids[row[which[o]]].tobytes(), position[which[o]].astype(np.uint32).tobytes())
+            (s, grp, value[o].tobytes(), (second[o] >> np.uint64(32)).astype(np.uint32).tobytes(), ids[row[which[o]]].tobytes(), position[which[o]].astype(np.uint32).tobytes())
             for s, o in dealt((value % np.uint64(shards)).astype(np.int64))
         ]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
@@ -367,7 +368,7 @@ def windows(length: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
 
 def later(table: pa.Table) -> pa.Table:
     """Of a shard: the positions of windows that another group holds with a smaller id."""
-    h, h2 = joined(table["hashes"], np.uint64), joined(table["seconds"], np.uint64)
+    h, h2 = joined(table["hashes"], np.uint64), joined(table["seconds"], np.uint32)
     ids, positions = joined(table["ids"], np.int64), joined(table["positions"], np.uint32)
     grp = np.repeat(table["grp"].to_numpy().astype(np.int32), [len(x.as_py()) // 8 for x in table["hashes"]])
     order = np.lexsort((ids, h2, h))
