@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codehealth.operators.retrieval import dot
+from codehealth.operators.retrieval import BLOCK_VALUES
+from codehealth.operators.vectors import best_in_groups, n_values
 
 TABLES, BITS, PROBES, SEED = 24, 8, 1, 17
 
@@ -48,14 +49,13 @@ def with_buckets(rows: DataFrame, vector: str, tables: int, bits: int, probes: i
 
 def nearest_by_buckets(queries: DataFrame, vectors: DataFrame, k: int = 8, tables: int = TABLES, bits: int = BITS, probes: int = PROBES, seed: int = SEED) -> DataFrame:
     """query_id, id, score of the k vectors (project_id, id, embedding) of the greatest cosine among those that share a bucket with the query
-    (query_id, project_id, q) in its project."""
-    index = with_buckets(vectors.filter("embedding is not null").select("project_id", "id", "embedding"), "embedding", tables, bits, 0, seed)
-    asked = with_buckets(queries.filter("q is not null").select("project_id", "query_id", "q"), "q", tables, bits, probes, seed)
-    met = index.select("project_id", "id", F.explode("buckets").alias("bucket")).join(asked.select("project_id", "query_id", F.explode("buckets").alias("bucket")), ["project_id", "bucket"])
-    pairs = met.select("project_id", "query_id", "id").distinct()
-    unit = lambda v: F.sqrt(dot(v, v))
-    scored = pairs.join(vectors.select("project_id", "id", "embedding"), ["project_id", "id"]).join(queries.select("project_id", "query_id", "q"), ["project_id", "query_id"])
-    scored = scored.select("query_id", "id", (dot(F.col("q"), F.col("embedding")) / (unit(F.col("embedding")) * unit(F.col("q")))).alias("score"))
+    (query_id, project_id, q) in its project. Buckets are dealt into shards of about BLOCK_VALUES values; a task scores a shard
+    bucket by bucket and keeps k of each query and bucket, so that no pair is a row."""
+    index = with_buckets(vectors.filter("embedding is not null and project_id is not null").select("project_id", "id", "embedding"), "embedding", tables, bits, 0, seed)
+    asked = with_buckets(queries.filter("q is not null and project_id is not null").select("project_id", "query_id", "q"), "q", tables, bits, probes, seed)
+    shards = max(1, -(-n_values(vectors, "embedding") * tables // BLOCK_VALUES))
+    opened = lambda df, *columns: df.select("project_id", *columns, F.explode("buckets").alias("bucket")).withColumn("shard", F.pmod(F.xxhash64("project_id", "bucket"), F.lit(shards)))
+    scored = best_in_groups(opened(asked, "query_id", "q"), opened(index, "id", "embedding"), ["shard"], ["project_id", "bucket"], k).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 

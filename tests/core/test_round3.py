@@ -2,10 +2,11 @@
 
 import pytest
 
+from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
 
 
-@pytest.mark.parametrize("find", [lambda q, v, k: K.nearest(q, v, k, 8)])
+@pytest.mark.parametrize("find", [lambda q, v, k: K.nearest(q, v, k, 8), lambda q, v, k: N.nearest_by_buckets(q, v, k, tables=2, bits=1, probes=1)])
 def test_nearest_with_equal_vectors_and_without_direction(spark, find):
     rows = [("p", i, [1.0, 2.0]) for i in range(40, 0, -1)] + [("p", 50, [0.0, 0.0]), ("p", 51, [-1.0, -2.0]), ("o", 60, [1.0, 2.0]), ("o", 61, [0.0, 0.0]), ("o", 62, [-2.0, 1.0])]
     vectors = spark.createDataFrame(rows, "project_id string, id long, embedding array<float>")
