@@ -1,6 +1,7 @@
 """What the review of round 3 found."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
@@ -13,3 +14,9 @@ def test_nearest_with_equal_vectors_and_without_direction(spark, find):
     queries = spark.createDataFrame([("p", 7, [2.0, 4.0]), ("o", 8, [1.0, 2.0])], "project_id string, query_id long, q array<float>")
     got = sorted((r["query_id"], r["id"], None if r["score"] is None else round(r["score"], 9)) for r in find(queries, vectors, 3).collect())
     assert got == [(7, 1, 1.0), (7, 2, 1.0), (7, 3, 1.0), (8, 60, 1.0), (8, 61, None), (8, 62, 0.0)]
+
+
+def test_chunks_of_a_large_project_are_all_there(spark):
+    files = spark.range(5_200).select(F.lit("p").alias("project_id"), F.concat(F.lit("src/f"), "id", F.lit(".py")).alias("path"), F.lit("x = 1\n").alias("content"))
+    assert K.source_chunks(files).count() == 5_200
+    assert K.source_chunks(files, most=10).count() == 10
