@@ -20,3 +20,19 @@ def test_chunks_of_a_large_project_are_all_there(spark):
     files = spark.range(5_200).select(F.lit("p").alias("project_id"), F.concat(F.lit("src/f"), "id", F.lit(".py")).alias("path"), F.lit("x = 1\n").alias("content"))
     assert K.source_chunks(files).count() == 5_200
     assert K.source_chunks(files, most=10).count() == 10
+
+
+def test_keyword_hits_of_the_head_and_the_rest(spark):
+    import random
+
+    rng, k = random.Random(5), 3
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.choice((3, 4, 6))))
+    chunks = [(f"p{i % 2}", i // 4, f"f{i % 4}", " ".join(word() for _ in range(4))) for i in range(120)]
+    queries = [(f"p{i % 2}", i, sorted({word() for _ in range(2)})) for i in range(40)] + [("p0", 50, []), ("none", 51, ["abc"])]
+    want = []
+    for p, i, keywords in queries:
+        want += [(i, f, c) for c, f in sorted((c, f) for o, c, f, text in chunks if o == p and any(w in text for w in keywords))[:k]]
+    frame = spark.createDataFrame(queries, "project_id string, query_id long, keywords array<string>")
+    texts = spark.createDataFrame(chunks, "project_id string, chunk_index long, file string, content string")
+    for head, few in ((5, 256), (5, 1), (1_000, 256)):
+        assert sorted((r["query_id"], r["file"], r["chunk_index"]) for r in K.keyword_hits(frame, texts, k, head, few).collect()) == sorted(want)
