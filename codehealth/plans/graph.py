@@ -401,8 +401,9 @@ def s7_read_pages(spark, sf_dir):
     )
     pages = e.groupBy(page.alias("page"), kind.alias("kind")).agg(F.to_json(F.struct(F.collect_list(issue).alias("issues"))).alias("json"))
     text = F.when(F.col("kind") == 1, F.expr("left(json, length(json) - 5)")).when(F.col("kind") == 2, '{"errors": []}').otherwise(F.col("json"))
-    pages.select(text.alias("value"), "page").repartition(8, "page").write.partitionBy("page").text(f"{folder}/pages")
-    found, bad = M.read_issue_pages(spark, f"{folder}/pages/*")
+    # a file each, in one folder; tasks move their own into place
+    spread(pages.select(text.alias("value"))).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(f"{folder}/pages")
+    found, bad = M.read_issue_pages(spark, f"{folder}/pages")
     issues = M.imported_issues(found).select(F.lit("finding").alias("kind"), "path", F.col("severity").alias("detail"))
     return issues.unionByName(bad.select(F.lit("page").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("reason").alias("detail"))).groupBy("kind", "path", "detail").agg(F.count("*").alias("n"))
 
