@@ -36,3 +36,10 @@ def test_keyword_hits_of_the_head_and_the_rest(spark):
     texts = spark.createDataFrame(chunks, "project_id string, chunk_index long, file string, content string")
     for head, few in ((5, 256), (5, 1), (1_000, 256)):
         assert sorted((r["query_id"], r["file"], r["chunk_index"]) for r in K.keyword_hits(frame, texts, k, head, few).collect()) == sorted(want)
+
+
+def test_windows_leave_python_a_few_texts_at_a_time(spark):
+    docs = spark.range(0, 300, 1, 1).withColumn("text", F.when(F.col("id") % 3 > 0, F.lit("a b c")))
+    rows = K.token_windows(docs, "id")
+    assert [tuple(r) for r in rows.orderBy("id").collect()] == [(i, 0, 3, "a b c") for i in range(300) if i % 3]
+    assert "MapInArrow" in rows._jdf.queryExecution().toString()
