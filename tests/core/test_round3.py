@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
+from codehealth.streaming import jobs as J
 
 
 @pytest.mark.parametrize("find", [lambda q, v, k: K.nearest(q, v, k, 8), lambda q, v, k: N.nearest_by_buckets(q, v, k, tables=2, bits=1, probes=1)])
@@ -43,3 +44,30 @@ def test_windows_leave_python_a_few_texts_at_a_time(spark):
     rows = K.token_windows(docs, "id")
     assert [tuple(r) for r in rows.orderBy("id").collect()] == [(i, 0, 3, "a b c") for i in range(300) if i % 3]
     assert "MapInArrow" in rows._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_streams_of_many_sessions_in_one_group(spark, tmp_path, buckets):
+    """Ids beyond 2^53 beside a session that is null; states live over batches."""
+    spark.conf.set(*J.STATE_STORE)
+    big = 2**53 + 1
+    row = lambda i, s, content, at: (i, s, content, at and f"2024-01-01 00:00:{at:02d}")
+    batches = [[row(1, big, "a", 1), row(2, None, "a", 1), row(3, big + 1, "a", 1), row(4, big, "b", 2)], [row(5, big, "b", 3), row(6, None, "a", 3), row(7, big + 1, "a", 9)], [row(8, big, "b", 5), row(9, big, None, 6), row(10, big, None, 7)]]
+    schema = "id long, session_id long, content string, at string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = J.file_stream(spark, f"{tmp_path}/in")
+    found = lambda job, name: sorted((r["id"], r["session_id"]) for r in J.run_to_table(job, "append", f"{tmp_path}/{name}").collect())
+    assert found(J.first_within_stream(rows, 2, buckets), "first") == [(1, big), (2, None), (3, big + 1), (4, big), (7, big + 1), (8, big), (9, big)]
+    assert found(J.repeated_submits(rows, 2, buckets), "repeats") == [(5, big), (6, None), (8, big)]
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_stuck_runs_of_one_group_each_fail_once(spark, tmp_path, buckets):
+    spark.conf.set(*J.STATE_STORE)
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    batches = [[(run, 1, "RUNNING", at(run)) for run in range(1, 9)], [(100, 1, "SUCCEEDED", at(35))], [(100, 2, "SUCCEEDED", at(36)), (8, 2, "SUCCEEDED", at(36))], [(7, 2, "SUCCEEDED", at(40))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "analysis_id long, seq long, status string, at string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    job = J.stuck_runs(J.file_stream(spark, f"{tmp_path}/in"), 30, buckets=buckets)
+    assert sorted(r["analysis_id"] for r in J.run_to_table(job, "append", f"{tmp_path}/job").collect()) == [1, 2, 3, 4, 5, 6, 7]  # 8 ends in time
