@@ -19,6 +19,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codehealth.functions.keys import file_keys
 from codehealth.operators.graph import distinct_nodes, layer
@@ -206,24 +207,23 @@ def symbols_and_calls_of(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = F.regexp_extract_all(inner, F.lit(_FIELD + "(?=[=;])"), F.lit(0))
     field = lambda k: F.transform(pairs, lambda x: F.regexp_extract(x, _FIELD, k))
     java = F.col("language") == "java"
-    calls = rows.select(
-        *keys,
-        java.alias("java"),
-        key.alias("source"),
-        bare.alias("bare"),
-        F.regexp_extract_all(body, F.lit(_CALL), F.lit(0)).alias("found"),
-        F.when(java, F.regexp_extract_all(F.col("body"), F.lit(_MADE), F.lit(1))).alias("made"),
-        F.when(java, F.arrays_zip(field(2).alias("name"), field(1).alias("type"))).alias("fields"),
+    none = lambda kind: F.lit(None).cast(kind)
+    entry = lambda call, made, name, type_: F.struct(call.alias("call"), made.alias("made"), name.alias("name"), type_.alias("type"))
+    text = none("string")
+    # calls, objects made and called at once, and fields leave a symbol in one list, so that the files are lexed once
+    found = F.concat(
+        F.transform(F.regexp_extract_all(body, F.lit(_CALL), F.lit(0)), lambda x: entry(x, text, text, text)),
+        F.when(java, F.transform(F.regexp_extract_all(F.col("body"), F.lit(_MADE), F.lit(1)), lambda x: entry(text, x, text, text))).otherwise(F.array()),
+        F.when(java, F.transform(F.arrays_zip(field(2).alias("name"), field(1).alias("type")), lambda x: entry(text, text, x["name"], x["type"]))).otherwise(F.array()),
     )
-    # fields of all classes of a file, one of a name
-    typed = calls.filter("java").select(*keys, F.explode("fields").alias("f")).groupBy(*keys, F.col("f.name").alias("object")).agg(F.max("f.type").alias("type"))
-    one = calls.select(*keys, "java", "source", "bare", F.explode("found").alias("call"))
-    one = one.filter(~F.col("call").rlike(r"^new\s")).withColumn("p", F.split(F.regexp_replace("call", r"[\s?(]+", ""), r"\."))
+    one = rows.select(*keys, java.alias("java"), key.alias("source"), bare.alias("bare"), F.explode(found).alias("e")).select(*keys, "java", "source", "bare", "e.*")
+    one = one.filter(F.col("call").isNull() | ~F.col("call").rlike(r"^new\s")).withColumn("p", F.split(F.regexp_replace("call", r"[\s?(]+", ""), r"\."))
     size = F.size("p")
-    one = one.filter(~((size == 1) & F.array_contains("bare", F.get("p", F.lit(0))))).drop("bare")
-    one = one.withColumn("leaf", F.element_at("p", -1)).withColumn("object", F.when(size > 1, F.when(F.col("java"), F.get("p", size - 2)).otherwise(F.get("p", F.lit(0)))))
-    resolved = one.filter("java and object is not null").join(typed, [*keys, "object"], "left").withColumn("object", F.when(F.size("p") == 2, F.coalesce("type", "object")).otherwise(F.col("object"))).drop("type")
-    both = resolved.unionByName(one.filter("not (java and object is not null)"))
-    both = both.select(*own, "source", F.explode(F.array_compact(F.array("object", "leaf"))).alias("called"))
-    new = calls.select(*own, "source", F.explode("made").alias("called"))
-    return distinct_nodes(nodes), both.unionByName(new).distinct()
+    one = one.filter(F.col("call").isNull() | ~((size == 1) & F.array_contains("bare", F.get("p", F.lit(0))))).drop("bare", "call")
+    one = one.withColumn("leaf", F.coalesce(F.element_at("p", -1), "made")).withColumn("object", F.when(size > 1, F.when(F.col("java"), F.get("p", size - 2)).otherwise(F.get("p", F.lit(0)))))
+    # fields of all classes of a file, one of a name, meet the calls on it; other calls are dealt by their own name
+    at = Window.partitionBy(*keys, F.coalesce("name", F.when(F.col("java"), F.col("object")), F.concat(F.lit(" "), "leaf")))
+    resolved = one.withColumn("type", F.max("type").over(at)).filter("name is null")
+    resolved = resolved.withColumn("object", F.when(F.col("java") & (size == 2), F.coalesce("type", "object")).otherwise(F.col("object")))
+    calls = resolved.select(*own, "source", F.explode(F.array_compact(F.array("object", "leaf"))).alias("called"))
+    return distinct_nodes(nodes), calls.distinct()

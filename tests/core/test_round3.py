@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
+from codehealth.operators.symbols import symbols_and_calls_of
 from codehealth.streaming import jobs as J
 
 
@@ -71,3 +72,14 @@ def test_stuck_runs_of_one_group_each_fail_once(spark, tmp_path, buckets):
         spark.createDataFrame(rows, "analysis_id long, seq long, status string, at string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     job = J.stuck_runs(J.file_stream(spark, f"{tmp_path}/in"), 30, buckets=buckets)
     assert sorted(r["analysis_id"] for r in J.run_to_table(job, "append", f"{tmp_path}/job").collect()) == [1, 2, 3, 4, 5, 6, 7]  # 8 ends in time
+
+
+def test_files_are_lexed_once_for_their_calls(spark):
+    """Calls, made objects and fields of another class of the file come from one reading of it; keys may be null."""
+    text = "class A { B b; void f() { b.go(); new M(1).run(); other.x(); } }\nclass C { D b; void g() { b.c.d(); plain(); } }"
+    rows = [("p", None, "A.java", text), ("p", 1, "A.java", "class A { void f() { b.go(); } }"), ("p", 1, "x.py", "def f():\n    b.go()\n")]
+    calls = symbols_and_calls_of(spark.createDataFrame(rows, "project_id string, analysis_id int, path string, content string"))[1]
+    got = {(r["analysis_id"], r["source"], r["called"]) for r in calls.collect()}
+    want = [(None, "A.java#A", x) for x in "D go run M other x".split()] + [(None, "A.java#C", x) for x in "c d plain".split()]
+    assert got == {*want, *[(1, s, x) for s in ("A.java#A", "x.py#f") for x in ("b", "go")]}
+    assert calls._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
