@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codehealth.operators import code_blocks as B
 from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
+from codehealth.operators.line_rules import lines_of
 from codehealth.operators.symbols import symbols_and_calls_of
 from codehealth.streaming import jobs as J
 
@@ -83,3 +85,12 @@ def test_files_are_lexed_once_for_their_calls(spark):
     want = [(None, "A.java#A", x) for x in "D go run M other x".split()] + [(None, "A.java#C", x) for x in "c d plain".split()]
     assert got == {*want, *[(1, s, x) for s in ("A.java#A", "x.py#f") for x in ("b", "go")]}
     assert calls._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_boilerplate_of_many_files_is_read_and_shuffled_once(spark):
+    text = "\n".join(f"line {i}" for i in range(6))
+    rows = [("p", f"f{i:03d}", text + (f"\nown {i // 2}" if i > 197 else "")) for i in range(200)] + [("o", "f000", text), (None, "b", text), (None, "a", "x\n" + text)]
+    found = B.cross_file_duplicates(B.windows(lines_of(spark.createDataFrame(rows, "project_id string, path string, content string"))))
+    got = {(r["project_id"], r["path_a"], r["line_a"], r["path_b"], r["line_b"]) for r in found.collect()}
+    assert got == {("p", "f000", 1, "f001", 1), ("p", "f198", 2, "f199", 2), (None, "a", 2, "b", 1)}
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
