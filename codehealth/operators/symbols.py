@@ -8,7 +8,7 @@
 3. Calls are dotted names before a bracket inside a symbol: the first and the last name count. In Java the part before the
    last counts for the first, a field of the file for its declared type, and calls of an inner class are its outer's, too.
 
-A file is one row and bounds the memory; only fields are joined back, by file. What a grammar sees and this does not:
+A file is one row and bounds the memory; only fields meet calls again, in a window by file. What a grammar sees and this does not:
 regular-expression literals with quotes (a string ends with its line at the latest), names taken apart by destructuring,
 brackets nested more than once in a template's code. Decorated Python definitions and abstract TypeScript classes are no
 symbols, as they are declarations of another kind."""
