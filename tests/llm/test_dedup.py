@@ -229,6 +229,33 @@ def test_rows_of_one_id_and_other_texts(spark):
     assert sorted((r["doc_id"], r["n_bytes"], len(r["removed"]), bytes(r["kept"])) for r in got) == sorted((k[0], n, spans, kept) for k, n, _, spans, kept in want)
 
 
+def open_windows_of(texts, length, stem):
+    """How many windows are to be settled in a shard that holds the texts, a document each."""
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(texts), pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64())], ["text", "id", "tie"])
+    (sent,) = suffixes.index_of(length, stem, 1, 1 << 20)(iter([batch]))
+    found = suffixes.matches(1, length, stem)(pa.Table.from_batches([sent]))
+    return sum(int((np.frombuffer(c, np.int32) * np.frombuffer(o, bool)).sum()) for c, o in zip(found["counts"].to_pylist(), found["open"].to_pylist()))
+
+
+@pytest.mark.parametrize("length,stem", [(100, 24), (40, 24), (30, 8)])
+def test_only_windows_of_sides_that_agree_are_settled(length, stem):
+    """A phrase that recurs in unlike texts has common stems, but no window of it can recur; of an edited copy windows are settled."""
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase, body = noise(stem + (length - stem) // 4), noise(400)
+    assert open_windows_of([noise(300) + phrase + noise(300) for _ in range(40)], length, stem) < 40
+    edited = body[:200] + "!" + body[201:]
+    assert 0 < open_windows_of([body, edited], length, stem) < 2 * 2 * length
+
+
+def test_ids_come_back_narrow():
+    for ids, step, most in (([7, 107, 1007], 100, 8 + 3), ([-(1 << 63), (1 << 63) - 1], 1, 8 + 16), ([5], 3, 9), ([3, 3 + 300 * 11], 11, 8 + 4)):
+        packed = suffixes.narrow(np.array(ids, np.int64), step)
+        assert suffixes.widened(packed, len(ids), step).tolist() == ids and len(packed) <= most
+
+
 def test_earlier_bytes_of_nothing(spark):
     assert suffixes.without_earlier(cases.empty(spark)).count() == 0
 
