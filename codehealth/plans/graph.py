@@ -14,7 +14,7 @@ from codehealth.operators import retrieval as K
 from codehealth.operators import symbols as Y
 from codehealth.operators.cycles import cycles
 from codehealth.operators.line_rules import lines_of
-from codehealth.plans.registry import query, spread, table
+from codehealth.plans.registry import parts_for, query, spread, table
 from codehealth.plans.source_code import CODE_LINES, KEYS, braces_sql, code_files, code_lines, indents_sql, q, same_file
 from codehealth.sources import manifests as M
 from codehealth.sources import snapshots as S
@@ -365,12 +365,14 @@ def s4_json_map(spark, sf_dir):
 def s5_commit_log(spark, sf_dir):
     """Line items as logs of about a thousand orders each, so their number follows the table and their size does not."""
     i = table(spark, sf_dir, "lineitem")
-    logs = max(1, i.count() // 4_000)
+    n = i.count()
+    logs, parts = max(1, n // 4_000), parts_for(spark, n)
     change = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_linenumber") == 1, F.lit("-")).otherwise(F.col("l_linenumber").cast("string")), F.concat(F.lit("p"), "l_partkey"))
-    entry = i.groupBy("l_orderkey").agg(F.array_join(F.collect_list(change), "\n").alias("changes"))
+    entry = i.select("l_orderkey", change.alias("change")).repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list("change"), "\n").alias("changes"))
     head = F.concat(F.lit("@"), F.lower(F.hex("l_orderkey")), F.lit("\tann\t2024-01-01 00:00:00\n"), F.col("changes"))
-    texts = entry.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(logs)).alias("project_id")).agg(F.array_join(F.collect_list(head), "\n").alias("content"))
-    commits, _ = M.commit_log(texts)
+    entry = entry.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(logs)).alias("project_id"), head.alias("entry")).repartition(parts, "project_id")
+    texts = entry.groupBy("project_id").agg(F.array_join(F.collect_list("entry"), "\n").alias("content"))
+    commits, _ = M.commit_log(texts, parts=parts)
     return commits.select(F.conv("commit_hash", 16, 10).cast("long").alias("commit_hash"), "files_changed", "added", "removed")
 
 
@@ -379,10 +381,11 @@ def s5_read_logs(spark, sf_dir):
     """Logs of three projects as text files, cut by the mark of a commit."""
     i, folder = table(spark, sf_dir, "lineitem"), work_folder(spark)
     change = F.concat_ws("\t", F.col("l_quantity").cast("long").cast("string"), F.lit("-"), F.concat(F.lit("p"), "l_partkey"))
-    entry = i.groupBy("l_orderkey").agg(F.array_join(F.collect_list(change), "\n").alias("changes"))
+    parts = parts_for(spark, i.count())
+    entry = i.select("l_orderkey", change.alias("change")).repartition(parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.collect_list("change"), "\n").alias("changes"))
     text = entry.select(F.concat(F.lit("@"), F.lower(F.hex("l_orderkey")), F.lit("\tann\t2024-01-01 00:00:00\n"), F.col("changes")).alias("value"), F.concat(F.lit("log"), F.col("l_orderkey") % 3).alias("project_id"))
     text.write.partitionBy("project_id").text(f"{folder}/logs")
-    commits, _ = M.commits_of(M.read_commit_logs(spark, f"{folder}/logs"))
+    commits, _ = M.commits_of(M.read_commit_logs(spark, f"{folder}/logs"), parts=parts)
     return commits.select("project_id", F.conv("commit_hash", 16, 10).cast("long").alias("commit_hash"), "files_changed", "added")
 
 

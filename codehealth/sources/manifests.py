@@ -62,10 +62,10 @@ COMMIT = "^@([0-9a-f]+)\t([^\t\n]*)\t([^\t\n]*)(\n|$)"
 CHANGE = "^([0-9]+|-)\t([0-9]+|-)\t(.+)$"
 
 
-def commit_log(logs: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
+def commit_log(logs: DataFrame, key: str = "project_id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """commits and files (see commits_of) of logs (key, content): a line `@hash<tab>author<tab>time`, then numstat lines. A log is
     cut before each such line, so a commit is a row of its own and nothing is put in order."""
-    return commits_of(logs.select(key, F.explode(F.split("content", "(?m)(?=^@[0-9a-f]+\t[^\t\n]*\t[^\t\n]*$)")).alias("piece")), key)
+    return commits_of(logs.select(key, F.explode(F.split("content", "(?m)(?=^@[0-9a-f]+\t[^\t\n]*\t[^\t\n]*$)")).alias("piece")), key, parts)
 
 
 def read_commit_logs(spark: SparkSession, path: str, key: str = "project_id") -> DataFrame:
@@ -77,20 +77,26 @@ def read_commit_logs(spark: SparkSession, path: str, key: str = "project_id") ->
     return rows.select(name.alias(key), F.when(F.col("value").startswith("@"), F.col("value")).otherwise(F.concat(F.lit("@"), "value")).alias("piece"))
 
 
-def commits_of(pieces: DataFrame, key: str = "project_id") -> tuple[DataFrame, DataFrame]:
+def commits_of(pieces: DataFrame, key: str = "project_id", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """commits (key, commit_hash, author_name, committed_at, files_changed, added, removed) and files (key, commit_hash, path,
-    added, removed) of pieces of logs (key, piece), a commit each. '-' counts as 0; what is no commit is left out."""
+    added, removed) of pieces of logs (key, piece), a commit each. '-' counts as 0; what is no commit is left out.
+    parts: into how many parts commits are dealt, where the number that the session shuffles into is too small for them."""
     pieces = pieces.filter(F.col("piece").rlike(COMMIT))
     part = lambda k: F.regexp_extract("piece", COMMIT, k)
-    heads = pieces.select(key, part(1).alias("commit_hash"), part(2).alias("author_name"), F.try_to_timestamp(part(3)).alias("committed_at"))
-    number = lambda k: F.coalesce(F.regexp_extract("line", CHANGE, k).try_cast("long"), F.lit(0))
-    rows = pieces.select(key, part(1).alias("commit_hash"), F.explode(F.split("piece", "\n")).alias("line")).filter(F.col("line").rlike(CHANGE))
-    changes = rows.select(key, "commit_hash", F.regexp_extract("line", CHANGE, 3).alias("path"), number(1).alias("added"), number(2).alias("removed"))
-    files = changes.groupBy(key, "commit_hash", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-    total = files.groupBy(key, "commit_hash").agg(F.count("*").alias("files_changed"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    commits = heads.join(total, [key, "commit_hash"], "left").select(key, "commit_hash", "author_name", "committed_at", zero("files_changed"), zero("added"), zero("removed"))
-    return commits, files
+    number = lambda line, k: F.coalesce(F.regexp_extract(line, CHANGE, k).try_cast("long"), F.lit(0))
+    lines = F.filter(F.split("piece", "\n"), lambda x: x.rlike(CHANGE))
+    each = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, CHANGE, 3).alias("path"), number(x, 1).alias("added"), number(x, 2).alias("removed")))
+    rows = pieces.select(key, part(1).alias("commit_hash"), F.struct(part(2).alias("author_name"), F.try_to_timestamp(part(3)).alias("committed_at")).alias("head"), each.alias("changes"))
+    files = rows.select(key, "commit_hash", F.inline("changes")).groupBy(key, "commit_hash", "path").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    # a commit's changes stand in its piece, so a piece is added up where it is read and a change is no row
+    total = lambda c: F.aggregate(f"changes.{c}", F.lit(0).cast("long"), lambda x, y: x + y).alias(c)
+    own = rows.select(key, "commit_hash", "head", F.array_distinct("changes.path").alias("paths"), total("added"), total("removed"))
+    own = own.repartition(parts, key, "commit_hash") if parts else own
+    # a hash that a log has several times: each piece with the changes of all
+    same = own.groupBy(key, "commit_hash").agg(F.collect_list("head").alias("heads"), F.collect_set("paths").alias("paths"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    count = F.size(F.array_distinct(F.flatten("paths"))).cast("long").alias("files_changed")
+    commits = same.select(key, "commit_hash", F.explode("heads").alias("head"), count, "added", "removed")
+    return commits.select(key, "commit_hash", "head.author_name", "head.committed_at", "files_changed", "added", "removed"), files
 
 
 #: Fields of an exported finding.

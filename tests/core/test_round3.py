@@ -8,6 +8,8 @@ from codehealth.operators import neighbours as N
 from codehealth.operators import retrieval as K
 from codehealth.operators.line_rules import lines_of
 from codehealth.operators.symbols import symbols_and_calls_of
+from codehealth.plans.registry import parts_for
+from codehealth.sources import manifests as M
 from codehealth.streaming import jobs as J
 
 
@@ -94,3 +96,22 @@ def test_boilerplate_of_many_files_is_read_and_shuffled_once(spark):
     got = {(r["project_id"], r["path_a"], r["line_a"], r["path_b"], r["line_b"]) for r in found.collect()}
     assert got == {("p", "f000", 1, "f001", 1), ("p", "f198", 2, "f199", 2), (None, "a", 2, "b", 1)}
     assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def test_commits_are_added_up_where_they_are_read(spark):
+    """A change is no row of a shuffle; a hash that stands twice counts the paths of both once, and each stays a row."""
+    one, two = "@a1\tann\t2024-01-01 00:00:00\n1\t2\tx\n3\t-\ty\n4\t1\tx", "@a1\tbob\tnever\n5\t5\tx\n-\t-\tz\nnoise"
+    rows = [("p", one), ("p", two), ("p", "@b\teve\t2024-01-02 00:00:00"), ("q", one), ("q", "noise"), ("q", None)]
+    commits, files = M.commits_of(spark.createDataFrame(rows, "project_id string, piece string"))
+    plan = commits._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r["project_id"], r["commit_hash"], r["author_name"], r["committed_at"] is not None, r["files_changed"], r["added"], r["removed"]) for r in commits.collect())
+    assert got == [("p", "a1", "ann", True, 3, 13, 8), ("p", "a1", "bob", False, 3, 13, 8), ("p", "b", "eve", True, 0, 0, 0), ("q", "a1", "ann", True, 2, 8, 3)]
+    assert sorted(map(tuple, files.collect())) == [("p", "a1", "x", 10, 8), ("p", "a1", "y", 3, 0), ("p", "a1", "z", 0, 0), ("q", "a1", "x", 5, 3), ("q", "a1", "y", 3, 0)]
+
+
+def test_parts_follow_the_rows(spark):
+    assert parts_for(spark, 60, each=10) == 6 and parts_for(spark, 10) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = spark.createDataFrame([("p", f"@{k:x}\tann\tnever\n1\t1\tx") for k in range(50)], "project_id string, piece string")
+    commits, _ = M.commits_of(pieces, parts=19)
+    assert commits.rdd.getNumPartitions() == 19 and commits.filter("files_changed = 1").count() == 50
