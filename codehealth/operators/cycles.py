@@ -3,6 +3,8 @@
 Graphs of up to `in_one` edges are read by one group each, in one pass (Tarjan's search). Larger ones are never gathered; for them
 the work is rounds over tables, and what a round does not change it does not read again:
 
+- **Thin.** Each task takes up to `in_one` edges, finds the components that these alone make, and returns a star for each and one edge
+  between two of them: the same nodes reach each other, over fewer edges. What is small enough then is read by one group; the rest:
 - **Rake.** Edges whose source nothing enters, or whose target nothing leaves, are on no cycle and go.
 - **Compress.** A node with one edge in and one out belongs to the component of its neighbours if both are in the same one, and
   else to none. Runs of such nodes become one edge each. Their ends are found by doubling: each node knows a node further on,
@@ -19,9 +21,13 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from codehealth.operators.graph import graph_keys
 
@@ -87,6 +93,76 @@ def _small(e: DataFrame, keys: list[str]) -> DataFrame:
     return e.groupBy(*keys).applyInPandas(search, schema)
 
 
+def thinned(sources: list, targets: list) -> list[tuple]:
+    """Distinct edges over which the same nodes reach each other: to and from one node of each component, and between these nodes."""
+    of = {}
+    for own in components_of(sources, targets):
+        of.update(dict.fromkeys(own, own[0]))
+    out = {(a, b) for a, b in zip((of.get(x, x) for x in sources), (of.get(x, x) for x in targets)) if a != b}
+    for node, first in of.items():
+        if node != first:
+            out |= {(first, node), (node, first)}
+    return list(out)
+
+
+def _thinning(schema: pa.Schema, in_one: int) -> Callable:
+    """Batches of edges (keys, source, target), thinned by `in_one` edges at a time; edges without an end stay."""
+
+    def rows_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: dict = {}
+        out = []
+        for *key, a, b in zip(*(c.to_pylist() for c in pa.Table.from_batches(held).columns)):
+            if a is None or b is None:
+                out.append((*key, a, b))
+            else:
+                own = edges.setdefault(tuple(key), ([], []))
+                own[0].append(a)
+                own[1].append(b)
+        for key, own in edges.items():
+            out += [(*key, *x) for x in thinned(*own)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, in_one):
+                part = batch.slice(at, in_one)
+                if held and n + part.num_rows > in_one:
+                    yield from rows_of(held)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield from rows_of(held)
+
+    return work
+
+
+def _thin(e: DataFrame, n: int, folder: str, keys: list[str], in_one: int) -> tuple[DataFrame, int]:
+    """For as long as it takes much away: edges near each other by their sources, then by their targets, thinned together."""
+    e = e.select(*keys, "source", "target")
+    for side in ("source", "target") * 4:
+        if not in_one or n <= in_one:
+            break
+        before, parts = n, max(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // in_one))
+        near = e.repartitionByRange(parts, *keys, side)
+        e, seen = _kept(near.mapInArrow(_thinning(to_arrow_schema(e.schema), in_one), e.schema).distinct(), folder)
+        n = seen["n"]
+        if n > 0.75 * before:
+            break
+    return e, n
+
+
+def _sized(e: DataFrame, folder: str, keys: list[str], in_one: int) -> tuple[DataFrame, DataFrame, int]:
+    """Edges of graphs that one group reads, those of larger ones as a table, and how many of these there are."""
+    sizes, seen = _kept(e.groupBy(*keys).agg(F.count("*").alias("__n")), folder, large=F.sum(F.when(F.col("__n") > in_one, F.col("__n"))))
+    if not seen["large"]:
+        return e, e.filter("false"), 0
+    marked = e.join(sizes, keys)
+    large, seen = _kept(marked.filter(F.col("__n") > in_one).drop("__n"), folder)
+    return marked.filter(F.col("__n") <= in_one).drop("__n"), large, seen["n"]
+
+
 def _ends(e: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """keys, node, other, n: of each node at the side `a` of edges, how many there are, and the other end of one."""
     return e.groupBy(*keys, F.col(a).alias("node")).agg(F.count("*").alias("n"), F.min(b).alias("other"))
@@ -179,14 +255,14 @@ def cycles(edges: DataFrame, folder: str, key: str | None = None, in_one: int =
     edges = edges if own else edges.withColumn("__graph", F.lit(1))
     e, _ = _kept(edges.select(*keys, "source", "target").distinct(), folder)
     loops, e = e.filter("source = target").select(*own, F.array("source").alias("members")), e.filter("source <> target")
-    sizes, seen = _kept(e.groupBy(*keys).agg(F.count("*").alias("__n")), folder, large=F.sum(F.when(F.col("__n") > in_one, F.col("__n"))))
-    if not seen["large"]:
-        found = _small(e, keys)
-    else:
-        marked = e.join(sizes, keys)
-        found = _small(marked.filter(F.col("__n") <= in_one).drop("__n"), keys)
-        large, seen = _kept(marked.filter(F.col("__n") > in_one).drop("__n"), folder)
-        groups = _large(large, seen["n"], folder, keys).groupBy(*keys, "colour").agg(F.array_sort(F.collect_set("node")).alias("members"))
+    small, large, n = _sized(e, folder, keys, in_one)
+    found = _small(small, keys)
+    if n and in_one:
+        large, _ = _thin(large, n, folder, keys, in_one)
+        small, large, n = _sized(large, folder, keys, in_one)
+        found = found.unionByName(_small(small, keys))
+    if n:
+        groups = _large(large, n, folder, keys).groupBy(*keys, "colour").agg(F.array_sort(F.collect_set("node")).alias("members"))
         found = found.unionByName(groups.filter(F.size("members") > 1).select(*keys, "members"))
     last = F.get("members", F.size("members") - 1)
     return found.select(*own, "members").unionByName(loops).select(*own, "members", F.get("members", F.lit(0)).alias("source"), last.alias("target"), F.lit("MAJOR").alias("severity"))

@@ -6,7 +6,7 @@ import pytest
 
 from codehealth.operators import graph as G
 from codehealth.operators import symbols as Y
-from codehealth.operators.cycles import components_of, cycles
+from codehealth.operators.cycles import components_of, cycles, thinned
 
 SCHEMA = "project_id string, source int, target int"
 
@@ -130,3 +130,21 @@ def test_long_strings_and_comments_do_not_overflow(spark):
     text = "/*" + "x'\"\n" * 200_000 + "*/\nclass A { String s = \"" + "\\\"a" * 50_000 + "\"; void f() { g(); } }"
     symbols, names = parsed(spark, [("A.java", text)])
     assert symbols["A.java"] == {"A": 200_002} and names["A.java"] == {"A": {"g"}}
+
+
+def test_a_dense_graph_is_thinned(spark, tmp_path):
+    """Two graphs of many edges and few nodes, too large for one group, end in one group each after a round."""
+    rng = random.Random(8)
+    rows = sorted({(p, rng.randrange(60), rng.randrange(60)) for p in "ab" for _ in range(3_000)} | {("b", 60, 1), ("b", 2, 61)})
+    own = cycles(spark.createDataFrame(rows, SCHEMA), str(tmp_path), in_one=500)
+    assert len(list(tmp_path.iterdir())) <= 9
+    got = sorted((r["project_id"], tuple(r["members"])) for r in own.collect() if len(r["members"]) > 1)
+    assert got == [("a", tuple(range(60))), ("b", tuple(range(60)))]
+
+
+def test_thinned_edges_make_the_same_components():
+    rng = random.Random(6)
+    for _ in range(200):
+        edges = [(a, b) for a, b in ((rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(30))) if a != b]
+        few = thinned([a for a, _ in edges], [b for _, b in edges])
+        assert brute(few) == brute(edges) and len(few) <= max(len(set(edges)), 16)
