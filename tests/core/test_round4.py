@@ -37,7 +37,7 @@ def test_all_files_of_a_window_and_all_pairs_are_there(spark):
     assert len({(x[1], x[3]) for x in want if x[0] == "p"}) > 50 and max(map(len, spots.values())) > 2 and got == want
 
 
-@pytest.mark.parametrize("name,n", [("u3_copies", 60 * 3 + 2 * 49)])
+@pytest.mark.parametrize("name,n", [("u3_copies", 60 * 3 + 2 * 49), ("u3_cross_file_duplicates", 60 + 2 * 47)])
 def test_queries_for_copies_leave_none_out(spark, tmp_path, name, n):
     text = lambda i: "\n".join(f"word {i} of line {k}" for k in range(6))
     rows = [(4 * i + j, text(i), "en", "s") for i in range(60) for j in range(4)] + [(1_000 + i, text(-1) + "\nmore", "de", "s") for i in range(50)]
