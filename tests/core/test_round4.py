@@ -4,7 +4,6 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from codehealth import plans
 from codehealth.operators import code_blocks as B
@@ -48,3 +47,17 @@ def test_queries_for_copies_leave_none_out(spark, tmp_path, name, n):
     got = plans.QUERIES[name](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert len(got) == n
+
+
+def test_every_turn_of_a_user_is_a_query(spark, tmp_path):
+    """Turns of 100 and more are queries of their own, beside another conversation's."""
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"please find word{'abc'[c % 3]} and thing{'xyz'[t % 3]}") for c in (1, 2, 3, 50) for t in (0, 1, 2, 3, 100)]
+    docs = [(i, f"some word{'abc'[i % 3]} here" if i % 2 else f"Thing{'xyz'[i % 3]}", "en", f"s{i % 2}") for i in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("conversations", "documents"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = [tuple(r) for r in plans.QUERIES["k4_keyword_hits"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(plans.SQL["k4_keyword_hits"]).fetchall())
+    assert len(got) == 4 * 3 * 8 and {r[0] // 100 for r in got} == {1, 2, 3, 4, 50, 51}
